@@ -131,7 +131,7 @@ def relative_strength(
 
 def daily_mean(bars: DataFrame) -> DataFrame:
     """Equal-weight benchmark: mean close per day, summed exactly as decimals."""
-    total = F.sum(F.col("close").cast("decimal(18,6)")).cast("double")
+    total = F.sum(F.col("close").cast("decimal(28,10)")).cast("double")
     return bars.where("close IS NOT NULL").groupBy("date").agg(
         F.try_divide(total, F.count("close")).alias("close")
     )

@@ -22,7 +22,8 @@ def _col(c: Column | str) -> Column:
 def number(c: Column | str) -> Column:
     """NaN and infinities become null, so that SQL null rules apply."""
     d = _col(c).cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+    # NaN sorts above infinity, so one comparison excludes both.
+    return F.when(F.abs(d) < float("inf"), d)
 
 
 def flag(cond: Column) -> Column:

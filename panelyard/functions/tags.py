@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,15 @@ from panelyard import constants as K
 from panelyard.functions.exprs import to_snake
 
 
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _list(values: list[str]) -> str:
+    return ", ".join(_text(v) for v in values)
+
+
 def parse_tags(c: Column | str) -> Column:
     """Comma-joined cell to an array of trimmed, non-blank tags; null to an empty array."""
     text = F.col(c) if isinstance(c, str) else c
@@ -18,22 +25,20 @@ def parse_tags(c: Column | str) -> Column:
     return F.coalesce(F.filter(parts, lambda t: t != ""), F.array().cast("array<string>"))
 
 
-def size_tier(tags: Column, rules: list[tuple[str, str]] | None = None) -> Column:
-    chain = reduce(
-        lambda acc, rule: acc.when(F.array_contains(tags, rule[0]), F.lit(rule[1])),
-        rules or K.TIER_TAGS,
-        F.when(F.lit(False), F.lit("")),
-    )
-    return chain.otherwise(F.lit(K.NO_TIER))
+def size_tier(tags: str = "tags", rules: list[tuple[str, str]] | None = None) -> Column:
+    """First matching rule wins."""
+    rules = rules or K.TIER_TAGS
+    cases = " ".join(f"WHEN array_contains({tags}, {_text(t)}) THEN {_text(tier)}" for t, tier in rules)
+    return F.expr(f"CASE {cases} ELSE {_text(K.NO_TIER)} END")
 
 
-def in_group(tags: Column, members: list[str]) -> Column:
-    return F.arrays_overlap(tags, F.array(*[F.lit(m) for m in members]))
+def in_group(members: list[str], tags: str = "tags") -> Column:
+    return F.expr(f"arrays_overlap({tags}, array({_list(members)}))")
 
 
-def tag_flags(tags: Column, names: list[str]) -> dict[str, Column]:
+def tag_flags(names: list[str], tags: str = "tags") -> dict[str, Column]:
     """One boolean per given tag, named ``idx_<snake>``."""
-    return {f"idx_{to_snake(n)}": F.array_contains(tags, n) for n in sorted(names)}
+    return {f"idx_{to_snake(n)}": F.expr(f"array_contains({tags}, {_text(n)})") for n in sorted(names)}
 
 
 def add_tag_columns(
@@ -47,17 +52,14 @@ def add_tag_columns(
     """Tags, tier, tag count, per-tag booleans, group rollups and the any-factor flag."""
     factors = K.FACTOR_TAGS if factors is None else factors
     ownership = K.OWNERSHIP_TAGS if ownership is None else ownership
-    df = df.withColumn("tags", parse_tags(tag_column))
-    tags = F.col("tags")
-    rollups = {f"is_{g}": in_group(tags, m) for g, m in {**factors, **ownership}.items()}
-    any_factor = in_group(tags, [t for members in factors.values() for t in members])
-    return df.withColumns(
+    rollups = {f"is_{g}": in_group(m) for g, m in {**factors, **ownership}.items()}
+    return df.withColumn("tags", parse_tags(tag_column)).withColumns(
         {
-            "cap_tier": size_tier(tags, tier_rules),
-            "index_count": F.size(tags),
-            **tag_flags(tags, tag_names or []),
+            "cap_tier": size_tier("tags", tier_rules),
+            "index_count": F.size("tags"),
+            **tag_flags(tag_names or []),
             **rollups,
-            "is_any_factor": any_factor,
+            "is_any_factor": in_group([t for members in factors.values() for t in members]),
         }
     )
 

@@ -1,12 +1,18 @@
-"""Derived columns of the entity frame. A column appears only where its inputs exist."""
+"""Derived columns of the entity frame. A column appears only where its inputs exist.
+
+Each column is one SQL expression, so a frame of hundreds of columns costs the driver
+one parse per column and the cluster one projection.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard import constants as K
-from panelyard.functions.exprs import flag, pct_from, safe_div
+
+# name, columns needed, expression
+Spec = tuple[str, list[str], str]
 
 # reference level -> name part of the distance column
 MEAN_LEVELS = {"ema_20": "ema_20", "ema_50": "ema_50", "ema_200": "ema_200", "sma_50": "sma_50", "sma_200": "sma_200"}
@@ -18,75 +24,117 @@ LOW_LEVELS = {"low_52w": "52w_low", "low_all_time": "atl"}
 WINDOWS = ["perf_1w_pct", "perf_1m_pct", "perf_3m_pct", "perf_6m_pct", "perf_1y_pct"]
 
 
-def _add(df: DataFrame, wanted: list[tuple[str, list[str], Column]]) -> DataFrame:
+def _ratio(a: str, b: str) -> str:
+    """Null for a zero denominator and for a result that is not finite."""
+    q = f"try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+    return f"CASE WHEN abs({q}) < DOUBLE('Infinity') THEN {q} END"
+
+
+def _away(x: str, ref: str) -> str:
+    return f"(({_ratio(x, ref)}) - 1) * 100"
+
+
+def _flag(condition: str) -> str:
+    return f"coalesce({condition}, false)"
+
+
+def _quoted(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def reconstructed() -> list[Spec]:
+    shares = _ratio("market_cap", "price")
+    return [
+        ("shares_implied", ["market_cap", "price"], shares),
+        ("revenue_ttm", ["market_cap", "price", "revenue_per_share"], f"revenue_per_share * ({shares})"),
+        ("price_to_book", ["price", "book_value_per_share"], _ratio("price", "book_value_per_share")),
+        ("pe_forward_derived", ["price", "eps_estimate_annual"], _ratio("price", "eps_estimate_annual")),
+    ]
+
+
+def trend() -> list[Spec]:
+    emas = ["price", "ema_20", "ema_50", "ema_200"]
+    return [
+        *[(f"dist_{part}_pct", ["price", ref], _away("price", ref)) for ref, part in {**MEAN_LEVELS, **HIGH_LEVELS}.items()],
+        *[(f"above_{part}_pct", ["price", ref], _away("price", ref)) for ref, part in LOW_LEVELS.items()],
+        ("ema_stack_bullish", emas, _flag("price > ema_20 AND ema_20 > ema_50 AND ema_50 > ema_200")),
+        ("ema_stack_bearish", emas, _flag("price < ema_20 AND ema_20 < ema_50 AND ema_50 < ema_200")),
+        ("above_ema_200", ["price", "ema_200"], _flag("price > ema_200")),
+        ("above_sma_200", ["price", "sma_200"], _flag("price > sma_200")),
+        ("pct_of_52w_range", ["price", "high_52w", "low_52w"], f"({_ratio('(price - low_52w)', '(high_52w - low_52w)')}) * 100"),
+    ]
+
+
+def momentum(columns: list[str]) -> list[Spec]:
+    present = [c for c in WINDOWS if c in columns]
+    up = " + ".join(f"CAST({_flag(f'{c} > 0')} AS BIGINT)" for c in present) or "0"
+    year, month = "(1 + perf_1y_pct / 100)", "(1 + perf_1m_pct / 100)"
+    return [
+        ("momentum_12_1_pct", ["perf_1y_pct", "perf_1m_pct"], f"(({_ratio(year, month)}) - 1) * 100"),
+        ("momentum_per_beta", ["perf_1y_pct", "beta_1y"], _ratio("perf_1y_pct", "beta_1y")),
+        ("momentum_accel", ["perf_3m_pct", "perf_1y_pct"], "perf_3m_pct - perf_1y_pct / 4"),
+        *([("positive_windows", [], up)] if present else []),
+    ]
+
+
+def valuation() -> list[Spec]:
+    return [
+        ("pe_vs_own_5y_pct", ["pe_ratio", "historical_pe_5y"], _away("pe_ratio", "historical_pe_5y")),
+        ("pe_vs_industry_pct", ["pe_ratio", "industry_pe"], _away("pe_ratio", "industry_pe")),
+        ("upside_to_target_pct", ["target_price_1y", "price"], _away("target_price_1y", "price")),
+        ("earnings_yield_pct", ["pe_ratio"], _ratio("100", "pe_ratio")),
+    ]
+
+
+def own_book_value() -> list[Spec]:
+    """Needs the rebuilt ``price_to_book``."""
+    return [("pbv_vs_own_5y_pct", ["price_to_book", "historical_pbv_5y"], _away("price_to_book", "historical_pbv_5y"))]
+
+
+def conflicts() -> list[Spec]:
+    bull, bear = _quoted(K.BULLISH), _quoted(K.BEARISH)
+    bull_bear = f"analyst_rating IN ({bull}) AND technical_rating IN ({bear})"
+    bear_bull = f"analyst_rating IN ({bear}) AND technical_rating IN ({bull})"
+    ratings, drift = ["analyst_rating", "technical_rating"], ["perf_1y_pct", "net_income_growth_ttm_yoy"]
+    return [
+        ("analyst_bull_tech_bear", ratings, _flag(bull_bear)),
+        ("analyst_bear_tech_bull", ratings, _flag(bear_bull)),
+        ("rating_conflict", ratings, f"{_flag(bull_bear)} OR {_flag(bear_bull)}"),
+        ("price_up_earnings_down", drift, _flag("perf_1y_pct > 0 AND net_income_growth_ttm_yoy < 0")),
+        ("price_down_earnings_up", drift, _flag("perf_1y_pct < 0 AND net_income_growth_ttm_yoy > 0")),
+    ]
+
+
+def _add(df: DataFrame, specs: list[Spec]) -> DataFrame:
     have = set(df.columns)
-    new = {name: expr for name, needs, expr in wanted if have.issuperset(needs)}
+    new = {name: F.expr(sql) for name, needs, sql in specs if have.issuperset(needs)}
     return df.withColumns(new) if new else df
 
 
 def add_reconstructed(df: DataFrame) -> DataFrame:
-    shares = safe_div("market_cap", "price")
-    return _add(df, [
-        ("shares_implied", ["market_cap", "price"], shares),
-        ("revenue_ttm", ["market_cap", "price", "revenue_per_share"], F.col("revenue_per_share") * shares),
-        ("price_to_book", ["price", "book_value_per_share"], safe_div("price", "book_value_per_share")),
-        ("pe_forward_derived", ["price", "eps_estimate_annual"], safe_div("price", "eps_estimate_annual")),
-    ])
+    return _add(df, reconstructed())
 
 
 def add_trend(df: DataFrame) -> DataFrame:
-    p, e20, e50, e200 = (F.col(c) for c in ("price", "ema_20", "ema_50", "ema_200"))
-    emas = ["price", "ema_20", "ema_50", "ema_200"]
-    span = F.col("high_52w") - F.col("low_52w")
-    return _add(df, [
-        *[(f"dist_{part}_pct", ["price", ref], pct_from("price", ref)) for ref, part in {**MEAN_LEVELS, **HIGH_LEVELS}.items()],
-        *[(f"above_{part}_pct", ["price", ref], pct_from("price", ref)) for ref, part in LOW_LEVELS.items()],
-        ("ema_stack_bullish", emas, flag((p > e20) & (e20 > e50) & (e50 > e200))),
-        ("ema_stack_bearish", emas, flag((p < e20) & (e20 < e50) & (e50 < e200))),
-        ("above_ema_200", ["price", "ema_200"], flag(p > e200)),
-        ("above_sma_200", ["price", "sma_200"], flag(p > F.col("sma_200"))),
-        ("pct_of_52w_range", ["price", "high_52w", "low_52w"], safe_div(p - F.col("low_52w"), span) * 100),
-    ])
+    return _add(df, trend())
 
 
 def add_momentum(df: DataFrame) -> DataFrame:
-    year, month, quarter = F.col("perf_1y_pct"), F.col("perf_1m_pct"), F.col("perf_3m_pct")
-    present = [c for c in WINDOWS if c in df.columns]
-    up = sum((flag(F.col(c) > 0).cast("int") for c in present), F.lit(0)).cast("bigint")
-    return _add(df, [
-        ("momentum_12_1_pct", ["perf_1y_pct", "perf_1m_pct"], (safe_div(1 + year / 100, 1 + month / 100) - 1) * 100),
-        ("momentum_per_beta", ["perf_1y_pct", "beta_1y"], safe_div(year, "beta_1y")),
-        ("momentum_accel", ["perf_3m_pct", "perf_1y_pct"], quarter - year / 4),
-        ("positive_windows", present[:1] or ["perf_1w_pct"], up),
-    ])
+    return _add(df, momentum(df.columns))
 
 
 def add_valuation(df: DataFrame) -> DataFrame:
-    return _add(df, [
-        ("pe_vs_own_5y_pct", ["pe_ratio", "historical_pe_5y"], pct_from("pe_ratio", "historical_pe_5y")),
-        ("pe_vs_industry_pct", ["pe_ratio", "industry_pe"], pct_from("pe_ratio", "industry_pe")),
-        ("upside_to_target_pct", ["target_price_1y", "price"], pct_from("target_price_1y", "price")),
-        ("earnings_yield_pct", ["pe_ratio"], safe_div(F.lit(100.0), "pe_ratio")),
-        ("pbv_vs_own_5y_pct", ["price_to_book", "historical_pbv_5y"], pct_from("price_to_book", "historical_pbv_5y")),
-    ])
+    return _add(df, valuation())
+
+
+def add_own_book_value(df: DataFrame) -> DataFrame:
+    return _add(df, own_book_value())
 
 
 def add_conflicts(df: DataFrame) -> DataFrame:
-    analyst, technical = F.col("analyst_rating"), F.col("technical_rating")
-    year, income = F.col("perf_1y_pct"), F.col("net_income_growth_ttm_yoy")
-    bull_bear = flag(analyst.isin(K.BULLISH) & technical.isin(K.BEARISH))
-    bear_bull = flag(analyst.isin(K.BEARISH) & technical.isin(K.BULLISH))
-    ratings, drift = ["analyst_rating", "technical_rating"], ["perf_1y_pct", "net_income_growth_ttm_yoy"]
-    return _add(df, [
-        ("analyst_bull_tech_bear", ratings, bull_bear),
-        ("analyst_bear_tech_bull", ratings, bear_bull),
-        ("rating_conflict", ratings, bull_bear | bear_bull),
-        ("price_up_earnings_down", drift, flag((year > 0) & (income < 0))),
-        ("price_down_earnings_up", drift, flag((year < 0) & (income > 0))),
-    ])
+    return _add(df, conflicts())
 
 
 def add_all(df: DataFrame) -> DataFrame:
-    for step in (add_reconstructed, add_trend, add_momentum, add_valuation, add_conflicts):
-        df = step(df)
-    return df
+    first = [*reconstructed(), *trend(), *momentum(df.columns), *valuation(), *conflicts()]
+    return add_own_book_value(_add(df, first))

@@ -47,96 +47,99 @@ def _day(text: str, days: int) -> Column:
     return F.lit(date.fromisoformat(text) - timedelta(days=days)).cast("timestamp_ntz")
 
 
-def _mean(value: str, cond: Column | None = None) -> Column:
-    x = F.col(value).cast("decimal(18,4)")
-    x = x if cond is None else F.when(cond, x)
-    return F.try_divide(F.sum(x).cast("double"), F.count(x))
+def _mean(condition: str = "true") -> str:
+    money = "CAST(o_totalprice AS DECIMAL(18,4))"
+    return (
+        f"try_divide(CAST(sum({money}) FILTER (WHERE {condition}) AS DOUBLE), "
+        f"count(*) FILTER (WHERE {condition}))"
+    )
+
+
+def _rating(code: str) -> str:
+    return f"CASE {code} WHEN 0 THEN 'Strong buy' WHEN 1 THEN 'Buy' WHEN 2 THEN 'Neutral' WHEN 3 THEN 'Sell' END"
 
 
 def entities_raw(spark: SparkSession, sf: str, lo: str = FULL[0], hi: str = FULL[1]) -> DataFrame:
     """One row per customer with orders in [lo, hi)."""
-    d, p = F.col("o_orderdate"), F.col("o_totalprice")
-    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    orders = table(spark, sf, "orders").where((d >= _day(lo, 0)) & (d < _day(hi, 0)))
-    year, half, quarter, two = (d >= _day(hi, n) for n in (365, 182, 91, 730))
-    at = F.struct("o_orderdate", "o_orderkey")
-    o = orders.groupBy("o_custkey").agg(
-        F.count("*").alias("n_orders"),
-        F.sum(p.cast("decimal(18,4)")).cast("double").alias("market_cap"),
-        F.max_by(p, at).alias("price"),
-        F.min_by(p, at).alias("first_price"),
-        F.max(p).alias("high_all_time"),
-        F.min(p).alias("low_all_time"),
-        F.max(F.when(year, p)).alias("high_52w"),
-        F.min(F.when(year, p)).alias("low_52w"),
-        F.max(F.when(half, p)).alias("high_6m"),
-        F.max(F.when(quarter, p)).alias("high_3m"),
-        F.max(F.when(quarter, p)).alias("donchian_20_upper"),
-        _mean("o_totalprice").alias("ema_200"),
-        _mean("o_totalprice", two).alias("ema_50"),
-        _mean("o_totalprice", year).alias("ema_20"),
-        _mean("o_totalprice", priority <= "2-HIGH").alias("sma_50"),
-        _mean("o_totalprice", status == "O").alias("sma_200"),
-        _mean("o_totalprice", status == "F").alias("r1w"),
-        _mean("o_totalprice", status == "P").alias("r1m"),
-        _mean("o_totalprice", priority == "3-MEDIUM").alias("r3m"),
-        _mean("o_totalprice", priority == "4-NOT SPECIFIED").alias("r6m"),
-        _mean("o_totalprice", priority == "5-LOW").alias("r1y"),
+    since = {
+        n: f"o_orderdate >= TIMESTAMP_NTZ '{date.fromisoformat(hi) - timedelta(days=n)}'" for n in (91, 182, 365, 730)
+    }
+    at = "struct(o_orderdate, o_orderkey)"
+    aggregates = {
+        "n_orders": "count(*)",
+        "market_cap": "CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE)",
+        "price": f"max_by(o_totalprice, {at})",
+        "first_price": f"min_by(o_totalprice, {at})",
+        "high_all_time": "max(o_totalprice)",
+        "low_all_time": "min(o_totalprice)",
+        "high_52w": f"max(o_totalprice) FILTER (WHERE {since[365]})",
+        "low_52w": f"min(o_totalprice) FILTER (WHERE {since[365]})",
+        "high_6m": f"max(o_totalprice) FILTER (WHERE {since[182]})",
+        "high_3m": f"max(o_totalprice) FILTER (WHERE {since[91]})",
+        "ema_200": _mean(),
+        "ema_50": _mean(since[730]),
+        "ema_20": _mean(since[365]),
+        "sma_50": _mean("o_orderpriority <= '2-HIGH'"),
+        "sma_200": _mean("o_orderstatus = 'O'"),
+        "r1w": _mean("o_orderstatus = 'F'"),
+        "r1m": _mean("o_orderstatus = 'P'"),
+        "r3m": _mean("o_orderpriority = '3-MEDIUM'"),
+        "r6m": _mean("o_orderpriority = '4-NOT SPECIFIED'"),
+        "r1y": _mean("o_orderpriority = '5-LOW'"),
         # At most one entry per priority, whatever the number of orders.
-        F.collect_set(F.when(two, priority)).alias("tag_set"),
-    )
-    k, bal, n = F.col("c_custkey"), F.col("c_acctbal"), F.col("n_orders")
-    price = F.col("price")
-    change = lambda r: (safe_div(price, r) - 1) * 100
+        "tag_set": f"collect_set(o_orderpriority) FILTER (WHERE {since[730]})",
+    }
+    d = F.col("o_orderdate")
+    orders = table(spark, sf, "orders").where((d >= _day(lo, 0)) & (d < _day(hi, 0)))
+    o = orders.groupBy("o_custkey").agg(*[F.expr(f"{sql} AS {name}") for name, sql in aggregates.items()])
     joined = (
         table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
-    return joined.select(
-        F.concat(F.lit("K"), F.lpad(k.cast("string"), 9, "0")).alias("isin"),
-        F.col("c_name").alias("symbol"),
-        F.concat_ws(" ", "n_name", "c_name").alias("name"),
-        F.col("c_mktsegment").alias("sector"),
-        F.col("n_name").alias("industry"),
-        F.nullif(F.array_join(F.array_sort("tag_set"), ","), F.lit("")).alias("index_tags"),
-        "market_cap", "price", "high_all_time", "low_all_time", "high_52w", "low_52w", "high_6m",
-        "high_3m", "donchian_20_upper", "ema_20", "ema_50", "ema_200", "sma_50", "sma_200",
-        change(F.col("first_price")).alias("chg_1d_pct"),
-        *[change(F.col(r)).alias(f"perf_{r[1:]}_pct") for r in ("r1w", "r1m", "r3m", "r6m", "r1y")],
-        F.try_divide(price, F.nullif(bal, F.lit(0.0))).alias("pe_ratio"),
-        F.try_divide(price, F.nullif(bal, F.lit(0.0)) * n).alias("peg_ratio"),
-        (bal / 100).alias("roe"),
-        (bal / 50 - 20).alias("roce"),
-        (bal / 75).alias("roic"),
-        (n / F.lit(8.0)).alias("debt_to_equity"),
-        F.when(n % 3 != 0, n * 0.5).alias("dividend_yield"),
-        (k % 100).cast("double").alias("rsi_14"),
-        (k % 75).cast("double").alias("promoter_holding"),
-        (k % 40).cast("double").alias("fii_holding"),
-        (k % 30).cast("double").alias("dii_holding"),
-        ((k * 7) % 41 - 20).cast("double").alias("chg_fii_holding_3y"),
-        ((k * 5) % 31 - 15).cast("double").alias("chg_dii_holding_3y"),
-        F.when(k % 6 != 0, (k * 3) % 21 - 10).cast("double").alias("chg_promoter_holding_3y"),
-        F.when(n % 4 != 0, n * 10).alias("employees"),
-        (bal / 50).alias("revenue_growth_ttm_yoy"),
-        (bal / 100 - 30).alias("net_income_growth_ttm_yoy"),
-        F.when(k % 9 != 0, bal).alias("revenue_per_share"),
-        (bal + 5000).alias("book_value_per_share"),
-        F.when(k % 4 != 0, bal / 10).alias("eps_estimate_annual"),
-        (F.col("ema_200") / F.lit(4000.0)).alias("historical_pe_5y"),
-        F.when(k % 5 != 0, F.col("ema_50") / F.lit(5000.0)).alias("historical_pbv_5y"),
-        F.lit(60.0).alias("industry_pe"),
-        F.col("sma_200").alias("target_price_1y"),
-        F.when(k % 7 != 0, (k % 20) / F.lit(10.0)).alias("beta_1y"),
-        _rating(k % 5).alias("analyst_rating"),
-        _rating(F.floor(k / 5) % 5).alias("technical_rating"),
-    )
-
-
-def _rating(code: Column) -> Column:
-    return (
-        F.when(code == 0, "Strong buy").when(code == 1, "Buy").when(code == 2, "Neutral").when(code == 3, "Sell")
-    )
+    k = "c_custkey"
+    columns = {
+        "isin": f"concat('K', lpad(CAST({k} AS STRING), 9, '0'))",
+        "symbol": "c_name",
+        "name": "concat_ws(' ', n_name, c_name)",
+        "sector": "c_mktsegment",
+        "industry": "n_name",
+        "index_tags": "nullif(array_join(array_sort(tag_set), ','), '')",
+        **{c: c for c in (
+            "market_cap", "price", "high_all_time", "low_all_time", "high_52w", "low_52w", "high_6m", "high_3m",
+            "ema_20", "ema_50", "ema_200", "sma_50", "sma_200",
+        )},
+        "donchian_20_upper": "high_3m",
+        "chg_1d_pct": "(try_divide(price, first_price) - 1) * 100",
+        **{f"perf_{w}_pct": f"(try_divide(price, r{w}) - 1) * 100" for w in ("1w", "1m", "3m", "6m", "1y")},
+        "pe_ratio": "try_divide(price, c_acctbal)",
+        "peg_ratio": "try_divide(price, c_acctbal * n_orders)",
+        "roe": "c_acctbal / 100",
+        "roce": "c_acctbal / 50 - 20",
+        "roic": "c_acctbal / 75",
+        "debt_to_equity": "n_orders / 8D",
+        "dividend_yield": "CASE WHEN n_orders % 3 <> 0 THEN n_orders * 0.5D END",
+        "rsi_14": f"CAST({k} % 100 AS DOUBLE)",
+        "promoter_holding": f"CAST({k} % 75 AS DOUBLE)",
+        "fii_holding": f"CAST({k} % 40 AS DOUBLE)",
+        "dii_holding": f"CAST({k} % 30 AS DOUBLE)",
+        "chg_fii_holding_3y": f"CAST(({k} * 7) % 41 - 20 AS DOUBLE)",
+        "chg_dii_holding_3y": f"CAST(({k} * 5) % 31 - 15 AS DOUBLE)",
+        "chg_promoter_holding_3y": f"CASE WHEN {k} % 6 <> 0 THEN CAST(({k} * 3) % 21 - 10 AS DOUBLE) END",
+        "employees": "CASE WHEN n_orders % 4 <> 0 THEN n_orders * 10 END",
+        "revenue_growth_ttm_yoy": "c_acctbal / 50",
+        "net_income_growth_ttm_yoy": "c_acctbal / 100 - 30",
+        "revenue_per_share": f"CASE WHEN {k} % 9 <> 0 THEN c_acctbal END",
+        "book_value_per_share": "c_acctbal + 5000",
+        "eps_estimate_annual": f"CASE WHEN {k} % 4 <> 0 THEN c_acctbal / 10 END",
+        "historical_pe_5y": "ema_200 / 4000D",
+        "historical_pbv_5y": f"CASE WHEN {k} % 5 <> 0 THEN ema_50 / 5000D END",
+        "industry_pe": "60D",
+        "target_price_1y": "sma_200",
+        "beta_1y": f"CASE WHEN {k} % 7 <> 0 THEN ({k} % 20) / 10D END",
+        "analyst_rating": _rating(f"{k} % 5"),
+        "technical_rating": _rating(f"({k} DIV 5) % 5"),
+    }
+    return joined.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def entities(spark: SparkSession, sf: str, lo: str = FULL[0], hi: str = FULL[1]) -> DataFrame:

@@ -61,10 +61,8 @@ def feed_coverage(universe: DataFrame, feed: DataFrame, key: str = "isin") -> Da
     hit = universe.join(known.withColumn("__hit", F.lit(1)), key, "left").agg(
         F.count("*").alias("size"), F.count("__hit").alias("matched")
     )
-    # Two single-row frames.
-    return hit.crossJoin(known.agg(F.count("*").alias("feed_companies"))).withColumn(
-        "unmatched", F.col("size") - F.col("matched")
-    )
+    feed_size = known.agg(F.count("*")).scalar()
+    return hit.withColumns({"feed_companies": feed_size, "unmatched": F.col("size") - F.col("matched")})
 
 
 def verdict_state(df: DataFrame, verdicts: DataFrame, key: str = "isin", out: str = "profit_state") -> DataFrame:

@@ -134,13 +134,14 @@ def aggregate(
     if buckets is None and fits_in_one_task(df):
         exact = [F.percentile(number(v), F.lit(p)).alias(o) for o, (v, p) in quantiles.items()]
         return df.groupBy(*by).agg(*[c.alias(o) for o, c in plain.items()], *exact)
-    found = _bucketed(df, by, quantiles, buckets or BUCKETS)
-    if not plain and not by:
-        return found
     base = df.groupBy(*by).agg(*[c.alias(o) for o, c in (plain or {"__n": F.count("*")}).items()])
-    # One row per group on both sides; without groups one row each.
-    joined = _join_same(base, found, by, "left") if by else base.crossJoin(found)
-    return joined.select(*by, *plain, *quantiles)
+    keys = by
+    if not by:
+        # All rows are one group; the plain part keeps its row when there are none.
+        keys = ["__all"]
+        df, base = df.withColumn("__all", F.lit(0)), base.withColumn("__all", F.lit(0))
+    found = _bucketed(df, keys, quantiles, buckets or BUCKETS)
+    return _join_same(base, found, keys, "left").select(*by, *plain, *quantiles)
 
 
 def median(value: Column | str) -> tuple[Column, float]:
@@ -180,6 +181,18 @@ def percentile_ranks(
     ])
     long = wide.select(key, F.inline(cells)).where("v IS NOT NULL AND g IS NOT NULL")
     group = ["m", "g"]
+    outs = [
+        F.max(F.when(F.col("m") == i * len(labels) + j, F.col("pct"))).alias(
+            f"pct_rank_{metric}" + (f"_in_{label}" if label else "")
+        )
+        for i, metric in enumerate(metrics)
+        for j, label in enumerate(labels)
+    ]
+    if buckets <= 1:
+        whole = W.partitionBy(*group)
+        peers = F.count("*").over(W.partitionBy(*group, "v"))
+        rank = F.rank().over(whole.orderBy("v")) + (peers - 1) / 2
+        return long.withColumn("pct", rank / F.count("*").over(whole) * 100).groupBy(key).agg(*outs)
     counts = long.groupBy(*group, "b", "v").agg(F.count("*").alias("c"))
     bases = _bucket_bases(counts, group)
     upto = F.sum("c").over(W.partitionBy(*group, "b").orderBy("v"))
@@ -192,11 +205,6 @@ def percentile_ranks(
     )
     # Many rows can share one value; adaptive skew-join splitting spreads such a value.
     placed = long.join(ranked, [*group, "b", "v"])
-    outs = []
-    for i, metric in enumerate(metrics):
-        for j, label in enumerate(labels):
-            name = f"pct_rank_{metric}" + (f"_in_{label}" if label else "")
-            outs.append(F.max(F.when(F.col("m") == i * len(labels) + j, F.col("pct"))).alias(name))
     return placed.groupBy(key).agg(*outs)
 
 

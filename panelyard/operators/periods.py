@@ -108,106 +108,115 @@ def rolling_year_peak(p: Column) -> Column:
     return F.array_max(F.transform(starts, lambda i: _sum_of_four(p, i)))
 
 
-def summarise_quarterly(df: DataFrame, p: str = "p", key: str = "isin") -> DataFrame:
-    """Quarterly trajectory of each key from its series array."""
-    s = F.col(p)
-    q1 = _at(s, 0)
-    first = df.select(
-        key,
-        s.alias("__p"),
-        _count(s, lambda v: v.isNotNull()).alias("qtrs_available"),
-        q1.alias("pat_latest_q"),
-        signed_change(q1, _at(s, 4)).alias("pat_yoy_q_pct"),
-        signed_change(q1, _at(s, 1)).alias("pat_qoq_pct"),
-        _sum_of_four(s, 0).alias("pat_ttm"),
-        _sum_of_four(s, 4).alias("pat_ttm_prev"),
-        _count(s, lambda v: v > 0).alias("profitable_qtrs"),
-        _count(s, lambda v: v < 0).alias("loss_qtrs"),
-        _volatility(s).alias("pat_qtr_volatility"),
-        profit_streak(s).alias("profit_streak_qtrs"),
-        F.array_max(s).alias("pat_peak_q"),
-        rolling_year_peak(s).alias("pat_ttm_peak_rolling"),
-    )
+def quarterly_columns(p: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Quarterly trajectory of a series array: figures read from the array, and figures
+    derived from those."""
+    first = {
+        "qtrs_available": _count(p, lambda v: v.isNotNull()),
+        "pat_latest_q": _at(p, 0),
+        "pat_yoy_q_pct": signed_change(_at(p, 0), _at(p, 4)),
+        "pat_qoq_pct": signed_change(_at(p, 0), _at(p, 1)),
+        "pat_ttm": _sum_of_four(p, 0),
+        "pat_ttm_prev": _sum_of_four(p, 4),
+        "profitable_qtrs": _count(p, lambda v: v > 0),
+        "loss_qtrs": _count(p, lambda v: v < 0),
+        "pat_qtr_volatility": _volatility(p),
+        "profit_streak_qtrs": profit_streak(p),
+        "pat_peak_q": F.array_max(p),
+        "pat_ttm_peak_rolling": rolling_year_peak(p),
+    }
     q, ttm, top = F.col("pat_latest_q"), F.col("pat_ttm"), F.col("pat_ttm_peak_rolling")
-    return first.withColumns(
-        {
-            "pat_ttm_growth_pct": signed_change(ttm, "pat_ttm_prev"),
-            "profitable_qtr_pct": safe_div("profitable_qtrs", "qtrs_available") * 100,
-            "pat_q_vs_peak_pct": signed_change(q, "pat_peak_q"),
-            "pat_q_at_ath": is_record(q, F.col("pat_peak_q")),
-            "pat_ttm_vs_peak_rolling_pct": signed_change(ttm, top),
-            "pat_ttm_at_ath_rolling": is_record(ttm, top),
-        }
-    ).drop("__p")
+    known = F.col("qtrs_available").isNotNull()
+    then = {
+        "pat_ttm_growth_pct": signed_change(ttm, "pat_ttm_prev"),
+        "profitable_qtr_pct": safe_div("profitable_qtrs", "qtrs_available") * 100,
+        "pat_q_vs_peak_pct": signed_change(q, "pat_peak_q"),
+        "pat_q_at_ath": F.when(known, is_record(q, F.col("pat_peak_q"))),
+        "pat_ttm_vs_peak_rolling_pct": signed_change(ttm, top),
+        "pat_ttm_at_ath_rolling": F.when(known, is_record(ttm, top)),
+    }
+    return first, then
+
+
+def yearly_columns(p: Column, ttm: Column | str | None) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Annual trajectory of a series array. A growth horizon of n years compares the
+    latest with the n-th year back, which is n - 1 years of compounding."""
+    fy1 = _at(p, 0)
+    first = {
+        "fy_available": _count(p, lambda v: v.isNotNull()),
+        "pat_ttm_reported": F.lit(None).cast("double") if ttm is None else zero_as_null(ttm),
+        "pat_fy1": fy1,
+        **{f"pat_cagr_{n}y_pct": cagr(fy1, _at(p, n - 1), n - 1) for n in K.CAGR_HORIZONS},
+        "profitable_fy": _count(p, lambda v: v > 0),
+        "loss_fy": _count(p, lambda v: v < 0),
+        "pat_peak_fy": F.array_max(p),
+        "profit_streak_fy": profit_streak(p),
+        "pat_growth_streak_fy": growth_streak(p),
+    }
+    peak, known = F.col("pat_peak_fy"), F.col("fy_available").isNotNull()
+    then = {
+        "profitable_fy_pct": safe_div("profitable_fy", "fy_available") * 100,
+        "pat_vs_peak_pct": signed_change("pat_fy1", peak),
+        "pat_fy_at_ath": F.when(known, is_record(F.col("pat_fy1"), peak)),
+    }
+    return first, then
+
+
+def _project(df: DataFrame, keys: list[str], parts: list[tuple[dict[str, Column], dict[str, Column]]]) -> DataFrame:
+    first = {n: c for one, _ in parts for n, c in one.items()}
+    then = {n: c for _, two in parts for n, c in two.items()}
+    return df.select(*keys, *[c.alias(n) for n, c in first.items()]).withColumns(then)
+
+
+def summarise_quarterly(df: DataFrame, p: str = "p", key: str = "isin") -> DataFrame:
+    return _project(df, [key], [quarterly_columns(F.col(p))])
 
 
 def summarise_yearly(
     df: DataFrame, p: str = "p", key: str = "isin", ttm: Column | str | None = None,
 ) -> DataFrame:
-    """Annual trajectory of each key. A growth horizon of n years compares the latest
-    with the n-th year back, which is n - 1 years of compounding."""
-    s = F.col(p)
-    fy1 = _at(s, 0)
-    reported = F.lit(None).cast("double") if ttm is None else zero_as_null(ttm)
-    first = df.select(
-        key,
-        _count(s, lambda v: v.isNotNull()).alias("fy_available"),
-        reported.alias("pat_ttm_reported"),
-        fy1.alias("pat_fy1"),
-        *[cagr(fy1, _at(s, n - 1), n - 1).alias(f"pat_cagr_{n}y_pct") for n in K.CAGR_HORIZONS],
-        _count(s, lambda v: v > 0).alias("profitable_fy"),
-        _count(s, lambda v: v < 0).alias("loss_fy"),
-        F.array_max(s).alias("pat_peak_fy"),
-        profit_streak(s).alias("profit_streak_fy"),
-        growth_streak(s).alias("pat_growth_streak_fy"),
-    )
-    peak = F.col("pat_peak_fy")
-    return first.withColumns(
-        {
-            "profitable_fy_pct": safe_div("profitable_fy", "fy_available") * 100,
-            "pat_vs_peak_pct": signed_change("pat_fy1", peak),
-            "pat_fy_at_ath": is_record(F.col("pat_fy1"), peak),
-        }
-    )
+    return _project(df, [key], [yearly_columns(F.col(p), ttm)])
 
 
-def record_verdict(quarterly: DataFrame, yearly: DataFrame, p: str = "p", key: str = "isin") -> DataFrame:
+def verdict_columns() -> dict[str, Column]:
     """Trailing year against every reported year, and latest quarter against every
-    quarter; both must hold. A key in one feed only still gets a row, with False.
-    Both inputs hold one row per key."""
+    quarter; both must hold. Total: a missing half is a plain False."""
+    ttm, peak = F.col("pat_ttm"), F.col("pat_peak_fy")
+    ttm_record = is_record(ttm, peak)
+    return {
+        "pat_ttm_vs_fy_peak_pct": signed_change(ttm, peak),
+        "pat_ttm_at_ath": ttm_record,
+        "pat_both_at_ath": ttm_record & is_record(F.col("pat_latest_q"), F.col("pat_peak_q")),
+    }
+
+
+def summarise(
+    quarterly: DataFrame, yearly: DataFrame, p: str = "p", key: str = "isin", ttm: str | None = None,
+) -> DataFrame:
+    """Quarterly and annual summaries and the record verdict, one row per key of either
+    feed. The two feeds are aligned once; everything else is one projection. A key in
+    one feed only has nulls for the other and a negative verdict."""
     q = quarterly.select(key, F.col(p).alias("__q"))
-    y = yearly.select(key, F.col(p).alias("__y"))
-    both = q.join(y, key, "full_outer").select(
-        key,
-        _sum_of_four(F.col("__q"), 0).alias("__ttm"),
-        _at(F.col("__q"), 0).alias("__q1"),
-        F.array_max("__q").alias("__qpeak"),
-        F.array_max("__y").alias("__fypeak"),
-    )
-    ttm_record = is_record(F.col("__ttm"), F.col("__fypeak"))
-    q_record = is_record(F.col("__q1"), F.col("__qpeak"))
-    return both.select(
-        key,
-        signed_change("__ttm", "__fypeak").alias("pat_ttm_vs_fy_peak_pct"),
-        ttm_record.alias("pat_ttm_at_ath"),
-        (ttm_record & q_record).alias("pat_both_at_ath"),
-    )
+    y = yearly.select(key, F.col(p).alias("__y"), *([ttm] if ttm else []))
+    parts = [quarterly_columns(F.col("__q")), yearly_columns(F.col("__y"), ttm)]
+    both = q.join(y, key, "full_outer")
+    return _project(both, [key], parts).withColumns(verdict_columns())
+
+
+VERDICT = ["pat_ttm_vs_fy_peak_pct", "pat_ttm_at_ath", "pat_both_at_ath"]
+
+
+def record_verdict(quarterly: DataFrame, yearly: DataFrame, p: str = "p", key: str = "isin") -> DataFrame:
+    """The verdict alone; unused figures are pruned from the projection."""
+    return summarise(quarterly, yearly, p, key).select(key, *VERDICT)
 
 
 def stored_verdicts(
     quarterly: DataFrame, yearly: DataFrame, fetched_at: Column, p: str = "p", key: str = "isin",
 ) -> DataFrame:
-    """The verdict rows kept for a scan, with the figures that explain them. A key with
-    no quarterly row keeps a null quarter flag."""
-    context = summarise_quarterly(quarterly, p, key).select(
-        key, "pat_q_at_ath", "qtrs_available", "pat_ttm", "pat_latest_q", "pat_peak_q"
-    )
-    peaks = yearly.select(key, F.array_max(p).alias("pat_fy_peak"))
-    return (
-        record_verdict(quarterly, yearly, p, key)
-        .join(context, key, "left")
-        .join(peaks, key, "left")
-        .select(*[key if c == "isin" else c for c in K.VERDICT_COLUMNS], fetched_at.alias("fetched_at"))
+    """The verdict rows kept for a scan, with the figures that explain them."""
+    return summarise(quarterly, yearly, p, key).withColumn("pat_fy_peak", F.col("pat_peak_fy")).select(
+        *[key if c == "isin" else c for c in K.VERDICT_COLUMNS], fetched_at.alias("fetched_at")
     )
 
 

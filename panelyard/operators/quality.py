@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard import constants as K
-from panelyard.functions.exprs import count_where, safe_div
+from panelyard.functions.exprs import count_where, safe_div, share
 from panelyard.operators import catalog as C
 from panelyard.operators import order_stats
 from panelyard.operators.matching import disagreeing_pairs
@@ -34,15 +34,16 @@ def segment_coverage(report: DataFrame) -> DataFrame:
 
 def masking_impact(df: DataFrame, catalog: DataFrame, sector_value: str = K.MASKED_SECTOR) -> DataFrame:
     """Rows of the masked sector, their share, and the masked metrics."""
-    rows = df.agg(
-        count_where(F.col("sector") == sector_value).alias("finance_companies"), F.count("*").alias("__n")
+    hidden = catalog.where(~F.col("finance_valid"))
+    return df.agg(
+        count_where(F.col("sector") == sector_value).alias("finance_companies"),
+        share(F.col("sector") == sector_value).alias("finance_pct_of_universe"),
+    ).withColumns(
+        {
+            "masked_metrics": hidden.agg(F.count("*")).scalar(),
+            "masked_list": hidden.agg(F.array_sort(F.collect_list("name"))).scalar(),
+        }
     )
-    hidden = catalog.where(~F.col("finance_valid")).agg(
-        F.count("*").alias("masked_metrics"), F.array_sort(F.collect_list("name")).alias("masked_list")
-    )
-    return rows.crossJoin(hidden).withColumn(  # one row each
-        "finance_pct_of_universe", F.try_divide(F.col("finance_companies") * 100.0, F.col("__n"))
-    ).drop("__n")
 
 
 def reconstruction_check(

@@ -117,12 +117,12 @@ def analyse(
     """Result row of every hit. Only the hits' own bars reach the relative strength."""
     own = year_bars.join(hits.select("symbol"), "symbol", "left_semi")
     rs = prices.relative_strength(own, benchmark, sessions)
-    fetched = verdicts.agg(F.max("fetched_at").alias("fetched_at"))
+    fetched_at = verdicts.agg(F.max("fetched_at")).scalar()
     joined = (
         verdict_state(hits, verdicts)
         .join(rs, "symbol", "left")
         .join(result_dates.select("symbol", "result_date"), "symbol", "left")
-        .crossJoin(fetched)  # one row
+        .withColumn("fetched_at", fetched_at)
     )
     return joined.select(
         "symbol",

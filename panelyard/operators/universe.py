@@ -89,15 +89,16 @@ def merge(stored: DataFrame, upload: DataFrame) -> DataFrame:
 
 def upload_report(merged: DataFrame, upload: DataFrame) -> DataFrame:
     """One row: inserted, updated, stored but absent from the upload, resolved, total."""
-    counts = merged.agg(
+    return merged.agg(
         count_where(F.col("change") == "inserted").alias("inserted"),
         count_where(F.col("change") == "updated").alias("updated"),
         count_where(F.col("change") == "kept").alias("missing"),
+    ).withColumns(
+        {
+            "resolved": upload.agg(count_where(F.col("resolution") == "auto")).scalar(),
+            "total": upload.agg(F.count("*")).scalar(),
+        }
     )
-    given = upload.agg(
-        count_where(F.col("resolution") == "auto").alias("resolved"), F.count("*").alias("total")
-    )
-    return counts.crossJoin(given)  # one row each
 
 
 def absent_from_upload(stored: DataFrame, upload: DataFrame) -> DataFrame:

@@ -36,16 +36,12 @@ def tag_vocabulary(df: DataFrame, column: str = "index_tags") -> list[str]:
     return sorted(found)
 
 
-def profit_frames(profit_q: DataFrame, profit_y: DataFrame) -> list[DataFrame]:
-    """Quarterly summary, annual summary and record verdicts, one row per key each."""
-    q = periods.with_series(profit_q, "Q")
-    y = periods.with_series(profit_y, "FY")
-    ttm = "TTM" if "TTM" in profit_y.columns else None
-    return [
-        periods.summarise_quarterly(q),
-        periods.summarise_yearly(y, ttm=ttm),
-        periods.record_verdict(q, y),
-    ]
+def profit_summary(profit_q: DataFrame, profit_y: DataFrame) -> DataFrame:
+    """Quarterly and annual summaries and record verdicts, one row per key."""
+    return periods.summarise(
+        periods.with_series(profit_q, "Q"), periods.with_series(profit_y, "FY"),
+        ttm="TTM" if "TTM" in profit_y.columns else None,
+    )
 
 
 def build(
@@ -60,9 +56,10 @@ def build(
         names = tag_vocabulary(df) if tag_columns else []
         df = tags.add_tag_columns(df, tag_names=names).drop("tags")
     second = clean.normalise_names(clean.drop_listed(secondary), K.SECONDARY_HEADERS)
-    df = matching.assemble(df, [second, *profit_frames(profit_q, profit_y)])
+    df = matching.assemble(df, [second, profit_summary(profit_q, profit_y)])
     df = df.withColumn("pat_both_at_ath", F.coalesce("pat_both_at_ath", F.lit(False)))
-    df = derive.add_all(df)
+    # The frame feeds the ranks, the checks and the write: materialise it once.
+    df = cut_lineage(derive.add_all(df))
     metrics = [m for m in (rank_metrics or K.RANKED_METRICS) if m in df.columns]
     checks = []
     for reported, rebuilt in K.REBUILT_AS.items():

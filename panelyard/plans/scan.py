@@ -46,10 +46,12 @@ def run(
 
 
 def summary(scan: Scan) -> DataFrame:
-    seeded = scan.events.agg(F.count_if(F.col("source") == "seed").alias("seeded"))
-    hits = scan.results.agg(F.count("*").alias("hits"))
-    failed = scan.failed.agg(F.count("*").alias("failed"))
-    return hits.crossJoin(failed).crossJoin(seeded)  # one row each
+    return scan.results.agg(F.count("*").alias("hits")).withColumns(
+        {
+            "failed": scan.failed.agg(F.count("*")).scalar(),
+            "seeded": scan.events.agg(F.count_if(F.col("source") == "seed")).scalar(),
+        }
+    )
 
 
 def save(scan: Scan, store: str, scanned_at: Column) -> None:

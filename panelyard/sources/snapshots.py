@@ -72,11 +72,12 @@ def as_of(history: DataFrame, date: str) -> DataFrame:
     return found
 
 
-def latest(history: DataFrame) -> DataFrame:
-    """The newest snapshot. The date is read first, so that the scan is pruned to one
-    partition instead of joined with a maximum."""
-    newest = history.agg(F.max(DATE)).first()[0]
-    return history.where(F.col(DATE) == F.lit(newest))
+def latest(history: DataFrame, newest: str | None = None) -> DataFrame:
+    """The newest snapshot. The date is known before the plan is made (from the folder
+    names by ``list_snapshots``, or else by a first small job), so that the scan is
+    pruned to one partition instead of joined with a maximum."""
+    found = newest or history.agg(F.max(DATE)).first()[0]
+    return history.where(F.col(DATE) == F.lit(found).cast("date"))
 
 
 def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
@@ -196,10 +197,10 @@ def duplicate_of(provenance: DataFrame, hashes: DataFrame) -> DataFrame:
         provenance.select(DATE, "source", "content_hash", "content_rows"),
         ["source", "content_hash", "content_rows"],
     )
-    needed = fresh.agg(F.count("*").alias("needed"))  # one row
+    needed = fresh.agg(F.count("*")).scalar()
     return (
-        same.groupBy(DATE).agg(F.countDistinct("source").alias("hits")).crossJoin(needed)
-        .where(F.col("hits") == F.col("needed")).select(DATE).orderBy(F.col(DATE).desc())
+        same.groupBy(DATE).agg(F.countDistinct("source").alias("hits"))
+        .where(F.col("hits") == needed).select(DATE).orderBy(F.col(DATE).desc())
     )
 
 

@@ -247,11 +247,8 @@ def suppliers(spark: SparkSession, sf: str) -> DataFrame:
             supplier_tags(k).alias("index_tags"),
         )
     )
-    q, y = quarterly_series(spark, sf), annual_series(spark, sf)
-    wide = matching.assemble(base, [
-        b.withColumnRenamed("symbol", "isin"), periods.summarise_quarterly(q),
-        periods.summarise_yearly(y, ttm="TTM"), periods.record_verdict(q, y),
-    ])
+    profit = periods.summarise(quarterly_series(spark, sf), annual_series(spark, sf), ttm="TTM")
+    wide = matching.assemble(base, [b.withColumnRenamed("symbol", "isin"), profit])
     wide = wide.withColumns({
         "pat_both_at_ath": F.coalesce("pat_both_at_ath", F.lit(False)),
         "perf_1y_pct": (safe_div("price", "year_ago") - 1) * 100,
@@ -308,22 +305,34 @@ def scan_list(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def before_scan(all_bars: DataFrame) -> DataFrame:
+    return all_bars.where(F.col("date") < F.lit(SCAN_START).cast("date"))
+
+
+def in_scan(all_bars: DataFrame) -> DataFrame:
+    d = F.col("date")
+    return all_bars.where((d >= F.lit(SCAN_START).cast("date")) & (d < F.lit(SCAN_END).cast("date")))
+
+
 def history_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return bars(spark, sf).where(F.col("date") < F.lit(SCAN_START).cast("date"))
+    return before_scan(bars(spark, sf))
 
 
 def window_bars(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("date")
-    return bars(spark, sf).where((d >= F.lit(SCAN_START).cast("date")) & (d < F.lit(SCAN_END).cast("date")))
+    return in_scan(bars(spark, sf))
 
 
 def triggers(spark: SparkSession, sf: str) -> DataFrame:
+    return triggers_from(history_bars(spark, sf))
+
+
+def triggers_from(past: DataFrame) -> DataFrame:
     """Stored state seeded from the bars before the scan window, at a fraction of the
     lifetime high so that some are reached; every ninth symbol has no trigger yet, every
     fifth was never checked for splits."""
-    highs = prices.lifetime_highs(history_bars(spark, sf))
     k = F.substring("symbol", 2, 9).cast("int")
-    return highs.where(k % 9 != 0).withColumn("ath_price", F.col("ath_price") * (k % 7 + 1) / 50).select(
+    highs = prices.lifetime_highs(past).where(k % 9 != 0).withColumn("ath_price", F.col("ath_price") * (k % 7 + 1) / 50)
+    return highs.select(
         "symbol", "ath_price", "ath_date", (F.col("ath_price") * F.when(k % 4 == 0, 1.1)).alias("today_ath"),
         F.when(k % 5 != 0, F.col("last_bar")).alias("last_split_check"),
         F.lit("2001-05-01 00:00:00").cast("timestamp").alias("last_updated"),

@@ -97,6 +97,7 @@ def segment_summary(catalog: DataFrame) -> DataFrame:
             "min_coverage": F.min("coverage_pct"),
         },
         {"median_coverage": median("coverage_pct")},
+        bounded=True,
     )
 
 

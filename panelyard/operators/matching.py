@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard import constants as K
-from panelyard.functions.exprs import count_where
+from panelyard.functions.exprs import count_where, safe_div
+from panelyard.operators import order_stats
 
 
 def keep_first(df: DataFrame, key: str, order: Column | str) -> DataFrame:
@@ -37,17 +36,17 @@ def assemble(base: DataFrame, others: Sequence[DataFrame], key: str = "isin", ch
 
 
 def source_coverage(base: DataFrame, sources: dict[str, DataFrame], key: str = "isin") -> DataFrame:
-    """Per secondary source: base rows matched, of how many, in percent."""
-    parts = []
-    for name, source in sources.items():
-        known = source.select(key).distinct().withColumn("__hit", F.lit(1))
-        parts.append(
-            base.join(known, key, "left").agg(
-                F.lit(name).alias("source"), F.count("__hit").alias("matched"), F.count("*").alias("of"),
-            )
-        )
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumn("pct", F.try_divide(F.col("matched") * 100.0, F.col("of")))
+    """Per secondary source: base rows matched, of how many, in percent. The base is
+    read once."""
+    marked = base.select(key)
+    for i, source in enumerate(sources.values()):
+        marked = marked.join(source.select(key).distinct().withColumn(f"__hit{i}", F.lit(1)), key, "left")
+    counts = marked.agg(F.count("*").alias("of"), *[F.count(f"__hit{i}").alias(f"__n{i}") for i in range(len(sources))])
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("source"), F.col(f"__n{i}").alias("matched"), F.col("of"))
+        for i, name in enumerate(sources)
+    ])
+    return counts.select(F.inline(rows)).withColumn("pct", F.try_divide(F.col("matched") * 100.0, F.col("of")))
 
 
 def unmatched(base: DataFrame, source: DataFrame, shown: Sequence[str], key: str = "isin") -> DataFrame:
@@ -113,24 +112,22 @@ def latest_supplied(provenance: DataFrame, as_of: str, sources: Sequence[str] |
 def disagreeing_pairs(
     df: DataFrame, pairs: Sequence[tuple[str, str, str]] | None = None, min_overlap: int = K.CONFLICT_MIN_OVERLAP,
 ) -> DataFrame:
-    """Two columns for one concept: overlap, correlation, median absolute gap."""
-    from panelyard.functions.exprs import safe_div
-    from panelyard.operators import order_stats
-
-    parts = []
-    for a, b, label in pairs or K.CONFLICT_PAIRS:
-        if a not in df.columns or b not in df.columns:
-            continue
-        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        gap = F.abs((safe_div(a, b) - 1) * 100)
-        one = order_stats.aggregate(
-            both, [], {"n_overlap": F.count("*"), "correlation": F.corr(a, b)},
-            {"median_abs_diff_pct": order_stats.median(gap)},
-        )
-        parts.append(one.where(F.col("n_overlap") >= min_overlap).select(
+    """Two columns for one concept: overlap, correlation, median absolute gap. All pairs
+    come from one pass."""
+    present = [(a, b, c) for a, b, c in pairs or K.CONFLICT_PAIRS if a in df.columns and b in df.columns]
+    plain, medians = {}, {}
+    for i, (a, b, _) in enumerate(present):
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        plain[f"n{i}"] = count_where(both)
+        plain[f"r{i}"] = F.corr(F.when(both, F.col(a)), F.when(both, F.col(b)))
+        medians[f"m{i}"] = order_stats.median(F.abs((safe_div(a, b) - 1) * 100))
+    rows = F.array(*[
+        F.struct(
             F.lit(label).alias("concept"), F.lit(a).alias("primary_col"), F.lit(b).alias("secondary_col"),
-            "n_overlap", "correlation", "median_abs_diff_pct",
-            F.when(F.col("median_abs_diff_pct") > K.CONFLICT_BOTH_ABOVE_PCT, "both retained")
-            .otherwise("primary").alias("resolution"),
-        ))
-    return reduce(DataFrame.unionByName, parts)
+            F.col(f"n{i}").alias("n_overlap"), F.col(f"r{i}").alias("correlation"),
+            F.col(f"m{i}").alias("median_abs_diff_pct"),
+            F.when(F.col(f"m{i}") > K.CONFLICT_BOTH_ABOVE_PCT, "both retained").otherwise("primary").alias("resolution"),
+        )
+        for i, (a, b, label) in enumerate(present)
+    ])
+    return order_stats.aggregate(df, [], plain, medians).select(F.inline(rows)).where(F.col("n_overlap") >= min_overlap)

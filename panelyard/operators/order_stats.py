@@ -126,12 +126,14 @@ def aggregate(
     plain: dict[str, Column],
     quantiles: Quantiles,
     buckets: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """``plain`` aggregates plus exact interpolated ``quantiles`` per group.
 
     ``buckets`` forces the bucketed form; by default the size of the source decides.
+    ``bounded`` says that the rows are few by nature, as one row per column of a schema.
     """
-    if buckets is None and fits_in_one_task(df):
+    if bounded or (buckets is None and fits_in_one_task(df)):
         exact = [F.percentile(number(v), F.lit(p)).alias(o) for o, (v, p) in quantiles.items()]
         return df.groupBy(*by).agg(*[c.alias(o) for o, c in plain.items()], *exact)
     base = df.groupBy(*by).agg(*[c.alias(o) for o, c in (plain or {"__n": F.count("*")}).items()])

@@ -14,180 +14,178 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard import constants as K
-from panelyard.functions.exprs import cagr, flag, number, safe_div, signed_change, zero_as_null
+from panelyard.functions.exprs import count_where
+from panelyard.functions.text import change, finite, growth, nonzero, ratio, total
+from panelyard.operators import order_stats
 
 PREFIX = {"Q": "QL", "FY": "FYL"}
 LENGTH = {"Q": K.QUARTERS, "FY": K.YEARS}
 
 
+def period_names(freq: str, periods: int | None = None) -> list[str]:
+    return [f"{PREFIX[freq]}{i}" for i in range(1, (periods or LENGTH[freq]) + 1)]
+
+
 def with_series(df: DataFrame, freq: str, periods: int | None = None, out: str = "p") -> DataFrame:
     """Wide feed to one array of period values per row, sentinels as nulls."""
-    n = periods or LENGTH[freq]
-    cells = [zero_as_null(f"{PREFIX[freq]}{i}") for i in range(1, n + 1)]
-    return df.withColumn(out, F.array(*cells))
+    cells = ", ".join(nonzero(c) for c in period_names(freq, periods))
+    return df.withColumn(out, F.expr(f"array({cells})"))
 
 
 def series_from_long(
     long: DataFrame, periods: int, key: str = "isin", value: str = "pat", out: str = "p",
 ) -> DataFrame:
     """Long (key, periods_ago, value) to one array per key."""
-    cells = [F.max(F.when(F.col("periods_ago") == k, zero_as_null(value))) for k in range(periods)]
-    return long.groupBy(key).agg(F.array(*cells).alias(out))
+    cells = ", ".join(f"max({nonzero(value)}) FILTER (WHERE periods_ago = {k})" for k in range(periods))
+    return long.groupBy(key).agg(F.expr(f"array({cells})").alias(out))
 
 
 def to_long(df: DataFrame, freq: str, key: str = "isin", periods: int | None = None) -> DataFrame:
     """Wide feed to (key, period, pat, periods_ago, freq); sentinels and nulls left out."""
-    n = periods or LENGTH[freq]
-    names = [f"{PREFIX[freq]}{i}" for i in range(1, n + 1)]
-    wide = df.select(key, *[zero_as_null(c).alias(c) for c in names])
+    names = period_names(freq, periods)
+    wide = df.selectExpr(key, *[f"{nonzero(c)} AS {c}" for c in names])
     long = wide.unpivot(key, names, "period", "pat").where("pat IS NOT NULL")
     ago = F.regexp_extract("period", r"(\d+)$", 1).cast("int") - 1
     return long.select(key, "period", "pat", ago.alias("periods_ago"), F.lit(freq).alias("freq"))
 
 
-def _count(p: Column, test) -> Column:
-    return F.size(F.filter(p, lambda v: flag(test(v)))).cast("bigint")
-
+# Expressions over a series array named ``p``; index 0 is the latest period.
+def _count(p: str, test: str) -> str:
+    return f"CAST(size(filter({p}, v -> {test})) AS BIGINT)"
 
-def _present(p: Column) -> Column:
-    return F.filter(p, lambda v: v.isNotNull())
 
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+def _at(p: str, i: int) -> str:
+    """Element ``i`` or null past the end."""
+    return f"try_element_at({p}, {i + 1})"
 
 
-def _at(p: Column, i: int) -> Column:
-    """Element ``i`` or null past the end."""
-    return F.try_element_at(p, F.lit(i + 1))
+def _sum(values: str) -> str:
+    return f"aggregate({values}, 0D, (acc, v) -> acc + v)"
 
 
-def _sum_of_four(p: Column, start: Column | int) -> Column:
+def _sum_of_four(p: str, start: int | str) -> str:
     """Sum of four periods from ``start``; null unless all four are present."""
-    window = F.slice(p, (F.lit(start) if isinstance(start, int) else start) + 1, 4)
-    full = (F.size(window) == 4) & ~F.exists(window, lambda v: v.isNull())
-    return F.when(full, _total(F.transform(window, lambda v: F.coalesce(v, F.lit(0.0)))))
+    window = f"slice({p}, {start} + 1, 4)"
+    return f"CASE WHEN size({window}) = 4 AND NOT exists({window}, v -> v IS NULL) THEN {_sum(window)} END"
 
 
-def leading_run(p: Column, broken) -> Column:
-    """Number of leading elements before the first one that is ``broken``."""
-    steps = F.transform(p, lambda v, i: F.when(flag(broken(v)), i))
-    return F.coalesce(F.array_min(steps), F.size(p)).cast("bigint")
+def leading_run(p: str, broken: str) -> str:
+    """Number of leading elements before the first for which ``broken`` (over the value
+    ``v`` and its index ``i``) holds."""
+    return f"CAST(coalesce(array_min(transform({p}, (v, i) -> CASE WHEN {broken} THEN i END)), size({p})) AS BIGINT)"
 
 
-def profit_streak(p: Column) -> Column:
+def profit_streak(p: str) -> str:
     """Consecutive positive periods from the latest; null or a loss ends the run."""
-    return leading_run(p, lambda v: v.isNull() | (v <= 0))
+    return leading_run(p, "v IS NULL OR v <= 0")
 
 
-def growth_streak(p: Column) -> Column:
+def growth_streak(p: str) -> str:
     """Consecutive periods above the one before, from the latest."""
-    pairs = F.arrays_zip(
-        F.slice(p, 1, F.size(p) - 1).alias("now"), F.slice(p, 2, F.size(p) - 1).alias("before")
-    )
-    return leading_run(pairs, lambda z: ~flag(z["now"] > z["before"]))
+    return leading_run(p, f"NOT coalesce(v > try_element_at({p}, i + 2), false)")
 
 
-def _volatility(p: Column) -> Column:
+def _volatility(p: str) -> str:
     """Sample deviation over the absolute mean, in percent."""
-    values = _present(p)
-    n = F.size(values)
-    mean = F.try_divide(_total(values), n)
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    return safe_div(F.sqrt(F.try_divide(squares, F.nullif(n - 1, F.lit(0)))), F.abs(mean)) * 100
+    values = f"filter({p}, v -> v IS NOT NULL)"
+    mean = f"try_divide({_sum(values)}, size({values}))"
+    # The mean is bound to a name by a one-element transform.
+    squares = f"transform(array({mean}), m -> aggregate({values}, 0D, (acc, v) -> acc + (v - m) * (v - m)))[0]"
+    deviation = f"sqrt(try_divide({squares}, nullif(size({values}) - 1, 0)))"
+    return f"{ratio(deviation, f'abs({mean})')} * 100"
 
 
-def is_record(value: Column, peak: Column) -> Column:
+def is_record(value: str, peak: str) -> str:
     """At or above a positive peak."""
-    return flag((value >= peak) & (peak > 0))
+    return total(f"{value} >= {peak} AND {peak} > 0")
 
 
-def rolling_year_peak(p: Column) -> Column:
+def rolling_year_peak(p: str) -> str:
     """Highest sum of four consecutive present quarters."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(p) - 4, F.lit(0)))
-    return F.array_max(F.transform(starts, lambda i: _sum_of_four(p, i)))
+    return f"array_max(transform(sequence(0, greatest(size({p}) - 4, 0)), i -> {_sum_of_four(p, 'i')}))"
+
+
+Columns = dict[str, str]
 
 
-def quarterly_columns(p: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+def quarterly_columns(p: str) -> tuple[Columns, Columns]:
     """Quarterly trajectory of a series array: figures read from the array, and figures
     derived from those."""
     first = {
-        "qtrs_available": _count(p, lambda v: v.isNotNull()),
+        "qtrs_available": _count(p, "v IS NOT NULL"),
         "pat_latest_q": _at(p, 0),
-        "pat_yoy_q_pct": signed_change(_at(p, 0), _at(p, 4)),
-        "pat_qoq_pct": signed_change(_at(p, 0), _at(p, 1)),
+        "pat_yoy_q_pct": change(_at(p, 0), _at(p, 4)),
+        "pat_qoq_pct": change(_at(p, 0), _at(p, 1)),
         "pat_ttm": _sum_of_four(p, 0),
         "pat_ttm_prev": _sum_of_four(p, 4),
-        "profitable_qtrs": _count(p, lambda v: v > 0),
-        "loss_qtrs": _count(p, lambda v: v < 0),
+        "profitable_qtrs": _count(p, "v > 0"),
+        "loss_qtrs": _count(p, "v < 0"),
         "pat_qtr_volatility": _volatility(p),
         "profit_streak_qtrs": profit_streak(p),
-        "pat_peak_q": F.array_max(p),
+        "pat_peak_q": f"array_max({p})",
         "pat_ttm_peak_rolling": rolling_year_peak(p),
     }
-    q, ttm, top = F.col("pat_latest_q"), F.col("pat_ttm"), F.col("pat_ttm_peak_rolling")
-    known = F.col("qtrs_available").isNotNull()
+    # A key that is missing in the feed has no flags, not negative ones.
+    known = "CASE WHEN qtrs_available IS NOT NULL THEN {} END"
     then = {
-        "pat_ttm_growth_pct": signed_change(ttm, "pat_ttm_prev"),
-        "profitable_qtr_pct": safe_div("profitable_qtrs", "qtrs_available") * 100,
-        "pat_q_vs_peak_pct": signed_change(q, "pat_peak_q"),
-        "pat_q_at_ath": F.when(known, is_record(q, F.col("pat_peak_q"))),
-        "pat_ttm_vs_peak_rolling_pct": signed_change(ttm, top),
-        "pat_ttm_at_ath_rolling": F.when(known, is_record(ttm, top)),
+        "pat_ttm_growth_pct": change("pat_ttm", "pat_ttm_prev"),
+        "profitable_qtr_pct": f"{ratio('profitable_qtrs', 'qtrs_available')} * 100",
+        "pat_q_vs_peak_pct": change("pat_latest_q", "pat_peak_q"),
+        "pat_q_at_ath": known.format(is_record("pat_latest_q", "pat_peak_q")),
+        "pat_ttm_vs_peak_rolling_pct": change("pat_ttm", "pat_ttm_peak_rolling"),
+        "pat_ttm_at_ath_rolling": known.format(is_record("pat_ttm", "pat_ttm_peak_rolling")),
     }
     return first, then
 
 
-def yearly_columns(p: Column, ttm: Column | str | None) -> tuple[dict[str, Column], dict[str, Column]]:
+def yearly_columns(p: str, ttm: str | None) -> tuple[Columns, Columns]:
     """Annual trajectory of a series array. A growth horizon of n years compares the
     latest with the n-th year back, which is n - 1 years of compounding."""
     fy1 = _at(p, 0)
     first = {
-        "fy_available": _count(p, lambda v: v.isNotNull()),
-        "pat_ttm_reported": F.lit(None).cast("double") if ttm is None else zero_as_null(ttm),
+        "fy_available": _count(p, "v IS NOT NULL"),
+        "pat_ttm_reported": "CAST(NULL AS DOUBLE)" if ttm is None else nonzero(ttm),
         "pat_fy1": fy1,
-        **{f"pat_cagr_{n}y_pct": cagr(fy1, _at(p, n - 1), n - 1) for n in K.CAGR_HORIZONS},
-        "profitable_fy": _count(p, lambda v: v > 0),
-        "loss_fy": _count(p, lambda v: v < 0),
-        "pat_peak_fy": F.array_max(p),
+        **{f"pat_cagr_{n}y_pct": growth(fy1, _at(p, n - 1), n - 1) for n in K.CAGR_HORIZONS},
+        "profitable_fy": _count(p, "v > 0"),
+        "loss_fy": _count(p, "v < 0"),
+        "pat_peak_fy": f"array_max({p})",
         "profit_streak_fy": profit_streak(p),
         "pat_growth_streak_fy": growth_streak(p),
     }
-    peak, known = F.col("pat_peak_fy"), F.col("fy_available").isNotNull()
+    record = is_record("pat_fy1", "pat_peak_fy")
     then = {
-        "profitable_fy_pct": safe_div("profitable_fy", "fy_available") * 100,
-        "pat_vs_peak_pct": signed_change("pat_fy1", peak),
-        "pat_fy_at_ath": F.when(known, is_record(F.col("pat_fy1"), peak)),
+        "profitable_fy_pct": f"{ratio('profitable_fy', 'fy_available')} * 100",
+        "pat_vs_peak_pct": change("pat_fy1", "pat_peak_fy"),
+        "pat_fy_at_ath": f"CASE WHEN fy_available IS NOT NULL THEN {record} END",
     }
     return first, then
 
 
-def _project(df: DataFrame, keys: list[str], parts: list[tuple[dict[str, Column], dict[str, Column]]]) -> DataFrame:
-    first = {n: c for one, _ in parts for n, c in one.items()}
-    then = {n: c for _, two in parts for n, c in two.items()}
-    return df.select(*keys, *[c.alias(n) for n, c in first.items()]).withColumns(then)
+def verdict_columns() -> Columns:
+    """Trailing year against every reported year, and latest quarter against every
+    quarter; both must hold. Total: a missing half is a plain False."""
+    ttm_record = is_record("pat_ttm", "pat_peak_fy")
+    return {
+        "pat_ttm_vs_fy_peak_pct": change("pat_ttm", "pat_peak_fy"),
+        "pat_ttm_at_ath": ttm_record,
+        "pat_both_at_ath": f"{ttm_record} AND {is_record('pat_latest_q', 'pat_peak_q')}",
+    }
 
 
-def summarise_quarterly(df: DataFrame, p: str = "p", key: str = "isin") -> DataFrame:
-    return _project(df, [key], [quarterly_columns(F.col(p))])
+def _project(df: DataFrame, key: str, parts: list[tuple[Columns, Columns]], last: Columns | None = None) -> DataFrame:
+    first = [f"{sql} AS {name}" for one, _ in parts for name, sql in one.items()]
+    then = [f"{sql} AS {name}" for _, two in parts for name, sql in two.items()]
+    then += [f"{sql} AS {name}" for name, sql in (last or {}).items()]
+    return df.selectExpr(key, *first).selectExpr("*", *then)
 
 
-def summarise_yearly(
-    df: DataFrame, p: str = "p", key: str = "isin", ttm: Column | str | None = None,
-) -> DataFrame:
-    return _project(df, [key], [yearly_columns(F.col(p), ttm)])
+def summarise_quarterly(df: DataFrame, p: str = "p", key: str = "isin") -> DataFrame:
+    return _project(df, key, [quarterly_columns(p)])
 
 
-def verdict_columns() -> dict[str, Column]:
-    """Trailing year against every reported year, and latest quarter against every
-    quarter; both must hold. Total: a missing half is a plain False."""
-    ttm, peak = F.col("pat_ttm"), F.col("pat_peak_fy")
-    ttm_record = is_record(ttm, peak)
-    return {
-        "pat_ttm_vs_fy_peak_pct": signed_change(ttm, peak),
-        "pat_ttm_at_ath": ttm_record,
-        "pat_both_at_ath": ttm_record & is_record(F.col("pat_latest_q"), F.col("pat_peak_q")),
-    }
+def summarise_yearly(df: DataFrame, p: str = "p", key: str = "isin", ttm: str | None = None) -> DataFrame:
+    return _project(df, key, [yearly_columns(p, ttm)])
 
 
 def summarise(
@@ -196,11 +194,10 @@ def summarise(
     """Quarterly and annual summaries and the record verdict, one row per key of either
     feed. The two feeds are aligned once; everything else is one projection. A key in
     one feed only has nulls for the other and a negative verdict."""
-    q = quarterly.select(key, F.col(p).alias("__q"))
-    y = yearly.select(key, F.col(p).alias("__y"), *([ttm] if ttm else []))
-    parts = [quarterly_columns(F.col("__q")), yearly_columns(F.col("__y"), ttm)]
-    both = q.join(y, key, "full_outer")
-    return _project(both, [key], parts).withColumns(verdict_columns())
+    q = quarterly.select(key, F.col(p).alias("q_series"))
+    y = yearly.select(key, F.col(p).alias("y_series"), *([ttm] if ttm else []))
+    parts = [quarterly_columns("q_series"), yearly_columns("y_series", ttm)]
+    return _project(q.join(y, key, "full_outer"), key, parts, verdict_columns())
 
 
 VERDICT = ["pat_ttm_vs_fy_peak_pct", "pat_ttm_at_ath", "pat_both_at_ath"]
@@ -232,43 +229,34 @@ def entity_series(
 
 
 def history_depth(df: DataFrame) -> DataFrame:
-    """How deep the period series reach, one row per series."""
-    from panelyard.functions.exprs import count_where
-    from panelyard.operators import order_stats
-
-    parts = []
-    for series, col, full, half in (
-        ("quarterly PAT", "qtrs_available", K.QUARTERS, 24),
-        ("annual PAT", "fy_available", K.YEARS, 8),
-    ):
-        if col not in df.columns:
-            continue
-        one = order_stats.aggregate(
-            df, [],
-            {
-                "full_history_n": count_where(F.col(col) == full),
-                "under_half_n": count_where(F.col(col) < half),
-            },
-            {"median_available": order_stats.median(col)},
+    """How deep the period series reach, one row per series, from one pass."""
+    series = [
+        (name, col, full, half)
+        for name, col, full, half in (
+            ("quarterly PAT", "qtrs_available", K.QUARTERS, 24), ("annual PAT", "fy_available", K.YEARS, 8),
         )
-        parts.append(one.select(
-            F.lit(series).alias("series"), F.lit(full).cast("bigint").alias("max_periods"),
-            "median_available", "full_history_n", "under_half_n",
-        ))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        if col in df.columns
+    ]
+    plain, medians = {}, {}
+    for i, (_, col, full, half) in enumerate(series):
+        plain[f"full{i}"] = count_where(F.col(col) == full)
+        plain[f"half{i}"] = count_where(F.col(col) < half)
+        medians[f"median{i}"] = order_stats.median(col)
+    rows = ", ".join(
+        f"named_struct('series', '{name}', 'max_periods', {full}L, 'median_available', median{i}, "
+        f"'full_history_n', full{i}, 'under_half_n', half{i})"
+        for i, (name, _, full, _) in enumerate(series)
+    )
+    return order_stats.aggregate(df, [], plain, medians).selectExpr(f"inline(array({rows}))")
 
 
 def pad_periods(df: DataFrame, freq: str, periods: int | None = None) -> DataFrame:
     """Add the period columns a feed leaves out, as nulls."""
-    n = periods or LENGTH[freq]
-    missing = [f"{PREFIX[freq]}{i}" for i in range(1, n + 1) if f"{PREFIX[freq]}{i}" not in df.columns]
+    missing = [c for c in period_names(freq, periods) if c not in df.columns]
     return df.withColumns({c: F.lit(None).cast("double") for c in missing}) if missing else df
 
 
 def as_numbers(df: DataFrame) -> DataFrame:
     """Period columns as doubles; text that is no number becomes null."""
     periods = [c for c in df.columns if c.startswith(("QL", "FYL")) or c == "TTM"]
-    return df.withColumns({c: number(F.col(c).try_cast("double")) for c in periods})
+    return df.withColumns({c: F.expr(finite(f"TRY_CAST(`{c}` AS DOUBLE)")) for c in periods})

@@ -29,6 +29,7 @@ def segment_coverage(report: DataFrame) -> DataFrame:
         report.where("segment IS NOT NULL"), ["segment"],
         {"columns": F.count("*"), "min_coverage": F.min("coverage_pct")},
         {"median_coverage": order_stats.median("coverage_pct")},
+        bounded=True,
     ).orderBy("median_coverage", "segment")
 
 

@@ -83,8 +83,7 @@ def load_secondary(df: DataFrame, order: str = ORDINAL) -> DataFrame:
 def load_periods(df: DataFrame, freq: str, order: str = ORDINAL, periods_n: int | None = None) -> DataFrame:
     """A wide period feed with every period column present, first row per key."""
     _require("ISIN" in df.columns, "period feed: ISIN column missing")
-    n = periods_n or periods.LENGTH[freq]
-    names = [f"{periods.PREFIX[freq]}{i}" for i in range(1, n + 1)]
+    names = periods.period_names(freq, periods_n)
     missing = [c for c in names if c not in df.columns]
     _require(not missing, f"period feed: missing period columns {missing[:5]}")
     extra = ["TTM"] if freq == "FY" else []
@@ -96,9 +95,8 @@ def validate_payload(df: DataFrame, label: str, freq: str) -> None:
     """Reject an empty payload, one without keys, or one without any period."""
     names = {c.strip().upper() for c in df.columns}
     _require("ISIN" in names, f"{label}: no ISIN column; got {sorted(names)[:8]}")
-    prefix = periods.PREFIX[freq]
-    present = any(f"{prefix}{i}" in names for i in range(1, periods.LENGTH[freq] + 1))
-    _require(present, f"{label}: no {prefix} period columns in payload")
+    present = any(c in names for c in periods.period_names(freq))
+    _require(present, f"{label}: no {periods.PREFIX[freq]} period columns in payload")
     _require(not df.isEmpty(), f"{label}: empty payload")
 
 

@@ -22,29 +22,26 @@ from pyspark.sql import functions as F
 from panelyard.functions.exprs import number
 from panelyard.session import fits_in_one_task
 
-BUCKETS = 512
+BUCKETS = 2048
+SALTS = 32
 
 # output name -> (value, probability)
 Quantiles = dict[str, tuple[Column, float]]
 
 
-def _with_buckets(df: DataFrame, values: list[str], buckets: int) -> DataFrame:
-    """Adds ``b0, b1, ...`` with the bucket of each value column."""
+def _with_buckets(df: DataFrame, values: list[str], buckets: int) -> tuple[DataFrame, list[list[float]]]:
+    """Adds ``b0, b1, ...`` with the bucket of each value column, and returns the values
+    so frequent that they fill whole buckets (at most ``buckets`` per column)."""
     if buckets <= 1:
-        return df.withColumns({f"b{i}": F.lit(0.0) for i in range(len(values))})
+        return df.withColumns({f"b{i}": F.lit(0) for i in range(len(values))}), [[] for _ in values]
     steps = [i / buckets for i in range(1, buckets)]
     limits = df.approxQuantile(values, steps, 1.0 / (2 * buckets))
     splits = [[-float("inf"), *(sorted(set(q)) or [0.0]), float("inf")] for q in limits]
-    return Bucketizer(
-        splitsArray=splits,
-        inputCols=values,
-        outputCols=[f"b{i}" for i in range(len(values))],
-        handleInvalid="keep",
-    ).transform(df)
-
-
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+    frequent = [sorted({x for x, y in zip(q, q[1:]) if x == y}) for q in map(sorted, limits)]
+    raw = [f"__b{i}" for i in range(len(values))]
+    marked = Bucketizer(splitsArray=splits, inputCols=values, outputCols=raw, handleInvalid="keep").transform(df)
+    placed = marked.withColumns({f"b{i}": F.col(c).cast("int") for i, c in enumerate(raw)}).drop(*raw)
+    return placed, frequent
 
 
 def _join_same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -75,7 +72,7 @@ def _bucketed(df: DataFrame, by: list[str], wanted: Quantiles, buckets: int) ->
     ids = {text: i for i, text in enumerate(distinct)}
     names = [f"v{i}" for i in range(len(distinct))]
     wide = df.select(*by, *[number(v).alias(n) for v, n in zip(distinct.values(), names)])
-    wide = _with_buckets(wide, names, buckets)
+    wide, _ = _with_buckets(wide, names, buckets)
     cells = F.array(*[
         F.struct(F.lit(i).alias("m"), F.col(n).alias("v"), F.col(f"b{i}").alias("b"))
         for i, n in enumerate(names)
@@ -172,13 +169,15 @@ def percentile_ranks(
             for j, col in enumerate(scopes.values())
         ],
     )
-    wide = _with_buckets(wide, names, buckets)
+    wide, frequent = _with_buckets(wide, names, buckets)
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
     cells = F.array(*[
         F.struct(
             F.lit(i * len(labels) + j).alias("m"), F.col(f"g{j}").alias("g"),
             F.col(n).alias("v"), F.col(f"b{i}").alias("b"),
+            (F.when(F.col(n).isin(often), salt).otherwise(0) if often else F.lit(0)).alias("salt"),
         )
-        for i, n in enumerate(names)
+        for i, (n, often) in enumerate(zip(names, frequent))
         for j in range(len(labels))
     ])
     long = wide.select(key, F.inline(cells)).where("v IS NOT NULL AND g IS NOT NULL")
@@ -205,8 +204,18 @@ def percentile_ranks(
             / F.col("n") * 100
         ).alias("pct"),
     )
-    # Many rows can share one value; adaptive skew-join splitting spreads such a value.
-    placed = long.join(ranked, [*group, "b", "v"])
+    # A value shared by very many rows meets its rank under every salt.
+    is_often = reduce(
+        lambda x, y: x | y,
+        [
+            (F.floor(F.col("m") / len(labels)) == i) & F.col("v").isin(often)
+            for i, often in enumerate(frequent) if often
+        ],
+        F.lit(False),
+    )
+    copies = F.when(is_often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = ranked.select("*", F.explode(copies).alias("salt"))
+    placed = long.join(salted, [*group, "b", "v", "salt"])
     return placed.groupBy(key).agg(*outs)
 
 

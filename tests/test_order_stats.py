@@ -89,6 +89,18 @@ def test_no_window_over_a_whole_group(df):
     assert "SinglePartition" not in plan
 
 
+def test_a_frequent_value_is_salted(spark):
+    """A third of all rows share one value; its rows spread over the salts."""
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("x"))
+    wide, frequent = O._with_buckets(df, ["x"], 64)
+    assert frequent == [[0.0]]
+    plan = O.percentile_ranks(df, "id", ["x"], {"": None}, 64)._jdf.queryExecution().toString()
+    assert "salt" in plan
+    got = O.percentile_ranks(df, "id", ["x"], {"": None}, 64).toPandas().set_index("id").sort_index()
+    want = df.toPandas().set_index("id").sort_index()["x"].rank(pct=True) * 100
+    np.testing.assert_allclose(got["pct_rank_x"].to_numpy(), want.to_numpy(), rtol=1e-12)
+
+
 def test_size_decides(spark):
     small = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     assert fits_in_one_task(small)

@@ -148,34 +148,67 @@ def feed_is_stale(fetched_at: Column | str, as_of: Column) -> Column:
     return F.coalesce(F.to_date(_col(fetched_at)) != F.to_date(as_of), F.lit(True))
 
 
-def result_date(html: Column | str, as_of: Column) -> Column:
-    """The announced result date in a page, or null.
-
-    The page is cut into text runs at block tags; the shortest run holding the phrase
-    wins, as the innermost block would. Inline tags inside a run become blanks.
-    """
-    blocks = F.regexp_replace(_col(html), r"(?i)</?(?:p|div|li|ul|ol|table|tr|td|section|body|html|h\d|br)\b[^>]*>", "\u0001")
-    text = F.regexp_replace(blocks, r"<[^>]*>", " ")
-    runs = F.transform(F.split(text, "\u0001"), lambda r: F.trim(F.regexp_replace(r, r"\s+", " ")))
-    holding = F.filter(runs, lambda r: F.lower(r).contains(K.RESULT_PHRASE))
-    shortest = F.array_min(F.transform(holding, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    tail = F.when(
-        shortest.contains(":"), F.trim(F.regexp_extract(shortest, r"(?s)^[^:]*:(.*)$", 1))
-    ).otherwise(shortest)
-    low = F.lower(tail)
-    named = F.regexp_extract(tail, r"\d{1,2}[\s\-/][A-Za-z]+[\s\-/]\d{4}", 0)
-    iso = F.regexp_extract(tail, r"\d{4}-\d{2}-\d{2}", 0)
-    dashed = F.regexp_extract(tail, r"\d{1,2}-\d{1,2}-\d{4}", 0)
-    found = F.coalesce(F.nullif(named, F.lit("")), F.nullif(iso, F.lit("")), F.nullif(dashed, F.lit("")))
-    day = F.initcap(F.lower(found))
-    parsed = F.coalesce(*[F.to_date(F.try_to_timestamp(day, F.lit(f)))
-                          for f in ("d MMMM yyyy", "d MMM yyyy", "d-M-yyyy", "yyyy-MM-dd")])
+# A page as pieces, each starting with the opening or closing tag of a text element.
+_PIECES = r"split({html}, '(?i)(?=</?(?:p|div|span|li)[\\s>/])')"
+_PLAIN = r"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' '), '\\s+', ' '))"
+_OPENS = "x RLIKE '(?i)^<(p|div|span|li)[\\\\s>/]'"
+_CLOSES = "x RLIKE '(?i)^</(p|div|span|li)[\\\\s>/]'"
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _announcement(html: str) -> str:
+    """Text of the innermost element that holds the phrase: from the piece with the
+    phrase back to the nearest element still open there, then forward to its end. Of
+    several, the one with the shortest text, as the innermost has."""
+    pieces = _PIECES.format(html=html)
+    back = (
+        "aggregate(reverse(slice(ps, 1, k)), named_struct('closed', 0, 'i', k, 'j', 0), (s, x) -> CASE "
+        "WHEN s.j > 0 THEN s "
+        f"WHEN {_OPENS} AND s.closed = 0 THEN named_struct('closed', 0, 'i', s.i, 'j', s.i) "
+        f"WHEN {_OPENS} THEN named_struct('closed', s.closed - 1, 'i', s.i - 1, 'j', 0) "
+        f"WHEN {_CLOSES} THEN named_struct('closed', s.closed + 1, 'i', s.i - 1, 'j', 0) "
+        "ELSE named_struct('closed', s.closed, 'i', s.i - 1, 'j', 0) END, s -> s.j)"
+    )
+    forward = (
+        "aggregate(slice(ps, j, size(ps)), named_struct('open', 0, 'out', '', 'over', false), (s, x) -> CASE "
+        "WHEN s.over THEN s "
+        f"WHEN {_OPENS} THEN named_struct('open', s.open + 1, 'out', s.out || ' ' || x, 'over', false) "
+        f"WHEN {_CLOSES} AND s.open = 1 THEN named_struct('open', 0, 'out', s.out, 'over', true) "
+        f"ELSE named_struct('open', s.open - CAST({_CLOSES} AS INT), 'out', s.out || ' ' || x, 'over', false) END, s -> s.out)"
+    )
+    holds = f"filter(sequence(1, size(ps)), i -> lower({_PLAIN.format(x='ps[i - 1]')}) LIKE '%{K.RESULT_PHRASE}%')"
+    starts = f"filter(transform({holds}, k -> {back}), j -> j > 0)"
+    texts = f"transform({starts}, j -> {_PLAIN.format(x=forward)})"
+    shortest = f"array_min(transform({texts}, t -> named_struct('n', length(t), 't', t))).t"
+    plain_page = f"lower({_PLAIN.format(x=html)})"
+    return f"CASE WHEN {plain_page} LIKE '%{K.RESULT_PHRASE}%' THEN {_bound(pieces, 'ps', shortest)} END"
+
+
+def result_date(html: str, as_of: Column) -> Column:
+    """The announced result date in a column of pages, or null. The page is searched
+    once and each step is bound to a name, so nothing is computed twice."""
+    tail = r"CASE WHEN t LIKE '%:%' THEN trim(regexp_extract(t, '(?s)^[^:]*:(.*)$', 1)) ELSE t END"
+    found = (
+        r"initcap(lower(coalesce(nullif(regexp_extract(a, '\\d{1,2}[\\s\\-/][A-Za-z]+[\\s\\-/]\\d{4}', 0), ''), "
+        r"nullif(regexp_extract(a, '\\d{4}-\\d{2}-\\d{2}', 0), ''), "
+        r"nullif(regexp_extract(a, '\\d{1,2}-\\d{1,2}-\\d{4}', 0), ''))))"
+    )
+    formats = ("d MMMM yyyy", "d MMM yyyy", "d-M-yyyy", "yyyy-MM-dd")
+    parsed = ", ".join(f"to_date(try_to_timestamp(d, '{f}'))" for f in formats)
+    parts = (
+        "named_struct('day', " + _bound(found, "d", f"coalesce({parsed})") + ", "
+        "'ahead', CASE WHEN lower(a) LIKE '%tomorrow%' THEN 1 WHEN lower(a) LIKE '%today%' THEN 0 END)"
+    )
+    said = F.expr(_bound(_announcement(html), "t", _bound(tail, "a", parts)))
     today = F.to_date(as_of)
-    return (
-        F.when(low.contains("tomorrow"), F.date_add(today, 1))
-        .when(low.contains("today"), today)
-        .otherwise(parsed)
+    pick = F.transform(
+        F.array(said), lambda r: F.when(r["ahead"].isNotNull(), F.date_add(today, r["ahead"])).otherwise(r["day"])
     )
+    return pick[0]
 
 
 def tier_order(tier: Column | str) -> Column:

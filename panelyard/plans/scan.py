@@ -13,8 +13,16 @@ from panelyard.session import cut_lineage
 from panelyard.sources import tables
 
 
+RESULTS = (
+    "symbol string, new_ath_price double, trigger_price double, green_candle string, close_gt_ath string, "
+    "ath_outperformance string, current_rs double, ath_rs double, profit_state string, profit_stale boolean, "
+    "result_date date, stop_loss double, scanned_at timestamp"
+)
+
+
 @dataclass
 class Scan:
+    triggers: DataFrame
     state: DataFrame
     events: DataFrame
     results: DataFrame
@@ -36,8 +44,8 @@ def run(
     repaired = cut_lineage(repaired)
     hits = scanner.find_hits(listed, repaired, scanned)
     results = scanner.analyse(hits, bars, benchmark, verdicts, result_dates, as_of, sessions)
-    results = cut_lineage(results)
     return Scan(
+        triggers=repaired,
         state=scanner.mark_today(repaired, results),
         events=seed_events.unionByName(split_events),
         results=results,
@@ -55,10 +63,17 @@ def summary(scan: Scan) -> DataFrame:
 
 
 def save(scan: Scan, store: str, scanned_at: Column) -> None:
-    """Publish a scan. State and results are replaced as a whole, events only grow."""
+    """Publish a scan. State and results are replaced as a whole, events only grow. The
+    results are computed once: the new state marks today's highs from the written table."""
     tables.append(scan.events, f"{store}/ath_events")
-    tables.replace(scan.results.withColumn("scanned_at", scanned_at.cast("timestamp")), f"{store}/scan_results")
-    tables.replace(scan.state, f"{store}/ath")
+    results = scan.results.withColumn("scanned_at", scanned_at.cast("timestamp"))
+    tables.replace(results, f"{store}/scan_results")
+    written = tables.read_current(scan.results.sparkSession, f"{store}/scan_results", RESULTS)
+    tables.replace(scanner.mark_today(scan.triggers, written), f"{store}/ath")
+
+
+def load_results(spark: SparkSession, store: str) -> DataFrame:
+    return tables.read_current(spark, f"{store}/scan_results", RESULTS)
 
 
 def load_state(spark: SparkSession, store: str) -> DataFrame:

@@ -73,9 +73,18 @@ NOW = "2026-07-20 10:00:00"
     ("<p>Upcoming result date: 24-07-2026</p>", dt.date(2026, 7, 24)),
     ("<p>Upcoming result date: soon</p>", None), ("<p>Upcoming result date: 99 Foo 2026</p>", None),
     ("<p>nothing</p>", None), ("", None), (None, None),
+    # A label in an element of its own holds no date; nested values belong to the element.
+    ("<div><span>Upcoming result date</span>: 24 Jul 2026</div>", None),
+    ("<p>Upcoming <b>result</b>\n date: <span>24 Jul 2026</span></p>", dt.date(2026, 7, 24)),
+    ("<div><span>x</span> Upcoming result date: <div>24 Jul 2026</div></div><p>1 Jan 2001</p>", dt.date(2026, 7, 24)),
+    ("<div>1 Jan 2001: " + "<p>filler text</p>" * 3000 + "<p class='a'>Upcoming result date: 24 Jul 2026</p></div>", dt.date(2026, 7, 24)),
+    ("<pre>Upcoming result date: 24 Jul 2026</pre>", None),
+    ("<p>Upcoming result date: 24-Jul-2026 or 2026-07-24</p>", None),
+    ("<li>Upcoming result date: 24 Jul 2026", dt.date(2026, 7, 24)),
 ])
 def test_result_date(spark, html, want):
-    got = one(spark, d=X.result_date(F.lit(html).cast("string"), F.lit(NOW).cast("timestamp"))).d
+    page = spark.createDataFrame([(html,)], "html string")
+    got = page.select(X.result_date("html", F.lit(NOW).cast("timestamp")).alias("d")).first().d
     assert got == want
 
 

@@ -363,14 +363,14 @@ def announcement():
         .when(k % 6 == 3, F.date_format(d, "d-M-yyyy")).when(k % 6 == 4, "Tomorrow").otherwise("to be announced")
     )
     return F.concat(
-        F.lit("<html><div><p>Past result date: 1 Jan 1990</p><div><span>Upcoming <b>result</b> date</span>: <i>"), said,
-        F.lit("</i></div><p>Upcoming result date of others is listed elsewhere: see the long list below</p></div></html>"),
-    )
+        F.lit("<html><div><p>Past result date: 1 Jan 1990</p><div>Upcoming <b>result</b> date: <span><i>"), said,
+        F.lit("</i></span></div><p>Upcoming result date of others is listed elsewhere: see the long list below</p></div></html>"),
+    ).alias("html")
 
 
 register(
     "announced_dates",
-    lambda spark, sf: Fr.table(spark, sf, "orders").select("o_orderkey", X.result_date(announcement(), F.lit("2001-08-15 10:00:00").cast("timestamp")).alias("d")),
+    lambda spark, sf: Fr.table(spark, sf, "orders").select("o_orderkey", announcement()).select("o_orderkey", X.result_date("html", F.lit("2001-08-15 10:00:00").cast("timestamp")).alias("d")),
     "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 4 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 6 = 4 THEN DATE '2001-08-16' END AS d FROM orders",
 )
 register(

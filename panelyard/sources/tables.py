@@ -51,6 +51,14 @@ def replace(df: DataFrame, path: str, version: int | None = None) -> int:
     return number
 
 
+def prune(spark: SparkSession, path: str, keep: int = 3) -> list[int]:
+    """Remove all but the newest complete versions. Returns what was removed."""
+    old = versions(spark, path)[: -max(keep, 1)]
+    for number in old:
+        delete_folder(spark, f"{path}/v{number:09d}")
+    return old
+
+
 def read_current(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Latest complete version, or an empty table."""
     held = versions(spark, path)

@@ -231,6 +231,9 @@ def test_replace_keeps_the_old_version_on_failure(spark, tmp_path):
     assert T.read_current(spark, path, "id bigint").count() == 3
     T.replace(T.read_current(spark, path, "id bigint").limit(1), path)
     assert T.read_current(spark, path, "id bigint").count() == 1
+    T.replace(spark.range(9), path)
+    assert len(T.versions(spark, path)) == 3 and len(T.prune(spark, path, 1)) == 2
+    assert T.read_current(spark, path, "id bigint").count() == 9
 
 
 def test_symbol_rename_keeps_the_series(spark):

@@ -273,8 +273,8 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ scan
 def upload(spark: SparkSession, sf: str) -> DataFrame:
-    """Uploaded scan list: suppliers with an odd key, codes in mixed spelling."""
-    return table(spark, sf, "supplier").where("s_suppkey % 2 = 1").select(
+    """Uploaded scan list: suppliers with a balance above 3,000, codes in mixed spelling."""
+    return table(spark, sf, "supplier").where("s_acctbal > 3000").select(
         F.concat(F.lit(" s_"), F.col("s_suppkey").cast("string")).alias("Ticker"),
         F.when(F.col("s_suppkey") % 3 == 0, "BSE Ltd").otherwise("NSE (India)").alias("Exch"),
         F.col("s_suppkey").alias("ord"),
@@ -282,8 +282,9 @@ def upload(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def identifier_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers of the suppliers of all nations but one."""
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").where("s_suppkey % 10 <> 9").select(
+    return table(spark, sf, "supplier").where("s_nationkey <> 7").select(
         F.concat(F.lit("S-"), k.cast("string")).alias("NSE CODE"), supplier_key("s_suppkey").alias("ISIN"),
         k.cast("string").alias("ACCORD CODE"), F.col("s_name").alias("COMPANY NAME"),
         F.when(k % 7 == 0, "Delisted").otherwise("Active").alias("TRADING STATUS"), k.alias("ORD"),
@@ -328,10 +329,10 @@ def triggers(spark: SparkSession, sf: str) -> DataFrame:
 
 def triggers_from(past: DataFrame) -> DataFrame:
     """Stored state seeded from the bars before the scan window, at a fraction of the
-    lifetime high so that some are reached; every ninth symbol has no trigger yet, every
-    fifth was never checked for splits."""
+    lifetime high so that some are reached. A symbol whose high is older than 1998 has no
+    trigger yet, every fifth was never checked for splits."""
     k = F.substring("symbol", 2, 9).cast("int")
-    highs = prices.lifetime_highs(past).where(k % 9 != 0).withColumn("ath_price", F.col("ath_price") * (k % 7 + 1) / 50)
+    highs = prices.lifetime_highs(past).where(F.col("ath_date") >= F.lit("1998-01-01").cast("date")).withColumn("ath_price", F.col("ath_price") * (k % 7 + 1) / 50)
     return highs.select(
         "symbol", "ath_price", "ath_date", (F.col("ath_price") * F.when(k % 4 == 0, 1.1)).alias("today_ath"),
         F.when(k % 5 != 0, F.col("last_bar")).alias("last_split_check"),
@@ -341,7 +342,7 @@ def triggers_from(past: DataFrame) -> DataFrame:
 
 def result_dates(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").where("s_suppkey % 4 <> 0").select(
+    return table(spark, sf, "supplier").where("s_acctbal > 1000").select(
         supplier_key("s_suppkey").alias("symbol"),
         F.when(k % 4 != 3, F.date_add(F.lit("2001-06-05").cast("date"), (k % 20).cast("int"))).alias("result_date"),
         F.when(k % 4 != 3, "announced").otherwise("not_announced").alias("status"),

@@ -97,9 +97,9 @@ def hits(spark, sf):
 STATE = ["symbol", "ath_price", "ath_date", "today_ath", "last_split_check"]
 EVENT = ["symbol", "event_date", "old_price", "new_price", "old_date", "new_date", "source", "note"]
 EVENT_SQL = "symbol, {d} AS event_date, {old} AS old_price, {new} AS new_price, {od} AS old_date, {d} AS new_date, '{s}' AS source, {note} AS note"
-SEED_EVENTS = """SELECT symbol, ath_date AS event_date, CAST(NULL AS DOUBLE) AS old_price, ath_price AS new_price, CAST(NULL AS DATE) AS old_date,
+SEED_DUETS = """SELECT symbol, ath_date AS event_date, CAST(NULL AS DOUBLE) AS old_price, ath_price AS new_price, CAST(NULL AS DATE) AS old_date,
 ath_date AS new_date, 'seed' AS source, CAST(NULL AS VARCHAR) AS note FROM ha_top JOIN act USING (symbol) WHERE symbol NOT IN (SELECT symbol FROM trig)"""
-SPLIT_EVENTS = "SELECT " + EVENT_SQL.format(d="split_date", old="ath_price", new="ath_price / ratio", od="ath_date", s="split", note="'split ratio ' || CAST(ratio AS VARCHAR)") + " FROM due WHERE due"
+SPLIT_DUETS = "SELECT " + EVENT_SQL.format(d="split_date", old="ath_price", new="ath_price / ratio", od="ath_date", s="split", note="'split ratio ' || CAST(ratio AS VARCHAR)") + " FROM due WHERE due"
 register("cleared_today", lambda spark, sf: scanner.clear_today(Fr.triggers(spark, sf)).select(*STATE), f"{SCAN} SELECT symbol, ath_price, ath_date, CAST(NULL AS DOUBLE) AS today_ath, last_split_check FROM trig")
 register(
     "seeded_state",
@@ -107,9 +107,9 @@ register(
     f"""{SCAN} SELECT {', '.join(STATE)} FROM trig UNION ALL
     SELECT symbol, ath_price, ath_date, NULL, last_bar FROM ha_top JOIN act USING (symbol) WHERE symbol NOT IN (SELECT symbol FROM trig)""",
 )
-register("seed_events", lambda spark, sf: scanner.seed_missing(Fr.triggers(spark, sf), active(spark, sf), Fr.history_bars(spark, sf), Fr.as_of())[1].select(*EVENT), f"{SCAN} {SEED_EVENTS}")
+register("seed_events", lambda spark, sf: scanner.seed_missing(Fr.triggers(spark, sf), active(spark, sf), Fr.history_bars(spark, sf), Fr.as_of())[1].select(*EVENT), f"{SCAN} {SEED_DUETS}")
 register("repaired_state", lambda spark, sf: repaired(spark, sf)[0].select(*STATE), f"{SCAN} SELECT {', '.join(STATE)} FROM rep")
-register("split_events", lambda spark, sf: repaired(spark, sf)[1].select(*EVENT), f"{SCAN} {SPLIT_EVENTS}")
+register("split_events", lambda spark, sf: repaired(spark, sf)[1].select(*EVENT), f"{SCAN} {SPLIT_DUETS}")
 register(
     "repair_twice",
     lambda spark, sf: scanner.repair_splits(repaired(spark, sf)[0], scanned(spark, sf), Fr.as_of())[0].select(*STATE),
@@ -153,28 +153,29 @@ register(
 )
 
 
-def even(spark, sf):
-    return Fr.table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(Fr.supplier_key("s_suppkey").alias("symbol"))
+def selected(spark, sf):
+    """Symbols ticked for promotion: suppliers of about half the nations."""
+    return Fr.table(spark, sf, "supplier").where("s_nationkey < 12").select(Fr.supplier_key("s_suppkey").alias("symbol"))
 
 
 def promoted(spark, sf):
-    return scanner.promote(Fr.triggers(spark, sf), even(spark, sf), F.lit("2001-06-15").cast("date"), Fr.as_of())
+    return scanner.promote(Fr.triggers(spark, sf), selected(spark, sf), F.lit("2001-06-15").cast("date"), Fr.as_of())
 
 
-_EVEN = "CAST(substr(symbol, 2) AS INTEGER) % 2 = 0 AND today_ath > coalesce(ath_price, 0)"
+_DUE = f"symbol IN (SELECT {S.supp('s_suppkey')} FROM supplier WHERE s_nationkey < 12) AND today_ath > coalesce(ath_price, 0)"
 register(
     "promoted_state",
     lambda spark, sf: promoted(spark, sf)[0].select(*STATE),
-    f"""{SCAN} SELECT symbol, CASE WHEN {_EVEN} THEN today_ath ELSE ath_price END AS ath_price, CASE WHEN {_EVEN} THEN DATE '2001-06-15' ELSE ath_date END AS ath_date,
+    f"""{SCAN} SELECT symbol, CASE WHEN {_DUE} THEN today_ath ELSE ath_price END AS ath_price, CASE WHEN {_DUE} THEN DATE '2001-06-15' ELSE ath_date END AS ath_date,
     CAST(NULL AS DOUBLE) AS today_ath, last_split_check FROM trig""",
 )
-SYNC_EVENTS = "SELECT " + EVENT_SQL.format(d="DATE '2001-06-15'", old="ath_price", new="today_ath", od="ath_date", s="sync", note="CAST(NULL AS VARCHAR)") + f" FROM trig WHERE {_EVEN}"
-register("sync_events", lambda spark, sf: promoted(spark, sf)[1].select(*EVENT), f"{SCAN} {SYNC_EVENTS}")
+SYNC_DUETS = "SELECT " + EVENT_SQL.format(d="DATE '2001-06-15'", old="ath_price", new="today_ath", od="ath_date", s="sync", note="CAST(NULL AS VARCHAR)") + f" FROM trig WHERE {_DUE}"
+register("sync_events", lambda spark, sf: promoted(spark, sf)[1].select(*EVENT), f"{SCAN} {SYNC_DUETS}")
 
 
 def edits(spark, sf):
     k = F.col("s_suppkey")
-    return Fr.table(spark, sf, "supplier").where("s_suppkey % 6 = 0").select(
+    return Fr.table(spark, sf, "supplier").where("s_acctbal > 7000").select(
         Fr.supplier_key("s_suppkey").alias("symbol"), (F.col("s_acctbal") + 1000).alias("price"), F.date_add(F.lit("2001-01-01").cast("date"), (k % 100).cast("int")).alias("date")
     )
 
@@ -182,7 +183,7 @@ def edits(spark, sf):
 register(
     "manual_edits",
     lambda spark, sf: scanner.manual_edit(Fr.triggers(spark, sf), edits(spark, sf), Fr.as_of())[0].select(*STATE),
-    f"""{SCAN}, m AS (SELECT {S.supp('s_suppkey')} AS symbol, s_acctbal + 1000 AS p, CAST(DATE '2001-01-01' + CAST(s_suppkey % 100 AS INTEGER) AS DATE) AS d FROM supplier WHERE s_suppkey % 6 = 0)
+    f"""{SCAN}, m AS (SELECT {S.supp('s_suppkey')} AS symbol, s_acctbal + 1000 AS p, CAST(DATE '2001-01-01' + CAST(s_suppkey % 100 AS INTEGER) AS DATE) AS d FROM supplier WHERE s_acctbal > 7000)
     SELECT symbol, coalesce(p, ath_price) AS ath_price, coalesce(d, ath_date) AS ath_date, today_ath, CASE WHEN p IS NOT NULL THEN DATE '2001-06-15' ELSE last_split_check END AS last_split_check
     FROM trig FULL JOIN m USING (symbol)""",
 )
@@ -207,13 +208,13 @@ register(
     "symbol_events",
     lambda spark, sf: scanner.symbol_events(event_log(spark, sf), "S000000004", 4).drop("created_at"),
     f"""{SCAN}, l AS (SELECT symbol, date AS event_date, CAST(NULL AS DOUBLE) AS old_price, high AS new_price, 'split' AS source, 'split ratio 2.0' AS note, CAST(date AS TIMESTAMP) AS created_at FROM bars WHERE split_ratio > 0
-    UNION ALL SELECT symbol, event_date, old_price, new_price, source, note, {AS_OF} FROM ({SYNC_EVENTS}))
+    UNION ALL SELECT symbol, event_date, old_price, new_price, source, note, {AS_OF} FROM ({SYNC_DUETS}))
     SELECT event_date AS date, old_price, new_price, source, note FROM l WHERE symbol = 'S000000004' ORDER BY created_at DESC, event_date DESC, source LIMIT 4""",
 )
 register(
     "sync_status",
     lambda spark, sf: scanner.sync_status(hits(spark, sf), event_log(spark, sf), Fr.as_of()),
-    f"""{SCAN}, y AS (SELECT DISTINCT symbol FROM ({SYNC_EVENTS})) SELECT count(*) AS rows, count(y.symbol) AS synced_today, count(*) > 0 AND count(*) = count(y.symbol) AS post_sync FROM hits LEFT JOIN y USING (symbol)""",
+    f"""{SCAN}, y AS (SELECT DISTINCT symbol FROM ({SYNC_DUETS})) SELECT count(*) AS rows, count(y.symbol) AS synced_today, count(*) > 0 AND count(*) = count(y.symbol) AS post_sync FROM hits LEFT JOIN y USING (symbol)""",
 )
 register("prefix_search", lambda spark, sf: screen.prefix_search(Fr.triggers(spark, sf), "s00000002", 200).select("symbol", "ath_price", "ath_date"),
          f"{SCAN} SELECT symbol, ath_price, ath_date FROM trig WHERE symbol ILIKE 's00000002%' ORDER BY symbol LIMIT 200")
@@ -229,20 +230,20 @@ def resolved(spark, sf):
 
 
 def stored(spark, sf):
-    """Suppliers with a key divisible by three are held already; some set by hand."""
+    """Suppliers with a balance below 6,000 are held already; some set by hand."""
     k = F.col("s_suppkey")
-    return Fr.table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(
+    return Fr.table(spark, sf, "supplier").where("s_acctbal < 6000").select(
         F.concat(F.lit("S-"), k.cast("string")).alias("symbol"), F.lit("NSE").alias("exchange"), F.when(k % 2 == 1, F.concat(F.lit("H"), k.cast("string"))).alias("isin"),
         F.lit("old").alias("accord_code"), F.when(k % 9 == 0, "manual").otherwise("unresolved").alias("resolution"), (k % 5 == 0).alias("ignored"),
         F.when(k % 5 == 0, "suspended").alias("ignore_reason"), F.lit("first.csv").alias("source_file"),
     )
 
 
-_UP = f"""WITH up AS (SELECT 'S-' || s_suppkey AS symbol, CASE WHEN s_suppkey % 3 = 0 THEN 'BSE' ELSE 'NSE' END AS exchange, 'up.csv' AS source_file FROM supplier WHERE s_suppkey % 2 = 1),
-fd AS (SELECT 'S-' || s_suppkey AS symbol, {S.supp('s_suppkey')} AS isin, CAST(s_suppkey AS VARCHAR) AS accord_code, s_suppkey % 7 = 0 AS dead FROM supplier WHERE s_suppkey % 10 <> 9),
+_UP = f"""WITH up AS (SELECT 'S-' || s_suppkey AS symbol, CASE WHEN s_suppkey % 3 = 0 THEN 'BSE' ELSE 'NSE' END AS exchange, 'up.csv' AS source_file FROM supplier WHERE s_acctbal > 3000),
+fd AS (SELECT 'S-' || s_suppkey AS symbol, {S.supp('s_suppkey')} AS isin, CAST(s_suppkey AS VARCHAR) AS accord_code, s_suppkey % 7 = 0 AS dead FROM supplier WHERE s_nationkey <> 7),
 rs AS (SELECT symbol, exchange, isin, accord_code, CASE WHEN dead IS NULL THEN 'unresolved' ELSE 'auto' END AS resolution, coalesce(dead, false) AS ignored, CASE WHEN dead THEN 'delisted' END AS ignore_reason, source_file FROM up LEFT JOIN fd USING (symbol)),
 st AS (SELECT 'S-' || s_suppkey AS symbol, 'NSE' AS exchange, CASE WHEN s_suppkey % 2 = 1 THEN 'H' || s_suppkey END AS isin, 'old' AS accord_code, CASE WHEN s_suppkey % 9 = 0 THEN 'manual' ELSE 'unresolved' END AS resolution,
-  s_suppkey % 5 = 0 AS ignored, CASE WHEN s_suppkey % 5 = 0 THEN 'suspended' END AS ignore_reason, 'first.csv' AS source_file FROM supplier WHERE s_suppkey % 3 = 0),
+  s_suppkey % 5 = 0 AS ignored, CASE WHEN s_suppkey % 5 = 0 THEN 'suspended' END AS ignore_reason, 'first.csv' AS source_file FROM supplier WHERE s_acctbal < 6000),
 mg AS (SELECT coalesce(r.symbol, s.symbol) AS symbol, coalesce(r.exchange, s.exchange) AS exchange,
   CASE WHEN r.symbol IS NULL OR s.resolution = 'manual' THEN s.isin ELSE coalesce(r.isin, s.isin) END AS isin, CASE WHEN r.symbol IS NULL THEN s.accord_code ELSE r.accord_code END AS accord_code,
   CASE WHEN r.symbol IS NULL OR s.resolution = 'manual' THEN s.resolution ELSE r.resolution END AS resolution, coalesce(s.ignored, false) OR coalesce(r.ignored, false) AS ignored,
@@ -260,36 +261,39 @@ register(
 register("absent_from_upload", lambda spark, sf: universe.absent_from_upload(stored(spark, sf), parsed(spark, sf)), f"{_UP} SELECT symbol FROM st WHERE symbol NOT IN (SELECT symbol FROM up)")
 
 
+_MAPPED = "(symbol IN (SELECT 'S-' || s_suppkey FROM supplier WHERE s_nationkey < 5))"
+
+
 def mapping(spark, sf):
-    return Fr.table(spark, sf, "supplier").where("s_suppkey % 12 = 0").select(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("symbol"), F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("isin"))
+    return Fr.table(spark, sf, "supplier").where("s_nationkey < 5").select(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string")).alias("symbol"), F.concat(F.lit("M"), F.col("s_suppkey").cast("string")).alias("isin"))
 
 
 register(
     "mapped_keys",
     lambda spark, sf: universe.map_keys(stored(spark, sf), mapping(spark, sf)).select("symbol", "isin", "resolution"),
-    f"""{_UP} SELECT symbol, CASE WHEN CAST(substr(symbol, 3) AS INTEGER) % 12 = 0 THEN 'M' || substr(symbol, 3) ELSE isin END AS isin,
-    CASE WHEN CAST(substr(symbol, 3) AS INTEGER) % 12 = 0 THEN 'manual' ELSE resolution END AS resolution FROM st""",
+    f"""{_UP} SELECT symbol, CASE WHEN {_MAPPED} THEN 'M' || substr(symbol, 3) ELSE isin END AS isin,
+    CASE WHEN {_MAPPED} THEN 'manual' ELSE resolution END AS resolution FROM st""",
 )
-register("removed_symbols", lambda spark, sf: universe.remove(stored(spark, sf), mapping(spark, sf)).select("symbol"), f"{_UP} SELECT symbol FROM st WHERE CAST(substr(symbol, 3) AS INTEGER) % 12 <> 0")
+register("removed_symbols", lambda spark, sf: universe.remove(stored(spark, sf), mapping(spark, sf)).select("symbol"), f"{_UP} SELECT symbol FROM st WHERE NOT {_MAPPED}")
 register("active_list", lambda spark, sf: active(spark, sf), f"{SCAN} SELECT * FROM act")
 register("unresolved_list", lambda spark, sf: universe.unresolved(Fr.scan_list(spark, sf)), f"{SCAN} SELECT symbol, exchange FROM lst WHERE resolution = 'unresolved' AND NOT ignored")
 register(
     "identifiers",
     lambda spark, sf: universe.identifiers(Fr.identifier_feed(spark, sf).drop("COMPANY NAME")),
     f"""SELECT 'S-' || s_suppkey AS nse_code, {S.supp('s_suppkey')} AS isin, CAST(s_suppkey AS VARCHAR) AS accord_code, CAST(NULL AS VARCHAR) AS company_name,
-    CASE WHEN s_suppkey % 7 = 0 THEN 'Delisted' ELSE 'Active' END AS trading_status FROM supplier WHERE s_suppkey % 10 <> 9""",
+    CASE WHEN s_suppkey % 7 = 0 THEN 'Delisted' ELSE 'Active' END AS trading_status FROM supplier WHERE s_nationkey <> 7""",
 )
 
 
 def found_dates(spark, sf):
     k = F.col("s_suppkey")
-    return Fr.table(spark, sf, "supplier").where("s_suppkey % 5 = 0").select(Fr.supplier_key("s_suppkey").alias("symbol"), F.when(k % 10 == 0, F.lit("2001-07-01").cast("date")).alias("result_date"))
+    return Fr.table(spark, sf, "supplier").where("s_nationkey >= 20").select(Fr.supplier_key("s_suppkey").alias("symbol"), F.when(k % 10 == 0, F.lit("2001-07-01").cast("date")).alias("result_date"))
 
 
 register(
     "stored_dates",
     lambda spark, sf: universe.store_dates(Fr.result_dates(spark, sf), found_dates(spark, sf), Fr.as_of()).select("symbol", "result_date", "status", F.col("checked_at").cast("string").alias("checked_at")),
-    f"""{SCAN}, f AS (SELECT {S.supp('s_suppkey')} AS symbol, CASE WHEN s_suppkey % 10 = 0 THEN DATE '2001-07-01' END AS d FROM supplier WHERE s_suppkey % 5 = 0)
+    f"""{SCAN}, f AS (SELECT {S.supp('s_suppkey')} AS symbol, CASE WHEN s_suppkey % 10 = 0 THEN DATE '2001-07-01' END AS d FROM supplier WHERE s_nationkey >= 20)
     SELECT coalesce(f.symbol, rd.symbol) AS symbol, CASE WHEN f.symbol IS NULL THEN result_date ELSE d END AS result_date,
     CASE WHEN f.symbol IS NULL THEN status WHEN d IS NULL THEN 'not_announced' ELSE 'announced' END AS status,
     CAST(CASE WHEN f.symbol IS NULL THEN checked_at ELSE {AS_OF} END AS VARCHAR) AS checked_at FROM rd FULL JOIN f ON rd.symbol = f.symbol""",

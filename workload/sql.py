@@ -333,7 +333,7 @@ wb AS (SELECT * FROM bars WHERE date >= DATE '{Fr.SCAN_START}' AND date < DATE '
 trig AS (
   SELECT symbol, ath_price, ath_date, CASE WHEN {k} % 4 = 0 THEN ath_price * 1.1e0 END AS today_ath,
     CASE WHEN {k} % 5 <> 0 THEN last_bar END AS last_split_check, TIMESTAMP '2001-05-01 00:00:00' AS last_updated
-  FROM (SELECT * REPLACE (ath_price * ({k} % 7 + 1) / 50 AS ath_price) FROM ha_top WHERE {k} % 9 <> 0)),
+  FROM (SELECT * REPLACE (ath_price * ({k} % 7 + 1) / 50 AS ath_price) FROM ha_top WHERE ath_date >= DATE '1998-01-01')),
 lst AS (
   SELECT {s} AS symbol, CASE WHEN s_suppkey % 3 = 0 THEN 'BSE' ELSE 'NSE' END AS exchange,
     CASE WHEN s_suppkey % 8 <> 0 THEN {s} END AS isin, CAST(s_suppkey AS VARCHAR) AS accord_code,
@@ -364,4 +364,4 @@ rd AS (
   SELECT {s} AS symbol, CASE WHEN s_suppkey % 4 <> 3 THEN CAST(DATE '2001-06-05' + CAST(s_suppkey % 20 AS INTEGER) AS DATE) END AS result_date,
     CASE WHEN s_suppkey % 4 <> 3 THEN 'announced' ELSE 'not_announced' END AS status,
     CASE WHEN s_suppkey % 6 <> 0 THEN TIMESTAMP '2001-06-14 00:00:00' + to_hours(CAST(s_suppkey % 36 AS INTEGER)) END AS checked_at
-  FROM supplier WHERE s_suppkey % 4 <> 0)"""])
+  FROM supplier WHERE s_acctbal > 1000)"""])

@@ -66,20 +66,23 @@ def _bucket_bases(counts: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, by: list[str], wanted: Quantiles, buckets: int) -> DataFrame:
-    distinct: dict[str, Column] = {}
-    for value, _ in wanted.values():
-        distinct.setdefault(str(value), value)
-    ids = {text: i for i, text in enumerate(distinct)}
+    distinct: dict[int, Column] = {id(value): value for value, _ in wanted.values()}
+    ids = {one: i for i, one in enumerate(distinct)}
     names = [f"v{i}" for i in range(len(distinct))]
-    wide = df.select(*by, *[number(v).alias(n) for v, n in zip(distinct.values(), names)])
+    # Group columns under names of their own, apart from those used here.
+    keys = [f"__k{i}" for i in range(len(by))]
+    wide = df.select(
+        *[F.col(c).alias(k) for c, k in zip(by, keys)],
+        *[number(v).alias(n) for v, n in zip(distinct.values(), names)],
+    )
     wide, _ = _with_buckets(wide, names, buckets)
     cells = F.array(*[
         F.struct(F.lit(i).alias("m"), F.col(n).alias("v"), F.col(f"b{i}").alias("b"))
         for i, n in enumerate(names)
     ])
-    group = [*by, "m"]
+    group = [*keys, "m"]
     counts = (
-        wide.select(*by, F.inline(cells))
+        wide.select(*keys, F.inline(cells))
         .where(F.col("v").isNotNull())
         .groupBy(*group, "b", "v")
         .agg(F.count("*").alias("c"))
@@ -90,31 +93,32 @@ def _bucketed(df: DataFrame, by: list[str], wanted: Quantiles, buckets: int) ->
         at = F.lit(float(p)) * (F.col("n") - 1)
         return F.floor(at), F.ceil(at)
 
-    def in_bucket(text: str, p: float) -> Column:
+    def in_bucket(value: Column, p: float) -> Column:
         lo, hi = ranks(p)
         end = F.col("base") + F.col("held")
         inside = lambda r: (r >= F.col("base")) & (r < end)
-        return (F.col("m") == ids[text]) & (inside(lo) | inside(hi))
+        return (F.col("m") == ids[id(value)]) & (inside(lo) | inside(hi))
 
-    keep = reduce(lambda x, y: x | y, [in_bucket(str(v), p) for v, p in wanted.values()])
+    keep = reduce(lambda x, y: x | y, [in_bucket(v, p) for v, p in wanted.values()])
     placed = _join_same(counts, bases.where(keep), [*group, "b"]).withColumn(
         "end",
         F.col("base") + F.sum("c").over(W.partitionBy(*group, "b").orderBy("v")),
     )
     start = F.col("end") - F.col("c")
 
-    def value_at(text: str, rank: Column) -> Column:
-        hit = (F.col("m") == ids[text]) & (rank >= start) & (rank < F.col("end"))
+    def value_at(m: int, rank: Column) -> Column:
+        hit = (F.col("m") == m) & (rank >= start) & (rank < F.col("end"))
         return F.max(F.when(hit, F.col("v")))
 
     aggs = []
     for out, (value, p) in wanted.items():
-        text = str(value)
+        m = ids[id(value)]
         lo, hi = ranks(p)
-        at = F.lit(float(p)) * (F.max(F.when(F.col("m") == ids[text], F.col("n"))) - 1)
-        low, high = value_at(text, lo), value_at(text, hi)
+        at = F.lit(float(p)) * (F.max(F.when(F.col("m") == m, F.col("n"))) - 1)
+        low, high = value_at(m, lo), value_at(m, hi)
         aggs.append((low + (high - low) * (at - F.floor(at))).alias(out))
-    return placed.groupBy(*by).agg(*aggs)
+    found = placed.groupBy(*keys).agg(*aggs)
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *wanted)
 
 
 def aggregate(
@@ -131,8 +135,19 @@ def aggregate(
     ``bounded`` says that the rows are few by nature, as one row per column of a schema.
     """
     if bounded or (buckets is None and fits_in_one_task(df)):
-        exact = [F.percentile(number(v), F.lit(p)).alias(o) for o, (v, p) in quantiles.items()]
-        return df.groupBy(*by).agg(*[c.alias(o) for o, c in plain.items()], *exact)
+        # One value map per Column object, however many quantiles it serves.
+        shared: dict[int, tuple[Column, list[tuple[str, float]]]] = {}
+        for out, (value, p) in quantiles.items():
+            shared.setdefault(id(value), (value, []))[1].append((out, p))
+        exact = [
+            F.percentile(number(v), F.array(*[F.lit(float(p)) for _, p in wanted])).alias(f"__q{i}")
+            for i, (v, wanted) in enumerate(shared.values())
+        ]
+        picked = [
+            F.col(f"__q{i}")[j].alias(out)
+            for i, (_, wanted) in enumerate(shared.values()) for j, (out, _) in enumerate(wanted)
+        ]
+        return df.groupBy(*by).agg(*[c.alias(o) for o, c in plain.items()], *exact).select(*by, *plain, *picked)
     base = df.groupBy(*by).agg(*[c.alias(o) for o, c in (plain or {"__n": F.count("*")}).items()])
     keys = by
     if not by:
@@ -162,7 +177,7 @@ def percentile_ranks(
     names = [f"v{i}" for i in range(len(metrics))]
     labels = list(scopes)
     wide = df.select(
-        F.col(key),
+        F.col(key).alias("__key"),
         *[number(m).alias(n) for m, n in zip(metrics, names)],
         *[
             (F.lit("") if col is None else F.col(col).cast("string")).alias(f"g{j}")
@@ -170,7 +185,7 @@ def percentile_ranks(
         ],
     )
     wide, frequent = _with_buckets(wide, names, buckets)
-    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int")
     cells = F.array(*[
         F.struct(
             F.lit(i * len(labels) + j).alias("m"), F.col(f"g{j}").alias("g"),
@@ -180,7 +195,7 @@ def percentile_ranks(
         for i, (n, often) in enumerate(zip(names, frequent))
         for j in range(len(labels))
     ])
-    long = wide.select(key, F.inline(cells)).where("v IS NOT NULL AND g IS NOT NULL")
+    long = wide.select("__key", F.inline(cells)).where("v IS NOT NULL AND g IS NOT NULL")
     group = ["m", "g"]
     outs = [
         F.max(F.when(F.col("m") == i * len(labels) + j, F.col("pct"))).alias(
@@ -193,7 +208,8 @@ def percentile_ranks(
         whole = W.partitionBy(*group)
         peers = F.count("*").over(W.partitionBy(*group, "v"))
         rank = F.rank().over(whole.orderBy("v")) + (peers - 1) / 2
-        return long.withColumn("pct", rank / F.count("*").over(whole) * 100).groupBy(key).agg(*outs)
+        ranks = long.withColumn("pct", rank / F.count("*").over(whole) * 100)
+        return ranks.groupBy(F.col("__key").alias(key)).agg(*outs)
     counts = long.groupBy(*group, "b", "v").agg(F.count("*").alias("c"))
     bases = _bucket_bases(counts, group)
     upto = F.sum("c").over(W.partitionBy(*group, "b").orderBy("v"))
@@ -216,7 +232,7 @@ def percentile_ranks(
     copies = F.when(is_often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = ranked.select("*", F.explode(copies).alias("salt"))
     placed = long.join(salted, [*group, "b", "v", "salt"])
-    return placed.groupBy(key).agg(*outs)
+    return placed.groupBy(F.col("__key").alias(key)).agg(*outs)
 
 
 def add_percentile_ranks(

@@ -104,11 +104,12 @@ def commit(
     spark: SparkSession, store: str, supplied: dict[str, tuple[str, DataFrame]], built_at: Column,
     today: str, date: str | None = None, replace: bool = False, allow_duplicate: bool = False,
     low: int | None = K.UNIVERSE_MIN, high: int | None = K.UNIVERSE_MAX,
-    feed: dict[str, tuple[str, DataFrame]] | None = None,
+    feed: dict[str, tuple[str, DataFrame]] | None = None, feed_fetched: str | None = None,
     build_fn: Callable[..., Curated] = build,
 ) -> dict:
     """Build one snapshot and publish it. ``supplied``: source to (file name, loaded
-    frame). The build is materialised and checked before any partition is touched."""
+    frame); ``feed`` likewise for a fetched period feed, which an upload overrides.
+    The build is materialised and checked before any partition is touched."""
     if not supplied:
         raise S.SnapshotError("no files supplied")
     given = {**(feed or {}), **supplied}
@@ -145,7 +146,7 @@ def commit(
     S.write_partition(rows, f"{store}/provenance", snap)
     return {
         "snapshot_date": snap, "universe": n, "columns": len(companies.columns),
-        "replaced": snap in held, "sources": resolved, "notes": S.notes(resolved, has_feed=bool(feed)),
+        "replaced": snap in held, "sources": resolved, "notes": S.notes(resolved, feed_stale=bool(feed) and feed_fetched != today, has_feed=bool(feed)),
     }
 
 

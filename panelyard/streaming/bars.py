@@ -21,11 +21,13 @@ def scan_batch(spark: SparkSession, store: str, listed: Callable[[], DataFrame],
     path and is overwritten, so a batch that is run again leaves one copy."""
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/bars/batch={number}")
+        # Partitioned by day, so that the lookback reads its days only.
+        dated = batch.where("date IS NOT NULL")
+        if dated.isEmpty():
+            return
+        dated.write.mode("overwrite").partitionBy("date").parquet(f"{store}/bars/batch={number}")
         bars = spark.read.schema(BARS).parquet(f"{store}/bars")
         newest = spark.read.schema(BARS).parquet(f"{store}/bars/batch={number}").agg(F.max("date")).first()[0]
-        if newest is None:
-            return
         window = bars.where(F.col("date") > F.date_sub(F.lit(newest), lookback_days))
         # Bars of a symbol and day that arrived twice count once.
         window = window.groupBy("symbol", "date").agg(

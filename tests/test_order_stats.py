@@ -101,6 +101,16 @@ def test_a_frequent_value_is_salted(spark):
     np.testing.assert_allclose(got["pct_rank_x"].to_numpy(), want.to_numpy(), rtol=1e-12)
 
 
+def test_columns_named_like_the_internals(df, pdf):
+    odd = df.select(F.col("k").alias("v"), F.col("g").alias("m"), F.col("x").alias("n"))
+    got = {r.m: r.b for r in O.aggregate(odd, ["m"], {"c": F.count("*")}, {"b": O.median("n")}, 8).collect()}
+    assert got["hot"] == pytest.approx(pdf[pdf.g == "hot"].x.median())
+    for buckets in (1, 8):
+        ranks = O.percentile_ranks(odd, "v", ["n"], {"": None, "b": "m"}, buckets).toPandas().set_index("v").sort_index()
+        want = (pdf.x.rank(pct=True) * 100).dropna()
+        np.testing.assert_allclose(ranks["pct_rank_n"].to_numpy(), want.to_numpy(), rtol=1e-12)
+
+
 def test_size_decides(spark):
     small = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     assert fits_in_one_task(small)

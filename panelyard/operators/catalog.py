@@ -43,7 +43,7 @@ def screenable(name: Column, coverage_pct: Column, unit: Column) -> Column:
 def build(df: DataFrame, metadata: DataFrame, masked: list[str] | None = None) -> DataFrame:
     """One row per column of ``df``. Columns without metadata get the neutral defaults."""
     name, cov = F.col("name"), F.col("coverage_pct")
-    base = coverage(df).select(F.col("column").alias("name"), F.round("coverage_pct", 1).alias("coverage_pct"))
+    base = coverage(df).select(F.col("column").alias("name"), F.bround("coverage_pct", 1).alias("coverage_pct"))
     joined = base.join(column_types(df), "name").join(metadata, "name", "left")
     d = F.col("dtype")
     default_unit = (

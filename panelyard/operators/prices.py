@@ -124,8 +124,8 @@ def relative_strength(
     peak = F.when(usable, safe_div("top", "anchor") * 100)
     verdict = F.when(~usable, "N/A").when(current >= peak * tolerance, "Y").otherwise("N")
     return summary.select(
-        "symbol", verdict.alias("ath_outperformance"), F.round(current, 2).alias("current_rs"),
-        F.round(peak, 2).alias("ath_rs"),
+        "symbol", verdict.alias("ath_outperformance"), F.bround(current, 2).alias("current_rs"),
+        F.bround(peak, 2).alias("ath_rs"),
     )
 
 

@@ -16,7 +16,7 @@ from panelyard.operators.periods import history_depth
 def coverage_report(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """Coverage of every column with its catalog entry, worst first."""
     meta = catalog.select("name", "segment", "source", "provenance", "screenable")
-    rows = C.coverage(df).withColumn("coverage_pct", F.round("coverage_pct", 1))
+    rows = C.coverage(df).withColumn("coverage_pct", F.bround("coverage_pct", 1))
     return (
         rows.join(meta, F.col("column") == F.col("name"), "left")
         .select("column", "non_null", "coverage_pct", "segment", "source", "provenance", "screenable")

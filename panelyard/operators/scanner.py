@@ -99,7 +99,8 @@ def find_hits(universe: DataFrame, state: DataFrame, window_bars: DataFrame) ->
     """Scanned symbols whose last high reached the (repaired) trigger, to the cent."""
     triggers = state.where("ath_price IS NOT NULL").select("symbol", F.col("ath_price").alias("trigger"))
     rows = _priced(universe, window_bars).where("usable").join(triggers, "symbol")
-    reached = F.round("today_high", 2) >= F.round("trigger", 2)
+    # Half-even, as a split leaves exact half cents.
+    reached = F.bround("today_high", 2) >= F.bround("trigger", 2)
     return rows.where(reached).select(
         *universe.columns, "today_high", "today_close", "prev_close", "trigger"
     )

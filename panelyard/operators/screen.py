@@ -221,7 +221,7 @@ def export_frame(df: DataFrame, specs: Sequence[dict[str, str]]) -> DataFrame:
             cell = F.substring(c.cast("string"), 1, 10)
         elif fmt == "cr":
             label = f"{label} (₹ Cr)"
-            cell = F.round(F.try_divide(c.cast("double"), F.lit(1e7)), 2).cast("string")
+            cell = F.bround(F.try_divide(c.cast("double"), F.lit(1e7)), 2).cast("string")
         else:
             cell = F.nullif(c.cast("string"), F.lit(""))
         out.append(F.when(F.array_contains(masked, name), "n/a").otherwise(cell).alias(label))

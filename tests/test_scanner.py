@@ -109,6 +109,9 @@ def test_hits_failures_and_missing_triggers(spark):
 def test_hit_filter_works_to_the_cent(spark):
     window = bars(spark, "AAA", [1.0, 99.996])
     assert S.find_hits(listed(spark, "AAA"), state(spark, [("AAA", 100.0, None, None)]), window).count() == 1
+    # 100.25 halved by a split is 50.125, which is 50.12 to the cent.
+    half = bars(spark, "AAA", [1.0, 50.12])
+    assert S.find_hits(listed(spark, "AAA"), state(spark, [("AAA", 50.125, None, None)]), half).count() == 1
 
 
 def test_repeated_splits_and_log(spark):

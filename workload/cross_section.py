@@ -145,7 +145,7 @@ register(
     ).select("Symbol", "Above EMA", "As Of", F.col("ROCE").try_cast("double").alias("ROCE"),
              (F.col("ROCE") == "n/a").alias("masked"), F.col("Market Cap (₹ Cr)").cast("double").alias("mcap_cr")),
     f"""{E} SELECT symbol AS "Symbol", CASE WHEN above_ema_200 THEN 'Yes' ELSE 'No' END AS "Above EMA", '2001-08-02' AS "As Of",
-    CASE WHEN sector <> 'MACHINERY' THEN roce END AS "ROCE", sector = 'MACHINERY' AS masked, round(market_cap / 1e7, 2) AS mcap_cr FROM e""",
+    CASE WHEN sector <> 'MACHINERY' THEN roce END AS "ROCE", sector = 'MACHINERY' AS masked, round_even(market_cap / 1e7, 2) AS mcap_cr FROM e""",
 )
 
 # ------------------------------------------------------------------ groups
@@ -391,9 +391,9 @@ COV = ", ".join(f"(SELECT count({n}) FROM e) AS c{i}" for i, n in enumerate(NAME
 COVERAGE = f"""{E}, m AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{n}', '{seg}', '{u}', '{p}')" for i, (n, seg, u, f, p) in enumerate(META))}) t(i, name, segment, unit, polarity)),
 tot AS (SELECT count(*) AS n FROM e),
 nn AS (SELECT * FROM (VALUES {', '.join(f"({i}, (SELECT count({n}) FROM e))" for i, n in enumerate(NAMES))}) t(i, non_null)),
-cat AS (SELECT name, segment, unit, polarity, non_null, round(non_null * 100e0 / n, 1) AS coverage_pct,
+cat AS (SELECT name, segment, unit, polarity, non_null, round_even(non_null * 100e0 / n, 1) AS coverage_pct,
   name NOT IN ('roce', 'debt_to_equity', 'roic') AS finance_valid,
-  name LIKE 'idx\\_%' ESCAPE '\\' OR (round(non_null * 100e0 / n, 1) >= 50 AND unit NOT IN ('text', 'date')) AS screenable,
+  name LIKE 'idx\\_%' ESCAPE '\\' OR (round_even(non_null * 100e0 / n, 1) >= 50 AND unit NOT IN ('text', 'date')) AS screenable,
   CASE WHEN name LIKE 'perf%' THEN 'derived' ELSE 'reported' END AS provenance FROM m JOIN nn USING (i), tot) """
 register(
     "catalog",

@@ -43,7 +43,7 @@ def _rs_sql(n):
     return f"""rs AS (SELECT symbol, count(*) AS n, max(ratio) FILTER (WHERE rn = {n}) AS anchor, max(ratio) FILTER (WHERE rn = 1) AS last, max(ratio) AS top FROM (
       SELECT symbol, b.close / x.close AS ratio, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars b JOIN bench x USING (date)) WHERE rn <= {n} GROUP BY 1),
     rsv AS (SELECT symbol, CASE WHEN n < {n} OR coalesce(anchor, 0) = 0 THEN 'N/A' WHEN last / anchor * 100 >= top / anchor * 100 * 0.9999 THEN 'Y' ELSE 'N' END AS ath_outperformance,
-      CASE WHEN n = {n} THEN round(last / nullif(anchor, 0) * 100, 2) END AS current_rs, CASE WHEN n = {n} THEN round(top / nullif(anchor, 0) * 100, 2) END AS ath_rs FROM rs)"""
+      CASE WHEN n = {n} THEN round_even(last / nullif(anchor, 0) * 100, 2) END AS current_rs, CASE WHEN n = {n} THEN round_even(top / nullif(anchor, 0) * 100, 2) END AS ath_rs FROM rs)"""
 
 
 for _n in (211, 21, 600):
@@ -143,7 +143,7 @@ res AS (SELECT a.symbol, today_high AS new_ath_price, trigger_price, CASE WHEN t
   CASE WHEN v.isin IS NULL THEN 'no_data' WHEN pat_both_at_ath THEN 'at_ath' ELSE 'not_at_ath' END AS profit_state,
   coalesce(result_date <= CAST({AS_OF} AS DATE) AND result_date >= DATE '2001-06-10', false) AS profit_stale, result_date
   FROM act a JOIN lastp USING (symbol) JOIN t1 USING (symbol) LEFT JOIN rsv USING (symbol) LEFT JOIN v ON v.isin = a.isin LEFT JOIN rd USING (symbol)
-  WHERE closes >= 2 AND round(today_high, 2) >= round(trigger_price, 2)) """
+  WHERE closes >= 2 AND round_even(today_high, 2) >= round_even(trigger_price, 2)) """
 register("scan_results", lambda spark, sf: run(spark, sf).results.drop("stop_loss"), f"{_RUN} SELECT * FROM res")
 register(
     "scan_summary",

@@ -359,7 +359,7 @@ lastp AS (
 hits AS (
   SELECT act.*, today_high, today_close, prev_close, ath_price AS trigger
   FROM act JOIN lastp USING (symbol) JOIN rep USING (symbol)
-  WHERE closes >= 2 AND ath_price IS NOT NULL AND round(today_high, 2) >= round(ath_price, 2)),
+  WHERE closes >= 2 AND ath_price IS NOT NULL AND round_even(today_high, 2) >= round_even(ath_price, 2)),
 rd AS (
   SELECT {s} AS symbol, CASE WHEN s_suppkey % 4 <> 3 THEN CAST(DATE '2001-06-05' + CAST(s_suppkey % 20 AS INTEGER) AS DATE) END AS result_date,
     CASE WHEN s_suppkey % 4 <> 3 THEN 'announced' ELSE 'not_announced' END AS status,

@@ -12,9 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side of a join is broadcast only after its rows were counted and found to be at most
-# this many; beyond it the join shuffles.
+# A side of a join is broadcast only after its rows were counted and its files measured, and
+# found to be at most this; beyond it the join shuffles.
 BROADCAST_ROWS = 300_000
+BROADCAST_BYTES = 8 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NULL_ID = -(1 << 63)
@@ -48,8 +49,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a stored table has at most ``rows`` rows (from the Parquet footers)."""
-    return df.agg(F.count(F.lit(1))).first()[0] <= rows
+    """Whether a stored table has at most ``rows`` rows and its files BROADCAST_BYTES bytes."""
+    files = df.groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n"), F.max("_metadata.file_size").alias("b"))
+    n, size = files.agg(F.sum("n"), F.sum("b")).first()
+    return n is None or (n <= rows and size <= BROADCAST_BYTES)
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -74,7 +77,7 @@ def ascii_lower(column: Column) -> Column:
     )
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mib: int = 16) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, mib: int = 2) -> None:
     """Bounds the Arrow batches handed to Python by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mib << 20))

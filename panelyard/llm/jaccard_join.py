@@ -28,7 +28,7 @@ from panelyard.llm.common import NULL_ID, checked_broadcast, components, mix, ne
 BLOCK = 256
 PIVOT_ROUNDS = 2
 BAND_GROWTH = 1.5
-FLUSH_KEYS = 2_000_000
+FLUSH_KEYS = 1_000_000
 
 _BYTES = random_words(256, 11) | np.uint64(1)
 _PLACES = random_words(4096, 12) | np.uint64(1)
@@ -179,7 +179,7 @@ def signed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     costs the shuffle one entry per task.
     """
     spark = documents.sparkSession
-    small_batches(spark, rows=4000, mib=4)
+    small_batches(spark, rows=1000, mib=1)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
     several = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
     members = stored(members.join(several, "key"), "members")
     wanted = stored(members.select("id").distinct(), "wanted")
-    small_batches(spark, rows=4000, mib=4)
+    small_batches(spark, rows=1000, mib=1)
     arrays = stored(rows.join(checked_broadcast(wanted), "id", "left_semi").distinct().mapInArrow(_arrays(width), "id long, n int, bits binary, shingles binary"), "arrays")
 
     def side(s: str) -> DataFrame:
@@ -324,7 +324,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
 
     def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.join(side("a"), "a").join(side("b"), "b")
-        small_batches(spark, rows=500, mib=8)
+        small_batches(spark, rows=500, mib=4)
         return stored(met.mapInArrow(_settle(percent), "a long, b long").distinct(), "verified")
 
     edges = stands_for.select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -347,7 +347,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
             packed = cut.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
                 F.collect_list(F.struct("id", "n", "bits", "component", "block")).alias("rows")
             )
-            small_batches(spark, rows=1000, mib=8)
+            small_batches(spark, rows=1000, mib=4)
             pairs = packed.mapInArrow(_bounded_pairs(percent), "a long, b long")
         pairs = pairs.where("a <> b").distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")

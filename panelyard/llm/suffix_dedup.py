@@ -29,7 +29,7 @@ from panelyard.llm.common import NULL_ID, checked_broadcast, inverse, mix, new_f
 
 GRAM = 32
 FLUSH_SEGMENTS = 1_000_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 HOT_ANCHOR = 2000  # distinct segments of an anchor beyond which it is split by content
 STRIPE = 8
 
@@ -130,7 +130,7 @@ def candidates(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     lead): the earliest of each of an anchor's different segments. Segments travel as packed
     arrays, one per task and bucket."""
     spark = documents.sparkSession
-    small_batches(spark, rows=4000, mib=4)
+    small_batches(spark, rows=1000, mib=1)
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def settle_segments(documents: DataFrame, requests: DataFrame, least: int) -> Da
         if held:
             yield settled()
 
-    small_batches(spark, rows=1000, mib=8)
+    small_batches(spark, rows=1000, mib=2)
     texts = documents.join(checked_broadcast(asked), documents["id"] == asked["doc"]).select("doc", "text", "asked")
     pieces = stored(texts.mapInArrow(cut, piece), "pieces")
     alone = pieces.where("key is null").select("doc", "start", "count")
@@ -396,7 +396,7 @@ def remove_repeats(documents: DataFrame, least: int = 100, doc_id: str = "doc_id
             d, s = united(doc, held)
             yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([s], pa.binary())], names=["doc", "runs"])
 
-    small_batches(spark, rows=50_000, mib=8)
+    small_batches(spark, rows=50_000, mib=4)
     runs = stored(covers.repartition("doc").sortWithinPartitions("doc", "start").mapInArrow(merged, "doc long, runs binary"), "runs")
     carried = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep or [])]
     whole = documents.select(
@@ -420,7 +420,7 @@ def remove_repeats(documents: DataFrame, least: int = 100, doc_id: str = "doc_id
                 names=["id", "spans", "kept", *batch.schema.names[2:-1]],
             )
 
-    small_batches(spark, rows=1000, mib=8)
+    small_batches(spark, rows=1000, mib=2)
     schema = marked.schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields[2:-1])
     out = marked.mapInArrow(removed, "id long, spans array<struct<begin: bigint, end: bigint>>, kept binary" + (f", {fields}" if fields else ""))

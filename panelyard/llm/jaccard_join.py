@@ -8,9 +8,9 @@ same order, they agree on a part that neither left out. So (band, part, its cont
 in which every linked pair meets, while texts that only share a common passage rarely do.
 
 Within tiles links are found without listing all pairs: equal sets are one entry; every entry
-is first compared with its tile's pivot (two rounds, other pivots each) and linked entries
-become components; only entries of different components that still share a tile are compared
-in blocks. Bitmaps bound an overlap from above (each bit set on one side only is a shingle the
+is first compared with its tile's pivot, and linked entries become components; entries of
+different components that still share a tile are compared in blocks, first with their few best
+partners by bound, then - components having grown - with all that are left. Bitmaps bound an overlap from above (each bit set on one side only is a shingle the
 other side lacks); what passes is settled by intersecting the sorted arrays.
 """
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from panelyard.llm.common import NULL_ID, checked_broadcast, components, mix, new_folder, random_words, small_batches, stored, text_buffer
 
 BLOCK = 256
-PIVOT_ROUNDS = 2
+WIDEST_BITS = 8192
+ROUNDS = (0, 4, 2 * BLOCK)  # partners per row and block; 0: the tile's pivot alone; the last: all
 BAND_GROWTH = 1.5
 FLUSH_KEYS = 1_000_000
 
@@ -277,20 +278,43 @@ def _settle(percent: int):
     return settled
 
 
-def _bounded_pairs(percent: int):
-    """Pairs of different components in a block, or across two, that pass size and bitmap."""
+def _bounds(rows: list) -> np.ndarray:
+    """At least the overlap of every two of the rows, all at once: common bits are a product
+    of bit matrices."""
+    width = min(8 * min(len(r["bits"]) for r in rows), WIDEST_BITS)
+    bits = np.stack([np.unpackbits(_folded(np.frombuffer(r["bits"], np.uint8), width // 8), bitorder="little") for r in rows]).astype(np.float32)
+    common = np.rint(bits @ bits.T).astype(np.int64)
+    missing = np.diagonal(common)[:, None] - common  # bits of a row that the other lacks
+    n = np.array([r["n"] for r in rows], np.int64)
+    return np.minimum(n[:, None] - missing, (n[:, None] - missing).T)
+
+
+def _bounded_pairs(percent: int, partners: int):
+    """Pairs of different components in a block, or across two, that pass size and bitmap: for
+    each row its ``partners`` best by bound."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for one, i, j in zip(batch.column("rows").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
-                for x, r in enumerate(one):
-                    for s in one[x + 1 :]:
-                        if r["component"] == s["component"] or (i != j and r["block"] == s["block"]):
-                            continue
-                        if enough(min(r["n"], s["n"]), r["n"], s["n"], percent) and enough(overlap_bound(r["n"], r["bits"], s["n"], s["bits"]), r["n"], s["n"], percent):
-                            left.append(min(r["id"], s["id"]))
-                            right.append(max(r["id"], s["id"]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            for rows, i, j in zip(batch.column("rows").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+                if len(rows) < 2:
+                    continue
+                n, ids = np.array([r["n"] for r in rows], np.int64), np.array([r["id"] for r in rows], np.int64)
+                component, block = np.array([r["component"] for r in rows]), np.array([r["block"] for r in rows])
+                bound = _bounds(rows)
+                passes = (100 * bound >= percent * (n[:, None] + n[None, :] - bound)) & (component[:, None] != component[None, :])
+                if i != j:
+                    passes &= block[:, None] != block[None, :]
+                if partners < len(rows):
+                    ranked = np.where(passes, bound, -1)
+                    best = np.argpartition(-ranked, partners - 1, axis=1)[:, :partners]
+                    chosen = np.zeros_like(passes)
+                    np.put_along_axis(chosen, best, True, axis=1)
+                    passes &= chosen
+                x, y = np.nonzero(passes)
+                left.append(np.minimum(ids[x], ids[y]))
+                right.append(np.maximum(ids[x], ids[y]))
+            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
 
     return pairs
 
@@ -330,7 +354,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
     edges = stands_for.select(F.col("id").alias("a"), F.col("rep").alias("b"))
     tested = None
     groups = components(edges)
-    for turn in range(PIVOT_ROUNDS + 1):
+    for turn, partners in enumerate(ROUNDS):
         placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         placed = stored(placed, "placed")
         open_tiles = placed.groupBy("key").agg(
@@ -338,7 +362,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
             F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("pivot"),
         ).where("x <> y")
         mixed = placed.join(open_tiles.select("key", "pivot", "size"), "key")
-        if turn < PIVOT_ROUNDS:
+        if not partners:
             pairs = mixed.where("component <> pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
         else:
             blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
@@ -348,7 +372,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
                 F.collect_list(F.struct("id", "n", "bits", "component", "block")).alias("rows")
             )
             small_batches(spark, rows=1000, mib=4)
-            pairs = packed.mapInArrow(_bounded_pairs(percent), "a long, b long")
+            pairs = packed.mapInArrow(_bounded_pairs(percent, partners), "a long, b long")
         pairs = pairs.where("a <> b").distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)

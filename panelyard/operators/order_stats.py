@@ -1,9 +1,8 @@
 """Exact medians, quantiles and percentile ranks that hold when one group is huge.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. That is fine
-for a source of known small size and is what runs there. Otherwise values are first
-counted per (group, value) with a map-side combine, cut into value buckets, and only
-the buckets that hold a wanted rank are ordered, so no task sees a whole group.
+Values are counted per (group, value) with a map-side combine and cut into value buckets;
+only the buckets that hold a wanted rank are ordered, so no task sees a whole group. The
+number of buckets follows the number of rows.
 
 Bucket limits come from ``approxQuantile``. They are literals of the plan by the time
 the exact part runs, so a recomputed task places each row as before; their quality
@@ -20,15 +19,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelyard.functions.exprs import number
-from panelyard.session import fits_in_one_task
 
-BUCKETS = 2048
+ROWS_PER_BUCKET = 100_000
+MOST_BUCKETS = 16_384  # limits are literals of the plan; at 10^12 rows a bucket has 6 x 10^7
 SALTS = 32
 
 # output name -> (value, probability)
 Quantiles = dict[str, tuple[Column, float]]
 
 
+def _buckets_for(df: DataFrame) -> int:
+    return min(MOST_BUCKETS, df.count() // ROWS_PER_BUCKET + 1)
+
+
 def _with_buckets(df: DataFrame, values: list[str], buckets: int) -> tuple[DataFrame, list[list[float]]]:
     """Adds ``b0, b1, ...`` with the bucket of each value column, and returns the values
     so frequent that they fill whole buckets (at most ``buckets`` per column)."""
@@ -54,7 +57,7 @@ def _join_same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner")
 
 def _bucket_bases(counts: DataFrame, group: list[str]) -> DataFrame:
     """Per bucket: rows before it (``base``), rows in it (``held``), rows of the group.
-    A group has at most BUCKETS rows here, so the window stays small."""
+    A group has at most MOST_BUCKETS rows here, so the window stays small."""
     held = counts.groupBy(*group, "b").agg(F.sum("c").alias("held"))
     ordered = W.partitionBy(*group).orderBy("b")
     return held.withColumns(
@@ -131,10 +134,10 @@ def aggregate(
 ) -> DataFrame:
     """``plain`` aggregates plus exact interpolated ``quantiles`` per group.
 
-    ``buckets`` forces the bucketed form; by default the size of the source decides.
+    ``buckets`` sets the number of value buckets; by default the number of rows does.
     ``bounded`` says that the rows are few by nature, as one row per column of a schema.
     """
-    if bounded or (buckets is None and fits_in_one_task(df)):
+    if bounded:
         # One value map per Column object, however many quantiles it serves.
         shared: dict[int, tuple[Column, list[tuple[str, float]]]] = {}
         for out, (value, p) in quantiles.items():
@@ -154,7 +157,7 @@ def aggregate(
         # All rows are one group; the plain part keeps its row when there are none.
         keys = ["__all"]
         df, base = df.withColumn("__all", F.lit(0)), base.withColumn("__all", F.lit(0))
-    found = _bucketed(df, keys, quantiles, buckets or BUCKETS)
+    found = _bucketed(df, keys, quantiles, buckets or _buckets_for(df))
     return _join_same(base, found, keys, "left").select(*by, *plain, *quantiles)
 
 
@@ -173,7 +176,7 @@ def percentile_ranks(
     non-null count, times 100. ``scopes`` maps a suffix ("" = all rows) to its column.
     """
     if buckets is None:
-        buckets = 1 if fits_in_one_task(df) else BUCKETS
+        buckets = _buckets_for(df)
     names = [f"v{i}" for i in range(len(metrics))]
     labels = list(scopes)
     wide = df.select(
@@ -204,12 +207,6 @@ def percentile_ranks(
         for i, metric in enumerate(metrics)
         for j, label in enumerate(labels)
     ]
-    if buckets <= 1:
-        whole = W.partitionBy(*group)
-        peers = F.count("*").over(W.partitionBy(*group, "v"))
-        rank = F.rank().over(whole.orderBy("v")) + (peers - 1) / 2
-        ranks = long.withColumn("pct", rank / F.count("*").over(whole) * 100)
-        return ranks.groupBy(F.col("__key").alias(key)).agg(*outs)
     counts = long.groupBy(*group, "b", "v").agg(F.count("*").alias("c"))
     bases = _bucket_bases(counts, group)
     upto = F.sum("c").over(W.partitionBy(*group, "b").orderBy("v"))

@@ -101,13 +101,12 @@ def relative_strength(
     common days. ``Y`` within the tolerance of the window's peak; too little history or
     no anchor is ``N/A``.
 
-    ``benchmark`` (date, close) holds one row per day, a few hundred per year, so it is
-    broadcast and the bars are not shuffled for this join.
+    ``benchmark`` (date, close) is joined as Spark sees fit by its size.
     """
     bench = benchmark.groupBy("date").agg(F.max("close").alias("bench"))
     common = (
         bars.where("close IS NOT NULL")
-        .join(F.broadcast(bench.where("bench IS NOT NULL")), "date")
+        .join(bench.where("bench IS NOT NULL"), "date")
         .select("symbol", "date", safe_div("close", "bench").alias("ratio"))
     )
     newest_first = W.partitionBy("symbol").orderBy(F.col("date").desc())

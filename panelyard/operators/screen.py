@@ -71,10 +71,15 @@ def predicate(df: DataFrame, one: Filter) -> Column:
     if many or value is None:
         raise ValueError(f"op '{op}' needs a single value")
     if op == "contains":
-        return F.lower(col.cast("string")).like(f"%{str(value).lower()}%")
+        return F.lower(col.cast("string")).like(f"%{_literal_backslash(str(value).lower())}%")
     return COMPARISONS[op](col, F.lit(value))
 
 
+def _literal_backslash(pattern: str) -> str:
+    """A backslash of a search text stands for itself; % and _ stay wildcards."""
+    return pattern.replace("\\", "\\\\")
+
+
 def where_all(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     parts = [predicate(df, f) for f in filters]
     return df.where(reduce(lambda a, b: a & b, parts)) if parts else df
@@ -171,9 +176,9 @@ def search(df: DataFrame, q: str, limit: int = 10) -> DataFrame:
     """Type-ahead on symbol and name: exact, then prefix, then anywhere; larger first."""
     if not q:
         raise ValueError("empty query")
-    term = q.lower()
     symbol, name = F.lower("symbol"), F.lower("name")
-    rank = F.when(symbol == term, 0).when(symbol.like(f"{term}%"), 1).otherwise(2)
+    exact, term = q.lower(), _literal_backslash(q.lower())
+    rank = F.when(symbol == exact, 0).when(symbol.like(f"{term}%"), 1).otherwise(2)
     return (
         df.where(symbol.like(f"%{term}%") | name.like(f"%{term}%"))
         .orderBy(rank, F.col("market_cap").desc_nulls_last(), F.col("symbol"))
@@ -183,7 +188,7 @@ def search(df: DataFrame, q: str, limit: int = 10) -> DataFrame:
 
 
 def prefix_search(df: DataFrame, q: str = "", limit: int = 200, column: str = "symbol") -> DataFrame:
-    return df.where(F.col(column).ilike(f"{q}%")).orderBy(column).limit(limit)
+    return df.where(F.col(column).ilike(f"{_literal_backslash(q)}%")).orderBy(column).limit(limit)
 
 
 def by_symbol(df: DataFrame, symbol: str) -> DataFrame:

@@ -6,10 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Sources below this many bytes let an order statistic keep one value map per group in
-# one task; above it the bucketed form is used (operators/order_stats.py).
-BUFFERED_SOURCE_BYTES = 256 * 1024 * 1024
-
 
 def build_session(app: str = "panelyard", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; callers' settings win."""
@@ -42,17 +38,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return df.checkpoint()
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Bytes held by the tables ``df`` reads, from the statistics Spark keeps for its
-    scans. No job runs. Unknown sizes count as unbounded."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except AttributeError:
-        return 1 << 62
-
-
-def fits_in_one_task(df: DataFrame) -> bool:
-    return source_bytes(df) <= BUFFERED_SOURCE_BYTES

@@ -250,7 +250,8 @@ def provenance_rows(
     universe: int, columns: int,
 ) -> DataFrame:
     rows = [
-        (s, info["filename"], info["from_snapshot"] or date, bool(info["carried_forward"]))
+        # what the day itself supplied before it was replaced is not carried: it stays its own
+        (s, info["filename"], info["from_snapshot"] or date, bool(info["carried_forward"]) and info["from_snapshot"] != date)
         for s, info in resolved.items()
     ]
     base = spark.createDataFrame(rows, "source string, filename string, from_snapshot string, carried_forward boolean")

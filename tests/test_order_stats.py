@@ -11,7 +11,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from panelyard.operators import order_stats as O
-from panelyard.session import fits_in_one_task
 
 random.seed(7)
 ROWS = []
@@ -111,10 +110,9 @@ def test_columns_named_like_the_internals(df, pdf):
         np.testing.assert_allclose(ranks["pct_rank_n"].to_numpy(), want.to_numpy(), rtol=1e-12)
 
 
-def test_size_decides(spark):
-    small = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
-    assert fits_in_one_task(small)
-    assert not fits_in_one_task(spark.range(1 << 40))
+def test_buckets_follow_the_rows(spark):
+    assert O._buckets_for(spark.range(10)) == 1
+    assert O._buckets_for(spark.range(10 * O.ROWS_PER_BUCKET)) == 11
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

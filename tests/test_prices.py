@@ -73,12 +73,6 @@ def test_wide_columns_in_both_orders(spark):
     assert (row.symbol, row.high, row.close) == ("Z", 3.0, None)
 
 
-def test_benchmark_is_broadcast_not_shuffled(spark):
-    df = bars(spark, [(1, 1, 0)] * 5)
-    plan = P.relative_strength(df, df.select("date", "close"), 3)._jdf.queryExecution().toString()
-    assert "BroadcastHashJoin" in plan
-
-
 def test_window_splits(spark):
     df = bars(spark, [(1, 1, 2.0), (1, 1, 0), (1, 1, 1.5)])
     row = P.window_splits(df).first()

@@ -16,9 +16,11 @@ from panelyard.functions import tags as T
 from panelyard.functions.exprs import safe_div, to_snake
 from panelyard.operators import derive, matching, periods, prices
 
-FULL = ("1995-01-01", "2001-08-02")
-SNAPSHOTS = {"2000-01-01": ("1998-01-01", "2000-01-01"), "2001-01-01": ("1999-01-01", "2001-01-01")}
-BEFORE, AFTER = list(SNAPSHOTS)
+# The day that lookback windows count from; orders are not cut by it.
+TODAY = "2001-08-02"
+# A snapshot is the state up to its date: all orders before it.
+SNAPSHOTS = ("2000-01-01", TODAY)
+BEFORE, AFTER = SNAPSHOTS
 
 SECTOR_MASKED = "MACHINERY"
 MASKED = ["roce", "debt_to_equity", "roic"]
@@ -32,9 +34,8 @@ FACTORS = {
 OWNERSHIP = {"mnc": ["5-LOW"]}
 TAGS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
-QUARTERS = 26
-YEARS = 6
-PERIODS_END = "2001-07-01"
+QUARTERS = 48
+YEARS = 15
 SCAN_START, SCAN_END = "2001-05-01", "2001-05-15"
 AS_OF = "2001-06-15 18:00:00"
 
@@ -59,8 +60,10 @@ def _rating(code: str) -> str:
     return f"CASE {code} WHEN 0 THEN 'Strong buy' WHEN 1 THEN 'Buy' WHEN 2 THEN 'Neutral' WHEN 3 THEN 'Sell' END"
 
 
-def entities_raw(spark: SparkSession, sf: str, lo: str = FULL[0], hi: str = FULL[1]) -> DataFrame:
-    """One row per customer with orders in [lo, hi)."""
+def entities_raw(spark: SparkSession, sf: str, before: str | None = None) -> DataFrame:
+    """One row per customer, over all its orders (none: nulls); or, as of a day, one row per
+    customer that has ordered before it."""
+    hi = before or TODAY
     since = {
         n: f"o_orderdate >= TIMESTAMP_NTZ '{date.fromisoformat(hi) - timedelta(days=n)}'" for n in (91, 182, 365, 730)
     }
@@ -90,10 +93,11 @@ def entities_raw(spark: SparkSession, sf: str, lo: str = FULL[0], hi: str = FULL
         "tag_set": f"collect_set(o_orderpriority) FILTER (WHERE {since[730]})",
     }
     d = F.col("o_orderdate")
-    orders = table(spark, sf, "orders").where((d >= _day(lo, 0)) & (d < _day(hi, 0)))
+    orders = table(spark, sf, "orders")
+    orders = orders.where(d < _day(before, 0)) if before else orders
     o = orders.groupBy("o_custkey").agg(*[F.expr(f"{sql} AS {name}") for name, sql in aggregates.items()])
     joined = (
-        table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+        table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "inner" if before else "left")
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
     k = "c_custkey"
@@ -142,8 +146,8 @@ def entities_raw(spark: SparkSession, sf: str, lo: str = FULL[0], hi: str = FULL
     return joined.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
-def entities(spark: SparkSession, sf: str, lo: str = FULL[0], hi: str = FULL[1]) -> DataFrame:
-    raw = entities_raw(spark, sf, lo, hi)
+def entities(spark: SparkSession, sf: str, before: str | None = None) -> DataFrame:
+    raw = entities_raw(spark, sf, before)
     tagged = T.add_tag_columns(raw, tag_names=TAGS, tier_rules=TIERS, factors=FACTORS, ownership=OWNERSHIP)
     return derive.add_all(tagged)
 
@@ -151,8 +155,8 @@ def entities(spark: SparkSession, sf: str, lo: str = FULL[0], hi: str = FULL[1])
 def history(spark: SparkSession, sf: str) -> DataFrame:
     """Both snapshots; a filter on the date drops the other one before it is read."""
     parts = [
-        entities(spark, sf, lo, hi).withColumn("snapshot_date", F.lit(day).cast("date"))
-        for day, (lo, hi) in SNAPSHOTS.items()
+        entities(spark, sf, day).withColumn("snapshot_date", F.lit(day).cast("date"))
+        for day in SNAPSHOTS
     ]
     return parts[0].unionByName(parts[1])
 
@@ -162,38 +166,45 @@ def supplier_key(c: str) -> Column:
     return F.concat(F.lit("S"), F.lpad(F.col(c).cast("string"), 9, "0"))
 
 
+def newest_quarter(spark: SparkSession, sf: str) -> Column:
+    """The number of the latest quarter that has line items, from 0 for early 1995."""
+    d = F.col("last")
+    return table(spark, sf, "lineitem").agg(F.max("l_shipdate").alias("last")).select((F.year(d) - 1995) * 4 + F.quarter(d) - 1).scalar()
+
+
 def quarterly_long(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("l_shipdate")
     signed = F.col("l_extendedprice") * (1 - F.col("l_discount")) * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
     qi = (F.year(d) - 1995) * 4 + F.quarter(d) - 1
     sums = (
-        table(spark, sf, "lineitem").where(d < _day(PERIODS_END, 0))
+        table(spark, sf, "lineitem")
         .groupBy("l_suppkey", qi.alias("qi"))
         .agg(F.sum(signed.cast("decimal(18,4)")).cast("double").alias("pat"))
     )
     zero = (F.col("l_suppkey") + F.col("qi")) % 11 == 0
     return sums.select(
         supplier_key("l_suppkey").alias("isin"),
-        (F.lit(QUARTERS - 1) - F.col("qi")).alias("periods_ago"),
+        (newest_quarter(spark, sf) - F.col("qi")).alias("periods_ago"),
         F.when(zero, 0.0).otherwise(F.col("pat")).alias("pat"),
         F.col("pat").alias("raw"),
         "qi",
     )
 
 
-def quarterly_feed(spark: SparkSession, sf: str) -> DataFrame:
+def quarterly_feed(spark: SparkSession, sf: str, slots: int = QUARTERS) -> DataFrame:
     """Wide feed: QL1 = latest quarter."""
     long = quarterly_long(spark, sf)
     return long.groupBy("isin").agg(*[
-        F.max(F.when(F.col("periods_ago") == i, F.col("pat"))).alias(f"QL{i + 1}") for i in range(QUARTERS)
+        F.max(F.when(F.col("periods_ago") == i, F.col("pat"))).alias(f"QL{i + 1}") for i in range(slots)
     ])
 
 
 def annual_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide feed: FYL1 = latest full year, and the trailing year as reported."""
+    """Wide feed: FYL1 = latest year with line items, and the trailing year as reported."""
     long = quarterly_long(spark, sf)
+    long = long.withColumn("years_ago", F.floor((F.col("periods_ago") + F.col("qi")) / 4) - F.floor(F.col("qi") / 4))
     raw = F.col("raw").cast("decimal(18,4)")
-    years = [F.sum(F.when(F.floor(F.col("qi") / 4) == YEARS - 1 - i, raw)).cast("double").alias(f"FYL{i + 1}") for i in range(YEARS)]
+    years = [F.sum(F.when(F.col("years_ago") == i, raw)).cast("double").alias(f"FYL{i + 1}") for i in range(YEARS)]
     ttm = F.sum(F.when(F.col("periods_ago") < 4, raw)).cast("double").alias("TTM")
     return long.groupBy("isin").agg(*years, ttm)
 

@@ -73,8 +73,8 @@ register(
 )
 register(
     "padded_feed",
-    lambda spark, sf: periods.pad_periods(Fr.quarterly_feed(spark, sf), "Q").select("isin", F.col("QL1").alias("first"), F.col("QL26").alias("last"), F.col("QL48").alias("padded")),
-    f"{P} SELECT isin, {S._at(0)} AS first, {S._at(25)} AS last, CAST(NULL AS DOUBLE) AS padded FROM ql GROUP BY 1",
+    lambda spark, sf: periods.pad_periods(Fr.quarterly_feed(spark, sf, 28), "Q").select("isin", F.col("QL1").alias("first"), F.col("QL28").alias("last"), F.col("QL48").alias("padded")),
+    f"{P} SELECT isin, {S._at(0)} AS first, {S._at(27)} AS last, CAST(NULL AS DOUBLE) AS padded FROM ql GROUP BY 1",
 )
 
 

@@ -47,7 +47,8 @@ def _any(members: list[str], tags: str = "tags") -> str:
     return "(" + " OR ".join(f"list_contains({tags}, '{m}')" for m in members) + ")"
 
 
-def entities(name: str = "e", lo: str = Fr.FULL[0], hi: str = Fr.FULL[1]) -> str:
+def entities(name: str = "e", before: str | None = None) -> str:
+    hi = before or Fr.TODAY
     y, h, q, two = (f"o_orderdate >= {_day(hi, n)}" for n in (365, 182, 91, 730))
     last = "last(o_totalprice ORDER BY o_orderdate, o_orderkey)"
     first = "first(o_totalprice ORDER BY o_orderdate, o_orderkey)"
@@ -76,7 +77,7 @@ def entities(name: str = "e", lo: str = Fr.FULL[0], hi: str = Fr.FULL[1]) -> str
     {_mean("o_orderpriority <= '2-HIGH'")} AS sma_50, {_mean("o_orderstatus = 'O'")} AS sma_200,
     {", ".join(f"{_mean(c)} AS r{w}" for w, c in refs.items())},
     list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE {two})) AS tag_list
-  FROM orders WHERE o_orderdate >= {_day(lo, 0)} AND o_orderdate < {_day(hi, 0)} GROUP BY o_custkey),
+  FROM orders {f"WHERE o_orderdate < {_day(before, 0)}" if before else ""} GROUP BY o_custkey),
 {name}_r AS (
   SELECT 'K' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS isin, c_name AS symbol,
     n_name || ' ' || c_name AS name, c_mktsegment AS sector, n_name AS industry,
@@ -104,7 +105,7 @@ def entities(name: str = "e", lo: str = Fr.FULL[0], hi: str = Fr.FULL[1]) -> str
     60e0 AS industry_pe, sma_200 AS target_price_1y,
     CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey % 20) / 10e0 END AS beta_1y,
     {_rating("c_custkey % 5")} AS analyst_rating, {_rating("(c_custkey // 5) % 5")} AS technical_rating
-  FROM customer JOIN {name}_o ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey),
+  FROM customer {"" if before else "LEFT"} JOIN {name}_o ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey),
 {name}_b AS (
   SELECT *, {TIER_CASE} AS cap_tier, len(tags) AS index_count,
     {", ".join(f"list_contains(tags, '{t}') AS {c}" for t, c in zip(Fr.TAGS, Fr.SNAKE_TAGS))},
@@ -136,7 +137,7 @@ def entities(name: str = "e", lo: str = Fr.FULL[0], hi: str = Fr.FULL[1]) -> str
 
 
 def history() -> str:
-    parts = [entities(f"h{i}", lo, hi) for i, (lo, hi) in enumerate(Fr.SNAPSHOTS.values())]
+    parts = [entities(f"h{i}", day) for i, day in enumerate(Fr.SNAPSHOTS)]
     union = " UNION ALL BY NAME ".join(
         f"SELECT *, DATE '{d}' AS snapshot_date FROM h{i}" for i, d in enumerate(Fr.SNAPSHOTS)
     )
@@ -152,14 +153,13 @@ def supp(c: str) -> str:
 
 def quarterly() -> str:
     """ql (isin, periods_ago, pat, raw, qi) and q: the same with sentinels as null."""
-    last = Fr.QUARTERS - 1
     return f"""
 ql_s AS (
   SELECT l_suppkey, (year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS qi,
     CAST(sum(CAST(l_extendedprice * (1 - l_discount) * (CASE l_returnflag WHEN 'R' THEN -1 ELSE 1 END) AS DECIMAL(18,4))) AS DOUBLE) AS raw
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '{Fr.PERIODS_END} 00:00:00' GROUP BY ALL),
+  FROM lineitem GROUP BY ALL),
 ql AS (
-  SELECT {supp("l_suppkey")} AS isin, {last} - qi AS periods_ago, qi, raw,
+  SELECT {supp("l_suppkey")} AS isin, (SELECT max(qi) FROM ql_s) - qi AS periods_ago, qi, raw,
     CASE WHEN (l_suppkey + qi) % 11 = 0 THEN 0e0 ELSE raw END AS pat FROM ql_s),
 q AS (SELECT isin, periods_ago, qi, pat, CAST(pat AS DECIMAL(18,4)) AS d FROM ql WHERE pat <> 0)"""
 
@@ -168,8 +168,8 @@ def annual() -> str:
     """y (isin, years_ago, pat) and yt (isin, ttm): reported figures, no sentinels."""
     return f"""
 y AS (
-  SELECT isin, {Fr.YEARS - 1} - qi // 4 AS years_ago, CAST(sum(CAST(raw AS DECIMAL(18,4))) AS DOUBLE) AS pat
-  FROM ql WHERE qi < {Fr.YEARS * 4} GROUP BY ALL),
+  SELECT isin, (periods_ago + qi) // 4 - qi // 4 AS years_ago, CAST(sum(CAST(raw AS DECIMAL(18,4))) AS DOUBLE) AS pat
+  FROM ql GROUP BY ALL),
 yt AS (SELECT isin, CAST(sum(CAST(raw AS DECIMAL(18,4))) FILTER (WHERE periods_ago < 4) AS DOUBLE) AS ttm FROM ql GROUP BY isin)"""
 
 

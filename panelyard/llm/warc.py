@@ -7,6 +7,7 @@ joins revisit records to their originals by record id.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,7 +72,7 @@ def write_archives(
     pages: DataFrame, headers: DataFrame, path: str, page_id: str = "page_id", payload: str = "html",
     date: str = "2024-01-01T00:00:00Z", records_per_file: int = 500,
 ) -> None:
-    """Writes the records as WARC 1.1 text files of at most ``records_per_file`` records. The
+    """Writes the records as gzipped WARC 1.1 files of at most ``records_per_file`` records. The
     payload meets its fresh header by page id and digest; revisits are written without it."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     bodies = pages.select(
@@ -90,7 +91,7 @@ def write_archives(
     )
     full.union(bare).select(F.concat(head, F.col("body")).alias("value")).write.option("lineSep", END).option(
         "maxRecordsPerFile", records_per_file
-    ).text(path)
+    ).option("compression", "gzip").text(path)
 
 
 def _parse(data: bytes) -> Iterator[tuple]:
@@ -113,7 +114,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         names = [f.split()[0] for f in RECORDS.split(", ")]
         for batch in batches:
             for content in batch.column(0):
-                rows = list(_parse(content.as_py()))
+                rows = list(_parse(gzip.decompress(content.as_py())))
                 columns = list(zip(*rows, strict=True)) or [[]] * len(names)
                 types = [pa.string()] * 6 + [pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)

@@ -34,6 +34,7 @@ SAMPLE_ROWS = 40_000
 FEATURES = 4096
 LEAST_ROWS = 3  # labelled rows that a kept feature occurs in, at least
 LEAST_Z = 3.5  # log-odds of a kept feature over their standard error, at least
+LEAST_ODDS = 1.5  # log-odds of a kept feature, at least
 REJECT_FROM = 0.5  # expected severity
 
 
@@ -69,12 +70,10 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - out[:, None], -60, 60))) @ np.ones(GRADES - 1)
 
 
-def fit(rows: list, grades: np.ndarray, width: int, steps: int = 400, rate: float = 0.1, penalty: float = 1e-4):
-    """Weights and thresholds by gradient steps (Adam) on the mean log-likelihood. ``rows``:
-    per sample a list of (column, count)."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    columns = np.array([c for r in rows for c, _ in r], np.int64)
-    counts = np.array([n for r in rows for _, n in r], float)
+def fit(at: np.ndarray, columns: np.ndarray, counts: np.ndarray, grades: np.ndarray, width: int, steps: int = 400, rate: float = 0.1, penalty: float = 1e-4):
+    """Weights and thresholds by gradient steps (Adam) on the mean log-likelihood. The
+    samples are a sparse matrix: sample, column and count of each entry."""
+    rows = grades
     w = np.zeros(width)
     raw = np.array([0.0, *np.log(np.ones(GRADES - 2))])  # first threshold, logs of the gaps
     params, m, v = np.concatenate([w, raw]), 0.0, 0.0
@@ -152,7 +151,7 @@ def train(
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     kept = (
         seen.withColumn("odds", odds).withColumn("gain", F.col("toxic") * F.col("odds"))
-        .where(F.col("odds") >= LEAST_Z * error).orderBy(F.desc("gain"), "feature").limit(features).collect()  # at most ``features`` rows
+        .where(F.col("odds") >= F.greatest(F.lit(LEAST_ODDS), LEAST_Z * error)).orderBy(F.desc("gain"), "feature").limit(features).collect()  # at most ``features`` rows
     )
     columns = {r["feature"]: i for i, r in enumerate(kept)}
     only_toxic = {r["feature"] for r in kept if r["clean"] == 0}
@@ -182,8 +181,10 @@ def train(
     if not len(rows):
         return None
     grades = np.where(rows.y == 0, 0, np.clip(rows.marks, 1, GRADES - 1)).astype(np.int64)
-    pairs = [list(zip(c, n, strict=True)) for c, n in zip(rows["columns"], rows["counts"], strict=True)]
-    weights, thresholds = fit(pairs, grades, max(len(columns), 1))
+    at = np.repeat(np.arange(len(rows)), rows["columns"].map(len).to_numpy())
+    weights, thresholds = fit(
+        at, np.concatenate([*rows["columns"], []]).astype(np.int64), np.concatenate([*rows["counts"], []]).astype(float), grades, max(len(columns), 1)
+    )
     return Model(columns, weights, thresholds)
 
 

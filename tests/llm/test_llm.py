@@ -245,8 +245,8 @@ def test_toxicity_odd_rows(spark, corpus):
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 4, 600)
-    rows = [[(0, int(g))] if g else [] for g in grades]
-    w, thresholds = toxicity.fit(rows, grades, 2)
+    at = np.flatnonzero(grades)
+    w, thresholds = toxicity.fit(at, np.zeros(len(at), np.int64), grades[at].astype(float), grades, 2)
     model = toxicity.Model({"bad": 0, "unused": 1}, w, thresholds)
     scores = model.scores(["", "bad", "bad bad", "bad bad bad"])
     assert list(np.sort(scores)) == list(scores) and np.all(np.diff(thresholds) > 0) and scores[3] > 2

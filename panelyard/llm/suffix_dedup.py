@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from panelyard.llm.common import NULL_ID, checked_broadcast, inverse, mix, new_folder, powers, random_words, small_batches, stored, text_buffer
 
 GRAM = 32
-FLUSH_SEGMENTS = 1_000_000
-CHUNK_BYTES = 1 << 20
+FLUSH_SEGMENTS = 250_000
+CHUNK_BYTES = 1 << 19
 HOT_ANCHOR = 2000  # distinct segments of an anchor beyond which it is split by content
 STRIPE = 8
 

@@ -33,7 +33,6 @@ CAP = 3
 SAMPLE_ROWS = 40_000
 FEATURES = 4096
 LEAST_ROWS = 3  # labelled rows that a kept feature occurs in, at least
-LEAST_Z = 3.5  # log-odds of a kept feature over their standard error, at least
 LEAST_ODDS = 1.5  # log-odds of a kept feature, at least
 REJECT_FROM = 0.5  # expected severity
 
@@ -148,10 +147,12 @@ def train(
     if set(size) != {0, 1}:
         return None
     odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (size[0] + 1.0))
+    # log-odds over their standard error, at least: more rows hold more words that are toxic by chance
+    least_z = 0.8 * float(np.sqrt(2 * np.log(size[0] + size[1])))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     kept = (
         seen.withColumn("odds", odds).withColumn("gain", F.col("toxic") * F.col("odds"))
-        .where(F.col("odds") >= F.greatest(F.lit(LEAST_ODDS), LEAST_Z * error)).orderBy(F.desc("gain"), "feature").limit(features).collect()  # at most ``features`` rows
+        .where(F.col("odds") >= F.greatest(F.lit(LEAST_ODDS), least_z * error)).orderBy(F.desc("gain"), "feature").limit(features).collect()  # at most ``features`` rows
     )
     columns = {r["feature"]: i for i, r in enumerate(kept)}
     only_toxic = {r["feature"] for r in kept if r["clean"] == 0}

@@ -21,8 +21,9 @@ REPEATED_BYTES = 100
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity is below the rejection line. Null and empty texts stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    graded = toxicity.score(docs, toxicity.train(docs, labels), out="_severity")
-    return graded.where(F.col("_severity") < toxicity.REJECT_FROM).drop("_severity")
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    graded = toxicity.score(rows, toxicity.train(docs, labels), out="severity")
+    return graded.where(F.col("severity") < toxicity.REJECT_FROM).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,29 +33,31 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard_join.similar_groups(docs, NEAR_WORDS, NEAR_PERCENT)
     gone = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_i"), F.coalesce("component_id", F.lit(NULL_ID)).alias("_c")).where("_i <> _c")
     gone = stored(gone.select("_i").distinct(), "near-duplicates")
-    return docs.withColumn("_i", F.coalesce(F.col("doc_id"), F.lit(NULL_ID))).join(checked_broadcast(gone), "_i", "left_anti").drop("_i")
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_i"))
+    return rows.join(checked_broadcast(gone), "_i", "left_anti").select("row.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the characters that repeat earlier strings; n_chars is counted anew. A
     document of which nothing is left stays as an empty text; a null text stays null."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = suffix_dedup.remove_repeats(docs.withColumn("_null", F.col("text").isNull()), REPEATED_BYTES, keep=[*others, "_null"], by_character=True)
-    text = F.when(~F.col("_null"), F.decode("kept", "UTF-8"))
-    out = cut.withColumn("text", text)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    cut = suffix_dedup.remove_repeats(rows, REPEATED_BYTES, keep=["row"], by_character=True)
+    text = F.when(F.col("row.text").isNotNull(), F.decode("kept", "UTF-8"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        counted = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.size("spans") > 0, counted).otherwise(F.col("row.n_chars"))
+    return cut.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of ten words of any benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # the operator's rows carry the row's key, so equal rows go together
-    keyed = docs.select("*", *row_key("doc_id", "text"))
+    keyed = docs.select(F.struct("*").alias("row"), *row_key("doc_id", "text"))
     found = decontamination.decontaminate(docs, benchmark, width=10, with_key=True)
     gone = stored(found.where("contaminated").select("_i", "_h").distinct(), "contaminated")
-    return keyed.join(checked_broadcast(gone), ["_i", "_h"], "left_anti").select(*docs.columns)
+    return keyed.join(checked_broadcast(gone), ["_i", "_h"], "left_anti").select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,20 +134,23 @@ def batches_of(batches: Iterable[pa.RecordBatch], byte_limit: int) -> Iterator[p
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes in ``edges`` (a, b: longs), component being the smallest
-    node that can be reached. Alternates large-star and small-star steps until nothing
-    changes; every round is stored, so the plan stays short. A hot node is met by partial
+    node that can be reached. Alternates large-star and small-star steps until only stars are
+    left; every round is stored, so the plan stays short. A hot node is met by partial
     aggregates and by skew-splitting joins only. Nodes without an edge are not listed."""
     links = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
     )
 
-    def signature(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def only_stars(df: DataFrame) -> bool:
+        """No node has two smaller neighbours, or a smaller and a larger one."""
+        ends = df.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+        ends = ends.union(df.select("v", F.lit(0), F.lit(1)))
+        degrees = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        return degrees.where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
-    before = signature(links)
-    if before[0] == 0:
-        return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
+        if only_stars(links):
+            break
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -156,11 +159,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         links = stored(small.where("u <> v").distinct(), "links")
-        after = signature(links)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def joined_components(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) after ``edges`` (a, b; stored) are added to ``groups`` (node,
+    component; stored). Only links between different components are followed."""
+    if edges.isEmpty():
+        return groups
+    known = checked_broadcast(groups)
+    ends = edges
+    for side in ("a", "b"):
+        placed = known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+        ends = ends.join(placed, side, "left").withColumn(f"{side}_component", F.coalesce(f"{side}_component", side))
+    merged = stored(components(ends.select(F.col("a_component").alias("a"), F.col("b_component").alias("b"))), "merged")
+    moved = checked_broadcast(merged.select(F.col("node").alias("component"), F.col("component").alias("to")))
+    kept = groups.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return stored(kept.union(merged).distinct(), "groups")

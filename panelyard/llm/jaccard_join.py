@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import NULL_ID, checked_broadcast, components, mix, new_folder, random_words, small_batches, stored, text_buffer
+from panelyard.llm.common import NULL_ID, checked_broadcast, components, joined_components, mix, new_folder, random_words, small_batches, stored, text_buffer
 
 BLOCK = 256
 WIDEST_BITS = 8192
@@ -336,8 +336,10 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
     reps = sets.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep <> other")
     stands_for = stored(sets.join(reps.drop("other"), ["n", "digest"]).where("id <> rep").select("id", "rep").distinct(), "equal-sets")
     members = members.join(checked_broadcast(stands_for), "id", "left").select("key", F.coalesce("rep", "id").alias("id")).distinct()
-    # tiles that hold one set only are done
-    several = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
+    # tiles that hold one set only are done; of tiles with the same members one is enough
+    content = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"content_{seed}") for seed in (1, 2)]
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *content).where("size > 1")
+    several = several.groupBy("size", "content_1", "content_2").agg(F.min("key").alias("key")).select("key")
     members = stored(members.join(several, "key"), "members")
     wanted = stored(members.select("id").distinct(), "wanted")
     small_batches(spark, rows=1000, mib=1)
@@ -351,9 +353,8 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         small_batches(spark, rows=500, mib=4)
         return stored(met.mapInArrow(_settle(percent), "a long, b long").distinct(), "verified")
 
-    edges = stands_for.select(F.col("id").alias("a"), F.col("rep").alias("b"))
     tested = None
-    groups = components(edges)
+    groups = stored(components(stands_for.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "groups")
     for turn, partners in enumerate(ROUNDS):
         placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         placed = stored(placed, "placed")
@@ -376,9 +377,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         pairs = pairs.where("a <> b").distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        edges = edges.union(verified(pairs))
-        groups = components(edges)
-    groups = stored(groups, "groups")
+        groups = joined_components(groups, verified(pairs))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = texts.select("id", "n").join(checked_broadcast(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(real("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))

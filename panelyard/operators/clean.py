@@ -42,46 +42,59 @@ def drop_listed(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.drop(*(K.SECONDARY_DROPPED if columns is None else columns))
 
 
-LEDGER = "column string, reason string, detail string"
+def column_facts(df: DataFrame) -> DataFrame:
+    """One row per column, from one aggregate over the frame: column, base (what a repeated
+    header ``name.1`` repeats), rows, filled, and whether it equals its base throughout."""
+    base_of = {c: c[:-2] for c in df.columns if c.endswith(".1")}
+    measures = [F.count("*").alias("rows")]
+    cells = []
+    for i, c in enumerate(df.columns):
+        base = base_of.get(c)
+        measures.append(F.count(_c(c)).alias(f"filled{i}"))
+        equal = F.lit(False)
+        if base in df.columns:
+            measures.append(F.coalesce(F.bool_and(_c(c).eqNullSafe(_c(base))), F.lit(True)).alias(f"equal{i}"))
+            equal = F.col(f"equal{i}")
+        cells.append(F.struct(
+            F.lit(c).alias("column"), F.lit(base).cast("string").alias("base"), F.col("rows"),
+            F.col(f"filled{i}").alias("filled"), equal.alias("equal"),
+        ))
+    return df.agg(*measures).select(F.inline(F.array(*cells)))
+
+
+def dropped_columns(
+    df: DataFrame, min_coverage_pct: float = K.DROP_BELOW_COVERAGE_PCT, universe_n: int | None = None,
+) -> DataFrame:
+    """(column, reason, detail) of currency, repeated, listed-empty and thin columns. Of
+    several reasons the first holds."""
+    total = F.col("rows") if universe_n is None else F.lit(universe_n)
+    share = F.coalesce(F.try_divide(F.col("filled") * 100.0, total), F.lit(0.0))
+    rebuilt = F.lit(None).cast("string")
+    if K.REBUILT_AS:
+        rebuilt = F.try_element_at(F.create_map(*[F.lit(x) for pair in K.REBUILT_AS.items() for x in pair]), F.col("column"))
+    rules = [
+        ("currency", F.endswith("column", F.lit(K.CURRENCY_SUFFIX)), F.lit("all values INR")),
+        ("duplicate", F.col("base").isNotNull(), F.concat(
+            F.lit("re-export of '"), "base", F.lit("'"), F.when(F.col("equal"), "").otherwise(" (values differ; base kept)"),
+        )),
+        ("empty", F.col("column").isin(list(K.ALWAYS_DROPPED)), F.lit("no populated values")),
+        ("low_coverage", share < min_coverage_pct, F.concat(
+            F.format_string("%.1f%% populated", F.bround(share, 1)),
+            F.coalesce(F.concat(F.lit("; reconstructed as '"), rebuilt, F.lit("'")), F.lit("")),
+        )),
+    ]
+    verdicts = [F.when(holds, F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))) for reason, holds, detail in rules]
+    return column_facts(df).select("column", F.coalesce(*verdicts).alias("v")).where("v IS NOT NULL").select("column", "v.reason", "v.detail")
 
 
 def drop_dead_columns(
     df: DataFrame, min_coverage_pct: float = K.DROP_BELOW_COVERAGE_PCT, universe_n: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Remove currency, repeated, listed-empty and thin columns, with a reason ledger.
-
-    Coverage and equality of repeats come from one aggregate over the frame: a schema
-    has to be known before a plan can be built, so this step runs one job whose result
-    is one row. A repeated header is ``name.1``.
-    """
-    columns = df.columns
-    repeats = [c for c in columns if c.endswith(".1") and not c.endswith(K.CURRENCY_SUFFIX)]
-    based = [c for c in repeats if c[:-2] in columns]
-    facts = df.agg(
-        F.count("*").alias("n"),
-        *[F.count(_c(c)).alias(f"c{i}") for i, c in enumerate(columns)],
-        *[F.count_if(~_c(c).eqNullSafe(_c(c[:-2]))).alias(f"d{i}") for i, c in enumerate(based)],
-    ).first()
-    n = universe_n if universe_n is not None else facts["n"]
-    ledger: list[tuple[str, str, str]] = []
-    for i, column in enumerate(columns):
-        if column.endswith(K.CURRENCY_SUFFIX):
-            ledger.append((column, "currency", "all values INR"))
-        elif column in repeats:
-            same = column in based and facts[f"d{based.index(column)}"] == 0
-            note = "" if same else " (values differ; base kept)"
-            ledger.append((column, "duplicate", f"re-export of '{column[:-2]}'{note}"))
-        elif column in K.ALWAYS_DROPPED:
-            ledger.append((column, "empty", "no populated values"))
-        else:
-            pct = facts[f"c{i}"] / n * 100 if n else 0.0
-            if pct < min_coverage_pct:
-                rebuilt = K.REBUILT_AS.get(column)
-                note = f"; reconstructed as '{rebuilt}'" if rebuilt else ""
-                ledger.append((column, "low_coverage", f"{pct:.1f}% populated{note}"))
-    gone = {entry[0] for entry in ledger}
-    kept = df.select(*[_c(c) for c in columns if c not in gone])
-    return kept, df.sparkSession.createDataFrame(ledger, LEDGER)
+    """The frame without its dead columns, and the reason ledger. A schema has to be known
+    before a plan can be built, so the names of the dropped columns are read here."""
+    ledger = dropped_columns(df, min_coverage_pct, universe_n)
+    gone = {r[0] for r in ledger.select("column").collect()}
+    return df.select(*[_c(c) for c in df.columns if c not in gone]), ledger
 
 
 def currency_violations(df: DataFrame, currency: str = K.REQUIRED_CURRENCY) -> DataFrame:

@@ -34,7 +34,9 @@ def run(
     verdicts: DataFrame, result_dates: DataFrame, as_of: Column, sessions: int = K.RS_SESSIONS,
 ) -> Scan:
     """Clear, seed, repair, filter, analyse. Splits are repaired before the comparison:
-    a trigger in old shares could never be reached again."""
+    a trigger in old shares could never be reached again. Bars after ``as_of`` are not seen."""
+    known = F.col("date") <= as_of.cast("date")
+    bars, window_bars, benchmark = bars.where(known), window_bars.where(known), benchmark.where(known)
     listed = universe.active(stored)
     cleared = scanner.clear_today(state)
     seeded, seed_events = scanner.seed_missing(cleared, listed, bars, as_of)
@@ -63,9 +65,11 @@ def summary(scan: Scan) -> DataFrame:
 
 
 def save(scan: Scan, store: str, scanned_at: Column) -> None:
-    """Publish a scan. State and results are replaced as a whole, events only grow. The
-    results are computed once: the new state marks today's highs from the written table."""
-    tables.append(scan.events, f"{store}/ath_events")
+    """Publish a scan. State and results are replaced as a whole; events are kept under the
+    time of their scan, so a scan that is saved again leaves one set. The results are computed
+    once: the new state marks today's highs from the written table."""
+    events = scan.events.withColumn("scan", scanned_at.cast("timestamp").cast("string"))
+    tables.overwrite_parts(events, f"{store}/ath_events", "scan")
     results = scan.results.withColumn("scanned_at", scanned_at.cast("timestamp"))
     tables.replace(results, f"{store}/scan_results")
     written = tables.read_current(scan.results.sparkSession, f"{store}/scan_results", RESULTS)
@@ -84,4 +88,4 @@ def load_events(spark: SparkSession, store: str) -> DataFrame:
     path = f"{store}/ath_events"
     if not tables.exists(spark, path):
         return spark.createDataFrame([], scanner.EVENTS)
-    return spark.read.schema(scanner.EVENTS).parquet(path)
+    return spark.read.schema(scanner.EVENTS).parquet(path).drop("scan")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+REPLACE_ATTEMPTS = 20
+
 
 def _files(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -36,6 +39,11 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def overwrite_parts(df: DataFrame, path: str, part: str) -> None:
+    """Overwrite only the partitions that ``df`` has rows of."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions of a replaced table, oldest first."""
     found = [f for f in subfolders(spark, path) if f.startswith("v") and f[1:].isdigit()]
@@ -44,11 +52,21 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 def replace(df: DataFrame, path: str, version: int | None = None) -> int:
     """Write a new version beside the old ones. Readers move to it once its commit
-    marker exists, so a failed write leaves the previous content in place."""
-    held = versions(df.sparkSession, path)
-    number = version if version is not None else (held[-1] + 1 if held else 0)
-    df.write.mode("overwrite").parquet(f"{path}/v{number:09d}")
-    return number
+    marker exists, so a failed write leaves the previous content in place. A number that
+    another writer took meanwhile is left to it; a given number is overwritten."""
+    if version is not None:
+        df.write.mode("overwrite").parquet(f"{path}/v{version:09d}")
+        return version
+    for _ in range(REPLACE_ATTEMPTS):
+        taken = [int(f[1:]) for f in subfolders(df.sparkSession, path) if f.startswith("v") and f[1:].isdigit()]
+        number = max(taken, default=-1) + 1
+        try:
+            df.write.mode("errorifexists").parquet(f"{path}/v{number:09d}")
+            return number
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+    raise RuntimeError(f"other writers took every new version of {path}")
 
 
 def prune(spark: SparkSession, path: str, keep: int = 3) -> list[int]:

@@ -26,13 +26,13 @@ def scan_batch(spark: SparkSession, store: str, listed: Callable[[], DataFrame],
         if dated.isEmpty():
             return
         dated.write.mode("overwrite").partitionBy("date").parquet(f"{store}/bars/batch={number}")
-        bars = spark.read.schema(BARS).parquet(f"{store}/bars")
-        newest = spark.read.schema(BARS).parquet(f"{store}/bars/batch={number}").agg(F.max("date")).first()[0]
+        bars = spark.read.schema(f"{BARS}, batch long").parquet(f"{store}/bars").where(F.col("batch") <= number)
+        # The newest day of all arrivals: a late file does not move the clock back.
+        newest = bars.agg(F.max("date")).first()[0]
         window = bars.where(F.col("date") > F.date_sub(F.lit(newest), lookback_days))
-        # Bars of a symbol and day that arrived twice count once.
-        window = window.groupBy("symbol", "date").agg(
-            F.max("high").alias("high"), F.max("close").alias("close"), F.max("split_ratio").alias("split_ratio")
-        )
+        # Of bars of a symbol and day that arrived twice the later arrival holds.
+        row = F.struct("high", "close", "split_ratio")
+        window = window.groupBy("symbol", "date").agg(F.max_by(row, F.struct("batch", row)).alias("bar")).select("symbol", "date", "bar.*")
         as_of = F.lit(newest).cast("timestamp")
         earlier = [v for v in tables.versions(spark, f"{store}/ath") if v < number + 1]
         state = (

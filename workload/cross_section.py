@@ -478,7 +478,7 @@ def raw_parts(spark, sf):
 
 register(
     "dropped_columns",
-    lambda spark, sf: clean.drop_dead_columns(raw_parts(spark, sf))[1],
+    lambda spark, sf: clean.dropped_columns(raw_parts(spark, sf)),
     """SELECT * FROM (VALUES ('Price - Currency', 'currency', 'all values INR'), ('Price.1', 'duplicate', 're-export of ''Price'''),
     ('Credit rating', 'empty', 'no populated values'), ('Twice.1', 'duplicate', 're-export of ''Twice'' (values differ; base kept)'),
     ('Net revenue, Trailing 12 months', 'low_coverage', printf('%.1f', (SELECT count(*) FILTER (WHERE p_partkey % 10 = 0) * 100e0 / count(*) FROM part)) || '% populated; reconstructed as ''revenue_ttm'''))
@@ -486,7 +486,7 @@ register(
 )
 register(
     "drop_reasons",
-    lambda spark, sf: quality.drop_reasons(clean.drop_dead_columns(raw_parts(spark, sf))[1]),
+    lambda spark, sf: quality.drop_reasons(clean.dropped_columns(raw_parts(spark, sf))),
     "SELECT * FROM (VALUES ('currency', 1), ('duplicate', 2), ('empty', 1), ('low_coverage', CASE WHEN (SELECT count(*) FROM part) > 0 THEN 1 END)) t(reason, n)",
 )
 register(

@@ -39,9 +39,9 @@ register(
 register("benchmark", lambda spark, sf: rounded(Fr.benchmark(spark, sf), ["close"]), f"{S.with_(S.bars(), S.benchmark())} SELECT date, round(close, 6) AS close FROM bench")
 
 
-def _rs_sql(n):
+def _rs_sql(n, source="bars"):
     return f"""rs AS (SELECT symbol, count(*) AS n, max(ratio) FILTER (WHERE rn = {n}) AS anchor, max(ratio) FILTER (WHERE rn = 1) AS last, max(ratio) AS top FROM (
-      SELECT symbol, b.close / x.close AS ratio, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars b JOIN bench x USING (date)) WHERE rn <= {n} GROUP BY 1),
+      SELECT symbol, b.close / x.close AS ratio, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM {source} b JOIN bench x USING (date)) WHERE rn <= {n} GROUP BY 1),
     rsv AS (SELECT symbol, CASE WHEN n < {n} OR coalesce(anchor, 0) = 0 THEN 'N/A' WHEN last / anchor * 100 >= top / anchor * 100 * 0.9999 THEN 'Y' ELSE 'N' END AS ath_outperformance,
       CASE WHEN n = {n} THEN round_even(last / nullif(anchor, 0) * 100, 2) END AS current_rs, CASE WHEN n = {n} THEN round_even(top / nullif(anchor, 0) * 100, 2) END AS ath_rs FROM rs)"""
 
@@ -132,8 +132,8 @@ def run(spark, sf):
     )
 
 
-# The whole plan seeds from all bars, so the SQL seeds its missing triggers from all bars.
-_RUN = f"""{FULL}, {S.adjusted('bars', 'fa')}, {_rs_sql(21)},
+# The whole plan seeds its missing triggers from all bars up to the time of the scan.
+_RUN = f"""{FULL}, known AS (SELECT * FROM bars WHERE date <= CAST({AS_OF} AS DATE)), {S.adjusted('known', 'fa')}, {_rs_sql(21, 'known')},
 t0 AS (SELECT symbol, ath_price, last_split_check FROM trig UNION ALL
   SELECT symbol, ath_price, last_bar FROM fa_top JOIN act USING (symbol) WHERE symbol NOT IN (SELECT symbol FROM trig)),
 t1 AS (SELECT symbol, CASE WHEN coalesce(ratio IS NOT NULL AND (last_split_check IS NULL OR split_date > last_split_check), false) THEN ath_price / ratio ELSE ath_price END AS trigger_price

@@ -29,6 +29,12 @@ def dates(history: DataFrame) -> DataFrame:
     return history.select(DATE).distinct().orderBy(DATE)
 
 
+def latest_pair(history: DataFrame) -> DataFrame:
+    """One row: the previous and the latest snapshot (before, after; equal if one is held)."""
+    last = history.select(DATE).distinct().orderBy(F.col(DATE).desc()).limit(2)
+    return last.agg(F.min(DATE).cast("string").alias("before"), F.max(DATE).cast("string").alias("after"))
+
+
 def resolve_pair(history: DataFrame, before: str | None = None, after: str | None = None) -> tuple[str, str]:
     """Given dates, or the previous and the latest snapshot."""
     if before and after:

@@ -24,10 +24,9 @@ def build_session(app: str = "panelyard", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs
-    a re-read and not a recomputation. A machine-local folder is used only in local mode."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share. A machine-local folder is
+    used only in local mode."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
@@ -37,4 +36,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="panelyard-checkpoint-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs
+    a re-read and not a recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -48,9 +48,12 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, ordinal:
     return clean.nan_to_null(out)
 
 
-def read_json_payload(spark: SparkSession, path: str, schema: str | None = None, ordinal: bool = False) -> DataFrame:
-    """JSON records with headers in trimmed upper case."""
-    reader = spark.read.option("multiLine", True)
+def read_json_payload(
+    spark: SparkSession, path: str, schema: str | None = None, ordinal: bool = False, lines: bool = False,
+) -> DataFrame:
+    """JSON records with headers in trimmed upper case. A file that is one array is one
+    task; with ``lines`` (a record per line) files are split."""
+    reader = spark.read.option("multiLine", not lines)
     df = (reader.schema(schema) if schema else reader).json(path)
     picked = [F.col(f"`{c}`").alias(c.strip().upper()) for c in df.columns]
     return df.select(*picked, *([input_order().alias(ORDINAL)] if ordinal else []))

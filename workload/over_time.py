@@ -25,7 +25,7 @@ register("snapshot_dates", lambda spark, sf: SN.snapshot_dates(hist(spark, sf)),
 register("snapshot_counts", lambda spark, sf: H.snapshot_counts(hist(spark, sf)), f"{HIST} SELECT snapshot_date, count(*) AS companies FROM h GROUP BY 1")
 register(
     "snapshot_pair",
-    lambda spark, sf: spark.range(1).select(*[F.lit(d).alias(n) for n, d in zip(("before", "after"), H.resolve_pair(hist(spark, sf)))]),
+    lambda spark, sf: H.latest_pair(hist(spark, sf)),
     f"{HIST} SELECT CAST(min(d) AS VARCHAR) AS before, CAST(max(d) AS VARCHAR) AS after FROM (SELECT DISTINCT snapshot_date AS d FROM h ORDER BY d DESC LIMIT 2)",
 )
 register(
@@ -145,23 +145,6 @@ register(
     })).select("snapshot_date", "sources", F.array_join("carried_forward", ",").alias("carried_forward")),
     f"{PROV} SELECT snapshot_date, count(*) AS sources, coalesce(string_agg(source, ',' ORDER BY source) FILTER (WHERE carried_forward), '') AS carried_forward FROM p GROUP BY 1",
 )
-
-
-def monthly_inputs(spark, sf):
-    """Content hash of the orders of every month, once as held and once reversed."""
-    o = Fr.table(spark, sf, "orders").withColumn("m", F.trunc("o_orderdate", "month"))
-    hashed = F.xxhash64("o_custkey", "o_orderstatus").cast("decimal(38,0)")
-    return o.groupBy("m").agg(F.sum(hashed).cast("string").alias("content_hash"), F.count("*").alias("content_rows"))
-
-
-register(
-    "duplicate_inputs",
-    lambda spark, sf: SN.duplicate_of(
-        monthly_inputs(spark, sf).select(F.col("m").alias("snapshot_date"), F.lit("tradingview").alias("source"), "content_hash", "content_rows"),
-        monthly_inputs(spark, sf.rstrip("/")).orderBy(F.col("content_rows").desc(), "m").limit(1).select(F.lit("tradingview").alias("source"), "content_hash", "content_rows"),
-    ),
-    """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot_date FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1""",
-)
 register(
     "screen_at_snapshot",
     lambda spark, sf: screen.where_all(SN.as_of(hist(spark, sf), B), FILTERS).select("isin", "symbol", "roe", "dist_ath_pct"),

@@ -219,6 +219,17 @@ def test_license_scan(spark):
     assert got == {(1, "MIT", None), (2, "CC-BY-NC-4.0", "a/b"), (3, "Apache-2.0", None), (4, "CC-BY-NC-4.0", "a/b"), (5, None, None), (6, "CC-BY-NC-4.0", None), (7, None, None)}
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_license_scan_weighs_words_outside_templates(spark, small, monkeypatch):
+    """Words that the corpus holds often weigh little, however many lines there are."""
+    monkeypatch.setattr(license_scan, "is_small", lambda df: small, raising=False)
+    header = "Licensed under the Apache License, Version 2.0 Copyright 2024"
+    for n in (10, 2000):
+        rows = [(k, header if k % 2 else f"Copyright 2024 own{k}", f"d{k}/x.txt") for k in range(n)]
+        found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()
+        assert {(r["doc_id"] % 2, r["own_license"]) for r in found} == {(0, None), (1, "Apache-2.0")}
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(6000)
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import NULL_ID, checked_broadcast, inverse, mix, new_folder, powers, random_words, small_batches, stored, text_buffer
+from panelyard.llm.common import NULL_ID, checked_broadcast, inverse, mix, new_folder, powers, random_words, row_key, small_batches, stored, text_buffer
 
 GRAM = 32
 FLUSH_SEGMENTS = 250_000
@@ -35,7 +35,7 @@ STRIPE = 8
 
 _BYTES = random_words(256, 21)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SEGMENT = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("count", "u1"), ("lead", "u1")])
+_SEGMENT = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("count", "u1"), ("lead", "u1")])
 COVER, REQUEST, PACK = 0, 1, 2
 
 
@@ -67,8 +67,8 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def segments_of(hasher: Hasher, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, least: int) -> np.ndarray:
-    """The segments of all texts of a buffer."""
+def segments_of(hasher: Hasher, raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, texts: np.ndarray, least: int) -> np.ndarray:
+    """The segments of all texts of a buffer; ``ids`` and ``texts`` are the rows' keys."""
     if len(raw) < least:
         return np.zeros(0, _SEGMENT)
     hasher.load(raw)
@@ -92,6 +92,7 @@ def segments_of(hasher: Hasher, raw: np.ndarray, offsets: np.ndarray, ids: np.nd
     out["anchor"] = grams[anchor[first]]
     out["hash"] = hasher.spans(begin, begin + out["count"].astype(np.int64) - 1 + least)
     out["doc"] = ids[doc[first]]
+    out["text"] = texts[doc[first]]
     out["start"] = begin - offsets[doc[first]]
     out["lead"] = anchor[first] - begin
     return out
@@ -100,17 +101,17 @@ def segments_of(hasher: Hasher, raw: np.ndarray, offsets: np.ndarray, ids: np.nd
 def thinned(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The earliest of each group of equal segments, in order of anchor, and the others. A
     repeated row's segment is the same occurrence and is dropped."""
-    s = s[np.lexsort((s["start"], s["doc"], s["hash"], s["anchor"]))]
+    s = s[np.lexsort((s["start"], s["text"], s["doc"], s["hash"], s["anchor"]))]
     same = np.zeros(len(s), bool)
     same[1:] = (s["anchor"][1:] == s["anchor"][:-1]) & (s["hash"][1:] == s["hash"][:-1]) & (s["count"][1:] == s["count"][:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(s))))
-    later = same & ((s["doc"] != s["doc"][head]) | (s["start"] != s["start"][head]))
+    later = same & ((s["doc"] != s["doc"][head]) | (s["text"] != s["text"][head]) | (s["start"] != s["start"][head]))
     return s[~same], s[later]
 
 
-FOUND = "kind int, doc long, start int, count int, anchor long, lead int, bucket int, pack binary"
+FOUND = "kind int, doc long, text long, start int, count int, anchor long, lead int, bucket int, pack binary"
 _FOUND_TYPES = pa.schema([
-    ("kind", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("anchor", pa.int64()), ("lead", pa.int32()),
+    ("kind", pa.int32()), ("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("anchor", pa.int64()), ("lead", pa.int32()),
     ("bucket", pa.int32()), ("pack", pa.binary()),
 ])
 
@@ -119,14 +120,14 @@ def _records(kind: int, s: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]
     for at in range(0, len(s), 100_000):
         p = s[at : at + 100_000]
         columns = [
-            np.full(len(p), kind, np.int32), p["doc"], p["start"], p["count"].astype(np.int32), p["anchor"].view(np.int64), p["lead"].astype(np.int32),
-            (p["doc"] % buckets).astype(np.int32),
+            np.full(len(p), kind, np.int32), p["doc"], p["text"], p["start"], p["count"].astype(np.int32), p["anchor"].view(np.int64), p["lead"].astype(np.int32),
+            ((p["doc"] ^ p["text"]) % buckets).astype(np.int32),
         ]
         yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in columns], pa.nulls(len(p), pa.binary())], schema=_FOUND_TYPES)
 
 
 def candidates(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Covered runs of starts (doc, start, count), and requests (the same with anchor and
+    """Covered runs of starts (doc, text, start, count), and requests (the same with anchor and
     lead): the earliest of each of an anchor's different segments. Segments travel as packed
     arrays, one per task and bucket."""
     spark = documents.sparkSession
@@ -142,13 +143,13 @@ def candidates(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             cut = np.searchsorted(first["anchor"], (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
             packs = [p.tobytes() for p in np.split(first, cut)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(buckets, PACK, np.int32)), *[pa.nulls(buckets, f.type) for f in list(_FOUND_TYPES)[1:6]],
+                pa.array(np.full(buckets, PACK, np.int32)), *[pa.nulls(buckets, f.type) for f in list(_FOUND_TYPES)[1:7]],
                 pa.array(np.arange(buckets, dtype=np.int32)), pa.array(packs, pa.binary()),
             ], schema=_FOUND_TYPES)
 
         for batch in batches:
-            raw, offsets = text_buffer(batch.column(1))
-            held.append(segments_of(hasher, raw, offsets, batch.column(0).to_numpy(), least))
+            raw, offsets = text_buffer(batch.column(2))
+            held.append(segments_of(hasher, raw, offsets, batch.column(0).to_numpy(), batch.column(1).to_numpy(), least))
             count += len(held[-1])
             if count > FLUSH_SEGMENTS:
                 yield from flushed()
@@ -161,7 +162,7 @@ def candidates(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             packed = batch.column(0).to_numpy() == PACK
             yield batch.filter(pa.array(~packed))
-            held += [np.frombuffer(p.as_py(), _SEGMENT) for p in batch.column(7).filter(pa.array(packed))]
+            held += [np.frombuffer(p.as_py(), _SEGMENT) for p in batch.column(8).filter(pa.array(packed))]
         if held:
             first, later = thinned(np.concatenate(held))
             yield from _records(COVER, later, buckets)
@@ -172,8 +173,8 @@ def candidates(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     folder = new_folder(spark, "segments")
     found = documents.mapInArrow(scan, FOUND).repartitionById(buckets, "bucket").mapInArrow(gather, FOUND)
     found.drop("bucket", "pack").write.partitionBy("kind").parquet(folder)
-    out = spark.read.schema("doc long, start int, count int, anchor long, lead int, kind int").parquet(folder)
-    return out.where(F.col("kind") == COVER).select("doc", "start", "count"), out.where(F.col("kind") == REQUEST).drop("kind")
+    out = spark.read.schema("doc long, text long, start int, count int, anchor long, lead int, kind int").parquet(folder)
+    return out.where(F.col("kind") == COVER).select("doc", "text", "start", "count"), out.where(F.col("kind") == REQUEST).drop("kind")
 
 
 def interval_classes(text: np.ndarray, least: int) -> np.ndarray:
@@ -239,61 +240,62 @@ def interval_classes(text: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def covered_starts(segments: list, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of all starts that repeat an earlier one. segments: (doc, start, count,
-    content)."""
-    text = np.frombuffer(b"\0".join(bytes(s[3]).translate(_PLUS_ONE) for s in segments) + b"\0", np.uint8)
-    sizes = np.array([len(s[3]) + 1 for s in segments])
-    counts = np.array([s[2] for s in segments])
+def covered_starts(segments: list, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, text, start) of all starts that repeat an earlier one. segments: (doc, text, start,
+    count, content)."""
+    joined = np.frombuffer(b"\0".join(bytes(s[4]).translate(_PLUS_ONE) for s in segments) + b"\0", np.uint8)
+    sizes = np.array([len(s[4]) + 1 for s in segments])
+    counts = np.array([s[3] for s in segments])
     begins = np.cumsum(sizes) - sizes
     which = np.repeat(np.arange(len(segments)), counts)
     inner = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-    cls = interval_classes(text, least)[begins[which] + inner]
+    cls = interval_classes(joined, least)[begins[which] + inner]
     doc = np.array([s[0] for s in segments], np.int64)[which]
-    start = np.array([s[1] for s in segments], np.int64)[which] + inner
-    order = np.lexsort((start, doc, cls))
-    cls, doc, start = cls[order], doc[order], start[order]
+    text = np.array([s[1] for s in segments], np.int64)[which]
+    start = np.array([s[2] for s in segments], np.int64)[which] + inner
+    order = np.lexsort((start, text, doc, cls))
+    cls, doc, text, start = cls[order], doc[order], text[order], start[order]
     head = np.maximum.accumulate(np.where(np.concatenate([[True], cls[1:] != cls[:-1]]), np.arange(len(cls)), 0))
-    later = (doc != doc[head]) | (start != start[head])
-    return doc[later], start[later]
+    later = (doc != doc[head]) | (text != text[head]) | (start != start[head])
+    return doc[later], text[later], start[later]
 
 
 _PLUS_ONE = bytes((i + 1) & 255 for i in range(256))  # UTF-8 has no byte 255, so 0 stays free
 
 
-def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+def _runs(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((start, text, doc))
+    doc, text, start = doc[order], text[order], start[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(doc)]]) - 1
-    return doc[first], start[first], start[last] - start[first] + 1
+    return doc[first], text[first], start[first], start[last] - start[first] + 1
 
 
 def settle_segments(documents: DataFrame, requests: DataFrame, least: int) -> DataFrame:
-    """Covered runs of starts (doc, start, count) among an anchor's different segments."""
+    """Covered runs of starts (doc, text, start, count) among an anchor's different segments."""
     spark = documents.sparkSession
     hot = requests.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ANCHOR).select("anchor", F.lit(True).alias("hot"))
     hot = stored(hot, "hot-anchors")
-    asked = requests.join(checked_broadcast(hot), "anchor", "left").groupBy("doc").agg(
+    asked = requests.join(checked_broadcast(hot), "anchor", "left").groupBy("doc", "text").agg(
         F.collect_list(F.struct("start", "count", "anchor", "lead", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked")
     )
     asked = stored(asked, "asked")
-    piece = "key long, doc long, start int, count int, content binary"
+    piece = "key long, doc long, text long, start int, count int, content binary"
     names = [f.split()[0] for f in piece.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, tuple] = {}
         for batch in batches:
             out, covered = [], []
-            for doc, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                data = text.encode("utf-8")
+            for doc, text, body, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                data = body.encode("utf-8")
                 for w in wanted:
                     start, count = w["start"], w["count"]
                     if not w["hot"]:
-                        out.append((w["anchor"], doc, start, count, data[start : start + count - 1 + least]))
+                        out.append((w["anchor"], doc, text, start, count, data[start : start + count - 1 + least]))
                         continue
                     # a hot anchor is split into stripes of starts, told apart by the bytes that all of a stripe share
                     anchor = start + w["lead"]
@@ -305,23 +307,23 @@ def settle_segments(documents: DataFrame, requests: DataFrame, least: int) -> Da
                         key = hash_bytes(shared, w["anchor"] + q)
                         content = data[a : b - 1 + least]
                         mine = (key, content)
-                        if mine in seen and seen[mine] <= (doc, a):
-                            if seen[mine] < (doc, a):
-                                covered.append((None, doc, a, b - a, None))
+                        if mine in seen and seen[mine] <= (doc, text, a):
+                            if seen[mine] < (doc, text, a):
+                                covered.append((None, doc, text, a, b - a, None))
                             continue
                         if len(seen) > 50_000:
                             seen.clear()
-                        seen[mine] = (doc, a)
-                        out.append((key, doc, a, b - a, content))
+                        seen[mine] = (doc, text, a)
+                        out.append((key, doc, text, a, b - a, content))
             rows = out + covered
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names=names)
 
     def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, key = [], 0, None
 
         def settled() -> pa.RecordBatch:
-            doc, start, count = _runs(*covered_starts(held, least))
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["doc", "start", "count"])
+            doc, text, start, count = _runs(*covered_starts(held, least))
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["doc", "text", "start", "count"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -330,16 +332,16 @@ def settle_segments(documents: DataFrame, requests: DataFrame, least: int) -> Da
                     held, size = [], 0
                 key = row[0]
                 held.append(row[1:])
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield settled()
 
     small_batches(spark, rows=1000, mib=2)
-    texts = documents.join(checked_broadcast(asked), documents["id"] == asked["doc"]).select("doc", "text", "asked")
+    texts = documents.join(checked_broadcast(asked.withColumnsRenamed({"doc": "_i", "text": "_h"})), ["_i", "_h"]).select("_i", "_h", "text", "asked")
     pieces = stored(texts.mapInArrow(cut, piece), "pieces")
-    alone = pieces.where("key is null").select("doc", "start", "count")
+    alone = pieces.where("key is null").select("doc", "text", "start", "count")
     together = pieces.where("key is not null").repartition("key").sortWithinPartitions("key")
-    return alone.union(together.mapInArrow(transformed, "doc long, start int, count int"))
+    return alone.union(together.mapInArrow(transformed, "doc long, text long, start int, count int"))
 
 
 def hash_bytes(data: bytes, seed: int) -> int:
@@ -355,14 +357,15 @@ def remove_repeats(documents: DataFrame, least: int = 100, doc_id: str = "doc_id
 
     A byte goes if a string of ``least`` bytes that covers it also starts earlier: in a smaller
     doc_id, or in the same document at an earlier byte. All is judged on the input. Null texts
-    are empty; texts under ``least`` bytes stay whole. A null id is the smallest. Rows with
-    one id are one document: equal strings at equal places are one occurrence, so repeated
-    rows get equal results. Other columns are ignored, whatever their names.
+    are empty; texts under ``least`` bytes stay whole. A null id is the smallest. Equal rows are
+    one document: equal strings at equal places are one occurrence, so they get equal results.
+    Rows that repeat an id (or a null) with another text are documents of their own, in order
+    of the hash of common.row_key. Other columns are ignored, whatever their names.
     """
     spark = documents.sparkSession
     if least <= GRAM:
         raise ValueError(f"least must be over {GRAM}")
-    rows = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = documents.select(*row_key(doc_id, text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     long_enough = rows.where(F.octet_length("text") >= least)
     covers, requests = candidates(long_enough, least)
     covers = covers.union(settle_segments(long_enough, requests, least))
@@ -370,39 +373,42 @@ def remove_repeats(documents: DataFrame, least: int = 100, doc_id: str = "doc_id
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, held = None, []
 
-        def united(doc: int, held: list) -> tuple:
+        def united(doc: tuple, held: list) -> tuple:
             s = np.concatenate(held)
             end = np.maximum.accumulate(s[:, 1])
             new = np.ones(len(s), bool)
             new[1:] = s[1:, 0] > end[:-1]
             first = np.flatnonzero(new)
             last = np.concatenate([first[1:], [len(s)]]) - 1
-            return doc, np.stack([s[first, 0], end[last]], axis=1).astype("<i8").tobytes()
+            return *doc, np.stack([s[first, 0], end[last]], axis=1).astype("<i8").tobytes()
+
+        def found(done: list) -> pa.RecordBatch:
+            columns = [pa.array([d[n] for d in done], t) for n, t in enumerate([pa.int64(), pa.int64(), pa.binary()])]
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "text", "runs"])
 
         for batch in batches:
-            docs = batch.column(0).to_numpy()
-            start = batch.column(1).to_numpy().astype(np.int64)
-            spans = np.stack([start, start + batch.column(2).to_numpy() - 1 + least], axis=1)
-            cuts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else []
+            docs, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            start = batch.column(2).to_numpy().astype(np.int64)
+            spans = np.stack([start, start + batch.column(3).to_numpy() - 1 + least], axis=1)
+            cuts = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1])])) if len(docs) else []
             done = []
             for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=True):
-                if docs[a] != doc and held:
+                if (docs[a], texts[a]) != doc and held:
                     done.append(united(doc, held))
                     held = []
-                doc = int(docs[a])
+                doc = int(docs[a]), int(texts[a])
                 held.append(spans[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in done], pa.int64()), pa.array([s for _, s in done], pa.binary())], names=["doc", "runs"])
+            yield found(done)
         if held:
-            d, s = united(doc, held)
-            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([s], pa.binary())], names=["doc", "runs"])
+            yield found([united(doc, held)])
 
     small_batches(spark, rows=50_000, mib=4)
-    runs = stored(covers.repartition("doc").sortWithinPartitions("doc", "start").mapInArrow(merged, "doc long, runs binary"), "runs")
+    runs = stored(covers.repartition("doc", "text").sortWithinPartitions("doc", "text", "start").mapInArrow(merged, "_i long, _h long, runs binary"), "runs")
     carried = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep or [])]
     whole = documents.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried
+        *row_key(doc_id, text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried
     )
-    marked = whole.join(checked_broadcast(runs), F.col("id") == F.col("doc"), "left").drop("doc")
+    marked = whole.join(checked_broadcast(runs), ["_i", "_h"], "left").drop("_h")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

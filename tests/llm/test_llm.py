@@ -138,6 +138,20 @@ def test_suffix_dedup_by_character_keeps_utf8(spark):
     assert suffix_dedup.remove_repeats(docs_frame(spark, []), 100).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_suffix_dedup_rows_that_share_an_id(spark, key):
+    """Each loses what repeats in its own text, also at the place where another text has it."""
+    rng = random.Random(12)
+    shared, alone, first, second = (" ".join(words(rng, 30, 100_000)).encode()[:150].decode() for _ in range(4))
+    rows = [(key, first + shared), (key, second + shared), (key, alone * 2), (key, alone * 2), (key, "short"), (9, shared)]
+    found = suffix_dedup.remove_repeats(docs_frame(spark, rows), 100).collect()
+    kept = Counter((r["doc_id"], bytes(r["kept"]).decode()) for r in found)
+    whole = [h for h in (first, second) if kept[key, h + shared]]
+    assert len(found) == len(rows) and len(whole) == 1  # the first of them keeps the passage
+    other = second if whole[0] == first else first
+    assert kept == Counter([(key, whole[0] + shared), (key, other), (key, alone), (key, alone), (key, "short"), (9, "")])
+
+
 def test_interval_classes():
     rng = random.Random(3)
     text = bytes(rng.choice(b"\1\2\3") for _ in range(700)) + b"\0"

@@ -10,7 +10,8 @@ Burrows-Wheeler transform of them is built. Intervals of strings are then extend
 breadth first: strings of length l give the places where the common prefix of suffix-array
 neighbours is exactly l, for increasing l, and the expansion stops at ``least``. Neighbours
 that have no value by then share ``least`` bytes or more; of each such class all but the
-earliest start are covered.
+earliest start are covered. An anchor with very many segments is first split by content, and
+what is still too much for one transform is compared by digests of its single windows.
 
 Coverage only ever grows: any earlier equal string, wherever it is seen, is proof enough. So
 tasks thin what they send: of equal segments seen by a task one goes on.
@@ -32,6 +33,8 @@ FLUSH_SEGMENTS = 250_000
 CHUNK_BYTES = 1 << 19
 HOT_ANCHOR = 2000  # distinct segments of an anchor beyond which it is split by content
 STRIPE = 8
+HOT_STRIPE = 2000  # pieces of a key beyond which they are compared window by window
+BUCKET_SEGMENTS = 1 << 20  # segments that a gathering task holds, about
 
 _BYTES = random_words(256, 21)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -132,7 +135,10 @@ def candidates(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     arrays, one per task and bucket."""
     spark = documents.sparkSession
     small_batches(spark, rows=1000, mib=1)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a run of equal anchors is expected to end twice in a window's span of grams
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    expected = 2 * size // (least - GRAM + 2)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET_SEGMENTS))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, count = Hasher(), [], 0
@@ -141,10 +147,10 @@ def candidates(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             first, later = thinned(np.concatenate(held))
             yield from _records(COVER, later, buckets)
             cut = np.searchsorted(first["anchor"], (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-            packs = [p.tobytes() for p in np.split(first, cut)]
+            packs = [(n, p.tobytes()) for n, p in enumerate(np.split(first, cut)) if len(p)]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(buckets, PACK, np.int32)), *[pa.nulls(buckets, f.type) for f in list(_FOUND_TYPES)[1:7]],
-                pa.array(np.arange(buckets, dtype=np.int32)), pa.array(packs, pa.binary()),
+                pa.array(np.full(len(packs), PACK, np.int32)), *[pa.nulls(len(packs), f.type) for f in list(_FOUND_TYPES)[1:7]],
+                pa.array([n for n, _ in packs], pa.int32()), pa.array([p for _, p in packs], pa.binary()),
             ], schema=_FOUND_TYPES)
 
         for batch in batches:
@@ -269,7 +275,7 @@ def _runs(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> tuple[np.ndar
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (start[1:] > start[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(doc)]]) - 1
+    last = np.concatenate([first, [len(doc)]])[1:] - 1
     return doc[first], text[first], start[first], start[last] - start[first] + 1
 
 
@@ -340,8 +346,24 @@ def settle_segments(documents: DataFrame, requests: DataFrame, least: int) -> Da
     texts = documents.join(checked_broadcast(asked.withColumnsRenamed({"doc": "_i", "text": "_h"})), ["_i", "_h"]).select("_i", "_h", "text", "asked")
     pieces = stored(texts.mapInArrow(cut, piece), "pieces")
     alone = pieces.where("key is null").select("doc", "text", "start", "count")
-    together = pieces.where("key is not null").repartition("key").sortWithinPartitions("key")
-    return alone.union(together.mapInArrow(transformed, "doc long, text long, start int, count int"))
+    together = pieces.where("key is not null")
+    crowded = together.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_STRIPE).select("key")
+    crowded = checked_broadcast(stored(crowded, "crowded-keys"))
+    apart = repeated_windows(together.join(crowded, "key", "left_semi"), least)
+    together = together.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    return alone.union(apart).union(together.mapInArrow(transformed, "doc long, text long, start int, count int"))
+
+
+def repeated_windows(pieces: DataFrame, least: int) -> DataFrame:
+    """Covered starts (doc, text, start, count) among ``pieces``: each piece falls into its
+    windows of ``least`` bytes, and of equal windows all but the earliest are covered. No group
+    is held in a task: the earliest is a partial aggregate, and only it is joined back."""
+    windows = pieces.select("doc", "text", "start", "content", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at")).select(
+        F.unhex(F.md5(F.substring("content", F.col("at") + 1, F.lit(least)))).alias("window"), F.struct("doc", "text", (F.col("start") + F.col("at")).alias("start")).alias("place")
+    )
+    firsts = windows.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("window", "first")
+    firsts = stored(firsts, "first-windows")
+    return windows.join(checked_broadcast(firsts), "window").where("place <> first").select("place.*", F.lit(1).alias("count"))
 
 
 def hash_bytes(data: bytes, seed: int) -> int:

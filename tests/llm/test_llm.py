@@ -152,6 +152,29 @@ def test_suffix_dedup_rows_that_share_an_id(spark, key):
     assert kept == Counter([(key, whole[0] + shared), (key, other), (key, alone), (key, alone), (key, "short"), (9, "")])
 
 
+def test_suffix_dedup_bounds_a_transform(spark, monkeypatch):
+    """A shared passage with other bytes before it in every document: no task gets the pieces of
+    all of them, and the result is that of brute force."""
+    rng = random.Random(14)
+    passage = " ".join(words(rng, 40, 100_000))
+    rows = [(k, f"{rng.randrange(10**12):012d}{passage}{rng.randrange(10**12):012d}") for k in range(60)]
+    monkeypatch.setattr(suffix_dedup, "HOT_ANCHOR", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_STRIPE", 5, raising=False)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_SEGMENTS", 3, raising=False)
+    whole = suffix_dedup.covered_starts
+
+    def bounded(held, least):
+        assert len(held) <= 5
+        return whole(held, least)
+
+    monkeypatch.setattr(suffix_dedup, "covered_starts", bounded)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 1)
+    gone = removed_by_brute_force(rows, 100)
+    for r in suffix_dedup.remove_repeats(docs_frame(spark, rows), 100).collect():
+        text = rows[r["doc_id"]][1].encode()
+        assert bytes(r["kept"]) == bytes(c for c, x in zip(text, gone[r["doc_id"], text], strict=True) if not x)
+
+
 def test_interval_classes():
     rng = random.Random(3)
     text = bytes(rng.choice(b"\1\2\3") for _ in range(700)) + b"\0"

@@ -4,8 +4,8 @@ Grammar:  conversation := turn*      turn := "<s>" role NEWLINE text "</s>"
 
 Inside a role or text a backslash makes the next character literal. The rendered text is read
 back by a deterministic parser (split at the turn marks, split at the first bare newline,
-drop backslashes), and the recovered turns are compared with the source. Content that does
-not come back as it was is escaped more, level by level, until it does:
+drop backslashes), and the recovered turns are compared with the source. Content that holds a
+control string, or does not come back as it was, is escaped more, level by level, until it does:
 level 0 as it is; level 1 with the control strings broken up and backslashes doubled; level 2
 with a backslash before every character that occurs in a control string. Only DataFrame
 functions are used.
@@ -13,6 +13,9 @@ functions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,10 @@ def _level_2(c: Column) -> Column:
 LEVELS = (lambda c: c, _level_1, _level_2)
 
 
+def _holds_control(c: Column) -> Column:
+    return reduce(or_, [F.contains(c, F.lit(mark)) for mark in CONTROL])
+
+
 def _render(turns: Column, escape) -> Column:
     """Newlines of a role are always escaped, as the first bare one ends the role."""
     role = lambda t: F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\\n")) if escape is not _level_2 else escape(t["role"])
@@ -86,7 +93,10 @@ def format_conversations(
         done = F.lit(False) if n == 0 else F.col("level").isNotNull()
         rendered = _render(F.col("turns"), escape)
         tried = tried.withColumn(f"_r{n}", F.when(~done, rendered)).withColumn(f"_p{n}", parse(F.col(f"_r{n}")))
-        fits = F.when(F.col(f"_p{n}") == F.col("turns"), n)
+        fits = F.col(f"_p{n}") == F.col("turns")
+        if n == 0:  # the parser reads most control strings back, but none may stand bare
+            fits = fits & ~F.exists("turns", lambda t: _holds_control(t["role"]) | _holds_control(t["text"]))
+        fits = F.when(fits, n)
         tried = tried.withColumn("level", fits if n == 0 else F.coalesce("level", fits))
     formatted = F.coalesce(*[F.when(F.col("level") == n, F.col(f"_r{n}")) for n in range(len(LEVELS))], F.raise_error(F.lit("no escaping brings the turns back")).cast("string"))
     recovered = F.coalesce(*[F.when(F.col("level") == n, F.col(f"_p{n}")) for n in range(len(LEVELS))])

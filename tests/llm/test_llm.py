@@ -381,3 +381,11 @@ def test_chat_round_trip(spark):
         by[c].append((-1 if t is None else t, r or "", x or ""))
     assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["recovered"]] for r in made} == {c: [(r, x) for _, r, x in sorted(v)] for c, v in by.items()}
     assert {r["conv_id"]: r["level"] for r in made}[1] == 0 and {r["conv_id"]: r["level"] for r in made}[2] == 1
+
+
+def test_chat_escapes_every_control_string(spark):
+    rows = [(n, 0, "user", f"a {mark} b") for n, mark in enumerate(chat.CONTROL)] + [(20, 0, "[INST]", "in the role"), (21, 0, "user", "[INST plain <s")]
+    for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        assert [tuple(t) for t in r["recovered"]] == [rows[[x[0] for x in rows].index(r["conv_id"])][2:]]
+        inside = r["formatted"].removeprefix("<s>").removesuffix("</s>")
+        assert not any(mark in inside for mark in chat.CONTROL) and r["level"] == (0 if r["conv_id"] == 21 else 1)

@@ -1,6 +1,7 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is cut into segments; segments are encoded in parallel and joined pairwise up a tree.
+A long text is cut into segments; segments are scanned by the pattern in parallel and their
+matches are joined pairwise up a tree, then encoded in the task that joins them.
 Two facts make a join exact without encoding everything again:
 
 * Splitting. A match of the pattern depends on the text from its start to at most two
@@ -13,7 +14,7 @@ Two facts make a join exact without encoding everything again:
   those two neighbours alone). So a match is encoded by halves; at the seam a window of tokens
   is encoded again and grows until the pairs at both its edges are stable.
 
-Decoding maps ids to byte strings and concatenates up the same tree.
+Decoding maps the ids of a row to byte strings and concatenates them in one flat join.
 """
 
 from __future__ import annotations

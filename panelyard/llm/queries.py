@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, license_scan, sharding, suffix_dedup, toxicity, warc
+from panelyard.llm import bpe, centroids, chat, decontamination, embedding_dedup, jaccard_join, license_scan, sharding, suffix_dedup, toxicity, vector_codes, warc
 from panelyard.llm.common import new_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -99,9 +99,21 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    rows, books = vector_codes.compress(_table(spark, folder, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return vector_codes.with_label_error(rows).select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256")
+    )
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(_table(spark, folder, "embeddings"), k=16, rounds=3, scale=64, dim=64).drop("centroid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_license_scan, op3_bpe, op4_toxicity, op5_resharding, op6_jaccard_join, op7_embedding_dedup, op8_suffix_dedup, op9_warc, op10_chat_format,
+        op11_vector_codes, op13_centroids,
     )
 }
 
@@ -114,6 +126,31 @@ reach(node, other) AS (
     UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON r.other = l.a
 )"""
 
+# Vectors as integers; products of integers below 2^53 are exact in double precision.
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_SQUARED = "(list_dot_product(x.e, x.e) - 2 * list_dot_product(x.e, y.e) + list_dot_product(y.e, y.e))::BIGINT"
+
+
+def _integer_rounds(rounds: int, by: str) -> str:
+    """CTEs a0, c1, a1, ...: nearest entries of ``x`` (r, {by}, e) among c0 (c, {by}, e), and the next entries."""
+    out = []
+    for n in range(rounds + 1):
+        on = f"USING ({by})" if by else ""
+        join, keys = (f"JOIN c{n} y {on}", f"{by}, ") if by else (f"CROSS JOIN c{n} y", "")
+        out.append(f"""a{n} AS MATERIALIZED (
+    SELECT r, {keys}c, d, e FROM (SELECT x.r, {keys}y.c, x.e, {_SQUARED} AS d, row_number() OVER (PARTITION BY x.r{", " + by if by else ""} ORDER BY {_SQUARED}, y.c) AS k FROM x {join}) WHERE k = 1
+)""")
+        if n < rounds:
+            out.append(f"""c{n + 1} AS MATERIALIZED (
+    SELECT c, {keys}coalesce(m.e, o.e) AS e FROM c{n} o LEFT JOIN (
+        SELECT c, {keys}list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS e FROM (
+            SELECT c, {keys}i, sum(v)::HUGEINT AS s, count(*) AS n FROM (SELECT c, {keys}unnest(e)::BIGINT AS v, unnest(range(len(e))) AS i FROM a{n}) GROUP BY c, {keys}i
+        ) GROUP BY {keys}c
+    ) m USING ({keys}c)
+)""")
+    return ",\n".join(out)
+
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": f"""
 WITH docs AS (
@@ -182,4 +219,24 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(8 + length(role) + length(shown))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op11_vector_codes": f"""
+WITH v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS e FROM embeddings WHERE {_FINITE}
+), x AS MATERIALIZED (
+    SELECT r, p, vec_id, e[1 + p * len(e) // 4:(p + 1) * len(e) // 4] AS e FROM (SELECT *, unnest(range(4)) AS p FROM v)
+), c0 AS MATERIALIZED (
+    SELECT c, p, e FROM (SELECT row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS c, p, e FROM x) WHERE c < 256
+), {_integer_rounds(4, "p")},
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda x: x::BIGINT), ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM c4),
+coded AS (SELECT r, string_agg(lower(printf('%02x', c)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN v USING (r), books""",
+    "op13_centroids": f"""
+WITH x AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS e FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}
+), c0 AS MATERIALIZED (
+    SELECT c, e FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, e FROM x) WHERE c < 16
+), {_integer_rounds(3, "")}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(list_transform(c3.e, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (c) JOIN x USING (r)""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import bpe, centroids, chat, decontamination, embedding_dedup, jaccard_join, license_scan, sharding, suffix_dedup, toxicity, vector_codes, warc
+from panelyard.llm import bpe, centroids, chat, decontamination, embedding_dedup, jaccard_join, license_scan, quality, sharding, suffix_dedup, toxicity, vector_codes, warc
 from panelyard.llm.common import new_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -106,6 +106,10 @@ def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.cluster(_table(spark, folder, "embeddings"), k=16, rounds=3, scale=64, dim=64).drop("centroid")
 
@@ -113,7 +117,7 @@ def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_decontamination, op2_license_scan, op3_bpe, op4_toxicity, op5_resharding, op6_jaccard_join, op7_embedding_dedup, op8_suffix_dedup, op9_warc, op10_chat_format,
-        op11_vector_codes, op13_centroids,
+        op11_vector_codes, op12_quality, op13_centroids,
     )
 }
 

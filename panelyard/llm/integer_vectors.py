@@ -71,6 +71,15 @@ def squared_pairs(rows: np.ndarray, entries: np.ndarray, i: np.ndarray, j: np.nd
     return out
 
 
+def squared_tile(rows: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows to all entries, exactly: in double precision where every
+    product and sum stays below 2^53, otherwise in 64-bit integers."""
+    most = max(int(np.abs(rows).max()), int(np.abs(entries).max()))
+    kind = np.float64 if 4 * rows.shape[1] * most * most < 1 << 53 else np.int64
+    a, b = rows.astype(kind), entries.astype(kind)
+    return ((a * a).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b * b).sum(axis=1)).astype(np.int64)
+
+
 def keep_vectors(vectors: DataFrame, columns: str, dim: int, scale: int, path: str) -> DataFrame:
     """The rows of ``vectors`` (vector last, array<double>) that hold ``dim`` finite components,
     written to ``path`` with the integers as bytes in ``x``; the other columns, declared by

@@ -4,8 +4,9 @@ Integer vectors are cut into parts; each part position has a codebook that is re
 rounds. A few fixed pivots per position are taken from the first codebook. The distance of every
 part to its pivots is computed once and stored. In each round the distances of pivots and entries
 give, by the triangle inequality, |d(part, pivot) - d(entry, pivot)| as lower bounds of
-d(part, entry). Entries are visited in the order of their bounds and evaluated exactly in
-integers until the bounds exceed the best distance, with a margin for rounding.
+d(part, entry). Entries are visited in the order of their bounds, in tiles of like parts and
+entries, and evaluated exactly in integers unless the bounds, with a margin for rounding, exceed
+the best distance.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelyard.llm.common import checked_broadcast, new_folder, small_batches, stored
-from panelyard.llm.integer_vectors import floored_means, keep_vectors, lists, packed, replaced, squared, squared_pairs, unpacked
+from panelyard.llm.integer_vectors import floored_means, keep_vectors, lists, packed, replaced, squared, squared_tile, unpacked
 
 PIVOTS = 8
 CHUNK = 1024  # parts whose bounds are held at once
+TILE = 16  # entries that are evaluated together
 
 
 def choose_pivots(entries: np.ndarray, n: int) -> np.ndarray:
@@ -42,41 +44,40 @@ def to_pivots(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def nearest(rows: np.ndarray, at_pivots: np.ndarray, entries: np.ndarray, entry_pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(entry numbers, squared distances, distances evaluated): the nearest entry of each row,
-    ties to the lower number."""
+    ties to the lower number. Rows are taken in chunks of like distances to the pivots, so that
+    whole tiles of rows and entries are out of reach together."""
     codes, best, evaluated = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), 0
+    order = np.lexsort((at_pivots.min(axis=1), at_pivots.argmin(axis=1)))
     for at in range(0, len(rows), CHUNK):
-        part = slice(at, at + CHUNK)
+        part = order[at : at + CHUNK]
         codes[part], best[part], n = _nearest_chunk(rows[part], at_pivots[part], entries, entry_pivots)
         evaluated += n
     return codes, best, evaluated
 
 
 def _nearest_chunk(rows, at_pivots, entries, entry_pivots):
+    """The entry of the least bound comes first, row by row. Then entries go tile by tile in the
+    order of their bounds; a tile holds the rows and entries with a pair within reach."""
     bounds = np.zeros((len(rows), len(entries)))
     for p in range(entry_pivots.shape[1]):
         np.maximum(bounds, np.abs(at_pivots[:, p, None] - entry_pivots[None, :, p]), out=bounds)
-    margin = 1e-6 * (1.0 + at_pivots.max(axis=1) + entry_pivots.max())  # stored distances are in single precision
-    order = np.argsort(bounds, axis=1, kind="stable")
-    bounds = np.take_along_axis(bounds, order, axis=1) - margin[:, None]
-    most = np.iinfo(np.int64).max
-    best, code = np.full(len(rows), most), np.zeros(len(rows), np.int64)
-    active, begin, width, evaluated = np.arange(len(rows)), 0, 1, 0
-    while begin < len(entries) and len(active):
-        end = min(begin + width, len(entries))
-        reach = np.sqrt(best[active].astype(np.float64))
-        i, j = np.nonzero(bounds[active, begin:end] <= reach[:, None])
-        numbers = order[active[i], begin + j]
-        squares = np.full((len(active), end - begin), most)
-        squares[i, j] = squared_pairs(rows, entries, active[i], numbers)
-        evaluated += len(i)
-        least = np.minimum(squares.min(axis=1), best[active])
-        tied = np.where(squares == least[:, None], order[active, begin:end], len(entries)).min(axis=1)
-        mine = np.where(best[active] == least, code[active], len(entries))
-        code[active] = np.where(least < most, np.minimum(tied, mine), code[active])
-        best[active] = least
-        begin, width = end, min(2 * width, 32)
-        if begin < len(entries):  # bounds ascend: a row whose next bound is out of reach is done
-            active = active[bounds[active, begin] <= np.sqrt(best[active].astype(np.float64))]
+    bounds -= 1e-6 * (1.0 + at_pivots.max(axis=1, keepdims=True) + entry_pivots.max())  # stored distances are in single precision
+    code = bounds.argmin(axis=1)
+    best = squared(rows, entries[code])
+    evaluated = len(rows)
+    by_bound = np.argsort(bounds.mean(axis=0), kind="stable")
+    for at in range(0, len(entries), TILE):
+        tile = np.sort(by_bound[at : at + TILE])  # ascending, so the first of equal distances is the lowest entry
+        near = bounds[:, tile] <= np.sqrt(best.astype(np.float64))[:, None]
+        who, which = np.flatnonzero(near.any(axis=1)), tile[near.any(axis=0)]
+        if not len(who):
+            continue
+        squares = squared_tile(rows[who], entries[which])
+        evaluated += squares.size
+        first = squares.argmin(axis=1)
+        least, number = squares[np.arange(len(who)), first], which[first]
+        better = (least < best[who]) | ((least == best[who]) & (number < code[who]))
+        code[who[better]], best[who[better]] = number[better], least[better]
     return code, best, evaluated
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from panelyard.llm import centroids, vector_codes
-from panelyard.llm.integer_vectors import squared
+from panelyard.llm.integer_vectors import squared, squared_tile
 
 COLUMNS = "vec_id long, embedding array<double>, label string, x int, cluster string, codes int"  # the last three clash
 
@@ -136,6 +136,13 @@ def test_pivots_prune():
     assert evaluated < 0.5 * every.size
 
 
+def test_tiles_are_exact():
+    rng = np.random.default_rng(7)
+    for most in (5, 1 << 20, 1 << 26):
+        rows, entries = (rng.integers(-most, most, (n, 16), endpoint=True).astype(np.int32) for n in (40, 9))
+        assert squared_tile(rows, entries).tolist() == [[distance(r, e) for e in entries.tolist()] for r in rows.tolist()]
+
+
 def test_nothing_to_code(spark):
     for rows in ([], [(1, None, "a"), (None, [], None), (2, [math.nan] * 64, "b")]):
         made, books = vector_codes.compress(frame(spark, rows))

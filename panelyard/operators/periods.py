@@ -63,10 +63,18 @@ def _sum(values: str) -> str:
     return f"aggregate({values}, 0D, (acc, v) -> acc + v)"
 
 
+def _exact_sum(values: str) -> str:
+    """Sum of money amounts as decimals, cast once, so that it equals a figure reported with as
+    many digits. Amounts that no such decimal holds are added as doubles."""
+    amount = "TRY_CAST(v AS DECIMAL(28,4))"
+    total_ = f"aggregate({values}, CAST(0 AS DECIMAL(28,4)), (acc, v) -> TRY_CAST(try_add(acc, {amount}) AS DECIMAL(28,4)))"
+    return f"coalesce(CAST({total_} AS DOUBLE), {_sum(values)})"
+
+
 def _sum_of_four(p: str, start: int | str) -> str:
     """Sum of four periods from ``start``; null unless all four are present."""
     window = f"slice({p}, {start} + 1, 4)"
-    return f"CASE WHEN size({window}) = 4 AND NOT exists({window}, v -> v IS NULL) THEN {_sum(window)} END"
+    return f"CASE WHEN size({window}) = 4 AND NOT exists({window}, v -> v IS NULL) THEN {_exact_sum(window)} END"
 
 
 def leading_run(p: str, broken: str) -> str:

@@ -100,3 +100,15 @@ def test_pad_and_numbers(spark):
     df = spark.createDataFrame([("a", "1,234.5", "7", "-")], "isin string, QL1 string, QL2 string, TTM string")
     row = P.as_numbers(P.pad_periods(df, "Q")).first()
     assert (row.QL1, row.QL2, row.TTM, row.QL48) == (None, 7.0, None, None)
+
+
+def test_sums_of_money_are_exact(spark):
+    """Four quarters that add up to a figure which their sum as doubles misses; amounts that no
+    decimal holds are still added."""
+    four = [273279.5177, 437693.2605, 123232.6301, 277353.333]
+    assert sum(four) < 1111558.7413
+    q = spark.createDataFrame([("a", four), ("b", [1e30, 1.0, 2.0, 3.0]), ("c", [1.0, None, 2.0, 3.0])], "isin string, p array<double>")
+    y = spark.createDataFrame([("a", [1111558.7413, 5.0])], "isin string, p array<double>")
+    out = {r.isin: r for r in P.summarise(q, y).collect()}
+    assert out["a"].pat_ttm == 1111558.7413 and out["a"].pat_ttm_at_ath is True
+    assert out["b"].pat_ttm == 1e30 and out["c"].pat_ttm is None

@@ -77,7 +77,8 @@ def entities(name: str = "e", before: str | None = None) -> str:
     {_mean("o_orderpriority <= '2-HIGH'")} AS sma_50, {_mean("o_orderstatus = 'O'")} AS sma_200,
     {", ".join(f"{_mean(c)} AS r{w}" for w, c in refs.items())},
     list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE {two})) AS tag_list
-  FROM orders {f"WHERE o_orderdate < {_day(before, 0)}" if before else ""} GROUP BY o_custkey),
+  FROM orders {f"WHERE o_orderdate < {_day(before, 0)}" if before else ""} GROUP BY o_custkey
+  {f"HAVING max(o_orderdate) >= {_day(before, Fr.ACTIVE_DAYS)}" if before else ""}),
 {name}_r AS (
   SELECT 'K' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS isin, c_name AS symbol,
     n_name || ' ' || c_name AS name, c_mktsegment AS sector, n_name AS industry,
@@ -156,8 +157,9 @@ def quarterly() -> str:
     return f"""
 ql_s AS (
   SELECT l_suppkey, (year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS qi,
-    CAST(sum(CAST(l_extendedprice * (1 - l_discount) * (CASE l_returnflag WHEN 'R' THEN -1 ELSE 1 END) AS DECIMAL(18,4))) AS DOUBLE) AS raw
-  FROM lineitem GROUP BY ALL),
+    CAST(sum(CAST(l_extendedprice * (1 - l_discount) * (CASE l_returnflag WHEN 'R' THEN -1 ELSE 1 END)
+      * CASE WHEN l_suppkey % 3 > 0 THEN 4e0 ** (year(l_shipdate) - 1995) * quarter(l_shipdate) ELSE 1 END AS DECIMAL(18,4))) AS DOUBLE) AS raw
+  FROM lineitem GROUP BY l_suppkey, 2),
 ql AS (
   SELECT {supp("l_suppkey")} AS isin, (SELECT max(qi) FROM ql_s) - qi AS periods_ago, qi, raw,
     CASE WHEN (l_suppkey + qi) % 11 = 0 THEN 0e0 ELSE raw END AS pat FROM ql_s),

@@ -15,14 +15,16 @@ def _c(name: str):
     return F.col(f"`{name}`")
 
 
+def normal_name(column: str, mapping: dict[str, str] | None = None, key: str = "isin") -> str:
+    """The explicit new name, or else snake case."""
+    mapping = K.BASE_HEADERS if mapping is None else mapping
+    name = mapping.get(column, column)
+    return name if name in set(mapping.values()) or name == key else to_snake(name)
+
+
 def normalise_names(df: DataFrame, mapping: dict[str, str] | None = None, key: str = "isin") -> DataFrame:
     """Explicit renames, snake case for the rest; two columns of one name are an error."""
-    mapping = K.BASE_HEADERS if mapping is None else mapping
-    targets = set(mapping.values())
-    names = []
-    for column in df.columns:
-        name = mapping.get(column, column)
-        names.append(name if name in targets or name == key else to_snake(name))
+    names = [normal_name(column, mapping, key) for column in df.columns]
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
         raise ValueError(f"name collision after normalisation: {twice}")
@@ -42,13 +44,15 @@ def drop_listed(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.drop(*(K.SECONDARY_DROPPED if columns is None else columns))
 
 
-def column_facts(df: DataFrame) -> DataFrame:
-    """One row per column, from one aggregate over the frame: column, base (what a repeated
-    header ``name.1`` repeats), rows, filled, and whether it equals its base throughout."""
-    base_of = {c: c[:-2] for c in df.columns if c.endswith(".1")}
+def column_facts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per column (and group of ``by``), from one aggregate over the frame: column, base
+    (what a repeated header ``name.1`` repeats), rows, filled, and whether it equals its base
+    throughout."""
+    columns = [c for c in df.columns if c not in by]
+    base_of = {c: c[:-2] for c in columns if c.endswith(".1")}
     measures = [F.count("*").alias("rows")]
     cells = []
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(columns):
         base = base_of.get(c)
         measures.append(F.count(_c(c)).alias(f"filled{i}"))
         equal = F.lit(False)
@@ -59,14 +63,14 @@ def column_facts(df: DataFrame) -> DataFrame:
             F.lit(c).alias("column"), F.lit(base).cast("string").alias("base"), F.col("rows"),
             F.col(f"filled{i}").alias("filled"), equal.alias("equal"),
         ))
-    return df.agg(*measures).select(F.inline(F.array(*cells)))
+    return df.groupBy(*by).agg(*measures).select(*by, F.inline(F.array(*cells)))
 
 
 def dropped_columns(
-    df: DataFrame, min_coverage_pct: float = K.DROP_BELOW_COVERAGE_PCT, universe_n: int | None = None,
+    df: DataFrame, min_coverage_pct: float = K.DROP_BELOW_COVERAGE_PCT, universe_n: int | None = None, by: Sequence[str] = (),
 ) -> DataFrame:
-    """(column, reason, detail) of currency, repeated, listed-empty and thin columns. Of
-    several reasons the first holds."""
+    """(column, reason, detail) of currency, repeated, listed-empty and thin columns, per group of
+    ``by``. Of several reasons the first holds."""
     total = F.col("rows") if universe_n is None else F.lit(universe_n)
     share = F.coalesce(F.try_divide(F.col("filled") * 100.0, total), F.lit(0.0))
     rebuilt = F.lit(None).cast("string")
@@ -84,7 +88,8 @@ def dropped_columns(
         )),
     ]
     verdicts = [F.when(holds, F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))) for reason, holds, detail in rules]
-    return column_facts(df).select("column", F.coalesce(*verdicts).alias("v")).where("v IS NOT NULL").select("column", "v.reason", "v.detail")
+    judged = column_facts(df, by).select(*by, "column", F.coalesce(*verdicts).alias("v")).where("v IS NOT NULL")
+    return judged.select(*by, "column", "v.reason", "v.detail")
 
 
 def drop_dead_columns(

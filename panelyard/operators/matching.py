@@ -24,11 +24,11 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def assemble(base: DataFrame, others: Sequence[DataFrame], key: str = "isin", checked: bool = True) -> DataFrame:
+def assemble(base: DataFrame, others: Sequence[DataFrame], key: str | list[str] = "isin", checked: bool = True) -> DataFrame:
     """Left-join secondary frames onto the base, which defines the universe. Every other
     frame must hold a key once, or rows would multiply."""
     for other in others:
-        clash = (set(other.columns) & set(base.columns)) - {key}
+        clash = (set(other.columns) & set(base.columns)) - set([key] if isinstance(key, str) else key)
         if clash and checked:
             other = other.select(*[F.col(c).alias(f"{c}_sc" if c in clash else c) for c in other.columns])
         base = base.join(other, key, "left")

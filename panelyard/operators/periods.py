@@ -40,13 +40,17 @@ def series_from_long(
     return long.groupBy(key).agg(F.expr(f"array({cells})").alias(out))
 
 
-def to_long(df: DataFrame, freq: str, key: str = "isin", periods: int | None = None) -> DataFrame:
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def to_long(df: DataFrame, freq: str, key: str | list[str] = "isin", periods: int | None = None) -> DataFrame:
     """Wide feed to (key, period, pat, periods_ago, freq); sentinels and nulls left out."""
     names = period_names(freq, periods)
-    wide = df.selectExpr(key, *[f"{nonzero(c)} AS {c}" for c in names])
-    long = wide.unpivot(key, names, "period", "pat").where("pat IS NOT NULL")
+    wide = df.selectExpr(*_keys(key), *[f"{nonzero(c)} AS {c}" for c in names])
+    long = wide.unpivot(_keys(key), names, "period", "pat").where("pat IS NOT NULL")
     ago = F.regexp_extract("period", r"(\d+)$", 1).cast("int") - 1
-    return long.select(key, "period", "pat", ago.alias("periods_ago"), F.lit(freq).alias("freq"))
+    return long.select(*_keys(key), "period", "pat", ago.alias("periods_ago"), F.lit(freq).alias("freq"))
 
 
 # Expressions over a series array named ``p``; index 0 is the latest period.
@@ -181,11 +185,11 @@ def verdict_columns() -> Columns:
     }
 
 
-def _project(df: DataFrame, key: str, parts: list[tuple[Columns, Columns]], last: Columns | None = None) -> DataFrame:
+def _project(df: DataFrame, key: str | list[str], parts: list[tuple[Columns, Columns]], last: Columns | None = None) -> DataFrame:
     first = [f"{sql} AS {name}" for one, _ in parts for name, sql in one.items()]
     then = [f"{sql} AS {name}" for _, two in parts for name, sql in two.items()]
     then += [f"{sql} AS {name}" for name, sql in (last or {}).items()]
-    return df.selectExpr(key, *first).selectExpr("*", *then)
+    return df.selectExpr(*_keys(key), *first).selectExpr("*", *then)
 
 
 def summarise_quarterly(df: DataFrame, p: str = "p", key: str = "isin") -> DataFrame:
@@ -197,15 +201,15 @@ def summarise_yearly(df: DataFrame, p: str = "p", key: str = "isin", ttm: str |
 
 
 def summarise(
-    quarterly: DataFrame, yearly: DataFrame, p: str = "p", key: str = "isin", ttm: str | None = None,
+    quarterly: DataFrame, yearly: DataFrame, p: str = "p", key: str | list[str] = "isin", ttm: str | None = None,
 ) -> DataFrame:
     """Quarterly and annual summaries and the record verdict, one row per key of either
     feed. The two feeds are aligned once; everything else is one projection. A key in
     one feed only has nulls for the other and a negative verdict."""
-    q = quarterly.select(key, F.col(p).alias("q_series"))
-    y = yearly.select(key, F.col(p).alias("y_series"), *([ttm] if ttm else []))
+    q = quarterly.select(*_keys(key), F.col(p).alias("q_series"))
+    y = yearly.select(*_keys(key), F.col(p).alias("y_series"), *([ttm] if ttm else []))
     parts = [quarterly_columns("q_series"), yearly_columns("y_series", ttm)]
-    return _project(q.join(y, key, "full_outer"), key, parts, verdict_columns())
+    return _project(q.join(y, _keys(key), "full_outer"), key, parts, verdict_columns())
 
 
 VERDICT = ["pat_ttm_vs_fy_peak_pct", "pat_ttm_at_ath", "pat_both_at_ath"]

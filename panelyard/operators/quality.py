@@ -63,6 +63,45 @@ def reconstruction_check(
     )
 
 
+def reconstruction_by(df: DataFrame, by: str, days: DataFrame, derived: str, reported: str, tolerance: float = K.RECONSTRUCTION_TOLERANCE_PCT) -> DataFrame:
+    """``reconstruction_check`` for every day of ``days``, from one pass."""
+    both = df.where(F.col(reported).isNotNull() & F.col(derived).isNotNull())
+    error = F.abs((safe_div(derived, reported) - 1) * 100)
+    facts = order_stats.aggregate(both, [by], {"n_overlap": F.count("*")}, {"e": order_stats.median(error)})
+    n = F.coalesce("n_overlap", F.lit(0).cast("bigint"))
+    return days.join(facts, by, "left").select(
+        by, F.lit(reported).alias("field"), F.when(n == 0, "no overlap").otherwise("checked").alias("status"),
+        n.alias("n_overlap"), F.col("e").alias("median_abs_err_pct"), (F.col("e") < tolerance).alias("within_tolerance"),
+    )
+
+
+def gates(
+    df: DataFrame, by: str, key: str = "isin", low: int | None = K.UNIVERSE_MIN, high: int | None = K.UNIVERSE_MAX,
+    tiers: dict[str, int] | None = None, nominal: int = K.UNIVERSE_EXPECTED, slack: int = K.TIER_SLACK, tier: str = "cap_tier",
+) -> DataFrame:
+    """Every rule that a snapshot must meet, per day: (by, rule, found, low, high, violated). Rows
+    are counted per key first, with a map-side combine, so a repeated key is one row and the keys
+    never meet in one task. ``tiers`` gives the expected size of each tier: one may run short by
+    as many rows as the universe lacks plus ``slack``, or over by ``slack``."""
+    sized = [*(tiers or {}), *([K.NO_TIER] if tiers else [])]
+    per_key = df.groupBy(by, key).agg(F.count("*").alias("n"), *[count_where(F.col(tier) == t).alias(f"t{i}") for i, t in enumerate(sized)])
+    facts = per_key.groupBy(by).agg(
+        F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count_if(F.col(key).isNotNull() & (F.col("n") > 1)).alias("twice"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(len(sized))],
+    )
+    none = F.lit(None).cast("bigint")
+    bound = lambda v: none if v is None else F.lit(v).cast("bigint")
+    missing = F.greatest(F.lit(0), F.lit(nominal) - F.col("total"))
+    rules = [("row_count", F.col("total"), bound(low), bound(high)), ("null_key", F.col("nulls"), none, bound(0)), ("duplicate_key", F.col("twice"), none, bound(0))]
+    for i, t in enumerate(sized):
+        known = (tiers or {}).get(t)
+        least = none if known is None else (F.lit(known) - missing - slack).cast("bigint")
+        rules.append((f"tier {t}", F.col(f"t{i}"), least, bound(slack if known is None else known + slack)))
+    cells = [F.struct(F.lit(r).alias("rule"), found.cast("bigint").alias("found"), lo.alias("low"), hi.alias("high")) for r, found, lo, hi in rules]
+    outside = F.coalesce(F.col("found") < F.col("low"), F.lit(False)) | F.coalesce(F.col("found") > F.col("high"), F.lit(False))
+    return facts.select(by, F.inline(F.array(*cells))).withColumn("violated", outside)
+
+
 CHECK = "field string, status string, n_overlap bigint, median_abs_err_pct double, within_tolerance boolean"
 
 

@@ -1,8 +1,9 @@
-"""Dated snapshots as one Parquet table per kind, partitioned by ``snapshot_date``.
+"""Dated snapshots, one Parquet table per kind.
 
-Store layout: ``<store>/companies``, ``<store>/profit_quarterly``,
-``<store>/profit_annual``, ``<store>/provenance`` and the raw inputs under
-``<store>/archive/<source>``.
+Kinds of a store: ``companies``, ``profit_quarterly``, ``profit_annual``, ``provenance``,
+``ledger``, ``checks`` and the raw inputs under ``archive/<source>``. What counts of them is
+resolved through the store's manifest. A table of its own, partitioned by ``snapshot_date`` and
+without a manifest, is read as it lies.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from datetime import date as Date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelyard import constants as K
+from panelyard.sources import manifest as M
 from panelyard.sources import tables
+from panelyard.sources.manifest import DATE, SnapshotError
 
-DATE = "snapshot_date"
 TABLES = ["companies", "profit_quarterly", "profit_annual"]
 PROVENANCE = (
     "source string, filename string, content_hash string, content_rows bigint, "
@@ -26,23 +29,47 @@ PROVENANCE = (
 )
 
 
-class SnapshotError(RuntimeError):
-    """A snapshot cannot be built, read or removed."""
+KINDS = [*TABLES, "provenance", "ledger", "checks", "rejected", *[f"archive/{s}" for s in K.SOURCE_NAMES]]
 
 
 # ------------------------------------------------------------------ reading
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """All snapshots, united by column name. Hidden folders are skipped by the reader; a
-    folder whose suffix is no date is left out."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    if dict(df.dtypes)[DATE] == "date":
-        return df
-    valid = F.col(DATE).cast("string").try_cast("date")
-    return df.withColumn(DATE, valid).where(F.col(DATE).isNotNull())
+def _published(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """Store and kind, if ``path`` is a table of a store with a manifest."""
+    for kind in KINDS:
+        if path.endswith(f"/{kind}") and M.exists(spark, path[: -len(kind) - 1]):
+            return path[: -len(kind) - 1], kind
+    return None
+
+
+def read_table(spark: SparkSession, path: str, dates: Sequence[str] | None = None) -> DataFrame:
+    """All snapshots, or those of some dates, united by column name and widened. Without a
+    manifest a date's columns are taken from one of its files, and a folder whose suffix is no
+    date is left out."""
+    found = _published(spark, path)
+    if found:
+        return M.read(spark, *found, dates=dates)
+    held = [d for d in list_snapshots(spark, path) if dates is None or d in dates]
+    if not held:
+        raise SnapshotError(f"no snapshot at {path}")
+    schemas = {d: spark.read.parquet(f"{path}/{DATE}={d}").schema for d in held}
+    target = M.united(schemas.values())
+    alike: dict[str, list[str]] = {}
+    for d in held:
+        alike.setdefault(schemas[d].json(), []).append(d)
+    parts = []
+    for days in alike.values():
+        own = {f.name: f.dataType for f in schemas[days[0]].fields}
+        schema = T.StructType([*[T.StructField(f.name, own.get(f.name, f.dataType)) for f in target.fields], T.StructField(DATE, T.DateType())])
+        part = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/{DATE}={d}" for d in days])
+        parts.append(part.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.fields], DATE))
+    return union_by_name(parts)
 
 
 def list_snapshots(spark: SparkSession, path: str) -> list[str]:
-    """Dates that have data, oldest first, from the folder names."""
+    """Dates that have data, oldest first, from the manifest or else the folder names."""
+    published = _published(spark, path)
+    if published:
+        return M.days(spark, *published)
     found = []
     for folder in tables.subfolders(spark, path):
         name, _, value = folder.partition("=")
@@ -144,10 +171,9 @@ def resolve_date(names: dict[str, str], explicit: str | None, today: str) -> str
 
 
 def read_provenance(spark: SparkSession, store: str) -> DataFrame:
-    path = f"{store}/provenance"
-    if not list_snapshots(spark, path):
+    if not M.days(spark, store, "provenance"):
         return spark.createDataFrame([], f"{PROVENANCE}, {DATE} date")
-    return spark.read.parquet(path)
+    return M.read(spark, store, "provenance")
 
 
 def carried_sources(provenance: DataFrame, missing: Sequence[str], before: str) -> dict[str, dict]:
@@ -221,28 +247,47 @@ def describe(provenance: DataFrame) -> DataFrame:
 
 
 def sizes(spark: SparkSession, store: str) -> DataFrame:
-    path = f"{store}/companies"
-    rows = [(d, tables.folder_bytes(spark, f"{path}/{DATE}={d}") / 1024) for d in list_snapshots(spark, path)]
+    held = [e for e in M.load(spark, store)[1] if e.kind == "companies"]
+    rows = [(e.snapshot_date, tables.folder_bytes(spark, f"{store}/{e.folder}") / 1024 if e.folder else 0.0) for e in held]
     return spark.createDataFrame(rows, f"{DATE} string, size_kb double").withColumn(DATE, F.col(DATE).cast("date"))
 
 
+def reachable_archives(provenance: DataFrame, dates: Sequence[str]) -> set[tuple[str, str]]:
+    """(source, day) of all archives that the given days are built from: what their provenance
+    names, what the provenance of those days names in turn, and so on. There is one provenance
+    row per source and day."""
+    origin = {(r["source"], str(r[DATE])): str(r["from_snapshot"]) for r in provenance.select("source", DATE, "from_snapshot").collect()}
+    wanted = {(source, day) for source, day in origin if day in dates}
+    found: set[tuple[str, str]] = set()
+    while wanted:
+        named = {(source, origin[source, day]) for source, day in wanted if (source, day) in origin}
+        wanted = named - found
+        found |= named
+    return found
+
+
 def delete(spark: SparkSession, store: str, date: str, keep_archive: bool = True) -> list[str]:
-    """Remove one snapshot, but never the only one. Returns the dates that remain."""
-    held = list_snapshots(spark, f"{store}/companies")
+    """Take one snapshot out of the manifest, but never the only one. Without ``keep_archive`` its
+    archived inputs go as well, unless a day that remains was built from them. Folders stay until
+    ``manifest.remove``. Returns the dates that remain."""
+    seen, entries = M.load(spark, store)
+    held = sorted(e.snapshot_date for e in entries if e.kind == "companies")
     if date not in held:
         raise SnapshotError(f"no snapshot for {date}")
     if len(held) == 1:
         raise SnapshotError("refusing to delete the only snapshot")
-    kinds = [*TABLES, "provenance", *([] if keep_archive else [f"archive/{s}" for s in K.SOURCE_NAMES])]
-    for kind in kinds:
-        folder = f"{store}/{kind}/{DATE}={date}"
-        if tables.exists(spark, folder):
-            tables.delete_folder(spark, folder)
-    return [d for d in held if d != date]
-
-
-def archive_path(store: str, source: str, date: str) -> str:
-    return f"{store}/archive/{source}/{DATE}={date}"
+    remaining = [d for d in held if d != date]
+    gone = {e.key for e in entries if e.snapshot_date == date and not e.kind.startswith("archive/")}
+    if not keep_archive:
+        needed = reachable_archives(read_provenance(spark, store), remaining)
+        # archives of days deleted earlier that were kept for this one go with it
+        gone |= {e.key for e in entries if e.kind.startswith("archive/") and e.snapshot_date not in remaining and (e.kind.removeprefix("archive/"), e.snapshot_date) not in needed}
+    M.publish(spark, store, removed=gone, seen=seen, alone=True)
+    return remaining
+
+
+def archive_kind(source: str) -> str:
+    return f"archive/{source}"
 
 
 def provenance_rows(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +29,52 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _files(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile())
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    fs, p = _files(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that appears complete, by one rename; False if there is one of that name."""
+    fs, target = _files(spark, path)
+    folder, name = path.rsplit("/", 1)
+    _, draft = _files(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    context = spark.sparkContext
+    files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), context._jsc.hadoopConfiguration())
+    # without options the rename refuses a name that is taken
+    options = context._gateway.new_array(getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        files.rename(fs.makeQualified(draft), fs.makeQualified(target), options)
+        return True
+    except Py4JJavaError as problem:
+        fs.delete(draft, False)
+        if "FileAlreadyExistsException" in problem.java_exception.getClass().getName():
+            return False
+        raise
+
+
+def age_hours(spark: SparkSession, path: str) -> float:
+    fs, p = _files(spark, path)
+    return (time.time() * 1000 - fs.getFileStatus(p).getModificationTime()) / 3_600_000
+
+
 def folder_bytes(spark: SparkSession, path: str) -> int:
     fs, p = _files(spark, path)
     return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0

@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from panelyard.operators import periods
+from panelyard.operators import clean, periods
 from panelyard.plans import build as B
 from panelyard.session import shared_folder
 from panelyard.sources import ingest, tables
+from panelyard.sources import manifest as M
 from panelyard.sources import snapshots as SN
 from workload import frames as Fr
 from workload import sql as S
@@ -77,19 +78,29 @@ register("json_payload_scan", lambda spark, sf: long_quarters(payload_json(spark
 
 # ------------------------------------------------------------------ sinks
 def yearly_store(spark, sf):
-    """Orders by year as snapshots. Years before 1998 lack a column, and one year is written
-    anew with other amounts."""
-    path = scratch(spark, "orders-by-year")
+    """Orders by year as snapshots of whole amounts until 1997; later years have cents and a
+    priority, and one of them is published anew with other amounts."""
+    store = scratch(spark, "orders-by-year")
     day = F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31))
     rows = Fr.table(spark, sf, "orders").select(
         day.alias(SN.DATE), F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_totalprice").cast("double").alias("amount"), "o_orderpriority"
     )
-    split = F.lit("1998-01-01").cast("date")
-    SN.write_partition(rows.where(F.col(SN.DATE) < split).drop("o_orderpriority"), path)
-    SN.write_partition(rows.where(F.col(SN.DATE) >= split), path)
-    again = F.lit("1999-12-31").cast("date")
-    SN.write_partition(rows.where(F.col(SN.DATE) == again).withColumn("amount", F.col("amount") * 2), path)
-    return SN.read_table(spark, path)
+    years = [str(r[0]) for r in rows.select(SN.DATE).distinct().orderBy(SN.DATE).collect()]  # a few days
+    old, new, again = [y for y in years if y < "1998"], [y for y in years if y >= "1998"], [y for y in years if y == "1999-12-31"]
+    on = lambda days: F.col(SN.DATE).cast("string").isin(days)
+    whole = rows.where(on(old)).drop("o_orderpriority").withColumn("amount", F.floor("amount").cast("int"))
+    M.publish(spark, store, [*M.stage(whole, store, "orders", old), *M.stage(rows.where(on(new)), store, "orders", new)])
+    M.publish(spark, store, M.stage(rows.where(on(again)).withColumn("amount", F.col("amount") * 2), store, "orders", again))
+    return store
+
+
+def yearly_orders(spark, sf):
+    return M.read(spark, yearly_store(spark, sf), "orders")
+
+
+def one_year(spark, sf):
+    """A day on its own, with its own types."""
+    return M.read(spark, yearly_store(spark, sf), "orders", ["1997-12-31"])
 
 
 def appended_log(spark, sf):
@@ -112,18 +123,27 @@ def replaced_table(spark, sf):
 
 
 register(
-    "snapshot_store_scan", yearly_store,
+    "snapshot_store_scan", yearly_orders,
     f"""SELECT make_date(year(o_orderdate), 12, 31) AS {SN.DATE}, CAST(o_orderkey AS BIGINT) AS o_orderkey,
-    CAST(o_totalprice AS DOUBLE) * CASE WHEN year(o_orderdate) = 1999 THEN 2 ELSE 1 END AS amount,
+    CASE WHEN year(o_orderdate) < 1998 THEN floor(o_totalprice) WHEN year(o_orderdate) = 1999 THEN o_totalprice * 2 ELSE o_totalprice END AS amount,
     CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END AS o_orderpriority FROM orders""",
 )
+register(
+    "snapshot_one_day", one_year,
+    f"""SELECT DATE '1997-12-31' AS {SN.DATE}, CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(floor(o_totalprice) AS INTEGER) AS amount FROM orders WHERE year(o_orderdate) = 1997""",
+)
 register("appended_log", appended_log, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IS NOT NULL")
 register("replaced_table", replaced_table, "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(c_acctbal AS DOUBLE) + 1 AS balance FROM customer WHERE c_acctbal > 0")
 
 
 # ------------------------------------------------------------------ snapshot store
 def base(spark, sf):
-    return Fr.table(spark, sf, "supplier").select(Fr.supplier_key("s_suppkey").alias("isin"), F.col("s_acctbal").cast("double").alias("price"))
+    """A key, a figure, a currency and a column that is filled for one supplier in a hundred."""
+    k = F.col("s_suppkey")
+    return Fr.table(spark, sf, "supplier").select(
+        Fr.supplier_key("s_suppkey").alias("isin"), F.col("s_acctbal").cast("double").alias("price"), F.lit("INR").alias("price - Currency"),
+        F.when(k % 100 == 1, k).alias("rare"),
+    )
 
 
 def raised(df, by):
@@ -131,25 +151,34 @@ def raised(df, by):
 
 
 def curated(first, second, profit_q, profit_y):
-    return B.Curated(first.join(second, "isin", "left"), periods.to_long(profit_q, "Q"), periods.to_long(profit_y, "FY"), first.limit(0))
+    return B.Curated(first.join(second, "isin", "left"), periods.to_long(profit_q, "Q"), periods.to_long(profit_y, "FY"), clean.dropped_columns(first))
 
 
-def curated_anew(first, second, profit_q, profit_y):
-    return curated(raised(first, 10), second, profit_q, profit_y)
+def curated_anew(first, second, profit_q, profit_y, present):
+    """All days at once, ten higher."""
+    key = [SN.DATE, "isin"]
+    return B.Curated(
+        raised(first, 10).join(second, key, "left"), periods.to_long(profit_q, "Q", key), periods.to_long(profit_y, "FY", key), clean.dropped_columns(first, by=[SN.DATE])
+    )
 
 
-def committed(spark, sf):
-    """Two days: all four sources on the first, the base alone on the second."""
-    store = scratch(spark, "store")
+def sources(spark, sf):
     lines = Fr.table(spark, sf, "lineitem").groupBy(Fr.supplier_key("l_suppkey").alias("isin")).agg(F.count(F.lit(1)).alias("lines"))
-    given = {
+    return {
         "tradingview": ("base-1.csv", base(spark, sf)), "screener": ("second-1.csv", lines),
         "profit_q": ("quarters-1.csv", Fr.quarterly_feed(spark, sf)), "profit_y": ("years-1.csv", Fr.annual_feed(spark, sf)),
     }
-    options = {"low": None, "high": None, "build_fn": curated}
-    B.commit(spark, store, given, F.lit(f"{FIRST} 06:00:00"), FIRST, date=FIRST, **options)
+
+
+OPEN = {"low": None, "high": None, "build_fn": curated}
+
+
+def committed(spark, sf):
+    """Two days: all four sources on the first, the base alone on the second."""
+    store = scratch(spark, "store")
+    B.commit(spark, store, sources(spark, sf), F.lit(f"{FIRST} 06:00:00"), FIRST, date=FIRST, **OPEN)
     given = {"tradingview": ("base-2.csv", raised(base(spark, sf), 1))}
-    B.commit(spark, store, given, F.lit(f"{SECOND} 06:00:00"), SECOND, date=SECOND, **options)
+    B.commit(spark, store, given, F.lit(f"{SECOND} 06:00:00"), SECOND, date=SECOND, **OPEN)
     return store
 
 
@@ -157,12 +186,81 @@ def companies(spark, store):
     return SN.read_table(spark, f"{store}/companies").select(SN.DATE, "isin", "price", "lines")
 
 
+TEN = [f"2001-08-{d:02d}" for d in range(1, 11)]
+
+
+def archived_days(spark, sf):
+    """Ten days whose companies are missing their figures. The base of each day is archived, one
+    higher a day; the other sources are carried from the first."""
+    store = scratch(spark, "ten-days")
+    days = spark.createDataFrame([(d, i) for i, d in enumerate(TEN)], "d string, i int").select(F.col("d").cast("date").alias(SN.DATE), "i")
+    given = sources(spark, sf)
+    each = base(spark, sf).join(F.broadcast(days)).withColumn("price", F.col("price") + F.col("i")).drop("i")  # ten days
+    first = lambda s: given[s][1].withColumn(SN.DATE, F.lit(TEN[0]).cast("date"))
+    told = spark.createDataFrame(
+        [(s, given[s][0], d if s == "tradingview" else TEN[0], s != "tradingview" and d != TEN[0], d) for d in TEN for s in given],
+        f"source string, filename string, from_snapshot string, carried_forward boolean, {SN.DATE} string",
+    ).selectExpr(
+        "source", "filename", "'0' AS content_hash", "0L AS content_rows", "CAST(from_snapshot AS DATE) AS from_snapshot", "carried_forward",
+        f"TIMESTAMP '{TEN[0]} 06:00:00' AS built_at", "0L AS universe", "0 AS columns", f"CAST({SN.DATE} AS DATE) AS {SN.DATE}",
+    )
+    M.publish(spark, store, [
+        *M.stage(each.select(SN.DATE, "isin"), store, "companies", TEN), *M.stage(told, store, "provenance", TEN), *M.stage(each, store, "archive/tradingview", TEN),
+        *[e for s in given if s != "tradingview" for e in M.stage(first(s), store, f"archive/{s}", TEN[:1])],
+    ])
+    return store
+
+
 def rebuilt(spark, sf):
-    store = committed(spark, sf)
+    store = archived_days(spark, sf)
     B.rebuild_all(spark, store, F.lit(f"{SECOND} 07:00:00"), low=None, high=None, build_fn=curated_anew)
     return companies(spark, store)
 
 
+def published(spark, sf):
+    """The newest manifest beside the rows that are found in each table."""
+    store = committed(spark, sf)
+    told = M.entries(spark, store).select("kind", SN.DATE, "rows")
+    kinds = [r[0] for r in told.select("kind").distinct().collect()]  # kinds of a store
+    found = SN.union_by_name([M.read(spark, store, k).groupBy(SN.DATE).agg(F.count("*").alias("found")).withColumn("kind", F.lit(k)) for k in kinds])
+    return told.join(found, ["kind", SN.DATE], "left").select("kind", SN.DATE, "rows", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def shortened(spark, sf):
+    """The store after the first day went with all of its archives that the second does not use."""
+    store = committed(spark, sf)
+    SN.delete(spark, store, FIRST, keep_archive=False)
+    return store
+
+
+def left_over(spark, sf):
+    return M.removable(spark, shortened(spark, sf), SN.KINDS, keep=1, min_age_hours=0).select("kind", SN.DATE)
+
+
+def refused(spark, sf):
+    """A replacement of the second day with fewer rows than allowed: its violations are kept, the
+    day is as before."""
+    store = committed(spark, sf)
+    n = base(spark, sf).count()
+    given = {"tradingview": ("base-3.csv", raised(base(spark, sf), 2).where("price > 0"))}
+    try:
+        B.commit(spark, store, given, F.lit(f"{SECOND} 08:00:00"), SECOND, date=SECOND, replace=True, **{**OPEN, "low": n})
+    except SN.SnapshotError:
+        pass
+    kept = companies(spark, store).groupBy(SN.DATE).agg(F.sum(F.col("price").cast("decimal(28,4)")).cast("double").alias("price"))
+    return M.read(spark, store, "rejected").join(kept, SN.DATE).select(SN.DATE, "rule", "found", "low", "violated", "price")
+
+
+def seen_before(spark, sf):
+    """What an upload of today's base as a new file would do."""
+    store = committed(spark, sf)
+    name = "x_tradingview_2001-08-03.csv"
+    seen = B.preview(spark, store, [name], {"tradingview": base(spark, sf)}, SECOND)
+    carried = sorted(f"{s}:{d}" for s, d in seen["carried_forward"].items())
+    row = (seen["ok"], seen["snapshot_date"], seen["already_exists"], seen["duplicate_of"], carried, seen["snapshots_held"])
+    return spark.createDataFrame([row], "ok boolean, day string, already_exists boolean, duplicate_of string, carried array<string>, held int").withColumn("carried", F.array_join("carried", ","))
+
+
 def duplicates(spark, sf):
     """The days whose base equals today's suppliers, whatever the order of rows."""
     store = committed(spark, sf)
@@ -170,10 +268,10 @@ def duplicates(spark, sf):
     return SN.duplicate_of(SN.read_provenance(spark, store), hashes)
 
 
-def _companies_sql(more):
+def _companies_sql(more, days=(FIRST, SECOND)):
     both = " UNION ALL ".join(
         f"SELECT DATE '{day}' AS {SN.DATE}, {KEY.format('s_suppkey')} AS isin, CAST(s_acctbal AS DOUBLE) + {by}{more} AS price, n AS lines FROM supplier LEFT JOIN l ON s_suppkey = l_suppkey"
-        for day, by in ((FIRST, 0), (SECOND, 1))
+        for by, day in enumerate(days)
     )
     return f"WITH l AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) {both}"
 
@@ -198,5 +296,48 @@ register(
     lambda spark, sf: SN.read_provenance(spark, committed(spark, sf)).select(SN.DATE, "source", "filename", "content_rows", "from_snapshot", "carried_forward", "universe"),
     _provenance_sql(),
 )
-register("rebuilt_companies", rebuilt, _companies_sql(" + 10"))
+register("rebuilt_companies", rebuilt, _companies_sql(" + 10", TEN))
+
+
+def _entries_sql(keep):
+    """kind, day and rows of every published entry for which ``keep(kind, day)`` holds."""
+    n, m = "(SELECT count(*) FROM supplier)", "(SELECT count(DISTINCT l_suppkey) FROM lineitem)"
+    sizes = {"companies": n, "profit_quarterly": "(SELECT count(*) FROM q)", "profit_annual": "(SELECT count(*) FROM y WHERE pat <> 0)", "provenance": "4", "checks": "3", "ledger": "2"}
+    inputs = {"tradingview": n, "screener": m, "profit_q": m, "profit_y": m}
+    rows = [(k, d, c) for d in (FIRST, SECOND) for k, c in sizes.items()]
+    rows += [(f"archive/{s}", d, c) for s, c in inputs.items() for d in (FIRST, SECOND) if d == FIRST or s == "tradingview"]
+    return f"{P} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, DATE '{d}' AS {SN.DATE}, CAST({c} AS BIGINT) AS rows" for k, d, c in rows if keep(k, d))
+
+
+USED = {"archive/screener", "archive/profit_q", "archive/profit_y"}
+register("published_tables", published, f"SELECT *, rows AS found FROM ({_entries_sql(lambda k, d: True)})")
+register(
+    "deleted_snapshot", lambda spark, sf: M.entries(spark, shortened(spark, sf)).select("kind", SN.DATE, "rows"),
+    _entries_sql(lambda k, d: d == SECOND or k in USED),
+)
+register("removable_folders", left_over, f"SELECT kind, {SN.DATE} FROM ({_entries_sql(lambda k, d: d == FIRST and k not in USED)}) WHERE rows > 0")
+register(
+    "rejected_snapshot", refused,
+    f"""SELECT DATE '{SECOND}' AS {SN.DATE}, rule, found, low, violated, (SELECT CAST(sum(CAST(s_acctbal + 1 AS DECIMAL(28,4))) AS DOUBLE) FROM supplier) AS price FROM (
+    SELECT 'row_count' AS rule, CAST(count(*) FILTER (WHERE s_acctbal + 2 > 0) AS DOUBLE) AS found, CAST(count(*) AS DOUBLE) AS low, true AS violated FROM supplier
+    UNION ALL SELECT r, 0, NULL, false FROM (VALUES ('null_key'), ('duplicate_key')) v(r))""",
+)
+register(
+    "snapshot_ledger",
+    lambda spark, sf: M.read(spark, committed(spark, sf), "ledger"),
+    f"""SELECT d AS {SN.DATE}, 'price - Currency' AS "column", 'currency' AS reason, 'all values INR' AS detail FROM (VALUES (DATE '{FIRST}'), (DATE '{SECOND}')) v(d)
+    UNION ALL SELECT d, 'rare', 'low_coverage', printf('%.1f%% populated', round_even((SELECT 100e0 * count(*) FILTER (WHERE s_suppkey % 100 = 1) / count(*) FROM supplier), 1))
+    FROM (VALUES (DATE '{FIRST}'), (DATE '{SECOND}')) v(d)""",
+)
+register(
+    "snapshot_checks",
+    lambda spark, sf: M.read(spark, committed(spark, sf), "checks").select(SN.DATE, "rule", "found", "violated"),
+    f"""SELECT d AS {SN.DATE}, rule, found, false AS violated FROM (VALUES (DATE '{FIRST}'), (DATE '{SECOND}')) v(d), (
+    SELECT 'row_count' AS rule, CAST(count(*) AS DOUBLE) AS found FROM supplier UNION ALL SELECT r, 0 FROM (VALUES ('null_key'), ('duplicate_key')) w(r))""",
+)
+register(
+    "upload_preview", seen_before,
+    f"""SELECT true AS ok, '2001-08-03' AS day, false AS already_exists, '{FIRST}' AS duplicate_of,
+    'profit_q:{FIRST},profit_y:{FIRST},screener:{FIRST}' AS carried, 2 AS held FROM supplier HAVING count(*) > 0""",
+)
 register("duplicate_inputs", duplicates, f"SELECT DATE '{FIRST}' AS {SN.DATE} FROM supplier HAVING count(*) > 0")

@@ -1,50 +1,36 @@
 """Exact medians, quantiles and percentile ranks that hold when one group is huge.
 
-Values are counted per (group, value) with a map-side combine and cut into value buckets;
-only the buckets that hold a wanted rank are ordered, so no task sees a whole group. The
-number of buckets follows the number of rows.
+Values are counted per (metric, group, value) with a map-side combine. The counts are sorted by
+range partitioning and written once: their ranges are the buckets, and the sums of counts per
+bucket and group give every bucket its first rank. Only the buckets that hold a wanted rank are
+ordered, so no task sees a whole group, and a value shared by very many rows is one count.
 
-Bucket limits come from ``approxQuantile``. They are literals of the plan by the time
-the exact part runs, so a recomputed task places each row as before; their quality
-affects balance only, never the result.
+The number of buckets follows the size of the counts (adaptive execution merges small ones).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelyard.functions.exprs import number
+from panelyard.session import cut_lineage
 
-ROWS_PER_BUCKET = 100_000
-MOST_BUCKETS = 16_384  # limits are literals of the plan; at 10^12 rows a bucket has 6 x 10^7
 SALTS = 32
+OFTEN = 200  # a value held by more than this fraction of all ranked cells is joined by broadcast
 
 # output name -> (value, probability)
 Quantiles = dict[str, tuple[Column, float]]
 
 
-def _buckets_for(df: DataFrame) -> int:
-    return min(MOST_BUCKETS, df.count() // ROWS_PER_BUCKET + 1)
-
-
-def _with_buckets(df: DataFrame, values: list[str], buckets: int) -> tuple[DataFrame, list[list[float]]]:
-    """Adds ``b0, b1, ...`` with the bucket of each value column, and returns the values
-    so frequent that they fill whole buckets (at most ``buckets`` per column)."""
-    if buckets <= 1:
-        return df.withColumns({f"b{i}": F.lit(0) for i in range(len(values))}), [[] for _ in values]
-    steps = [i / buckets for i in range(1, buckets)]
-    limits = df.approxQuantile(values, steps, 1.0 / (2 * buckets))
-    splits = [[-float("inf"), *(sorted(set(q)) or [0.0]), float("inf")] for q in limits]
-    frequent = [sorted({x for x, y in zip(q, q[1:]) if x == y}) for q in map(sorted, limits)]
-    raw = [f"__b{i}" for i in range(len(values))]
-    marked = Bucketizer(splitsArray=splits, inputCols=values, outputCols=raw, handleInvalid="keep").transform(df)
-    placed = marked.withColumns({f"b{i}": F.col(c).cast("int") for i, c in enumerate(raw)}).drop(*raw)
-    return placed, frequent
+def _in_buckets(counts: DataFrame, order: list[str], buckets: int | None) -> DataFrame:
+    """``counts`` sorted into ranges, with the number of its range in ``b``. They are stored, so
+    that all readers see the same ranges and nothing before them runs again."""
+    ranged = counts.repartitionByRange(*([buckets] if buckets else []), *order)
+    return cut_lineage(ranged.withColumn("b", F.spark_partition_id()))
 
 
 def _join_same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -57,7 +43,7 @@ def _join_same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner")
 
 def _bucket_bases(counts: DataFrame, group: list[str]) -> DataFrame:
     """Per bucket: rows before it (``base``), rows in it (``held``), rows of the group.
-    A group has at most MOST_BUCKETS rows here, so the window stays small."""
+    A group has a row per bucket here, so the window stays small."""
     held = counts.groupBy(*group, "b").agg(F.sum("c").alias("held"))
     ordered = W.partitionBy(*group).orderBy("b")
     return held.withColumns(
@@ -68,58 +54,46 @@ def _bucket_bases(counts: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def _bucketed(df: DataFrame, by: list[str], wanted: Quantiles, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, by: list[str], wanted: Quantiles, buckets: int | None) -> DataFrame:
     distinct: dict[int, Column] = {id(value): value for value, _ in wanted.values()}
     ids = {one: i for i, one in enumerate(distinct)}
-    names = [f"v{i}" for i in range(len(distinct))]
     # Group columns under names of their own, apart from those used here.
     keys = [f"__k{i}" for i in range(len(by))]
-    wide = df.select(
-        *[F.col(c).alias(k) for c, k in zip(by, keys)],
-        *[number(v).alias(n) for v, n in zip(distinct.values(), names)],
-    )
-    wide, _ = _with_buckets(wide, names, buckets)
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("m"), F.col(n).alias("v"), F.col(f"b{i}").alias("b"))
-        for i, n in enumerate(names)
-    ])
+    cells = F.array(*[F.struct(F.lit(i).alias("m"), number(v).alias("v")) for i, v in enumerate(distinct.values())])
     group = [*keys, "m"]
     counts = (
-        wide.select(*keys, F.inline(cells))
+        df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.inline(cells))
         .where(F.col("v").isNotNull())
-        .groupBy(*group, "b", "v")
+        .groupBy(*group, "v")
         .agg(F.count("*").alias("c"))
     )
+    counts = _in_buckets(counts, [*group, "v"], buckets)
     bases = _bucket_bases(counts, group)
 
-    def ranks(p: float) -> tuple[Column, Column]:
-        at = F.lit(float(p)) * (F.col("n") - 1)
-        return F.floor(at), F.ceil(at)
+    # SQL text, as a frame of many metrics would else cost the driver a call per term.
+    def ranks(p: float) -> tuple[str, str]:
+        return f"floor({float(p)!r}D * (n - 1))", f"ceil({float(p)!r}D * (n - 1))"
 
-    def in_bucket(value: Column, p: float) -> Column:
-        lo, hi = ranks(p)
-        end = F.col("base") + F.col("held")
-        inside = lambda r: (r >= F.col("base")) & (r < end)
-        return (F.col("m") == ids[id(value)]) & (inside(lo) | inside(hi))
+    def in_bucket(value: Column, p: float) -> str:
+        inside = " OR ".join(f"{rank} >= base AND {rank} < base + held" for rank in ranks(p))
+        return f"m = {ids[id(value)]} AND ({inside})"
 
-    keep = reduce(lambda x, y: x | y, [in_bucket(v, p) for v, p in wanted.values()])
+    keep = " OR ".join(sorted({f"({in_bucket(v, p)})" for v, p in wanted.values()}))
     placed = _join_same(counts, bases.where(keep), [*group, "b"]).withColumn(
         "end",
         F.col("base") + F.sum("c").over(W.partitionBy(*group, "b").orderBy("v")),
     )
-    start = F.col("end") - F.col("c")
 
-    def value_at(m: int, rank: Column) -> Column:
-        hit = (F.col("m") == m) & (rank >= start) & (rank < F.col("end"))
-        return F.max(F.when(hit, F.col("v")))
+    def value_at(m: int, rank: str) -> str:
+        return f"max(CASE WHEN m = {m} AND {rank} >= end - c AND {rank} < end THEN v END)"
 
     aggs = []
     for out, (value, p) in wanted.items():
         m = ids[id(value)]
         lo, hi = ranks(p)
-        at = F.lit(float(p)) * (F.max(F.when(F.col("m") == m, F.col("n"))) - 1)
+        at = f"{float(p)!r}D * (max(CASE WHEN m = {m} THEN n END) - 1)"
         low, high = value_at(m, lo), value_at(m, hi)
-        aggs.append((low + (high - low) * (at - F.floor(at))).alias(out))
+        aggs.append(F.expr(f"{low} + ({high} - {low}) * ({at} - floor({at}))").alias(out))
     found = placed.groupBy(*keys).agg(*aggs)
     return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *wanted)
 
@@ -134,7 +108,7 @@ def aggregate(
 ) -> DataFrame:
     """``plain`` aggregates plus exact interpolated ``quantiles`` per group.
 
-    ``buckets`` sets the number of value buckets; by default the number of rows does.
+    ``buckets`` sets the number of ranges; by default the size of the counts does.
     ``bounded`` says that the rows are few by nature, as one row per column of a schema.
     """
     if bounded:
@@ -157,7 +131,7 @@ def aggregate(
         # All rows are one group; the plain part keeps its row when there are none.
         keys = ["__all"]
         df, base = df.withColumn("__all", F.lit(0)), base.withColumn("__all", F.lit(0))
-    found = _bucketed(df, keys, quantiles, buckets or _buckets_for(df))
+    found = _bucketed(df, keys, quantiles, buckets)
     return _join_same(base, found, keys, "left").select(*by, *plain, *quantiles)
 
 
@@ -175,60 +149,47 @@ def percentile_ranks(
     """One row per key with ``pct_rank_<metric>[_in_<scope>]``: average rank over the
     non-null count, times 100. ``scopes`` maps a suffix ("" = all rows) to its column.
     """
-    if buckets is None:
-        buckets = _buckets_for(df)
-    names = [f"v{i}" for i in range(len(metrics))]
     labels = list(scopes)
     wide = df.select(
         F.col(key).alias("__key"),
-        *[number(m).alias(n) for m, n in zip(metrics, names)],
+        *[number(m).alias(f"v{i}") for i, m in enumerate(metrics)],
         *[
             (F.lit("") if col is None else F.col(col).cast("string")).alias(f"g{j}")
             for j, col in enumerate(scopes.values())
         ],
     )
-    wide, frequent = _with_buckets(wide, names, buckets)
-    salt = F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int")
-    cells = F.array(*[
-        F.struct(
-            F.lit(i * len(labels) + j).alias("m"), F.col(f"g{j}").alias("g"),
-            F.col(n).alias("v"), F.col(f"b{i}").alias("b"),
-            (F.when(F.col(n).isin(often), salt).otherwise(0) if often else F.lit(0)).alias("salt"),
-        )
-        for i, (n, often) in enumerate(zip(names, frequent))
-        for j in range(len(labels))
-    ])
-    long = wide.select("__key", F.inline(cells)).where("v IS NOT NULL AND g IS NOT NULL")
+    cells = ", ".join(
+        f"named_struct('m', {i * len(labels) + j}, 'g', g{j}, 'v', v{i})" for i in range(len(metrics)) for j in range(len(labels))
+    )
+    long = wide.selectExpr("__key", f"inline(array({cells}))").where("v IS NOT NULL AND g IS NOT NULL")
     group = ["m", "g"]
     outs = [
-        F.max(F.when(F.col("m") == i * len(labels) + j, F.col("pct"))).alias(
+        F.expr(f"max(CASE WHEN m = {i * len(labels) + j} THEN pct END)").alias(
             f"pct_rank_{metric}" + (f"_in_{label}" if label else "")
         )
         for i, metric in enumerate(metrics)
         for j, label in enumerate(labels)
     ]
-    counts = long.groupBy(*group, "b", "v").agg(F.count("*").alias("c"))
-    bases = _bucket_bases(counts, group)
+    counts = _in_buckets(long.groupBy(*group, "v").agg(F.count("*").alias("c")), [*group, "v"], buckets)
     upto = F.sum("c").over(W.partitionBy(*group, "b").orderBy("v"))
-    ranked = counts.join(bases, [*group, "b"]).withColumn("upto", upto).select(
-        *group, "b", "v",
+    ranked = counts.join(_bucket_bases(counts, group), [*group, "b"]).withColumn("upto", upto).select(
+        *group, "v", "c",
         (
             (F.col("base") + F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
             / F.col("n") * 100
         ).alias("pct"),
     )
-    # A value shared by very many rows meets its rank under every salt.
-    is_often = reduce(
-        lambda x, y: x | y,
-        [
-            (F.floor(F.col("m") / len(labels)) == i) & F.col("v").isin(often)
-            for i, often in enumerate(frequent) if often
-        ],
-        F.lit(False),
+    # Values shared by very many rows: fewer than OFTEN of them, so their ranks are broadcast, and
+    # their rows are spread over salts of which the other join knows none.
+    cells_ranked = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    often = F.col("c") * OFTEN > F.lit(cells_ranked)
+    hot = ranked.where(often).select(*group, "v", F.col("pct").alias("pct_often"))
+    spread = F.when(F.col("pct_often").isNotNull(), F.pmod(F.xxhash64("__key"), F.lit(SALTS)).cast("int") + 1).otherwise(0)
+    placed = (
+        long.join(F.broadcast(hot), [*group, "v"], "left").withColumn("salt", spread)
+        .join(ranked.where(~often).select(*group, "v", "pct", F.lit(0).alias("salt")), [*group, "v", "salt"], "left")
+        .withColumn("pct", F.coalesce("pct_often", "pct"))
     )
-    copies = F.when(is_often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted = ranked.select("*", F.explode(copies).alias("salt"))
-    placed = long.join(salted, [*group, "b", "v", "salt"])
     return placed.groupBy(F.col("__key").alias(key)).agg(*outs)
 
 

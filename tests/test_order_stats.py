@@ -88,18 +88,28 @@ def test_no_window_over_a_whole_group(df):
     assert "SinglePartition" not in plan
 
 
-def test_a_frequent_value_is_salted(spark):
-    """A third of all rows share one value; its rows spread over the salts."""
+def test_a_frequent_value_is_spread(spark):
+    """A third of all rows share one value; its rank is broadcast and its rows spread over salts."""
     df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("x"))
-    wide, frequent = O._with_buckets(df, ["x"], 64)
-    assert frequent == [[0.0]]
     plan = O.percentile_ranks(df, "id", ["x"], {"": None}, 64)._jdf.queryExecution().toString()
-    assert "salt" in plan
+    assert "salt" in plan and "BroadcastHashJoin" in plan
     got = O.percentile_ranks(df, "id", ["x"], {"": None}, 64).toPandas().set_index("id").sort_index()
     want = df.toPandas().set_index("id").sort_index()["x"].rank(pct=True) * 100
     np.testing.assert_allclose(got["pct_rank_x"].to_numpy(), want.to_numpy(), rtol=1e-12)
 
 
+def test_values_are_counted_once_and_ranges_hold_them_all(spark):
+    """The stored counts have one row a value; ranges do not overlap, and the plan after them does
+    not go back to the input."""
+    df = spark.range(40_000).select((F.col("id") % 5000).cast("double").alias("x"), F.lit(0).alias("g"))
+    counts = O._in_buckets(df.groupBy("g", F.col("x").alias("v")).agg(F.count("*").alias("c")), ["g", "v"], 16)
+    parts = counts.groupBy("b").agg(F.min("v"), F.max("v"), F.sum("c")).orderBy("b").collect()
+    assert len(parts) == 16 and sum(r[3] for r in parts) == 40_000
+    assert all(p[2] < q[1] for p, q in zip(parts, parts[1:]))
+    plan = O.aggregate(df, ["g"], {}, {"m": O.median("x")}, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1  # the plain aggregates' own pass
+
+
 def test_columns_named_like_the_internals(df, pdf):
     odd = df.select(F.col("k").alias("v"), F.col("g").alias("m"), F.col("x").alias("n"))
     got = {r.m: r.b for r in O.aggregate(odd, ["m"], {"c": F.count("*")}, {"b": O.median("n")}, 8).collect()}
@@ -110,11 +120,6 @@ def test_columns_named_like_the_internals(df, pdf):
         np.testing.assert_allclose(ranks["pct_rank_n"].to_numpy(), want.to_numpy(), rtol=1e-12)
 
 
-def test_buckets_follow_the_rows(spark):
-    assert O._buckets_for(spark.range(10)) == 1
-    assert O._buckets_for(spark.range(10 * O.ROWS_PER_BUCKET)) == 11
-
-
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.floats(-1e9, 1e9, allow_nan=False), min_size=1, max_size=40), p=st.sampled_from([0.0, 0.25, 0.5, 0.9, 1.0]), buckets=st.integers(1, 9))
 def test_any_values(spark, values, p, buckets):

@@ -13,8 +13,10 @@ end, then rows within stretches that do - so no window is longer than one file's
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,12 +111,19 @@ def _placed(parts: DataFrame, by: str, order: list[str], runs, base: Column) ->
     return placed.withColumn("target", F.when(_target(F.col("start"), runs) == last, last))
 
 
+def _path_within(table: str) -> Column:
+    """A file's path from the table's own name on: files of one name in two folders differ, and a
+    table that is moved keeps its paths."""
+    name = re.escape(quote(table.rstrip("/").rpartition("/")[2]))
+    return F.coalesce(F.nullif(F.regexp_extract("_metadata.file_path", f"/{name}(/.*)?$", 0), F.lit("")), F.col("_metadata.file_path"))
+
+
 def reshard(
     spark: SparkSession, path: str, new_shards: int = 8, old_shards: int = 5, text: str = "text",
     capacity: Sequence[int] | None = None, target_folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Reshards the Parquet table at ``path`` into shards 0 .. new_shards - 1 of near-equal
-    bytes (or the given capacities). A file lies in old shard hash(file name) mod old_shards.
+    bytes (or the given capacities). A file lies in old shard hash(path within the table) mod old_shards.
 
     Returns the rows in their new places - ``row`` (a struct of all columns of the table),
     shard and slot (gapless from 0 within a shard) - and the manifest (file, shard, rows, moved). A row is
@@ -125,7 +134,7 @@ def reshard(
     part = "shard"  # a name for the folders that no column of the table has
     while part in table.columns:
         part = "_" + part
-    raw = table.select(F.struct("*").alias("row"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    raw = table.select(F.struct("*").alias("row"), _path_within(path).alias("_file"), F.col("_metadata.row_index").alias("_row"))
     sizes = raw.select("_file", "_row", row_size(F.col("row")[text]).alias("bytes"), F.floor(F.col("_row") / STRETCH_ROWS).alias("_stretch"))
     old = F.pmod(F.xxhash64("_file"), F.lit(old_shards)).cast("int")
     stretches = stored(sizes.groupBy("_file", "_stretch").agg(F.sum("bytes").alias("bytes")).withColumn("old", old), "stretches")
@@ -177,7 +186,7 @@ def reshard(
 
     schema = T.StructType([*table.schema.fields, T.StructField(part, T.IntegerType())])
     rewritten = spark.read.schema(schema).parquet(folder).select(
-        F.struct(*table.columns).alias("row"), F.col(part).alias("_shard"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+        F.struct(*table.columns).alias("row"), F.col(part).alias("_shard"), _path_within(folder).alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
     homes = by_file.where(stays).select("_file", F.col("target").alias("_shard"))
     kept = raw.where(F.col("_file").isin(unmoved) if unmoved else F.lit(False)).join(checked_broadcast(homes), "_file")

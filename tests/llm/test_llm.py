@@ -331,6 +331,21 @@ def test_resharding(spark, corpus, tmp_path):
     assert sharding.reshard(spark, f"{tmp_path}/e")[0].count() == 0
 
 
+def test_resharding_files_of_one_name(spark, tmp_path):
+    """Two folders of a table hold a file of the same name: every row comes back once."""
+    table = tmp_path / "a table"
+    for k in (1, 2):
+        spark.createDataFrame([(1000 * k + i, f"text {k} {i} " * (i % 9)) for i in range(300)], "doc_id long, text string").coalesce(1).write.parquet(f"{table}/k={k}")
+        next((table / f"k={k}").glob("part-*.parquet")).rename(table / f"k={k}" / "part-0.parquet")
+    for crc in table.glob("k=*/.*.crc"):
+        crc.unlink()
+    rows, manifest = sharding.reshard(spark, str(table))
+    got = rows.select("row.doc_id", "row.k", "shard", "slot").collect()
+    assert sorted((r[0], r[1]) for r in got) == [(1000 * k + i, k) for k in (1, 2) for i in range(300)]
+    assert len({(r["shard"], r["slot"]) for r in got}) == 600
+    assert sum(m["rows"] for m in manifest.collect()) == 600
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 16))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelyard import constants as K
 from panelyard.operators import clean, periods
 from panelyard.operators.matching import keep_first
+from panelyard.session import cut_lineage
 
 ORDINAL = "__ordinal"
 
@@ -48,6 +50,65 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, ordinal:
     return clean.nan_to_null(out)
 
 
+MOST_HEADERS = 500  # different headers of one input
+
+
+def read_csv_files(
+    spark: SparkSession, path: str, types: dict[str, str] | None = None, ordinal: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of CSV files that each have a header of their own: columns may be in
+    another order, or missing, from file to file. ``rows`` has every column that any file names,
+    as text or as ``types`` says. ``rejects`` has file, line (from 1, the header), reason and
+    record of every line that has not as many values as its header, or a value that is not of its
+    type; such lines are in no row. Blank lines are skipped; a record is one line.
+
+    A file's header is its first line, found by the path and offset of the block that it lies in.
+    The driver gets the different headers; the header of each file is joined by path."""
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("record"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min_by("record", "id").alias("head"))
+    in_file = W.partitionBy("file").orderBy("block")  # a row per block
+    blocks = blocks.withColumns({"before": F.sum("n").over(in_file) - F.col("n"), "header": F.first("head").over(in_file)})
+    blocks = cut_lineage(blocks.select("file", "block", "first", "before", "header"))
+    headers = [r[0] for r in blocks.select("header").distinct().orderBy("header").limit(MOST_HEADERS + 1).collect()]
+    _require(len(headers) <= MOST_HEADERS, f"more than {MOST_HEADERS} different headers")
+    named = {h: _unique_headers(next(csv.reader([h]))) for h in headers if h.strip()}
+    columns = list(dict.fromkeys(n for names in named.values() for n in names))
+    kinds = {c: (types or {}).get(c, "string") for c in columns}
+
+    # one row per block of a file, as in the listing that the driver holds
+    placed = lines.join(F.broadcast(blocks), ["file", "block"])
+    line = F.col("before") + F.col("id") - F.col("first") + 1
+    placed = placed.select("file", "record", "id", "block", line.alias("line"), "header").where((F.col("line") > 1) & (F.trim("record") != ""))
+    by_width: dict[int, list[str]] = {}
+    for h, names in named.items():
+        by_width.setdefault(len(names), []).append(h)
+    options = {"columnNameOfCorruptRecord": "__bad", "escape": '"', "mode": "PERMISSIVE"}
+    parsed = F.lit(None).cast("array<string>")
+    for width, of in by_width.items():
+        cells = [f"v{i}" for i in range(width)]
+        read = F.from_csv("record", ", ".join(f"{c} string" for c in [*cells, "__bad"]), options)
+        values = F.when(read["__bad"].isNull(), F.array(*[read[c] for c in cells]))
+        parsed = F.when(F.col("header").isin(of), values).otherwise(parsed)
+    at = F.create_map(*[x for h, names in named.items() for x in (F.lit(h), F.create_map(*[y for i, n in enumerate(names) for y in (F.lit(n), F.lit(i))]))]) if named else None
+    found = placed.withColumn("__values", parsed)
+    if named:
+        found = found.withColumn("__at", F.try_element_at(at, F.col("header")))
+    text = {c: F.get("__values", F.try_element_at("__at", F.lit(c))) for c in columns}
+    typed = {c: text[c] if kinds[c] == "string" else F.trim(text[c]).try_cast(kinds[c]) for c in columns}
+    width_of = F.size("__at") if named else F.lit(0)
+    reason = F.coalesce(
+        F.when(F.col("__values").isNull(), F.concat(F.lit("not the "), width_of.cast("string"), F.lit(" values of the header"))),
+        *[F.when(text[c].isNotNull() & (F.trim(text[c]) != "") & typed[c].isNull(), F.lit(f"{c}: not a {kinds[c]}")) for c in columns if kinds[c] != "string"],
+    )
+    found = found.withColumn("__reason", reason)
+    order = [F.struct("file", "block", "id").alias(ORDINAL)] if ordinal else []
+    rows = found.where("__reason IS NULL").select(*[typed[c].alias(c) for c in columns], *order)
+    return rows, found.where("__reason IS NOT NULL").select("file", "line", F.col("__reason").alias("reason"), "record")
+
+
 def read_json_payload(
     spark: SparkSession, path: str, schema: str | None = None, ordinal: bool = False, lines: bool = False,
 ) -> DataFrame:

@@ -129,3 +129,33 @@ def test_two_sources(spark):
     assert r.median_abs_diff_pct == pytest.approx((1 - 1 / 1.1) * 100)
     assert M.disagreeing_pairs(df.limit(9)).count() == 0
     assert len(K.CONFLICT_PAIRS) == 4
+
+
+def test_files_with_headers_of_their_own(spark, tmp_path):
+    """Swapped and missing columns, a byte-order mark, quotes, a repeated header, blank and bad lines."""
+    (tmp_path / "a.csv").write_text('\ufeffkey,price,name\n1,2.5,"x, ""y"""\n2,n/a,b\n\n3,,c\n4,1\n')
+    (tmp_path / "b.csv").write_text("name,key,price\nd,5,7\ne,6,8,9\n")
+    (tmp_path / "c.csv").write_text("key,other,other\n7,o,p\n")
+    (tmp_path / "d.csv").write_text("key,price,name\n")
+    (tmp_path / "e.csv").write_text("")
+    rows, rejects = I.read_csv_files(spark, str(tmp_path), {"key": "int", "price": "double"}, ordinal=True)
+    got = {r.key: (r.price, r.name, r.other, r["other.1"]) for r in rows.collect()}
+    assert got == {1: (2.5, 'x, "y"', None, None), 3: (None, "c", None, None), 5: (7.0, "d", None, None), 7: (None, None, "o", "p")}
+    assert rows.columns[-1] == I.ORDINAL
+    bad = sorted((r.file[-5:], r.line, r.reason, r.record) for r in rejects.collect())
+    assert bad == [
+        ("a.csv", 3, "price: not a double", "2,n/a,b"), ("a.csv", 6, "not the 3 values of the header", "4,1"), ("b.csv", 3, "not the 3 values of the header", "e,6,8,9"),
+    ]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("k,v\n" + "".join(f"{i},{'x' if i % 100 == 7 else i}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows, rejects = I.read_csv_files(spark, str(tmp_path / "t.csv"), {"k": "int", "v": "int"})
+        assert rows.rdd.getNumPartitions() > 3
+        assert sorted((r.line, r.record) for r in rejects.collect()) == [(i + 2, f"{i},x") for i in range(7, 3000, 100)]
+        assert rows.count() == 2970
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

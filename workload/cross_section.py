@@ -456,6 +456,31 @@ register(
     CASE WHEN median(abs((price / nullif(price_screener, 0) - 1) * 100)) > 5 THEN 'both retained' ELSE 'primary' END AS resolution
     FROM p WHERE price IS NOT NULL AND price_screener IS NOT NULL HAVING count(*) >= 10""",
 )
+
+
+def four_pairs(spark, sf):
+    """Every concept that two sources report, over all parts: close, apart, and one too thin."""
+    p = Fr.parts_two_sources(spark, sf)
+    size, other = F.col("size").cast("double"), F.col("price_screener")
+    return p.withColumns({
+        "pe_ratio": F.col("price") / size, "pe_ratio_screener": other / size, "dividend_yield": size, "dividend_yield_screener": size * 1.02,
+        "roce": size, "roce_screener": F.when(F.col("isin").cast("int") <= 5, size),
+    })
+
+
+_PAIRS = [("Price", "price", "price_screener"), ("P/E", "pe_ratio", "pe_ratio_screener"), ("Dividend yield", "dividend_yield", "dividend_yield_screener"), ("ROCE", "roce", "roce_screener")]
+_GAP = "median(abs(({a} / nullif({b}, 0) - 1) * 100))"
+register(
+    "source_conflicts_all",
+    lambda spark, sf: rounded(matching.disagreeing_pairs(four_pairs(spark, sf)), ["correlation", "median_abs_diff_pct"]),
+    f"""{TWO}, f AS (SELECT p.*, price / p_size AS pe_ratio, price_screener / p_size AS pe_ratio_screener, p_size::DOUBLE AS dividend_yield, p_size * 1.02e0 AS dividend_yield_screener,
+    p_size::DOUBLE AS roce, CASE WHEN p_partkey <= 5 THEN p_size::DOUBLE END AS roce_screener FROM p JOIN part ON isin = CAST(p_partkey AS VARCHAR)) """
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS concept, '{a}' AS primary_col, '{b}' AS secondary_col, count(*) AS n_overlap, {r(f'corr({a}, {b})')} AS correlation, {r(_GAP.format(a=a, b=b))} AS median_abs_diff_pct,
+        CASE WHEN {_GAP.format(a=a, b=b)} > 5 THEN 'both retained' ELSE 'primary' END AS resolution FROM f WHERE {a} IS NOT NULL AND {b} IS NOT NULL HAVING count(*) >= 10"""
+        for c, a, b in _PAIRS
+    ),
+)
 register(
     "reconstruction_check",
     lambda spark, sf: rounded(quality.reconstruction_check(Fr.parts_two_sources(spark, sf), "price", "price_screener"), ["median_abs_err_pct"]),

@@ -289,19 +289,20 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ scan
 def upload(spark: SparkSession, sf: str) -> DataFrame:
-    """Uploaded scan list: suppliers with a balance above 3,000, codes in mixed spelling."""
-    return table(spark, sf, "supplier").where("s_acctbal > 3000").select(
-        F.concat(F.lit(" s_"), F.col("s_suppkey").cast("string")).alias("Ticker"),
+    """Uploaded scan list: all suppliers, codes in mixed spelling; those with a balance of 3,000 or
+    less come under a code that no feed knows."""
+    return table(spark, sf, "supplier").select(
+        F.concat(F.when(F.col("s_acctbal") > 3000, " s_").otherwise(" r_"), F.col("s_suppkey").cast("string")).alias("Ticker"),
         F.when(F.col("s_suppkey") % 3 == 0, "BSE Ltd").otherwise("NSE (India)").alias("Exch"),
         F.col("s_suppkey").alias("ord"),
     )
 
 
 def identifier_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Identifiers of the suppliers of all nations but one."""
+    """Identifiers of all suppliers; those of one nation go by a code of their own."""
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").where("s_nationkey <> 7").select(
-        F.concat(F.lit("S-"), k.cast("string")).alias("NSE CODE"), supplier_key("s_suppkey").alias("ISIN"),
+    return table(spark, sf, "supplier").select(
+        F.concat(F.when(F.col("s_nationkey") != 7, "S-").otherwise("X-"), k.cast("string")).alias("NSE CODE"), supplier_key("s_suppkey").alias("ISIN"),
         k.cast("string").alias("ACCORD CODE"), F.col("s_name").alias("COMPANY NAME"),
         F.when(k % 7 == 0, "Delisted").otherwise("Active").alias("TRADING STATUS"), k.alias("ORD"),
     )
@@ -357,9 +358,10 @@ def triggers_from(past: DataFrame) -> DataFrame:
 
 
 def result_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates of all suppliers; those with a balance of 1,000 or less are filed under an old symbol."""
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").where("s_acctbal > 1000").select(
-        supplier_key("s_suppkey").alias("symbol"),
+    return table(spark, sf, "supplier").select(
+        F.concat(F.when(F.col("s_acctbal") > 1000, "").otherwise("OLD-"), supplier_key("s_suppkey")).alias("symbol"),
         F.when(k % 4 != 3, F.date_add(F.lit("2001-06-05").cast("date"), (k % 20).cast("int"))).alias("result_date"),
         F.when(k % 4 != 3, "announced").otherwise("not_announced").alias("status"),
         F.when(k % 6 != 0, F.lit("2001-06-14 00:00:00").cast("timestamp") + F.make_dt_interval(hours=(k % 36).cast("int"))).alias("checked_at"),

@@ -18,7 +18,7 @@ Q_PCT = ["pat_yoy_q_pct", "pat_qoq_pct", "pat_ttm_growth_pct", "profitable_qtr_p
 Q_SUM = ["pat_ttm", "pat_ttm_prev", "pat_ttm_peak_rolling"]
 Q_RAW = ["qtrs_available", "pat_latest_q", "profitable_qtrs", "loss_qtrs", "profit_streak_qtrs", "pat_peak_q", "pat_q_at_ath", "pat_ttm_at_ath_rolling"]
 Y_RAW = ["fy_available", "pat_ttm_reported", "pat_fy1", "profitable_fy", "loss_fy", "pat_peak_fy", "pat_fy_at_ath", "profit_streak_fy", "pat_growth_streak_fy"]
-Y_PCT = ["pat_cagr_3y_pct", "pat_cagr_5y_pct", "profitable_fy_pct", "pat_vs_peak_pct"]
+Y_PCT = [*[f"pat_cagr_{n}y_pct" for n in (3, 5, 7, 10, 15)], "profitable_fy_pct", "pat_vs_peak_pct"]
 Q_SQL = f"SELECT isin, {', '.join(Q_RAW)}, {', '.join(f'round({c}, 4) AS {c}' for c in Q_SUM)}, {', '.join(f'round({c}, 6) AS {c}' for c in Q_PCT)} FROM qs"
 
 

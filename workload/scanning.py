@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from panelyard.functions import exprs as X
@@ -216,6 +218,22 @@ register(
     lambda spark, sf: scanner.sync_status(hits(spark, sf), event_log(spark, sf), Fr.as_of()),
     f"""{SCAN}, y AS (SELECT DISTINCT symbol FROM ({SYNC_DUETS})) SELECT count(*) AS rows, count(y.symbol) AS synced_today, count(*) > 0 AND count(*) = count(y.symbol) AS post_sync FROM hits LEFT JOIN y USING (symbol)""",
 )
+
+
+def reset_state(spark, sf):
+    """Rows that are left after a reset that keeps the log, and after one that wipes it."""
+    state, log = Fr.triggers(spark, sf), event_log(spark, sf)
+    kept, wiped = scanner.reset(state, log), scanner.reset(state, log, wipe_events=True)
+    left = {"triggers": state, "log": log, "triggers after": kept[0], "log kept": kept[1], "log wiped": wiped[1]}
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n") for what, df in left.items()]
+    return reduce(lambda x, y: x.union(y), rows)
+
+
+register(
+    "reset_state", reset_state,
+    f"""{SCAN}, n AS (SELECT (SELECT count(*) FROM trig) AS t, (SELECT count(*) FROM bars WHERE split_ratio > 0) + (SELECT count(*) FROM ({SYNC_DUETS})) AS l)
+    SELECT 'triggers' AS what, t AS n FROM n UNION ALL SELECT 'log', l FROM n UNION ALL SELECT 'triggers after', 0 UNION ALL SELECT 'log kept', l FROM n UNION ALL SELECT 'log wiped', 0""",
+)
 register("prefix_search", lambda spark, sf: screen.prefix_search(Fr.triggers(spark, sf), "s00000002", 200).select("symbol", "ath_price", "ath_date"),
          f"{SCAN} SELECT symbol, ath_price, ath_date FROM trig WHERE symbol ILIKE 's00000002%' ORDER BY symbol LIMIT 200")
 
@@ -230,20 +248,21 @@ def resolved(spark, sf):
 
 
 def stored(spark, sf):
-    """Suppliers with a balance below 6,000 are held already; some set by hand."""
+    """A list that is held already; suppliers with a balance of 6,000 or more are in it under
+    another symbol; some are set by hand."""
     k = F.col("s_suppkey")
-    return Fr.table(spark, sf, "supplier").where("s_acctbal < 6000").select(
-        F.concat(F.lit("S-"), k.cast("string")).alias("symbol"), F.lit("NSE").alias("exchange"), F.when(k % 2 == 1, F.concat(F.lit("H"), k.cast("string"))).alias("isin"),
+    return Fr.table(spark, sf, "supplier").select(
+        F.concat(F.when(F.col("s_acctbal") < 6000, "S-").otherwise("T-"), k.cast("string")).alias("symbol"), F.lit("NSE").alias("exchange"), F.when(k % 2 == 1, F.concat(F.lit("H"), k.cast("string"))).alias("isin"),
         F.lit("old").alias("accord_code"), F.when(k % 9 == 0, "manual").otherwise("unresolved").alias("resolution"), (k % 5 == 0).alias("ignored"),
         F.when(k % 5 == 0, "suspended").alias("ignore_reason"), F.lit("first.csv").alias("source_file"),
     )
 
 
-_UP = f"""WITH up AS (SELECT 'S-' || s_suppkey AS symbol, CASE WHEN s_suppkey % 3 = 0 THEN 'BSE' ELSE 'NSE' END AS exchange, 'up.csv' AS source_file FROM supplier WHERE s_acctbal > 3000),
-fd AS (SELECT 'S-' || s_suppkey AS symbol, {S.supp('s_suppkey')} AS isin, CAST(s_suppkey AS VARCHAR) AS accord_code, s_suppkey % 7 = 0 AS dead FROM supplier WHERE s_nationkey <> 7),
+_UP = f"""WITH up AS (SELECT CASE WHEN s_acctbal > 3000 THEN 'S-' ELSE 'R-' END || s_suppkey AS symbol, CASE WHEN s_suppkey % 3 = 0 THEN 'BSE' ELSE 'NSE' END AS exchange, 'up.csv' AS source_file FROM supplier),
+fd AS (SELECT CASE WHEN s_nationkey <> 7 THEN 'S-' ELSE 'X-' END || s_suppkey AS symbol, {S.supp('s_suppkey')} AS isin, CAST(s_suppkey AS VARCHAR) AS accord_code, s_suppkey % 7 = 0 AS dead FROM supplier),
 rs AS (SELECT symbol, exchange, isin, accord_code, CASE WHEN dead IS NULL THEN 'unresolved' ELSE 'auto' END AS resolution, coalesce(dead, false) AS ignored, CASE WHEN dead THEN 'delisted' END AS ignore_reason, source_file FROM up LEFT JOIN fd USING (symbol)),
-st AS (SELECT 'S-' || s_suppkey AS symbol, 'NSE' AS exchange, CASE WHEN s_suppkey % 2 = 1 THEN 'H' || s_suppkey END AS isin, 'old' AS accord_code, CASE WHEN s_suppkey % 9 = 0 THEN 'manual' ELSE 'unresolved' END AS resolution,
-  s_suppkey % 5 = 0 AS ignored, CASE WHEN s_suppkey % 5 = 0 THEN 'suspended' END AS ignore_reason, 'first.csv' AS source_file FROM supplier WHERE s_acctbal < 6000),
+st AS (SELECT CASE WHEN s_acctbal < 6000 THEN 'S-' ELSE 'T-' END || s_suppkey AS symbol, 'NSE' AS exchange, CASE WHEN s_suppkey % 2 = 1 THEN 'H' || s_suppkey END AS isin, 'old' AS accord_code, CASE WHEN s_suppkey % 9 = 0 THEN 'manual' ELSE 'unresolved' END AS resolution,
+  s_suppkey % 5 = 0 AS ignored, CASE WHEN s_suppkey % 5 = 0 THEN 'suspended' END AS ignore_reason, 'first.csv' AS source_file FROM supplier),
 mg AS (SELECT coalesce(r.symbol, s.symbol) AS symbol, coalesce(r.exchange, s.exchange) AS exchange,
   CASE WHEN r.symbol IS NULL OR s.resolution = 'manual' THEN s.isin ELSE coalesce(r.isin, s.isin) END AS isin, CASE WHEN r.symbol IS NULL THEN s.accord_code ELSE r.accord_code END AS accord_code,
   CASE WHEN r.symbol IS NULL OR s.resolution = 'manual' THEN s.resolution ELSE r.resolution END AS resolution, coalesce(s.ignored, false) OR coalesce(r.ignored, false) AS ignored,
@@ -258,6 +277,11 @@ register(
     f"""{_UP} SELECT {S.cnt("change = 'inserted'")} AS inserted, {S.cnt("change = 'updated'")} AS updated, {S.cnt("change = 'kept'")} AS missing,
     (SELECT count(*) FROM rs WHERE resolution = 'auto') AS resolved, (SELECT count(*) FROM rs) AS total FROM mg""",
 )
+register(
+    "cleared_list",
+    lambda spark, sf: universe.upload_report(universe.merge(universe.clear(stored(spark, sf)), resolved(spark, sf)), resolved(spark, sf)),
+    f"""{_UP} SELECT count(*) AS inserted, 0 AS updated, 0 AS missing, count(*) FILTER (WHERE resolution = 'auto') AS resolved, count(*) AS total FROM rs""",
+)
 register("absent_from_upload", lambda spark, sf: universe.absent_from_upload(stored(spark, sf), parsed(spark, sf)), f"{_UP} SELECT symbol FROM st WHERE symbol NOT IN (SELECT symbol FROM up)")
 
 
@@ -280,8 +304,8 @@ register("unresolved_list", lambda spark, sf: universe.unresolved(Fr.scan_list(s
 register(
     "identifiers",
     lambda spark, sf: universe.identifiers(Fr.identifier_feed(spark, sf).drop("COMPANY NAME")),
-    f"""SELECT 'S-' || s_suppkey AS nse_code, {S.supp('s_suppkey')} AS isin, CAST(s_suppkey AS VARCHAR) AS accord_code, CAST(NULL AS VARCHAR) AS company_name,
-    CASE WHEN s_suppkey % 7 = 0 THEN 'Delisted' ELSE 'Active' END AS trading_status FROM supplier WHERE s_nationkey <> 7""",
+    f"""SELECT CASE WHEN s_nationkey <> 7 THEN 'S-' ELSE 'X-' END || s_suppkey AS nse_code, {S.supp('s_suppkey')} AS isin, CAST(s_suppkey AS VARCHAR) AS accord_code, CAST(NULL AS VARCHAR) AS company_name,
+    CASE WHEN s_suppkey % 7 = 0 THEN 'Delisted' ELSE 'Active' END AS trading_status FROM supplier""",
 )
 
 

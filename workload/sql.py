@@ -241,10 +241,10 @@ y_grow AS (
   WHERE rn = years_ago GROUP BY isin),
 y_agg AS (
   SELECT isin, count(*) AS fy_available, {_at(0, ago="years_ago")} AS fy1, {_at(2, ago="years_ago")} AS f3,
-    {_at(4, ago="years_ago")} AS f5, {cnt("pat > 0")} AS profitable_fy, {cnt("pat < 0")} AS loss_fy, max(pat) AS pat_peak_fy
+    {", ".join(f"{_at(n - 1, ago='years_ago')} AS f{n}" for n in (5, 7, 10, 15))}, {cnt("pat > 0")} AS profitable_fy, {cnt("pat < 0")} AS loss_fy, max(pat) AS pat_peak_fy
   FROM y GROUP BY isin),
 ys AS (
-  SELECT a.isin, fy_available, ttm AS pat_ttm_reported, fy1 AS pat_fy1, {_cagr(3)} AS pat_cagr_3y_pct, {_cagr(5)} AS pat_cagr_5y_pct,
+  SELECT a.isin, fy_available, ttm AS pat_ttm_reported, fy1 AS pat_fy1, {", ".join(f"{_cagr(n)} AS pat_cagr_{n}y_pct" for n in (3, 5, 7, 10, 15))},
     profitable_fy, loss_fy, profitable_fy / fy_available * 100 AS profitable_fy_pct, pat_peak_fy,
     {signed("fy1", "pat_peak_fy")} AS pat_vs_peak_pct, coalesce(fy1 >= pat_peak_fy AND pat_peak_fy > 0, false) AS pat_fy_at_ath,
     coalesce(r.run, 0) AS profit_streak_fy, coalesce(g.run, 0) AS pat_growth_streak_fy
@@ -363,7 +363,7 @@ hits AS (
   FROM act JOIN lastp USING (symbol) JOIN rep USING (symbol)
   WHERE closes >= 2 AND ath_price IS NOT NULL AND round_even(today_high, 2) >= round_even(ath_price, 2)),
 rd AS (
-  SELECT {s} AS symbol, CASE WHEN s_suppkey % 4 <> 3 THEN CAST(DATE '2001-06-05' + CAST(s_suppkey % 20 AS INTEGER) AS DATE) END AS result_date,
+  SELECT CASE WHEN s_acctbal > 1000 THEN '' ELSE 'OLD-' END || {s} AS symbol, CASE WHEN s_suppkey % 4 <> 3 THEN CAST(DATE '2001-06-05' + CAST(s_suppkey % 20 AS INTEGER) AS DATE) END AS result_date,
     CASE WHEN s_suppkey % 4 <> 3 THEN 'announced' ELSE 'not_announced' END AS status,
     CASE WHEN s_suppkey % 6 <> 0 THEN TIMESTAMP '2001-06-14 00:00:00' + to_hours(CAST(s_suppkey % 36 AS INTEGER)) END AS checked_at
-  FROM supplier WHERE s_acctbal > 1000)"""])
+  FROM supplier)"""])

@@ -73,6 +73,48 @@ register(
     """SELECT CAST(o_custkey AS VARCHAR) AS isin, CAST(min(o_orderkey) AS BIGINT) AS o_orderkey, CAST(min_by(o_totalprice, o_orderkey) AS DOUBLE) AS o_totalprice
     FROM orders GROUP BY o_custkey""",
 )
+
+
+def mixed_csv(spark, sf):
+    """Customers in files with headers of their own: odd keys in one order, even ones in another;
+    a third set of files has all keys once more, without the other values."""
+    path = scratch(spark, "customers-mixed")
+    k = F.col("c_custkey")
+    rows = Fr.table(spark, sf, "customer").select(
+        k.cast("string").alias("key"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("name"),
+        F.when(k % 50 == 7, "n/a").otherwise(F.col("c_acctbal").cast("string")).alias("balance"),
+    )
+    for df in (rows.where("key % 2 = 1"), rows.where("key % 2 = 0").select("balance", "key", "name")):
+        df.write.mode("append").option("header", True).option("escape", '"').csv(path)
+    short = Fr.table(spark, sf, "customer").coalesce(1).select(k.cast("string").alias("value"))
+    head = spark.createDataFrame([("key,balance",)], "value string")
+    head.union(short).coalesce(1).write.mode("append").text(path)
+    return ingest.read_csv_files(spark, path, {"key": "bigint", "balance": "double"})
+
+
+def rejected_lines(spark, sf):
+    return mixed_csv(spark, sf)[1].groupBy("reason", "record").agg(F.count("*").alias("n")).select("reason", F.regexp_extract("record", r"(\d+)(?:$|,\"?Customer)", 1).alias("key"), "n")
+
+
+def listed_dropped(spark, sf):
+    """The second export without its listed columns."""
+    rows = Fr.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("bigint").alias("isin"), F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("Industry"), F.col("c_acctbal").cast("double").alias("Sales"),
+        F.col("c_nationkey").alias("Credit rating"),
+    )
+    return clean.drop_listed(rows)
+
+
+register(
+    "csv_mixed_headers", lambda spark, sf: mixed_csv(spark, sf)[0],
+    """SELECT CAST(c_custkey AS BIGINT) AS key, c_name || ', "' || c_mktsegment || '"' AS name, CAST(c_acctbal AS DOUBLE) AS balance FROM customer WHERE c_custkey % 50 <> 7""",
+)
+register(
+    "csv_rejects", rejected_lines,
+    """SELECT 'not the 2 values of the header' AS reason, CAST(c_custkey AS VARCHAR) AS key, 1 AS n FROM customer
+    UNION ALL SELECT 'balance: not a double', CAST(c_custkey AS VARCHAR), 1 FROM customer WHERE c_custkey % 50 = 7""",
+)
+register("dropped_listed", listed_dropped, "SELECT CAST(c_custkey AS BIGINT) AS isin, CAST(c_acctbal AS DOUBLE) AS \"Sales\" FROM customer")
 register("json_payload_scan", lambda spark, sf: long_quarters(payload_json(spark, sf)), LONG)
 
 
@@ -193,9 +235,9 @@ def archived_days(spark, sf):
     """Ten days whose companies are missing their figures. The base of each day is archived, one
     higher a day; the other sources are carried from the first."""
     store = scratch(spark, "ten-days")
-    days = spark.createDataFrame([(d, i) for i, d in enumerate(TEN)], "d string, i int").select(F.col("d").cast("date").alias(SN.DATE), "i")
     given = sources(spark, sf)
-    each = base(spark, sf).join(F.broadcast(days)).withColumn("price", F.col("price") + F.col("i")).drop("i")  # ten days
+    each = base(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(TEN) - 1))))
+    each = each.withColumns({SN.DATE: F.date_add(F.lit(TEN[0]).cast("date"), F.col("i")), "price": F.col("price") + F.col("i")}).drop("i")
     first = lambda s: given[s][1].withColumn(SN.DATE, F.lit(TEN[0]).cast("date"))
     told = spark.createDataFrame(
         [(s, given[s][0], d if s == "tradingview" else TEN[0], s != "tradingview" and d != TEN[0], d) for d in TEN for s in given],

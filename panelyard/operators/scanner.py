@@ -41,12 +41,15 @@ def clear_today(state: DataFrame) -> DataFrame:
     return state.withColumn("today_ath", F.lit(None).cast("double"))
 
 
-def seed_missing(state: DataFrame, universe: DataFrame, bars: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Lifetime highs for scanned symbols without a trigger. The full series already
-    holds every split up to its last bar, so that date marks them as accounted for."""
+def seed_missing(
+    state: DataFrame, universe: DataFrame, bars: DataFrame | None, as_of: Column, stored: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Lifetime highs for scanned symbols without a trigger, from the full series or from highs that
+    are kept up to date (``stored``, see ``high_months``). They hold every split up to the last bar,
+    so that date marks them as accounted for."""
     known = state.where("ath_price IS NOT NULL").select("symbol")
     missing = universe.select("symbol").join(known, "symbol", "left_anti")
-    highs = prices.lifetime_highs(bars.join(missing, "symbol", "left_semi"))
+    highs = (stored if bars is None else prices.lifetime_highs(bars.join(missing, "symbol", "left_semi"))).join(missing, "symbol", "left_semi")
     fresh = highs.select(
         "symbol", F.col("ath_price").alias("p"), F.col("ath_date").alias("d"), F.col("last_bar").alias("b")
     )

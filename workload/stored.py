@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from panelyard.operators import clean, periods
+from panelyard.operators import clean, high_months, periods
 from panelyard.plans import build as B
-from panelyard.session import shared_folder
+from panelyard.session import cut_lineage, shared_folder
 from panelyard.sources import ingest, tables
 from panelyard.sources import manifest as M
 from panelyard.sources import snapshots as SN
@@ -383,3 +383,17 @@ register(
     'profit_q:{FIRST},profit_y:{FIRST},screener:{FIRST}' AS carried, 2 AS held FROM supplier HAVING count(*) > 0""",
 )
 register("duplicate_inputs", duplicates, f"SELECT DATE '{FIRST}' AS {SN.DATE} FROM supplier HAVING count(*) > 0")
+
+
+# ------------------------------------------------------------------ highs by month
+def kept_highs(spark, sf):
+    """Highs of the bars up to the middle of a month, and the later bars appended to them."""
+    store = scratch(spark, "high-months")
+    bars = cut_lineage(Fr.bars(spark, sf))
+    early = F.col("date") < F.lit("2001-06-15").cast("date")
+    high_months.replace(spark, store, bars.where(early))
+    high_months.append(spark, store, bars.where(~early))
+    return high_months.lifetime_highs(high_months.read(spark, store))
+
+
+register("incremental_highs", kept_highs, f"{S.with_(S.bars(), S.adjusted())} SELECT * FROM adj_top")

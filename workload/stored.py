@@ -280,13 +280,13 @@ def left_over(spark, sf):
 
 
 def refused(spark, sf):
-    """A replacement of the second day with fewer rows than allowed: its violations are kept, the
-    day is as before."""
+    """A replacement of the second day that is a row short of what is asked for: its violations are
+    kept, the day is as before."""
     store = committed(spark, sf)
     n = base(spark, sf).count()
-    given = {"tradingview": ("base-3.csv", raised(base(spark, sf), 2).where("price > 0"))}
+    given = {"tradingview": ("base-3.csv", raised(base(spark, sf), 2))}
     try:
-        B.commit(spark, store, given, F.lit(f"{SECOND} 08:00:00"), SECOND, date=SECOND, replace=True, **{**OPEN, "low": n})
+        B.commit(spark, store, given, F.lit(f"{SECOND} 08:00:00"), SECOND, date=SECOND, replace=True, **{**OPEN, "low": n + 1})
     except SN.SnapshotError:
         pass
     kept = companies(spark, store).groupBy(SN.DATE).agg(F.sum(F.col("price").cast("decimal(28,4)")).cast("double").alias("price"))
@@ -361,7 +361,7 @@ register("removable_folders", left_over, f"SELECT kind, {SN.DATE} FROM ({_entrie
 register(
     "rejected_snapshot", refused,
     f"""SELECT DATE '{SECOND}' AS {SN.DATE}, rule, found, low, violated, (SELECT CAST(sum(CAST(s_acctbal + 1 AS DECIMAL(28,4))) AS DOUBLE) FROM supplier) AS price FROM (
-    SELECT 'row_count' AS rule, CAST(count(*) FILTER (WHERE s_acctbal + 2 > 0) AS DOUBLE) AS found, CAST(count(*) AS DOUBLE) AS low, true AS violated FROM supplier
+    SELECT 'row_count' AS rule, CAST(count(*) AS DOUBLE) AS found, CAST(count(*) + 1 AS DOUBLE) AS low, true AS violated FROM supplier
     UNION ALL SELECT r, 0, NULL, false FROM (VALUES ('null_key'), ('duplicate_key')) v(r))""",
 )
 register(

@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if configured:
             context.setCheckpointDir(configured)
-        elif context.master.startswith("local"):
+        elif context.master == "local" or context.master.startswith("local["):
             context.setCheckpointDir(tempfile.mkdtemp(prefix="panelyard-checkpoint-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

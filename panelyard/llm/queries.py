@@ -79,7 +79,7 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
-    pages = _table(spark, folder, "pages")
+    pages = warc.numbered(_table(spark, folder, "pages"))
     archives = new_folder(spark, "warc")
     warc.write_archives(pages, warc.resolve(pages), archives)
     found = warc.joined_revisits(warc.read_archives(spark, archives))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import small_batches, stored
+from panelyard.llm.common import new_folder, small_batches
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -37,49 +37,50 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*characters)
 
 
-def _record_id(page_id: Column, digest: Column) -> Column:
-    h = F.md5(F.concat_ws("|", F.coalesce(page_id, F.lit("null")), digest))
+def _record_id(page_id: Column, digest: Column, row: Column) -> Column:
+    h = F.md5(F.concat_ws("|", F.coalesce(page_id, F.lit("null")), digest, row.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
-def resolve(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """The headers of all records: page_id, target_uri, digest, payload_bytes, record_id,
-    record_type and, for revisits, refers_to_id. Of the records with one payload the largest
-    page id is the response (the others revisit it); payloads under ``least_bytes`` are all
-    responses.
-
-    A null payload is empty, a null url is written empty, a null page id is the smallest.
-    Repeated rows (one page id and payload) are one record.
-    """
+def numbered(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """Every row of ``pages`` with a number of its own, its digest and size, stored: row, page_id,
+    target_uri, digest, payload_bytes, body. A null payload is empty, a null url is written empty."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    heads = pages.select(
-        F.col(page_id).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]+", " ").alias("target_uri"),
-        base32_sha1(F.encode(body, "UTF-8")).alias("digest"), F.octet_length(body).cast("long").alias("payload_bytes"),
-    ).groupBy("page_id", "digest", "payload_bytes").agg(F.min("target_uri").alias("target_uri"))
-    heads = stored(heads, "heads")
-    originals = heads.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("original"))
+    rows = pages.select(
+        F.monotonically_increasing_id().alias("row"), F.col(page_id).cast("long").alias("page_id"),
+        F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]+", " ").alias("target_uri"),
+        base32_sha1(F.encode(body, "UTF-8")).alias("digest"), F.octet_length(body).cast("long").alias("payload_bytes"), body.alias("body"),
+    )
+    path = new_folder(pages.sparkSession, "pages")
+    rows.write.option("compression", "zstd").parquet(path)
+    return pages.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def resolve(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """The headers of all records, one per row of ``numbered`` pages: row, page_id, target_uri,
+    digest, payload_bytes, record_id, record_type and, for revisits, refers_to_id. Of the records
+    with one payload the largest page id is the response, the first of its rows if it is repeated,
+    and the others revisit it; a null page id is the smallest. Payloads under ``least_bytes`` are
+    all responses."""
+    heads = rows.drop("body")
+    originals = heads.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(
+        F.max(F.struct("page_id", (-F.col("row")).alias("back"))).alias("original")
+    )
     joined = heads.join(originals, ["digest", "payload_bytes"], "left")
-    revisit = F.col("payload_bytes").isNotNull() & (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("original"))
-    as_text = F.col("page_id").cast("string")
+    revisit = F.col("original").isNotNull() & (F.col("row") != -F.col("original.back"))
     return joined.select(
-        "page_id", "target_uri", "digest", "payload_bytes", _record_id(as_text, F.col("digest")).alias("record_id"),
+        "row", "page_id", "target_uri", "digest", "payload_bytes", _record_id(F.col("page_id").cast("string"), F.col("digest"), F.col("row")).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, _record_id(F.col("original").cast("string"), F.col("digest"))).alias("refers_to_id"),
+        F.when(revisit, _record_id(F.col("original.page_id").cast("string"), F.col("digest"), -F.col("original.back"))).alias("refers_to_id"),
     )
 
 
 def write_archives(
-    pages: DataFrame, headers: DataFrame, path: str, page_id: str = "page_id", payload: str = "html",
-    date: str = "2024-01-01T00:00:00Z", records_per_file: int = 500,
+    rows: DataFrame, headers: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 500,
 ) -> None:
     """Writes the records as gzipped WARC 1.1 files of at most ``records_per_file`` records. The
-    payload meets its fresh header by page id and digest; revisits are written without it."""
-    body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
-    bodies = pages.select(
-        F.coalesce(F.col(page_id).cast("long"), F.lit(-1 << 63)).alias("_i"), base32_sha1(F.encode(body, "UTF-8")).alias("digest"), body.alias("body")
-    ).dropDuplicates(["_i", "digest"])
-    keyed = headers.withColumn("_i", F.coalesce("page_id", F.lit(-1 << 63)))
-    full = keyed.where("record_type = 'response'").join(bodies, ["_i", "digest"]).select(*headers.columns, "body")
+    payload meets its fresh header by the row's number; revisits are written without it."""
+    full = headers.where("record_type = 'response'").join(rows.select("row", "body"), "row").select(*headers.columns, "body")
     bare = headers.where("record_type = 'revisit'").withColumn("body", F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"), F.lit("\r\nWARC-Record-ID: "), F.col("record_id"),

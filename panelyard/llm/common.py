@@ -77,10 +77,10 @@ def ascii_lower(column: Column) -> Column:
     )
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, mib: int = 2) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, mib: float = 2) -> None:
     """Bounds the Arrow batches handed to Python by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mib << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(int(mib * (1 << 20))))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import NULL_ID, checked_broadcast, inverse, mix, new_folder, powers, random_words, row_key, small_batches, stored, text_buffer
+from panelyard.llm.common import NULL_ID, batches_of, checked_broadcast, inverse, mix, new_folder, powers, random_words, row_key, small_batches, stored, text_buffer
 
 GRAM = 32
 FLUSH_SEGMENTS = 250_000
@@ -34,12 +34,11 @@ CHUNK_BYTES = 1 << 19
 HOT_ANCHOR = 2000  # distinct segments of an anchor beyond which it is split by content
 STRIPE = 8
 HOT_STRIPE = 2000  # pieces of a key beyond which they are compared window by window
-BUCKET_SEGMENTS = 1 << 20  # segments that a gathering task holds, about
 
 _BYTES = random_words(256, 21)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SEGMENT = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("count", "u1"), ("lead", "u1")])
-COVER, REQUEST, PACK = 0, 1, 2
+_SEGMENT = np.dtype([("anchor", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("count", "<u2"), ("lead", "<u2")])
+COVER, REQUEST, SEGMENT = 0, 1, 2
 
 
 class Hasher:
@@ -104,7 +103,11 @@ def segments_of(hasher: Hasher, raw: np.ndarray, offsets: np.ndarray, ids: np.nd
 def thinned(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The earliest of each group of equal segments, in order of anchor, and the others. A
     repeated row's segment is the same occurrence and is dropped."""
-    s = s[np.lexsort((s["start"], s["text"], s["doc"], s["hash"], s["anchor"]))]
+    return earliest(s[np.lexsort((s["start"], s["text"], s["doc"], s["hash"], s["anchor"]))])
+
+
+def earliest(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``thinned``, for segments in order of anchor, hash, document and start."""
     same = np.zeros(len(s), bool)
     same[1:] = (s["anchor"][1:] == s["anchor"][:-1]) & (s["hash"][1:] == s["hash"][:-1]) & (s["count"][1:] == s["count"][:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(s))))
@@ -112,75 +115,80 @@ def thinned(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[~same], s[later]
 
 
-FOUND = "kind int, doc long, text long, start int, count int, anchor long, lead int, bucket int, pack binary"
-_FOUND_TYPES = pa.schema([
-    ("kind", pa.int32()), ("doc", pa.int64()), ("text", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("anchor", pa.int64()), ("lead", pa.int32()),
-    ("bucket", pa.int32()), ("pack", pa.binary()),
-])
+FOUND = "kind int, anchor long, hash long, doc long, text long, place long"
+_FOUND_TYPES = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("anchor", "hash", "doc", "text", "place")]])
+
 
+def _records(kind: int, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(s), 50_000):
+        p = s[at : at + 50_000]
+        place = (p["start"].astype(np.int64) << 32) | (p["count"].astype(np.int64) << 16) | p["lead"].astype(np.int64)
+        # a run that is known to be covered is dealt by its row, not by an anchor that may be hot
+        anchor = p["doc"] ^ p["text"] if kind == COVER else p["anchor"].view(np.int64)
+        columns = [np.full(len(p), kind, np.int32), anchor, p["hash"].view(np.int64), p["doc"], p["text"], place]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=_FOUND_TYPES)
 
-def _records(kind: int, s: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(s), 100_000):
-        p = s[at : at + 100_000]
-        columns = [
-            np.full(len(p), kind, np.int32), p["doc"], p["text"], p["start"], p["count"].astype(np.int32), p["anchor"].view(np.int64), p["lead"].astype(np.int32),
-            ((p["doc"] ^ p["text"]) % buckets).astype(np.int32),
-        ]
-        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in columns], pa.nulls(len(p), pa.binary())], schema=_FOUND_TYPES)
+
+def _segments(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.zeros(batch.num_rows, _SEGMENT)
+    for c in ("anchor", "hash", "doc", "text"):
+        values = batch.column(c).to_numpy()
+        out[c] = values.view(np.uint64) if c in ("anchor", "hash") else values
+    place = batch.column("place").to_numpy()
+    out["start"], out["count"], out["lead"] = place >> 32, (place >> 16) & 0xFFFF, place & 0xFFFF
+    return out
 
 
 def candidates(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Covered runs of starts (doc, text, start, count), and requests (the same with anchor and
-    lead): the earliest of each of an anchor's different segments. Segments travel as packed
-    arrays, one per task and bucket."""
+    lead): the earliest of each of an anchor's different segments. Spark deals and sorts the
+    segments by anchor and content, so a task reads them as a stream and holds one of them."""
     spark = documents.sparkSession
-    small_batches(spark, rows=1000, mib=1)
-    # a run of equal anchors is expected to end twice in a window's span of grams
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    expected = 2 * size // (least - GRAM + 2)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected // BUCKET_SEGMENTS))
+    small_batches(spark, rows=20_000, mib=0.5)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, count = Hasher(), [], 0
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            first, later = thinned(np.concatenate(held))
-            yield from _records(COVER, later, buckets)
-            cut = np.searchsorted(first["anchor"], (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-            packs = [(n, p.tobytes()) for n, p in enumerate(np.split(first, cut)) if len(p)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(packs), PACK, np.int32)), *[pa.nulls(len(packs), f.type) for f in list(_FOUND_TYPES)[1:7]],
-                pa.array([n for n, _ in packs], pa.int32()), pa.array([p for _, p in packs], pa.binary()),
-            ], schema=_FOUND_TYPES)
-
         for batch in batches:
             raw, offsets = text_buffer(batch.column(2))
             held.append(segments_of(hasher, raw, offsets, batch.column(0).to_numpy(), batch.column(1).to_numpy(), least))
             count += len(held[-1])
             if count > FLUSH_SEGMENTS:
-                yield from flushed()
+                first, later = thinned(np.concatenate(held))
                 held, count = [], 0
+                yield from _records(COVER, later)
+                yield from _records(SEGMENT, first)
         if count:
-            yield from flushed()
+            first, later = thinned(np.concatenate(held))
+            yield from _records(COVER, later)
+            yield from _records(SEGMENT, first)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            packed = batch.column(0).to_numpy() == PACK
-            yield batch.filter(pa.array(~packed))
-            held += [np.frombuffer(p.as_py(), _SEGMENT) for p in batch.column(8).filter(pa.array(packed))]
-        if held:
-            first, later = thinned(np.concatenate(held))
-            yield from _records(COVER, later, buckets)
+        last, told = np.zeros(0, _SEGMENT), False  # the segment that the next rows may equal, and whether it was requested
+        for batch in batches_of(batches, 4 << 20):
+            new = batch.column(0).to_numpy() == SEGMENT
+            yield batch.filter(pa.array(~new))
+            if not new.any():
+                continue
+            first, later = earliest(np.concatenate([last, _segments(batch.filter(pa.array(new)))]))
+            yield from _records(COVER, later)
             same = np.zeros(len(first) + 1, bool)
             same[1:-1] = first["anchor"][1:] == first["anchor"][:-1]
-            yield from _records(REQUEST, first[same[1:] | same[:-1]], buckets)
+            wanted = same[1:] | same[:-1]
+            if len(first) == 1:
+                told = told and len(last) == 1
+            else:
+                wanted[0] &= not told
+                told = bool(same[-2])
+            yield from _records(REQUEST, first[wanted])
+            last = first[-1:].copy()
 
     folder = new_folder(spark, "segments")
-    found = documents.mapInArrow(scan, FOUND).repartitionById(buckets, "bucket").mapInArrow(gather, FOUND)
-    found.drop("bucket", "pack").write.partitionBy("kind").parquet(folder)
-    out = spark.read.schema("doc long, text long, start int, count int, anchor long, lead int, kind int").parquet(folder)
-    return out.where(F.col("kind") == COVER).select("doc", "text", "start", "count"), out.where(F.col("kind") == REQUEST).drop("kind")
+    dealt = documents.mapInArrow(scan, FOUND).repartition("anchor").sortWithinPartitions("anchor", "hash", "doc", "text", "place")
+    dealt.mapInArrow(gather, FOUND).drop("hash").write.partitionBy("kind").parquet(folder)
+    out = spark.read.schema("anchor long, doc long, text long, place long, kind int").parquet(folder)
+    part = lambda name, shift: F.shiftright("place", shift).bitwiseAND(0xFFFF if shift < 32 else 0x7FFFFFFF).cast("int").alias(name)
+    runs = ["doc", "text", part("start", 32), part("count", 16)]
+    return out.where(F.col("kind") == COVER).select(*runs), out.where(F.col("kind") == REQUEST).select(*runs, "anchor", part("lead", 0))
 
 
 def interval_classes(text: np.ndarray, least: int) -> np.ndarray:

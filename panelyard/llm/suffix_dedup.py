@@ -351,7 +351,8 @@ def settle_segments(documents: DataFrame, requests: DataFrame, least: int) -> Da
             yield settled()
 
     small_batches(spark, rows=1000, mib=2)
-    texts = documents.join(checked_broadcast(asked.withColumnsRenamed({"doc": "_i", "text": "_h"})), ["_i", "_h"]).select("_i", "_h", "text", "asked")
+    # the requests grow with the input, so they are joined by shuffle at every size
+    texts = documents.join(asked.withColumnsRenamed({"doc": "_i", "text": "_h"}).hint("merge"), ["_i", "_h"]).select("_i", "_h", "text", "asked")
     pieces = stored(texts.mapInArrow(cut, piece), "pieces")
     alone = pieces.where("key is null").select("doc", "text", "start", "count")
     together = pieces.where("key is not null")

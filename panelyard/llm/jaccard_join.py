@@ -9,9 +9,11 @@ in which every linked pair meets, while texts that only share a common passage r
 
 Within tiles links are found without listing all pairs: equal sets are one entry; every entry
 is first compared with its tile's pivot, and linked entries become components; entries of
-different components that still share a tile are compared in blocks, first with their few best
-partners by bound, then - components having grown - with all that are left. Bitmaps bound an overlap from above (each bit set on one side only is a shingle the
-other side lacks); what passes is settled by intersecting the sorted arrays.
+different components that still share a tile are compared within blocks of it, then - components
+having grown - across its blocks. Bitmaps bound an overlap from above (each bit set on one side
+only is a shingle the other side lacks); what passes is settled by intersecting the sorted
+arrays. A block with few passing pairs gives these; any other gives its rows, whose arrays are
+brought together and joined in one task up to a spanning set of links.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import NULL_ID, checked_broadcast, components, joined_components, mix, new_folder, random_words, small_batches, stored, text_buffer
+from panelyard.llm.common import NULL_ID, batches_of, checked_broadcast, components, joined_components, mix, new_folder, random_words, small_batches, stored, text_buffer
 
 BLOCK = 256
 WIDEST_BITS = 8192
-ROUNDS = (0, 4, 2 * BLOCK)  # partners per row and block; 0: the tile's pivot alone; the last: all
+PIVOT, WITHIN, ACROSS = 0, 1, 2  # every entry with its tile's pivot; within blocks; across two blocks
+ROUNDS = (PIVOT, PIVOT, WITHIN, PIVOT, ACROSS)
 BAND_GROWTH = 1.5
-FLUSH_KEYS = 1_000_000
+FLUSH_KEYS = 500_000
 
 _BYTES = random_words(256, 11) | np.uint64(1)
 _PLACES = random_words(4096, 12) | np.uint64(1)
@@ -144,20 +147,20 @@ def enough(overlap: int, na: int, nb: int, percent: int) -> bool:
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
-SIGNED = "kind int, id long, n int, bits binary, digest binary, bucket int, key long, blob binary"
-_SIGNED_TYPES = pa.schema([
-    ("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("digest", pa.binary()),
-    ("bucket", pa.int32()), ("key", pa.int64()), ("blob", pa.binary()),
-])
-TEXT, MEMBER, BLOB = 0, 1, 2
+SIGNED = "kind int, id long, key long, blob binary"
+_SIGNED_TYPES = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
+TEXT, MEMBER, ENTRY = 0, 1, 2  # a text: its size as key, digest and bitmap; a member of a shared tile; a tile entry yet to be dealt
+DIGEST_BYTES = 16
 
 
-def _rows(count: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(count, f.type) for f in _SIGNED_TYPES], schema=_SIGNED_TYPES)
+def _rows(kind: int, ids: np.ndarray, keys: np.ndarray, blobs: list | None = None) -> pa.RecordBatch:
+    packed = pa.nulls(len(ids), pa.binary()) if blobs is None else pa.array(blobs, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), pa.array(keys.view(np.int64)), packed], schema=_SIGNED_TYPES)
 
 
-def _members(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return _rows(len(keys), kind=pa.array(np.full(len(keys), MEMBER, np.int32)), id=pa.array(ids), key=pa.array(keys.view(np.int64)), bucket=pa.array(np.zeros(len(keys), np.int32)))
+def _in_parts(kind: int, ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(ids), 100_000):
+        yield _rows(kind, ids[at : at + 100_000], keys[at : at + 100_000])
 
 
 def _runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,38 +178,31 @@ def signed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     """Texts (id, n, bits, digest of the set) and tile members (key, id) of all tiles with two
     members or more.
 
-    Keys travel as packed arrays, one per task and bucket. A task passes on one member per
-    key: the further ones it has seen are members of a shared tile already, so a hot tile
-    costs the shuffle one entry per task.
+    A task passes on one entry per key: the further ones it has seen are members of a shared
+    tile already, so a hot tile costs the shuffle one entry per task. Spark deals and sorts the
+    entries by key, so the task that finds the shared ones reads a stream and holds one entry.
     """
     spark = documents.sparkSession
-    small_batches(spark, rows=1000, mib=1)
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    small_batches(spark, rows=20_000, mib=0.5)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, held, owners, count, seen = Bands(percent), [], [], 0, set()
 
         def flushed() -> Iterator[pa.RecordBatch]:
             keys, ids, first, shared = _runs(np.concatenate(held), np.concatenate(owners))
-            if shared.any():
-                yield _members(keys[shared], ids[shared])
-            keys, ids = keys[first], ids[first]
-            at = np.searchsorted(keys, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-            blobs = [np.concatenate([k, i.view(np.uint64)]).tobytes() for k, i in zip(np.split(keys, at), np.split(ids, at), strict=True)]
-            yield _rows(buckets, kind=pa.array(np.full(buckets, BLOB, np.int32)), bucket=pa.array(np.arange(buckets, dtype=np.int32)), blob=pa.array(blobs, pa.binary()))
+            yield from _in_parts(MEMBER, ids[shared], keys[shared])
+            yield from _in_parts(ENTRY, ids[first], keys[first])
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            ns, bits, digests = [], [], []
-            for i, s in zip(ids, shingle_sets(*text_buffer(batch.column(1)), width), strict=True):
+            ids = batch.column(0).to_numpy()
+            ns, blobs = [], []
+            for i, s in zip(ids.tolist(), shingle_sets(*text_buffer(batch.column(1)), width), strict=True):
                 ns.append(len(s))
                 if not len(s):
-                    bits.append(None)
-                    digests.append(None)
+                    blobs.append(None)
                     continue
-                bits.append(bitmap(s))
                 digest = np.array([mix(s ^ c).sum(dtype=np.uint64) for c in _WORDS[8:10]]).tobytes()
-                digests.append(digest)
+                blobs.append(digest + bitmap(s))
                 if digest in seen:  # an equal set of this task stands for it
                     continue
                 if len(seen) < 500_000:
@@ -215,10 +211,7 @@ def signed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
                 held.append(keys)
                 owners.append(np.full(len(keys), i, np.int64))
                 count += len(keys)
-            yield _rows(
-                len(ids), kind=pa.array(np.full(len(ids), TEXT, np.int32)), id=pa.array(ids, pa.int64()), n=pa.array(ns, pa.int32()), bits=pa.array(bits, pa.binary()),
-                digest=pa.array(digests, pa.binary()), bucket=pa.array([i % buckets for i in ids], pa.int32()),
-            )
+            yield _rows(TEXT, ids, np.array(ns, np.int64), blobs)
             if count > FLUSH_KEYS:
                 yield from flushed()
                 held, owners, count = [], [], 0
@@ -226,26 +219,33 @@ def signed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
             yield from flushed()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
-        for batch in batches:
-            packed = batch.column("kind").to_numpy() == BLOB
-            yield batch.filter(pa.array(~packed)).set_column(7, "blob", pa.nulls(int((~packed).sum()), pa.binary()))
-            for b in batch.column("blob").filter(pa.array(packed)):
-                both = np.frombuffer(b.as_py(), np.uint64)
-                keys.append(both[: len(both) // 2])
-                ids.append(both[len(both) // 2 :].view(np.int64))
-        if keys:
-            k, i, _, shared = _runs(np.concatenate(keys), np.concatenate(ids))
-            for at in range(0, int(shared.sum()), 100_000):
-                yield _members(k[shared][at : at + 100_000], i[shared][at : at + 100_000])
-
-    rows = documents.mapInArrow(sign, SIGNED)
-    # members found by a task stay where they are dealt; only blobs need their bucket
-    dealt = rows.withColumn("bucket", F.when(F.col("kind") == MEMBER, F.pmod(F.xxhash64("key", "id"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
+        last_key, last_id, told = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the entry read last, and whether it was passed on
+        for batch in batches_of(batches, 4 << 20):
+            entry = batch.column("kind").to_numpy() == ENTRY
+            yield batch.filter(pa.array(~entry))
+            if not entry.any():
+                continue
+            keys = np.concatenate([last_key, batch.column("key").to_numpy()[entry]])
+            ids = np.concatenate([last_id, batch.column("id").to_numpy()[entry]])
+            same = np.zeros(len(keys) + 1, bool)
+            same[1:-1] = keys[1:] == keys[:-1]
+            shared = same[1:] | same[:-1]
+            after = bool(shared[-1])
+            if told:
+                shared[0] = False
+            told = after or (told and len(keys) == 1)
+            yield from _in_parts(MEMBER, ids[shared], keys[shared])
+            last_key, last_id = keys[-1:].copy(), ids[-1:].copy()
+
+    # members found by a task, and texts, are dealt by row: their keys may be hot
+    place = F.when(F.col("kind") == ENTRY, F.col("key")).otherwise(F.xxhash64("id", "key"))
     folder = new_folder(spark, "signed")
-    dealt.repartitionById(buckets, "bucket").mapInArrow(gather, SIGNED).drop("blob", "bucket").write.partitionBy("kind").parquet(folder)
-    out = spark.read.schema("id long, n int, bits binary, digest binary, key long, kind int").parquet(folder)
-    return out.where(F.col("kind") == TEXT).select("id", "n", "bits", "digest"), out.where(F.col("kind") == MEMBER).select("key", "id")
+    dealt = documents.mapInArrow(sign, SIGNED).repartition(place).sortWithinPartitions("key", "id")
+    dealt.mapInArrow(gather, SIGNED).write.partitionBy("kind").parquet(folder)
+    out = spark.read.schema("id long, key long, blob binary, kind int").parquet(folder)
+    digest, bits = F.substring("blob", 1, DIGEST_BYTES), F.expr(f"substring(blob, {DIGEST_BYTES + 1})")
+    texts = out.where(F.col("kind") == TEXT).select("id", F.col("key").cast("int").alias("n"), bits.alias("bits"), digest.alias("digest"))
+    return texts, out.where(F.col("kind") == MEMBER).select("key", "id")
 
 
 def _arrays(width: int):
@@ -289,34 +289,69 @@ def _bounds(rows: list) -> np.ndarray:
     return np.minimum(n[:, None] - missing, (n[:, None] - missing).T)
 
 
-def _bounded_pairs(percent: int, partners: int):
-    """Pairs of different components in a block, or across two, that pass size and bitmap: for
-    each row its ``partners`` best by bound."""
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passing(rows: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of all overlaps, and which pairs of different components pass size and bitmap: in
+    a block, or across two."""
+    n, block = np.array([r["n"] for r in rows], np.int64), np.array([r["block"] for r in rows])
+    component = np.array([r["component"] for r in rows])
+    bound = _bounds(rows)
+    passes = (100 * bound >= percent * (n[:, None] + n[None, :] - bound)) & (component[:, None] != component[None, :])
+    if (block != block[0]).any():
+        passes &= block[:, None] != block[None, :]
+    return bound, np.triu(passes)
+
+
+CANDIDATES = "a long, b long, key long, i int, j int, component long, block int"
+
+
+def _candidates(percent: int):
+    """What is left to compare of each block or pair of blocks, in no more rows than it has:
+    its passing pairs if they are few, else the rows with a passing partner (``b`` is null)."""
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            for rows, i, j in zip(batch.column("rows").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True):
+            out = []
+            for rows, key, i, j in zip(*[batch.column(c).to_pylist() for c in ("rows", "key", "i", "j")], strict=True):
                 if len(rows) < 2:
                     continue
-                n, ids = np.array([r["n"] for r in rows], np.int64), np.array([r["id"] for r in rows], np.int64)
-                component, block = np.array([r["component"] for r in rows]), np.array([r["block"] for r in rows])
-                bound = _bounds(rows)
-                passes = (100 * bound >= percent * (n[:, None] + n[None, :] - bound)) & (component[:, None] != component[None, :])
-                if i != j:
-                    passes &= block[:, None] != block[None, :]
-                if partners < len(rows):
-                    ranked = np.where(passes, bound, -1)
-                    best = np.argpartition(-ranked, partners - 1, axis=1)[:, :partners]
-                    chosen = np.zeros_like(passes)
-                    np.put_along_axis(chosen, best, True, axis=1)
-                    passes &= chosen
+                x, y = np.nonzero(_passing(rows, percent)[1])
+                live = np.union1d(x, y).tolist()
+                if len(x) <= len(live):
+                    ends = ((rows[p]["id"], rows[q]["id"]) for p, q in zip(x.tolist(), y.tolist(), strict=True))
+                    out += [(min(e), max(e), None, None, None, None, None) for e in ends]
+                else:
+                    out += [(rows[p]["id"], None, key, i, j, rows[p]["component"], rows[p]["block"]) for p in live]
+            names = [f.split()[0] for f in CANDIDATES.split(", ")]
+            types = [pa.int32() if f.endswith(" int") else pa.int64() for f in CANDIDATES.split(", ")]
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return left
+
+
+def _spanning(percent: int):
+    """Links of a block or pair of blocks that join its components: pairs in falling order of
+    their bounds, each compared exactly unless its ends are joined already."""
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for rows in batch.column("rows").to_pylist():
+                bound, passes = _passing(rows, percent)
                 x, y = np.nonzero(passes)
-                left.append(np.minimum(ids[x], ids[y]))
-                right.append(np.maximum(ids[x], ids[y]))
-            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1) if left else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], names=["a", "b"])
+                order = np.argsort(-bound[x, y], kind="stable")
+                _, group = np.unique([r["component"] for r in rows], return_inverse=True)
+                sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+                for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                    if group[p] == group[q]:
+                        continue
+                    both = np.concatenate([sets[p], sets[q]])
+                    both.sort(kind="stable")
+                    if enough(int((both[1:] == both[:-1]).sum()), len(sets[p]), len(sets[q]), percent):
+                        group[group == group[q]] = group[p]
+                        ends = rows[p]["id"], rows[q]["id"]
+                        links.append((min(ends), max(ends)))
+            yield pa.RecordBatch.from_arrays([pa.array([e[n] for e in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
 
-    return pairs
+    return joined
 
 
 def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -354,8 +389,16 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         return stored(met.mapInArrow(_settle(percent), "a long, b long").distinct(), "verified")
 
     tested = None
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        nonlocal tested
+        pairs = pairs.where("a <> b").distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        return pairs
+
     groups = stored(components(stands_for.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "groups")
-    for turn, partners in enumerate(ROUNDS):
+    for turn, step in enumerate(ROUNDS):
         placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         placed = stored(placed, "placed")
         open_tiles = placed.groupBy("key").agg(
@@ -363,21 +406,28 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
             F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("pivot"),
         ).where("x <> y")
         mixed = placed.join(open_tiles.select("key", "pivot", "size"), "key")
-        if not partners:
+        if step == PIVOT:
             pairs = mixed.where("component <> pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
+            groups = joined_components(groups, verified(untested(pairs)))
+            continue
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        cut = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        if step == ACROSS:
+            cut = cut.where("blocks > 1").withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
         else:
-            blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
-            cut = mixed.join(sets.select("id", "n", "bits"), "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            packed = cut.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
-                F.collect_list(F.struct("id", "n", "bits", "component", "block")).alias("rows")
-            )
-            small_batches(spark, rows=1000, mib=4)
-            pairs = packed.mapInArrow(_bounded_pairs(percent, partners), "a long, b long")
-        pairs = pairs.where("a <> b").distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        groups = joined_components(groups, verified(pairs))
+            cut = cut.withColumn("other", F.col("block"))
+        cut = cut.join(sets.select("id", "n", "bits"), "id")
+        packed = cut.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
+            F.collect_list(F.struct("id", "n", "bits", "component", "block")).alias("rows")
+        )
+        small_batches(spark, rows=1000, mib=4)
+        left = stored(packed.mapInArrow(_candidates(percent), CANDIDATES), "candidates")
+        links = verified(untested(left.where("b is not null").select("a", "b")))
+        crowded = left.where("b is null").withColumnRenamed("a", "id").drop("b").join(arrays, "id").groupBy("key", "i", "j").agg(
+            F.collect_list(F.struct("id", "n", "bits", "shingles", "component", "block")).alias("rows")
+        )
+        small_batches(spark, rows=100, mib=4)
+        groups = joined_components(groups, stored(links.union(crowded.select("rows").mapInArrow(_spanning(percent), "a long, b long")).distinct(), "links"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = texts.select("id", "n").join(checked_broadcast(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(real("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))

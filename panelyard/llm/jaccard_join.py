@@ -30,7 +30,7 @@ from panelyard.llm.common import NULL_ID, batches_of, checked_broadcast, compone
 BLOCK = 256
 WIDEST_BITS = 8192
 PIVOT, WITHIN, ACROSS = 0, 1, 2  # every entry with its tile's pivot; within blocks; across two blocks
-ROUNDS = (PIVOT, PIVOT, WITHIN, PIVOT, ACROSS)
+ROUNDS = (PIVOT, WITHIN, ACROSS)
 BAND_GROWTH = 1.5
 FLUSH_KEYS = 500_000
 
@@ -404,7 +404,12 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         open_tiles = placed.groupBy("key").agg(
             F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"),
             F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("pivot"),
-        ).where("x <> y")
+        ).where("x <> y").drop("x", "y")
+        if step == ACROSS:
+            open_tiles = open_tiles.where(F.col("size") > BLOCK)
+        open_tiles = stored(open_tiles, "open-tiles")
+        if open_tiles.isEmpty():
+            continue
         mixed = placed.join(open_tiles.select("key", "pivot", "size"), "key")
         if step == PIVOT:
             pairs = mixed.where("component <> pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
@@ -413,7 +418,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         cut = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         if step == ACROSS:
-            cut = cut.where("blocks > 1").withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
+            cut = cut.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
         else:
             cut = cut.withColumn("other", F.col("block"))
         cut = cut.join(sets.select("id", "n", "bits"), "id")
@@ -423,11 +428,14 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         small_batches(spark, rows=1000, mib=4)
         left = stored(packed.mapInArrow(_candidates(percent), CANDIDATES), "candidates")
         links = verified(untested(left.where("b is not null").select("a", "b")))
-        crowded = left.where("b is null").withColumnRenamed("a", "id").drop("b").join(arrays, "id").groupBy("key", "i", "j").agg(
-            F.collect_list(F.struct("id", "n", "bits", "shingles", "component", "block")).alias("rows")
-        )
-        small_batches(spark, rows=100, mib=4)
-        groups = joined_components(groups, stored(links.union(crowded.select("rows").mapInArrow(_spanning(percent), "a long, b long")).distinct(), "links"))
+        crowded = left.where("b is null").withColumnRenamed("a", "id").drop("b")
+        if not crowded.isEmpty():
+            crowded = crowded.join(arrays, "id").groupBy("key", "i", "j").agg(
+                F.collect_list(F.struct("id", "n", "bits", "shingles", "component", "block")).alias("rows")
+            )
+            small_batches(spark, rows=100, mib=4)
+            links = stored(links.union(crowded.select("rows").mapInArrow(_spanning(percent), "a long, b long")).distinct(), "links")
+        groups = joined_components(groups, links)
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = texts.select("id", "n").join(checked_broadcast(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(real("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))

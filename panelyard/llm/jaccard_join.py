@@ -12,8 +12,10 @@ is first compared with its tile's pivot, and linked entries become components; e
 different components that still share a tile are compared within blocks of it, then - components
 having grown - across its blocks. Bitmaps bound an overlap from above (each bit set on one side
 only is a shingle the other side lacks); what passes is settled by intersecting the sorted
-arrays. A block with few passing pairs gives these; any other gives its rows, whose arrays are
-brought together and joined in one task up to a spanning set of links.
+arrays. A block with few passing pairs gives these. Any other gives a forest of its likeliest
+pairs, so that a pair that meets in many tiles is settled once, and then, with components grown
+by them, is bounded anew; the arrays of what still has many passing pairs are brought together
+and joined in one task up to a spanning set of links. Blocks with the same open rows are one.
 """
 
 from __future__ import annotations
@@ -304,22 +306,48 @@ def _passing(rows: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
 CANDIDATES = "a long, b long, key long, i int, j int, component long, block int"
 
 
-def _candidates(percent: int):
-    """What is left to compare of each block or pair of blocks, in no more rows than it has:
-    its passing pairs if they are few, else the rows with a passing partner (``b`` is null)."""
+def _in_order(bound: np.ndarray, passes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Passing pairs, those with the largest bounds first."""
+    x, y = np.nonzero(passes)
+    order = np.argsort(-bound[x, y], kind="stable")
+    yield from zip(x[order].tolist(), y[order].tolist(), strict=True)
+
+
+def _join(rows: list, pairs: Iterator[tuple[int, int]], linked) -> list[tuple[int, int]]:
+    """Those of ``pairs`` that join the components of ``rows``; ``linked`` is asked only about
+    pairs whose ends are not joined already."""
+    group = np.unique([r["component"] for r in rows], return_inverse=True)[1].tolist()
+    out = []
+    for p, q in pairs:
+        a, b = group[p], group[q]
+        if a != b and linked(p, q):
+            group = [a if g == b else g for g in group]
+            ends = rows[p]["id"], rows[q]["id"]
+            out.append((min(ends), max(ends)))
+    return out
+
+
+def _candidates(percent: int, forest: bool):
+    """What is left to compare of each block or pair of blocks, in at most twice as many rows as
+    it has: its passing pairs if they are few, else the rows with a passing partner (``b`` is
+    null) and, with ``forest``, the likeliest pairs that would join all their components."""
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for rows, key, i, j in zip(*[batch.column(c).to_pylist() for c in ("rows", "key", "i", "j")], strict=True):
                 if len(rows) < 2:
                     continue
-                x, y = np.nonzero(_passing(rows, percent)[1])
+                bound, passes = _passing(rows, percent)
+                x, y = np.nonzero(passes)
                 live = np.union1d(x, y).tolist()
                 if len(x) <= len(live):
                     ends = ((rows[p]["id"], rows[q]["id"]) for p, q in zip(x.tolist(), y.tolist(), strict=True))
                     out += [(min(e), max(e), None, None, None, None, None) for e in ends]
                 else:
-                    out += [(rows[p]["id"], None, key, i, j, rows[p]["component"], rows[p]["block"]) for p in live]
+                    once = {rows[p]["id"]: rows[p] for p in live}  # an id may have several texts
+                    out += [(r["id"], None, key, i, j, r["component"], r["block"]) for r in once.values()]
+                    if forest:
+                        out += [(*ends, None, None, None, None, None) for ends in _join(rows, _in_order(bound, passes), lambda p, q: True)]
             names = [f.split()[0] for f in CANDIDATES.split(", ")]
             types = [pa.int32() if f.endswith(" int") else pa.int64() for f in CANDIDATES.split(", ")]
             columns = zip(*out, strict=True) if out else [[]] * len(names)
@@ -335,20 +363,14 @@ def _spanning(percent: int):
         for batch in batches:
             links = []
             for rows in batch.column("rows").to_pylist():
-                bound, passes = _passing(rows, percent)
-                x, y = np.nonzero(passes)
-                order = np.argsort(-bound[x, y], kind="stable")
-                _, group = np.unique([r["component"] for r in rows], return_inverse=True)
                 sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-                for p, q in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                    if group[p] == group[q]:
-                        continue
+
+                def linked(p: int, q: int, sets: list = sets) -> bool:
                     both = np.concatenate([sets[p], sets[q]])
                     both.sort(kind="stable")
-                    if enough(int((both[1:] == both[:-1]).sum()), len(sets[p]), len(sets[q]), percent):
-                        group[group == group[q]] = group[p]
-                        ends = rows[p]["id"], rows[q]["id"]
-                        links.append((min(ends), max(ends)))
+                    return enough(int((both[1:] == both[:-1]).sum()), len(sets[p]), len(sets[q]), percent)
+
+                links += _join(rows, _in_order(*_passing(rows, percent)), linked)
             yield pa.RecordBatch.from_arrays([pa.array([e[n] for e in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
 
     return joined
@@ -388,6 +410,14 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         small_batches(spark, rows=500, mib=4)
         return stored(met.mapInArrow(_settle(percent), "a long, b long").distinct(), "verified")
 
+    def unlike(crowded: DataFrame) -> DataFrame:
+        """Of blocks (or pairs of blocks) with the same open rows, one."""
+        block, first = ["key", "i", "j"], F.col("block") == F.col("i")
+        content = [F.bit_xor(F.xxhash64("id", "component", first, F.lit(seed))).alias(f"content_{seed}") for seed in (1, 2)]
+        kept = crowded.groupBy(*block).agg(F.count(F.lit(1)).alias("size"), *content)
+        kept = kept.groupBy("size", "content_1", "content_2").agg(F.min(F.struct(*block)).alias("b")).select("b.*")
+        return stored(crowded.join(kept, block, "left_semi"), "crowded")
+
     tested = None
 
     def untested(pairs: DataFrame) -> DataFrame:
@@ -421,21 +451,29 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
             cut = cut.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
         else:
             cut = cut.withColumn("other", F.col("block"))
-        cut = cut.join(sets.select("id", "n", "bits"), "id")
-        packed = cut.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
-            F.collect_list(F.struct("id", "n", "bits", "component", "block")).alias("rows")
-        )
-        small_batches(spark, rows=1000, mib=4)
-        left = stored(packed.mapInArrow(_candidates(percent), CANDIDATES), "candidates")
-        links = verified(untested(left.where("b is not null").select("a", "b")))
-        crowded = left.where("b is null").withColumnRenamed("a", "id").drop("b")
-        if not crowded.isEmpty():
-            crowded = crowded.join(arrays, "id").groupBy("key", "i", "j").agg(
-                F.collect_list(F.struct("id", "n", "bits", "shingles", "component", "block")).alias("rows")
+        cut = cut.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        for forest in (True, False):
+            packed = cut.join(sets.select("id", "n", "bits"), "id").groupBy("key", "i", "j").agg(
+                F.collect_list(F.struct("id", "n", "bits", "component", "block")).alias("rows")
             )
-            small_batches(spark, rows=100, mib=4)
-            links = stored(links.union(crowded.select("rows").mapInArrow(_spanning(percent), "a long, b long")).distinct(), "links")
-        groups = joined_components(groups, links)
+            small_batches(spark, rows=1000, mib=4)
+            left = stored(packed.mapInArrow(_candidates(percent, forest), CANDIDATES), "candidates")
+            links = verified(untested(left.where("b is not null").select("a", "b")))
+            crowded = unlike(left.where("b is null").withColumnRenamed("a", "id").drop("b"))
+            if crowded.isEmpty():
+                groups = joined_components(groups, links)
+                break
+            if forest:
+                groups = joined_components(groups, links)
+                grown = crowded.drop("component").join(checked_broadcast(groups.withColumnRenamed("node", "id")), "id", "left")
+                cut = grown.withColumn("component", F.coalesce("component", "id"))
+            else:
+                crowded = crowded.join(arrays, "id").groupBy("key", "i", "j").agg(
+                    F.collect_list(F.struct("id", "n", "bits", "shingles", "component", "block")).alias("rows")
+                )
+                small_batches(spark, rows=100, mib=4)
+                links = stored(links.union(crowded.select("rows").mapInArrow(_spanning(percent), "a long, b long")).distinct(), "links")
+                groups = joined_components(groups, links)
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = texts.select("id", "n").join(checked_broadcast(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(real("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))

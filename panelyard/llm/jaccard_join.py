@@ -14,8 +14,9 @@ having grown - across its blocks. Bitmaps bound an overlap from above (each bit
 only is a shingle the other side lacks); what passes is settled by intersecting the sorted
 arrays. A block with few passing pairs gives these. Any other gives a forest of its likeliest
 pairs, so that a pair that meets in many tiles is settled once, and then, with components grown
-by them, is bounded anew; the arrays of what still has many passing pairs are brought together
-and joined in one task up to a spanning set of links. Blocks with the same open rows are one.
+by them, is bounded anew by finer bitmaps; the arrays of what still has many passing pairs are
+brought together and joined in one task up to a spanning set of links. Blocks with the same open
+rows are one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from panelyard.llm.common import NULL_ID, batches_of, checked_broadcast, components, joined_components, mix, new_folder, random_words, small_batches, stored, text_buffer
 
 BLOCK = 256
-WIDEST_BITS = 8192
+WIDEST_BITS = 32_768
+BITS, FINE_BITS = 2, 8  # bits of a bitmap per shingle at least: of every text, and of those whose arrays are needed
+PAIRS_PER_ROW = 8  # a block with more passing pairs per row than this is joined in one task
 PIVOT, WITHIN, ACROSS = 0, 1, 2  # every entry with its tile's pivot; within blocks; across two blocks
 ROUNDS = (PIVOT, WITHIN, ACROSS)
 BAND_GROWTH = 1.5
@@ -123,8 +126,8 @@ class Bands:
         return np.concatenate(out)
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    width = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, per_shingle: int = BITS) -> bytes:
+    width = 1 << max(6, int(per_shingle * len(shingles) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -255,7 +258,7 @@ def _arrays(width: int):
         for batch in batches:
             sets = list(shingle_sets(*text_buffer(batch.column(1)), width))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s, FINE_BITS) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["id", "n", "bits", "shingles"],
             )
 
@@ -328,9 +331,10 @@ def _join(rows: list, pairs: Iterator[tuple[int, int]], linked) -> list[tuple[in
 
 
 def _candidates(percent: int, forest: bool):
-    """What is left to compare of each block or pair of blocks, in at most twice as many rows as
-    it has: its passing pairs if they are few, else the rows with a passing partner (``b`` is
-    null) and, with ``forest``, the likeliest pairs that would join all their components."""
+    """What is left to compare of each block or pair of blocks, in a bounded number of rows per
+    row: its passing pairs if they are few (with ``forest``, no more than rows), else the rows
+    with a passing partner (``b`` is null) and, with ``forest``, the likeliest pairs that would
+    join all their components."""
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -340,7 +344,7 @@ def _candidates(percent: int, forest: bool):
                 bound, passes = _passing(rows, percent)
                 x, y = np.nonzero(passes)
                 live = np.union1d(x, y).tolist()
-                if len(x) <= len(live):
+                if len(x) <= len(live) * (1 if forest else PAIRS_PER_ROW):
                     ends = ((rows[p]["id"], rows[q]["id"]) for p, q in zip(x.tolist(), y.tolist(), strict=True))
                     out += [(min(e), max(e), None, None, None, None, None) for e in ends]
                 else:
@@ -453,7 +457,8 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
             cut = cut.withColumn("other", F.col("block"))
         cut = cut.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         for forest in (True, False):
-            packed = cut.join(sets.select("id", "n", "bits"), "id").groupBy("key", "i", "j").agg(
+            signs = (sets if forest else arrays).select("id", "n", "bits")
+            packed = cut.join(signs, "id").groupBy("key", "i", "j").agg(
                 F.collect_list(F.struct("id", "n", "bits", "component", "block")).alias("rows")
             )
             small_batches(spark, rows=1000, mib=4)

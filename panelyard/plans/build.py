@@ -279,8 +279,9 @@ def commit(
         raise S.SnapshotError(f"snapshot {snap} already exists")
     provenance = S.read_provenance(spark, store)
     resolved = S.resolve_sources(provenance, names, snap)
+    # what is given is hashed, built from and archived: it is made once
     frames = {
-        s: given[s][1] if s in given else M.read(spark, store, S.archive_kind(s), [info["from_snapshot"]]).drop(DATE)
+        s: cut_lineage(given[s][1]) if s in given else M.read(spark, store, S.archive_kind(s), [info["from_snapshot"]]).drop(DATE)
         for s, info in resolved.items()
     }
     hashes = cut_lineage(S.source_hashes(frames))

@@ -219,3 +219,19 @@ def test_a_violation_stops_the_publish_and_is_kept(spark, tmp_path):
         assert rule in {r.rule for r in M.read(spark, store, "rejected").where("violated").collect()}
     held = M.read(spark, store, "checks").collect()
     assert {r.rule for r in held} == {"row_count", "null_key", "duplicate_key"} and not any(r.violated for r in held)
+
+
+def test_given_frames_are_made_once(spark, tmp_path):
+    """A commit hashes, builds from and archives what it is given, but computes it once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    files = given(spark)
+    name, df = files["tradingview"]
+    files["tradingview"] = (name, df.mapInArrow(counted, df.schema))
+    commit(spark, str(tmp_path / "store"), DAYS[0], files)
+    assert made.value == df.count()

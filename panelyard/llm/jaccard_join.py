@@ -8,15 +8,16 @@ same order, they agree on a part that neither left out. So (band, part, its cont
 in which every linked pair meets, while texts that only share a common passage rarely do.
 
 Within tiles links are found without listing all pairs: equal sets are one entry; every entry
-is first compared with its tile's pivot, and linked entries become components; entries of
+is first compared with its tile's pivot (the one that meets most others in all its tiles: near
+copies share more parts with their original than with each other), and linked entries become
+components; entries of
 different components that still share a tile are compared within blocks of it, then - components
 having grown - across its blocks. Bitmaps bound an overlap from above (each bit set on one side
 only is a shingle the other side lacks); what passes is settled by intersecting the sorted
 arrays. A block with few passing pairs gives these. Any other gives a forest of its likeliest
 pairs, so that a pair that meets in many tiles is settled once, and then, with components grown
-by them, is bounded anew by finer bitmaps; the arrays of what still has many passing pairs are
-brought together and joined in one task up to a spanning set of links. Blocks with the same open
-rows are one.
+by them, is bounded anew; the arrays of what still has many passing pairs are brought together
+and joined in one task up to a spanning set of links. Blocks with the same open rows are one.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from panelyard.llm.common import NULL_ID, batches_of, checked_broadcast, compone
 
 BLOCK = 256
 WIDEST_BITS = 32_768
-BITS, FINE_BITS = 2, 8  # bits of a bitmap per shingle at least: of every text, and of those whose arrays are needed
+BITS = 4  # of a bitmap per shingle, at least: with fewer, most pairs some way below the threshold pass too
 PAIRS_PER_ROW = 8  # a block with more passing pairs per row than this is joined in one task
 PIVOT, WITHIN, ACROSS = 0, 1, 2  # every entry with its tile's pivot; within blocks; across two blocks
 ROUNDS = (PIVOT, WITHIN, ACROSS)
@@ -126,8 +127,8 @@ class Bands:
         return np.concatenate(out)
 
 
-def bitmap(shingles: np.ndarray, per_shingle: int = BITS) -> bytes:
-    width = 1 << max(6, int(per_shingle * len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray) -> bytes:
+    width = 1 << max(6, int(BITS * len(shingles) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(shingles & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -154,8 +155,7 @@ def enough(overlap: int, na: int, nb: int, percent: int) -> bool:
 
 SIGNED = "kind int, id long, key long, blob binary"
 _SIGNED_TYPES = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
-TEXT, MEMBER, ENTRY = 0, 1, 2  # a text: its size as key, digest and bitmap; a member of a shared tile; a tile entry yet to be dealt
-DIGEST_BYTES = 16
+TEXT, MEMBER, ENTRY = 0, 1, 2  # a text: its size as key, and its digest; a member of a shared tile; a tile entry yet to be dealt
 
 
 def _rows(kind: int, ids: np.ndarray, keys: np.ndarray, blobs: list | None = None) -> pa.RecordBatch:
@@ -180,7 +180,7 @@ def _runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def signed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Texts (id, n, bits, digest of the set) and tile members (key, id) of all tiles with two
+    """Texts (id, n, digest of the set) and tile members (key, id) of all tiles with two
     members or more.
 
     A task passes on one entry per key: the further ones it has seen are members of a shared
@@ -207,7 +207,7 @@ def signed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
                     blobs.append(None)
                     continue
                 digest = np.array([mix(s ^ c).sum(dtype=np.uint64) for c in _WORDS[8:10]]).tobytes()
-                blobs.append(digest + bitmap(s))
+                blobs.append(digest)
                 if digest in seen:  # an equal set of this task stands for it
                     continue
                 if len(seen) < 500_000:
@@ -248,8 +248,7 @@ def signed(documents: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     dealt = documents.mapInArrow(sign, SIGNED).repartition(place).sortWithinPartitions("key", "id")
     dealt.mapInArrow(gather, SIGNED).write.partitionBy("kind").parquet(folder)
     out = spark.read.schema("id long, key long, blob binary, kind int").parquet(folder)
-    digest, bits = F.substring("blob", 1, DIGEST_BYTES), F.expr(f"substring(blob, {DIGEST_BYTES + 1})")
-    texts = out.where(F.col("kind") == TEXT).select("id", F.col("key").cast("int").alias("n"), bits.alias("bits"), digest.alias("digest"))
+    texts = out.where(F.col("kind") == TEXT).select("id", F.col("key").cast("int").alias("n"), F.col("blob").alias("digest"))
     return texts, out.where(F.col("kind") == MEMBER).select("key", "id")
 
 
@@ -258,7 +257,7 @@ def _arrays(width: int):
         for batch in batches:
             sets = list(shingle_sets(*text_buffer(batch.column(1)), width))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s, FINE_BITS) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["id", "n", "bits", "shingles"],
             )
 
@@ -399,12 +398,13 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
     members = members.join(checked_broadcast(stands_for), "id", "left").select("key", F.coalesce("rep", "id").alias("id")).distinct()
     # tiles that hold one set only are done; of tiles with the same members one is enough
     content = [F.bit_xor(F.xxhash64("id", F.lit(seed))).alias(f"content_{seed}") for seed in (1, 2)]
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *content).where("size > 1")
-    several = several.groupBy("size", "content_1", "content_2").agg(F.min("key").alias("key")).select("key")
+    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("held"), *content).where("held > 1")
+    several = several.groupBy("held", "content_1", "content_2").agg(F.min("key").alias("key")).select("key", "held")
     members = stored(members.join(several, "key"), "members")
     wanted = stored(members.select("id").distinct(), "wanted")
     small_batches(spark, rows=1000, mib=1)
-    arrays = stored(rows.join(checked_broadcast(wanted), "id", "left_semi").distinct().mapInArrow(_arrays(width), "id long, n int, bits binary, shingles binary"), "arrays")
+    arrays = rows.join(checked_broadcast(wanted), "id", "left_semi").distinct().mapInArrow(_arrays(width), "id long, n int, bits binary, shingles binary")
+    arrays = stored(arrays.where("n > 0"), "arrays")
 
     def side(s: str) -> DataFrame:
         return arrays.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "bits", "shingles")])
@@ -432,19 +432,23 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         return pairs
 
     groups = stored(components(stands_for.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "groups")
-    for turn, step in enumerate(ROUNDS):
+    for step in ROUNDS:
         placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        if step == PIVOT:
+            reach = members.groupBy("id").agg(F.sum("held").alias("reach"))
+            placed = placed.join(reach, "id")
+            pivot = [F.min(F.struct((-F.col("reach")).alias("r"), F.xxhash64("id").alias("h"), "id", "component")).alias("pivot")]
+        else:
+            pivot = []
         placed = stored(placed, "placed")
-        open_tiles = placed.groupBy("key").agg(
-            F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"),
-            F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("pivot"),
-        ).where("x <> y").drop("x", "y")
+        open_tiles = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), *pivot)
+        open_tiles = open_tiles.where("x <> y").drop("x", "y")
         if step == ACROSS:
             open_tiles = open_tiles.where(F.col("size") > BLOCK)
         open_tiles = stored(open_tiles, "open-tiles")
         if open_tiles.isEmpty():
             continue
-        mixed = placed.join(open_tiles.select("key", "pivot", "size"), "key")
+        mixed = placed.join(open_tiles, "key")
         if step == PIVOT:
             pairs = mixed.where("component <> pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
             groups = joined_components(groups, verified(untested(pairs)))
@@ -457,8 +461,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
             cut = cut.withColumn("other", F.col("block"))
         cut = cut.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         for forest in (True, False):
-            signs = (sets if forest else arrays).select("id", "n", "bits")
-            packed = cut.join(signs, "id").groupBy("key", "i", "j").agg(
+            packed = cut.join(arrays.select("id", "n", "bits"), "id").groupBy("key", "i", "j").agg(
                 F.collect_list(F.struct("id", "n", "bits", "component", "block")).alias("rows")
             )
             small_batches(spark, rows=1000, mib=4)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -98,6 +99,28 @@ def test_jaccard_many_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == root
 
 
+def test_jaccard_far_copies_pass_seldom():
+    """A block of texts that share most shingles with one original, but too few with each other:
+    almost none of them is left to compare."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    sets = []
+    for _ in range(120):
+        base = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 250, dtype=np.uint64)
+        base[rng.choice(250, 18, replace=False)] = rng.integers(0, 1 << 64, 18, dtype=np.uint64)
+        sets.append(np.sort(base))
+    rows = [{"id": i, "n": 250, "bits": jaccard_join.bitmap(s), "component": i, "block": 0} for i, s in enumerate(sets)]
+    block = pa.RecordBatch.from_pylist([{"rows": rows, "key": 1, "i": 0, "j": 0}])
+    assert sum(b.num_rows for b in jaccard_join._candidates(85, True)([block])) < 30
+
+
+def test_jaccard_blank_texts_of_repeated_ids(spark):
+    """Ids with a blank text besides others that meet, but are not similar enough."""
+    shared = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, t) for i in (1, 2) for t in ("", None, f"{shared} " + " ".join(f"v{i}x{j}" for j in range(12)))]
+    found = jaccard_join.similar_groups(docs_frame(spark, rows), 4, 85).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in found) and len(found) == 6
+
+
 def removed_by_brute_force(rows, least):
     first = {}
     texts = {(-(1 << 63) if i is None else i, (t or "").encode()) for i, t in rows}

@@ -14,7 +14,9 @@ components; entries of
 different components that still share a tile are compared within blocks of it, then - components
 having grown - across its blocks. Bitmaps bound an overlap from above (each bit set on one side
 only is a shingle the other side lacks); what passes is settled by intersecting the sorted
-arrays. A block with few passing pairs gives these. Any other gives a forest of its likeliest
+arrays. A pair that meets in several tiles is left to the largest of them, as far as the rows
+name their largest tiles, so near copies that share most tiles do not give their pairs (or their
+rows) once per tile. A block with few passing pairs gives these. Any other gives a forest of its likeliest
 pairs, so that a pair that meets in many tiles is settled once, and then, with components grown
 by them, is bounded anew; the arrays of what still has many passing pairs are brought together
 and joined in one task up to a spanning set of links. Blocks with the same open rows are one.
@@ -35,6 +37,7 @@ BLOCK = 256
 WIDEST_BITS = 32_768
 BITS = 4  # of a bitmap per shingle, at least: with fewer, most pairs some way below the threshold pass too
 PAIRS_PER_ROW = 8  # a block with more passing pairs per row than this is joined in one task
+LARGEST_TILES = 8  # of a row, named so that a pair is compared in one of them only
 PIVOT, WITHIN, ACROSS = 0, 1, 2  # every entry with its tile's pivot; within blocks; across two blocks
 ROUNDS = (PIVOT, WITHIN, ACROSS)
 BAND_GROWTH = 1.5
@@ -286,26 +289,39 @@ def _bounds(rows: list) -> np.ndarray:
     """At least the overlap of every two of the rows, all at once: common bits are a product
     of bit matrices."""
     width = min(8 * min(len(r["bits"]) for r in rows), WIDEST_BITS)
-    bits = np.stack([np.unpackbits(_folded(np.frombuffer(r["bits"], np.uint8), width // 8), bitorder="little") for r in rows]).astype(np.float32)
-    common = np.rint(bits @ bits.T).astype(np.int64)
+    packed = np.stack([_folded(np.frombuffer(r["bits"], np.uint8), width // 8) for r in rows])
+    common = np.zeros((len(rows), len(rows)), np.int64)
+    for at in range(0, width // 8, 512):  # 4,096 bits at a time: a matrix of all may take 64 MB
+        bits = np.unpackbits(packed[:, at : at + 512], axis=1).astype(np.float32)
+        common += np.rint(bits @ bits.T).astype(np.int64)
     missing = np.diagonal(common)[:, None] - common  # bits of a row that the other lacks
     n = np.array([r["n"] for r in rows], np.int64)
     return np.minimum(n[:, None] - missing, (n[:, None] - missing).T)
 
 
+def _met_before(rows: list) -> np.ndarray:
+    """Which pairs of rows meet in a larger tile that both name: they are compared there."""
+    named = [r.get("before") or [] for r in rows]
+    tiles, at = np.unique(np.array([t for named_by in named for t in named_by], np.int64), return_inverse=True)
+    names = np.zeros((len(rows), len(tiles)), np.float32)
+    names[np.repeat(np.arange(len(rows)), [len(x) for x in named]), at] = 1
+    return names @ names.T > 0
+
+
 def _passing(rows: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of all overlaps, and which pairs of different components pass size and bitmap: in
-    a block, or across two."""
+    """Bounds of all overlaps, and which pairs of different components pass size and bitmap and
+    are not left to a larger tile: in a block, or across two."""
     n, block = np.array([r["n"] for r in rows], np.int64), np.array([r["block"] for r in rows])
     component = np.array([r["component"] for r in rows])
     bound = _bounds(rows)
-    passes = (100 * bound >= percent * (n[:, None] + n[None, :] - bound)) & (component[:, None] != component[None, :])
+    passes = (100 * bound >= percent * (n[:, None] + n[None, :] - bound)) & (component[:, None] != component[None, :]) & ~_met_before(rows)
     if (block != block[0]).any():
         passes &= block[:, None] != block[None, :]
     return bound, np.triu(passes)
 
 
-CANDIDATES = "a long, b long, key long, i int, j int, component long, block int"
+CANDIDATES = "a long, b long, key long, i int, j int, component long, block int, before array<long>"
+_CANDIDATE_TYPES = pa.schema([*[(c, pa.int64()) for c in ("a", "b", "key")], ("i", pa.int32()), ("j", pa.int32()), ("component", pa.int64()), ("block", pa.int32()), ("before", pa.list_(pa.int64()))])
 
 
 def _in_order(bound: np.ndarray, passes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -345,16 +361,14 @@ def _candidates(percent: int, forest: bool):
                 live = np.union1d(x, y).tolist()
                 if len(x) <= len(live) * (1 if forest else PAIRS_PER_ROW):
                     ends = ((rows[p]["id"], rows[q]["id"]) for p, q in zip(x.tolist(), y.tolist(), strict=True))
-                    out += [(min(e), max(e), None, None, None, None, None) for e in ends]
+                    out += [(min(e), max(e), *[None] * 6) for e in ends]
                 else:
                     once = {rows[p]["id"]: rows[p] for p in live}  # an id may have several texts
-                    out += [(r["id"], None, key, i, j, r["component"], r["block"]) for r in once.values()]
+                    out += [(r["id"], None, key, i, j, r["component"], r["block"], r.get("before")) for r in once.values()]
                     if forest:
-                        out += [(*ends, None, None, None, None, None) for ends in _join(rows, _in_order(bound, passes), lambda p, q: True)]
-            names = [f.split()[0] for f in CANDIDATES.split(", ")]
-            types = [pa.int32() if f.endswith(" int") else pa.int64() for f in CANDIDATES.split(", ")]
-            columns = zip(*out, strict=True) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                        out += [(*ends, *[None] * 6) for ends in _join(rows, _in_order(bound, passes), lambda p, q: True)]
+            columns = zip(*out, strict=True) if out else [[]] * len(_CANDIDATE_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CANDIDATE_TYPES.types, strict=True)], schema=_CANDIDATE_TYPES)
 
     return left
 
@@ -415,9 +429,9 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         return stored(met.mapInArrow(_settle(percent), "a long, b long").distinct(), "verified")
 
     def unlike(crowded: DataFrame) -> DataFrame:
-        """Of blocks (or pairs of blocks) with the same open rows, one."""
+        """Of blocks (or pairs of blocks) with the same open rows and the same larger tiles, one."""
         block, first = ["key", "i", "j"], F.col("block") == F.col("i")
-        content = [F.bit_xor(F.xxhash64("id", "component", first, F.lit(seed))).alias(f"content_{seed}") for seed in (1, 2)]
+        content = [F.bit_xor(F.xxhash64("id", "component", first, "before", F.lit(seed))).alias(f"content_{seed}") for seed in (1, 2)]
         kept = crowded.groupBy(*block).agg(F.count(F.lit(1)).alias("size"), *content)
         kept = kept.groupBy("size", "content_1", "content_2").agg(F.min(F.struct(*block)).alias("b")).select("b.*")
         return stored(crowded.join(kept, block, "left_semi"), "crowded")
@@ -455,14 +469,21 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
             continue
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         cut = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        # a pair of one block was compared in an earlier round, so across blocks the whole tile counts
+        tile = F.xxhash64("key", *(["block"] if step == WITHIN else []))
+        cut = cut.withColumn("tile", F.struct((-F.col("size")).alias("size"), tile.alias("tile")))
+        largest = stored(cut.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("tile")), 1, LARGEST_TILES).alias("largest")), "largest-tiles")
         if step == ACROSS:
             cut = cut.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
         else:
             cut = cut.withColumn("other", F.col("block"))
-        cut = cut.select("key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        before = F.transform(F.filter("largest", lambda t: t < F.col("tile")), lambda t: t["tile"]).alias("before")
+        cut = cut.join(checked_broadcast(largest), "id").select(
+            "key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), before
+        )
         for forest in (True, False):
             packed = cut.join(arrays.select("id", "n", "bits"), "id").groupBy("key", "i", "j").agg(
-                F.collect_list(F.struct("id", "n", "bits", "component", "block")).alias("rows")
+                F.collect_list(F.struct("id", "n", "bits", "component", "block", "before")).alias("rows")
             )
             small_batches(spark, rows=1000, mib=4)
             left = stored(packed.mapInArrow(_candidates(percent, forest), CANDIDATES), "candidates")
@@ -477,7 +498,7 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
                 cut = grown.withColumn("component", F.coalesce("component", "id"))
             else:
                 crowded = crowded.join(arrays, "id").groupBy("key", "i", "j").agg(
-                    F.collect_list(F.struct("id", "n", "bits", "shingles", "component", "block")).alias("rows")
+                    F.collect_list(F.struct("id", "n", "bits", "shingles", "component", "block", "before")).alias("rows")
                 )
                 small_batches(spark, rows=100, mib=4)
                 links = stored(links.union(crowded.select("rows").mapInArrow(_spanning(percent), "a long, b long")).distinct(), "links")

@@ -113,6 +113,27 @@ def test_jaccard_far_copies_pass_seldom():
     assert sum(b.num_rows for b in jaccard_join._candidates(85, True)([block])) < 30
 
 
+def test_jaccard_pairs_of_many_tiles_are_given_once():
+    """Rows that meet in twenty tiles with equal neighbours, all pairs passing: a tile gives only
+    pairs whose ends name no larger tile in common."""
+    shingles = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 64, 100, dtype=np.uint64)
+    tiles = list(range(20))
+
+    def block(tile, members):
+        named = {i: [t for t in tiles[:8] if t < tile and (i != 9 or t >= 5)] for i in members}  # row 9 is in no tile before the fifth
+        rows = [{"id": i, "n": 100, "bits": jaccard_join.bitmap(shingles), "component": i, "block": 0, "before": named[i]} for i in members]
+        return pa.RecordBatch.from_pylist([{"rows": rows, "key": tile, "i": 0, "j": 0}])
+
+    blocks = [block(t, range(9) if t < 5 else range(10)) for t in tiles]
+    for forest in (True, False):
+        found = [r for b in jaccard_join._candidates(85, forest)(iter(blocks)) for r in b.to_pylist()]
+        assert {r["key"] for r in found if r["b"] is None} <= {0, 5} and len(found) <= 60
+        linked = {x for r in found if r["b"] is not None for x in (r["a"], r["b"])} | {r["a"] for r in found if r["b"] is None}
+        assert linked == set(range(10))
+    rows = block(5, range(10)).column("rows").to_pylist()[0]
+    assert {tuple(p) for p in np.argwhere(jaccard_join._passing(rows, 85)[1]).tolist()} == {(i, 9) for i in range(9)}
+
+
 def test_jaccard_blank_texts_of_repeated_ids(spark):
     """Ids with a blank text besides others that meet, but are not similar enough."""
     shared = " ".join(f"w{i}" for i in range(60))

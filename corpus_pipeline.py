@@ -16,6 +16,7 @@ from panelyard.llm.queries import tokenizer
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 REPEATED_BYTES = 100
+CACHED_MATCHES = 100_000  # of a worker, which lives on beside the other stages' work
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +65,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the token ids (binary, unsigned 32-bit little-endian) of each text;
     round_trip tells whether decoding gives the text back."""
     path, pattern = tokenizer()
-    decoded = bpe.decode(bpe.encode(docs, path, pattern, carry_text=True), path)
+    # stored in between: encoding and decoding in one task would take two Python workers a core
+    encoded = stored(bpe.encode(docs, path, pattern, carry_text=True, cached=CACHED_MATCHES), "encoded")
+    decoded = bpe.decode(encoded, path)
     return decoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.encode("text", "UTF-8")).alias("round_trip")
     )

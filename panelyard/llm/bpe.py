@@ -44,8 +44,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes matches of a pattern by halves. One per Python worker; its caches are bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = CACHED_MATCHES):
         self.ranks = ranks
+        self.cached = cached
         self.scan = regex.compile(pattern)
         self.parts: dict[bytes, tuple] = {}
         self.pairs: dict[tuple, bool] = {}
@@ -69,7 +70,7 @@ class Encoder:
     def stable(self, a: bytes, b: bytes) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > CACHED_MATCHES:
+            if len(self.pairs) > self.cached:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merge(a + b) == (a, b)
         return known
@@ -96,7 +97,7 @@ class Encoder:
         mid = len(data) // 2
         out = self.join_tokens(self.halves(data[:mid]), self.halves(data[mid:]))
         if len(data) <= 16:
-            if len(self.parts) > CACHED_MATCHES:
+            if len(self.parts) > self.cached:
                 self.parts.clear()
             self.parts[data] = tuple(out)
         return out
@@ -109,7 +110,7 @@ class Encoder:
         ids = [whole] if whole is not None else [self.ranks[t] for t in self.halves(data)]
         out = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(data) <= 64:
-            if len(self.matches) > CACHED_MATCHES:
+            if len(self.matches) > self.cached:
                 self.matches.clear()
             self.matches[match] = out
         return out
@@ -155,40 +156,41 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def worker_encoder(path: str, pattern: str) -> Encoder:
-    key = (path, pattern)
+def worker_encoder(path: str, pattern: str, cached: int = CACHED_MATCHES) -> Encoder:
+    key = (path, pattern, cached)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(read_ranks(path), pattern)
+        _ENCODERS[key] = Encoder(read_ranks(path), pattern, cached)
     return _ENCODERS[key]
 
 
-def encode(documents: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", carry_text: bool = False) -> DataFrame:
+def encode(documents: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", carry_text: bool = False, cached: int = CACHED_MATCHES) -> DataFrame:
     """One row per row of ``documents``: doc_id, ids (binary, unsigned 32-bit little-endian) and,
     with ``carry_text``, the encoded text.
 
     Null texts are empty and have no ids; repeated rows are encoded each; other columns are
     ignored. Texts over SEGMENT_CHARS characters are cut, their segments scanned by different
-    tasks and joined again in one task per text (a text is one value and fits a task).
+    tasks and joined again in one task per text (a text is one value and fits a task). A worker
+    keeps at most about ``cached`` encoded matches, for as long as it lives.
     """
     small_batches(documents.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(ranks_path, pattern)
+        encoder = worker_encoder(ranks_path, pattern, cached)
         for batch in batches:
             ids = [encoder.encode_matches(encoder.scan.findall(t)) for t in batch.column(1).to_pylist()]
             more = {"text": batch.column(1)} if carry_text else {}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), **more})
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(ranks_path, pattern)
+        encoder = worker_encoder(ranks_path, pattern, cached)
         for batch in batches:
             cut = [encoder.scan.findall(t) for t in batch.column("part").to_pylist()]
             lengths = pa.array([[len(m) for m in c] for c in cut], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lengths], names=[*batch.schema.names, "lengths"])
 
     def joined(table: pa.Table) -> pa.Table:
-        encoder = worker_encoder(ranks_path, pattern)
+        encoder = worker_encoder(ranks_path, pattern, cached)
         table = table.sort_by("n")
         segments, parts = [], table.column("part").to_pylist()
         for part, lengths in zip(parts, table.column("lengths").to_pylist(), strict=True):

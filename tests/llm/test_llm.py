@@ -242,6 +242,27 @@ def test_bpe_equals_the_library(spark, corpus, monkeypatch):
     assert found == Counter((i, np.array(library.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows)
 
 
+def test_bpe_caches_are_bounded():
+    path, pattern = tokenizer()
+    ranks = bpe.read_ranks(path)
+    encoder, free = bpe.Encoder(ranks, pattern, 50), bpe.Encoder(ranks, pattern)
+    matches = [f" unseen{i}word" for i in range(400)]
+    assert encoder.encode_matches(matches) == free.encode_matches(matches)
+    assert max(len(c) for c in (encoder.parts, encoder.pairs, encoder.matches)) <= 51 < len(free.matches)
+
+
+def test_pipeline_takes_one_python_worker_a_task(spark):
+    """Encoding and decoding in one task would hold two workers, with the caches of both."""
+    import corpus_pipeline
+
+    rows = [(1, "One text, two"), (2, None), (3, "x y " * 20_000)]
+    made = corpus_pipeline.tokenize(spark, docs_frame(spark, rows), "")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert len(got) == 3 and got[1]["round_trip"] and got[3]["round_trip"] and got[3]["n_tokens"] > 0
+
+
 def test_bpe_joins_at_every_place():
     path, pattern = tokenizer()
     encoder = bpe.Encoder(bpe.read_ranks(path), pattern)

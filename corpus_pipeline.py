@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.llm import bpe, decontamination, jaccard_join, suffix_dedup, toxicity
-from panelyard.llm.common import NULL_ID, checked_broadcast, new_folder, row_key, stored
+from panelyard.llm.common import NULL_ID, checked_broadcast, new_folder, row_key, stored, stored_alone
 from panelyard.llm.queries import tokenizer
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -31,9 +31,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document with the smallest id. Rows that repeat that
     id and differ stay; of equal rows all stay, as they are one document. Null ids stay only
     where they are the smallest of their group, as they are."""
-    found = jaccard_join.similar_groups(docs, NEAR_WORDS, NEAR_PERCENT)
-    gone = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_i"), F.coalesce("component_id", F.lit(NULL_ID)).alias("_c")).where("_i <> _c")
-    gone = stored(gone.select("_i").distinct(), "near-duplicates")
+
+    def linked() -> DataFrame:
+        found = jaccard_join.similar_groups(docs, NEAR_WORDS, NEAR_PERCENT)
+        ends = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_i"), F.coalesce("component_id", F.lit(NULL_ID)).alias("_c"))
+        return ends.where("_i <> _c").select("_i").distinct()
+
+    gone = stored_alone(spark, "near-duplicates", linked)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_i"))
     return rows.join(checked_broadcast(gone), "_i", "left_anti").select("row.*")
 
@@ -56,8 +60,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # the operator's rows carry the row's key, so equal rows go together
     keyed = docs.select(F.struct("*").alias("row"), *row_key("doc_id", "text"))
-    found = decontamination.decontaminate(docs, benchmark, width=10, with_key=True)
-    gone = stored(found.where("contaminated").select("_i", "_h").distinct(), "contaminated")
+
+    def hit() -> DataFrame:
+        found = decontamination.decontaminate(docs, benchmark, width=10, with_key=True)
+        return found.where("contaminated").select("_i", "_h").distinct()
+
+    gone = stored_alone(spark, "contaminated", hit)
     return keyed.join(checked_broadcast(gone), ["_i", "_h"], "left_anti").select("row.*")
 
 

@@ -11,9 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from panelyard.llm.common import new_folder
+from panelyard.llm.common import new_folder, remove_folder
 
 EXACT_LIMIT = 1 << 26
 PAIRS = 16_384  # pairs evaluated at once
@@ -108,12 +108,6 @@ def replaced(df: DataFrame, old: str, name: str) -> tuple[DataFrame, str]:
     return out, path
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    """Deletes one of our own intermediates."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def floored_means(table: DataFrame, assign: Callable, entries: np.ndarray, columns: list[str]) -> np.ndarray:
     """``entries`` (n, width) with each replaced by floor(sum / count) of the rows that
     ``assign(batch)`` gives it, componentwise; entries without rows stay. ``assign`` returns

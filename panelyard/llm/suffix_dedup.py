@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import NULL_ID, batches_of, checked_broadcast, inverse, mix, new_folder, powers, random_words, row_key, small_batches, stored, text_buffer
+from panelyard.llm.common import NULL_ID, batches_of, checked_broadcast, inverse, mix, new_folder, powers, random_words, row_key, small_batches, stored, stored_alone, text_buffer
 
 GRAM = 32
 FLUSH_SEGMENTS = 250_000
@@ -398,9 +398,6 @@ def remove_repeats(documents: DataFrame, least: int = 100, doc_id: str = "doc_id
         raise ValueError(f"least must be over {GRAM}")
     rows = documents.select(*row_key(doc_id, text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     long_enough = rows.where(F.octet_length("text") >= least)
-    covers, requests = candidates(long_enough, least)
-    covers = covers.union(settle_segments(long_enough, requests, least))
-
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, held = None, []
 
@@ -433,8 +430,13 @@ def remove_repeats(documents: DataFrame, least: int = 100, doc_id: str = "doc_id
         if held:
             yield found([united(doc, held)])
 
-    small_batches(spark, rows=50_000, mib=4)
-    runs = stored(covers.repartition("doc", "text").sortWithinPartitions("doc", "text", "start").mapInArrow(merged, "_i long, _h long, runs binary"), "runs")
+    def found_runs() -> DataFrame:
+        covers, requests = candidates(long_enough, least)
+        covers = covers.union(settle_segments(long_enough, requests, least))
+        small_batches(spark, rows=50_000, mib=4)
+        return covers.repartition("doc", "text").sortWithinPartitions("doc", "text", "start").mapInArrow(merged, "_i long, _h long, runs binary")
+
+    runs = stored_alone(spark, "runs", found_runs)
     carried = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep or [])]
     whole = documents.select(
         *row_key(doc_id, text), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried

@@ -10,16 +10,17 @@ in which every linked pair meets, while texts that only share a common passage r
 Within tiles links are found without listing all pairs: equal sets are one entry; every entry
 is first compared with its tile's pivot (the one that meets most others in all its tiles: near
 copies share more parts with their original than with each other), and linked entries become
-components; entries of
-different components that still share a tile are compared within blocks of it, then - components
-having grown - across its blocks. Bitmaps bound an overlap from above (each bit set on one side
-only is a shingle the other side lacks); what passes is settled by intersecting the sorted
+components; entries of different components that still share a tile are compared in blocks of
+it. In a tile of several blocks the entries of its largest component, which need no comparison
+with each other, have blocks of their own and are copied only to those of the rest. Bitmaps
+bound an overlap from above (each bit set on one side only is a shingle the other side lacks);
+what passes is settled by intersecting the sorted
 arrays. A pair that meets in several tiles is left to the largest of them, as far as the rows
 name their largest tiles, so near copies that share most tiles do not give their pairs (or their
-rows) once per tile. A block with few passing pairs gives these. Any other gives a forest of its likeliest
-pairs, so that a pair that meets in many tiles is settled once, and then, with components grown
-by them, is bounded anew; the arrays of what still has many passing pairs are brought together
-and joined in one task up to a spanning set of links. Blocks with the same open rows are one.
+rows) once per tile. A block with up to eight passing pairs a row gives these. Any other is bounded
+anew, with components grown by them, and then gives a forest of its likeliest pairs; the arrays
+of what still has many passing pairs are brought together and joined in one task up to a
+spanning set of links. Blocks with the same open rows are one.
 """
 
 from __future__ import annotations
@@ -31,15 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import NULL_ID, batches_of, checked_broadcast, components, joined_components, mix, new_folder, random_words, small_batches, stored, text_buffer
+from panelyard.llm.common import NULL_ID, batches_of, checked_broadcast, components, is_small, joined_components, mix, new_folder, random_words, small_batches, stored, stored_alone, text_buffer
 
 BLOCK = 256
 WIDEST_BITS = 32_768
 BITS = 4  # of a bitmap per shingle, at least: with fewer, most pairs some way below the threshold pass too
-PAIRS_PER_ROW = 8  # a block with more passing pairs per row than this is joined in one task
+PAIRS_PER_ROW = 8  # a block with more passing pairs per row than this gives a forest of them first
 LARGEST_TILES = 8  # of a row, named so that a pair is compared in one of them only
-PIVOT, WITHIN, ACROSS = 0, 1, 2  # every entry with its tile's pivot; within blocks; across two blocks
-ROUNDS = (PIVOT, WITHIN, ACROSS)
 BAND_GROWTH = 1.5
 FLUSH_KEYS = 500_000
 
@@ -267,22 +266,29 @@ def _arrays(width: int):
     return made
 
 
-def _settle(percent: int):
-    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passing_pairs(test, *columns: str):
+    """Pairs (a, b) for which ``test`` holds, given the columns of both ends."""
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for r in zip(*[batch.column(c).to_pylist() for c in ("n_a", "bits_a", "shingles_a", "n_b", "bits_b", "shingles_b")], strict=True):
-                na, xa, sa, nb, xb, sb = r
-                ok = enough(min(na, nb), na, nb, percent) and enough(overlap_bound(na, xa, nb, xb), na, nb, percent)
-                if ok:
-                    both = np.concatenate([np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)])
-                    both.sort(kind="stable")
-                    ok = enough(int((both[1:] == both[:-1]).sum()), na, nb, percent)
-                linked.append(ok)
-            mask = pa.array(linked, pa.bool_())
+            ends = [batch.column(f"{c}_{s}").to_pylist() for s in ("a", "b") for c in columns]
+            mask = pa.array([test(*r) for r in zip(*ends, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return settled
+    return passed
+
+
+def _near(percent: int):
+    return _passing_pairs(lambda na, x, nb, y: enough(min(na, nb), na, nb, percent) and enough(overlap_bound(na, x, nb, y), na, nb, percent), "n", "bits")
+
+
+def _settle(percent: int):
+    return _passing_pairs(lambda x, y: _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent), "shingles")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return enough(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent)
 
 
 def _bounds(rows: list) -> np.ndarray:
@@ -383,9 +389,7 @@ def _spanning(percent: int):
                 sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
 
                 def linked(p: int, q: int, sets: list = sets) -> bool:
-                    both = np.concatenate([sets[p], sets[q]])
-                    both.sort(kind="stable")
-                    return enough(int((both[1:] == both[:-1]).sum()), len(sets[p]), len(sets[q]), percent)
+                    return _linked(sets[p], sets[q], percent)
 
                 links += _join(rows, _in_order(*_passing(rows, percent)), linked)
             yield pa.RecordBatch.from_arrays([pa.array([e[n] for e in links], pa.int64()) for n in (0, 1)], names=["a", "b"])
@@ -403,8 +407,12 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
     links as any of its texts does. A null id counts as one id below all others and is
     returned as null. Other columns are ignored.
     """
-    spark = documents.sparkSession
     rows = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).cast("string").alias("text"))
+    return stored_alone(documents.sparkSession, "similar-groups", lambda: _similar_groups(rows, width, percent))
+
+
+def _similar_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    spark = rows.sparkSession
     texts, members = signed(rows, width, percent)
     sets = texts.where("n > 0")
     reps = sets.groupBy("n", "digest").agg(F.min("id").alias("rep"), F.max("id").alias("other")).where("rep <> other")
@@ -420,13 +428,18 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
     arrays = rows.join(checked_broadcast(wanted), "id", "left_semi").distinct().mapInArrow(_arrays(width), "id long, n int, bits binary, shingles binary")
     arrays = stored(arrays.where("n > 0"), "arrays")
 
-    def side(s: str) -> DataFrame:
-        return arrays.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "bits", "shingles")])
+    def met(pairs: DataFrame, *columns: str) -> DataFrame:
+        """Stored pairs with ``columns`` of both ends; few pairs are brought to the arrays, so
+        that only arrays of their ends are dealt."""
+        few = is_small(pairs)
+        mark = F.broadcast if few else lambda df: df
+        a, b = (arrays.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in ("a", "b"))
+        return mark(pairs).join(a, "a").join(b.join(mark(pairs.select("b")), "b", "left_semi") if few else b, "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(side("a"), "a").join(side("b"), "b")
+        joined = met(pairs, "shingles")
         small_batches(spark, rows=500, mib=4)
-        return stored(met.mapInArrow(_settle(percent), "a long, b long").distinct(), "verified")
+        return stored(joined.mapInArrow(_settle(percent), "a long, b long"), "verified")
 
     def unlike(crowded: DataFrame) -> DataFrame:
         """Of blocks (or pairs of blocks) with the same open rows and the same larger tiles, one."""
@@ -436,73 +449,52 @@ def similar_groups(documents: DataFrame, width: int = 5, percent: int = 80, doc_
         kept = kept.groupBy("size", "content_1", "content_2").agg(F.min(F.struct(*block)).alias("b")).select("b.*")
         return stored(crowded.join(kept, block, "left_semi"), "crowded")
 
-    tested = None
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        nonlocal tested
-        pairs = pairs.where("a <> b").distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        return pairs
-
-    groups = stored(components(stands_for.select(F.col("id").alias("a"), F.col("rep").alias("b"))), "groups")
-    for step in ROUNDS:
-        placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        if step == PIVOT:
-            reach = members.groupBy("id").agg(F.sum("held").alias("reach"))
-            placed = placed.join(reach, "id")
-            pivot = [F.min(F.struct((-F.col("reach")).alias("r"), F.xxhash64("id").alias("h"), "id", "component")).alias("pivot")]
-        else:
-            pivot = []
-        placed = stored(placed, "placed")
-        open_tiles = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"), *pivot)
-        open_tiles = open_tiles.where("x <> y").drop("x", "y")
-        if step == ACROSS:
-            open_tiles = open_tiles.where(F.col("size") > BLOCK)
-        open_tiles = stored(open_tiles, "open-tiles")
-        if open_tiles.isEmpty():
-            continue
-        mixed = placed.join(open_tiles, "key")
-        if step == PIVOT:
-            pairs = mixed.where("component <> pivot.component").select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"))
-            groups = joined_components(groups, verified(untested(pairs)))
-            continue
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        cut = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        # a pair of one block was compared in an earlier round, so across blocks the whole tile counts
-        tile = F.xxhash64("key", *(["block"] if step == WITHIN else []))
-        cut = cut.withColumn("tile", F.struct((-F.col("size")).alias("size"), tile.alias("tile")))
-        largest = stored(cut.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("tile")), 1, LARGEST_TILES).alias("largest")), "largest-tiles")
-        if step == ACROSS:
-            cut = cut.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("block"))))
-        else:
-            cut = cut.withColumn("other", F.col("block"))
-        before = F.transform(F.filter("largest", lambda t: t < F.col("tile")), lambda t: t["tile"]).alias("before")
-        cut = cut.join(checked_broadcast(largest), "id").select(
-            "key", "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), before
+    # every entry with the pivots of its tiles
+    reach = members.groupBy("id").agg(F.sum("held").alias("reach"))
+    placed = stored(members.join(reach, "id"), "reaching")
+    pivots = placed.groupBy("key").agg(F.min(F.struct((-F.col("reach")).alias("r"), F.xxhash64("id").alias("h"), "id"))["id"].alias("pivot"))
+    pairs = placed.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    bounded = met(stored(pairs.distinct(), "pairs"), "n", "bits")
+    small_batches(spark, rows=1000, mib=4)
+    links = verified(stored(bounded.mapInArrow(_near(percent), "a long, b long"), "near-pairs"))
+    groups = stored(components(links.union(stands_for.select(F.col("id").alias("a"), F.col("rep").alias("b")))), "groups")
+
+    # what is still open, in blocks
+    placed = members.join(checked_broadcast(groups.withColumnRenamed("node", "id")), "id", "left")
+    placed = stored(placed.select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
+    tiles = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    tiles = tiles.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("core")).where("core.n < size")
+    tiles = stored(tiles, "open-tiles")
+    cut = placed.join(tiles, "key").withColumn("tile", F.struct((-F.col("size")).alias("size"), F.col("key").alias("tile")))
+    largest = cut.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("tile")), 1, LARGEST_TILES).alias("largest"))
+    entries = stored(arrays.select("id", "n", "bits").join(largest, "id"), "entries")
+    apart = (F.col("size") > BLOCK) & (F.col("core.n") >= BLOCK)  # the largest component has blocks of its own
+    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    cut = cut.withColumn("of_rest", in_blocks(F.col("size") - F.when(apart, F.col("core.n")).otherwise(0)))
+    cut = cut.withColumn("of_core", F.when(apart, in_blocks(F.col("core.n"))).otherwise(0)).withColumn("in_core", apart & (F.col("component") == F.col("core.component")))
+    spread = F.xxhash64("id")
+    cut = cut.withColumn("block", F.when(F.col("in_core"), F.col("of_rest") + F.pmod(spread, F.col("of_core"))).otherwise(F.pmod(spread, F.col("of_rest"))).cast("int"))
+    cut = cut.withColumn("others", F.when(F.col("in_core"), F.col("of_rest")).otherwise(F.col("of_rest") + F.col("of_core")))
+    before = F.transform(F.filter("largest", lambda t: t < F.col("tile")), lambda t: t["tile"]).alias("before")
+    cut = cut.join(entries, "id").select("key", "id", "component", "block", "n", "bits", before, F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+    cut = cut.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    for forest in (False, True):
+        packed = cut.groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", "n", "bits", "component", "block", "before")).alias("rows"))
+        small_batches(spark, rows=1000, mib=4)
+        left = stored(packed.mapInArrow(_candidates(percent, forest), CANDIDATES), "candidates")
+        groups = joined_components(groups, verified(stored(left.where("b is not null and a <> b").select("a", "b").distinct(), "pairs")))
+        crowded = unlike(left.where("b is null").withColumnRenamed("a", "id").drop("b"))
+        if crowded.isEmpty():
+            break
+        grown = crowded.drop("component").join(checked_broadcast(groups.withColumnRenamed("node", "id")), "id", "left")
+        grown = grown.withColumn("component", F.coalesce("component", "id"))
+        cut = grown.join(arrays.select("id", "n", "bits"), "id")
+    else:
+        packed = grown.join(arrays, "id").groupBy("key", "i", "j").agg(
+            F.collect_list(F.struct("id", "n", "bits", "shingles", "component", "block", "before")).alias("rows")
         )
-        for forest in (True, False):
-            packed = cut.join(arrays.select("id", "n", "bits"), "id").groupBy("key", "i", "j").agg(
-                F.collect_list(F.struct("id", "n", "bits", "component", "block", "before")).alias("rows")
-            )
-            small_batches(spark, rows=1000, mib=4)
-            left = stored(packed.mapInArrow(_candidates(percent, forest), CANDIDATES), "candidates")
-            links = verified(untested(left.where("b is not null").select("a", "b")))
-            crowded = unlike(left.where("b is null").withColumnRenamed("a", "id").drop("b"))
-            if crowded.isEmpty():
-                groups = joined_components(groups, links)
-                break
-            if forest:
-                groups = joined_components(groups, links)
-                grown = crowded.drop("component").join(checked_broadcast(groups.withColumnRenamed("node", "id")), "id", "left")
-                cut = grown.withColumn("component", F.coalesce("component", "id"))
-            else:
-                crowded = crowded.join(arrays, "id").groupBy("key", "i", "j").agg(
-                    F.collect_list(F.struct("id", "n", "bits", "shingles", "component", "block", "before")).alias("rows")
-                )
-                small_batches(spark, rows=100, mib=4)
-                links = stored(links.union(crowded.select("rows").mapInArrow(_spanning(percent), "a long, b long")).distinct(), "links")
-                groups = joined_components(groups, links)
+        small_batches(spark, rows=100, mib=4)
+        groups = joined_components(groups, stored(packed.select("rows").mapInArrow(_spanning(percent), "a long, b long").distinct(), "links"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = texts.select("id", "n").join(checked_broadcast(groups.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(real("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real("component").alias("component_id"))

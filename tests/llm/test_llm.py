@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with odd rows."""
 
 import hashlib
+import os
 import random
 import sys
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from panelyard.llm import bpe, chat, decontamination, embedding_dedup, jaccard_join, license_scan, sharding, suffix_dedup, toxicity, warc
+from panelyard.llm import bpe, chat, common, decontamination, embedding_dedup, jaccard_join, license_scan, sharding, suffix_dedup, toxicity, warc
 from panelyard.llm.queries import tokenizer
 
 DOCS = "doc_id long, text string, _i int, start string, component string"  # the last three clash with names used inside
@@ -99,6 +100,32 @@ def test_jaccard_many_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in found} == root
 
 
+def test_jaccard_core_and_rest_of_a_tile(spark, monkeypatch):
+    """A tile of several blocks: a group that meets its pivot, texts near one of its members only,
+    and texts far from all. Links are found in few stored steps, and only the result stays."""
+    rng = random.Random(9)
+    base = words(rng, 80, 10_000)
+    rows = []
+    for k in range(640):
+        t = list(base)
+        for at in rng.sample(range(80), 1 if k < 420 else 2 if k < 540 else 3):
+            t[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(t)))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(77)} for _, t in rows]
+    links = [(a, b) for a in range(640) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 88 * len(sets[a] | sets[b])]
+    root = linked_components(links, range(640))
+    assert len(set(root.values())) > 100
+    names = []
+    for module in (common, jaccard_join):
+        monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: (names.append(name), f(df, name))[1])
+    folder = f"{common.shared_folder(spark).removeprefix('file:')}/llm"
+    there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = jaccard_join.similar_groups(docs_frame(spark, rows), 4, 88).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == root
+    assert len(names) <= 30
+    assert [name.rpartition("-")[0] for name in set(os.listdir(folder)) - there] == ["similar-groups"]
+
+
 def test_jaccard_far_copies_pass_seldom():
     """A block of texts that share most shingles with one original, but too few with each other:
     almost none of them is left to compare."""
